@@ -3,18 +3,43 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import near_dup
-from .shared import documents
+from . import language_id, lm_score, near_dup, quality, toxicity
+from .shared import documents, fold
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = quality.scores(docs, quality.train(docs, labels))
+    return scored.withColumn("kept", F.col("tail_probability") >= quality.SELECT_AT)
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(documents(spark, sf_dir), k=4, percent=80)
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = fold(F.col("doc_id"), 5) == 0
+    model = language_id.train(docs, where=~held_out)
+    return language_id.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.model_scores(documents(spark, sf_dir))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    held_out = fold(F.col("doc_id"), 3) == 1
+    scored = toxicity.scores(docs, toxicity.train(docs, labels, where=~held_out))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 OP6_SQL = f"""
 WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(f"translate(text, '{_UP}', '{_LOW}')")} AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
@@ -27,5 +52,5 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.c AS component_id, d.
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT v, min(root) AS c FROM r GROUP BY v) m ON m.v = d.doc_id
 """
 
-QUERIES = {"op6_near_duplicates": op6_near_duplicates}
+QUERIES = {f.__name__: f for f in (op4_quality, op6_near_duplicates, op7_language_id, op8_lm_score, op10_toxicity)}
 ORACLES = {"op6_near_duplicates": OP6_SQL}

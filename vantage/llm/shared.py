@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``; where that is unset (tests), a local one is set."""
     at = spark.conf.get("spark.checkpoint.dir", None)
@@ -47,4 +50,11 @@ def fold(doc_id: Column, n: int) -> Column:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Batches of ``BATCH_ROWS`` rows and ``BATCH_BYTES`` at most go to Python: long texts must not add up in a worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))

@@ -20,6 +20,8 @@ NON_SPACE[[9, 10, 11, 12, 13, 32]] = False
 #: ASCII letters and digits, and every byte of a non-ASCII character
 ALNUM = np.zeros(256, bool)
 ALNUM[48:58] = ALNUM[65:91] = ALNUM[97:123] = ALNUM[128:] = True
+_STOP = np.zeros(256, bool)
+_STOP[[10, 33, 46, 63]] = True
 #: ASCII lower case
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -167,13 +169,9 @@ def sentences(data: np.ndarray, w: Words) -> np.ndarray:
     n = len(w.start)
     if not n:
         return np.zeros(0, np.int64)
-    stop = np.isin(data, np.frombuffer(b"\n.!?", np.uint8)) & ~NON_SPACE_OR_STOP[data]
-    seen = np.concatenate([[0], np.cumsum(stop)])
+    seen = np.concatenate([[0], np.cumsum(_STOP[data])])
     new = np.zeros(n, bool)
     end = w.start + w.length
     if n > 1:
         new[1:] = (w.row[1:] != w.row[:-1]) | (seen[w.start[1:]] > seen[end[:-1]])
     return np.cumsum(new)
-
-
-NON_SPACE_OR_STOP = np.zeros(256, bool)
