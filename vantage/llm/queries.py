@@ -5,13 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, lm_score, near_dup, quality, toxicity
+from . import language_id, lm_score, mixing, near_dup, quality, toxicity
 from .shared import documents, fold
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
 
 
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir))
+
+
+OP1_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce('0' || source, '1') AS key, len({_WORDS.format('text')}) AS size, md5(coalesce(doc_id::VARCHAR, '')) AS digest FROM documents),
+r AS (SELECT *, length(bin(size)) * 16 + (size >> greatest(length(bin(size)) - 4, 0)) AS class, substr(digest, 1, 2) AS slice, substr(digest, 3, 16) AS place FROM d),
+a AS (SELECT doc_id, key, size, row_number() OVER (PARTITION BY key ORDER BY class, slice, place, doc_id) AS pos FROM r),
+s AS (SELECT key, sum(size)::BIGINT AS source_size FROM d GROUP BY key),
+w AS (SELECT *, CASE (row_number() OVER (ORDER BY key) - 1) % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS weight, source_size * 2.0::DOUBLE AS ceiling FROM s),
+l AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(ceiling) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level
+      FROM w WINDOW b AS (ORDER BY ceiling / weight, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT key, source_size, CASE WHEN level * weight >= ceiling THEN ceiling
+      ELSE weight * (SELECT max(level) FROM l WHERE level * weight < ceiling) END AS target FROM l),
+c AS (SELECT a.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
+      ('0x' || substr(md5('1:' || key), 1, 8))::UBIGINT::DOUBLE / 4294967296.0::DOUBLE AS u FROM a JOIN t USING (key))
+SELECT doc_id, size::BIGINT AS size, source_size, target, (size * n)::BIGINT AS taken, n AS copies
+FROM (SELECT *, (floor(rate * pos + u) - floor(rate * (pos - 1) + u))::BIGINT AS n FROM c)
+"""
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = quality.scores(docs, quality.train(docs, labels))
@@ -52,5 +73,5 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.c AS component_id, d.
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT v, min(root) AS c FROM r GROUP BY v) m ON m.v = d.doc_id
 """
 
-QUERIES = {f.__name__: f for f in (op4_quality, op6_near_duplicates, op7_language_id, op8_lm_score, op10_toxicity)}
-ORACLES = {"op6_near_duplicates": OP6_SQL}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op4_quality, op6_near_duplicates, op7_language_id, op8_lm_score, op10_toxicity)}
+ORACLES = {"op1_mix_sources": OP1_SQL, "op6_near_duplicates": OP6_SQL}
