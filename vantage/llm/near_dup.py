@@ -9,9 +9,10 @@ error at most; so every chunk is indexed once for each symbol that may be wrong
 
 Candidate pairs are confirmed on their full sets, taken from the texts.  Rows of equal word sequences form one class beforehand
 and only a class's first document takes part, so groups of exact copies cost one row each.  Within a bucket, pairs are tried as
-stars first (each document with the bucket's centre); then, where a bucket still holds several components, the centres with each
-other; then those pairs of members of different components that the triangle inequality on exact distances leaves open.  Every
-pair of a bucket is thereby tried, ruled out exactly or already joined, and no group is expanded into all its pairs.
+stars first (each document with the bucket's centre).  Where a bucket then still holds several components, its signatures are
+compared in blocks, different components only: first each document is tried with the nearest of each other component, then, where
+components are still apart, with all that are near.  Near pairs alone become rows.  So every pair of a bucket is tried or already
+joined, and no group is expanded into all its pairs.
 
 Components come from minimum labels with pointer jumping on tables in the shared folder; nothing is gathered on the driver.
 
@@ -22,6 +23,7 @@ one shingle, its whole sequence; rows that repeat an id and text fall into one c
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +36,14 @@ from .textkernel import distinct_per_row, mix, sequence_keys, shingles, slices,
 
 SYMBOLS, CHUNKS = 48, 12
 DISTANCE = 2 * CHUNKS - 1
-_WIDTH = SYMBOLS // CHUNKS
+_WIDTH, _BLOCK, _GROUP = SYMBOLS // CHUNKS, 1024, 8192
 _rng = np.random.default_rng(48)
 _A = _rng.integers(1, 2**63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 2**63, SYMBOLS, dtype=np.uint64)
+#: a longer signature of 8-bit symbols sifts pairs before their texts are fetched: at J = 0.8, 153 of 768 symbols differ on average, and more than 206 once in 10^6 pairs
+LONG, LONG_DISTANCE = 768, 206
+_LONG_A = _rng.integers(1, 2**63, LONG, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_LONG_B = _rng.integers(0, 2**63, LONG, dtype=np.uint64)
 
 
 def _signatures(h: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
@@ -137,19 +143,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     keys = written(_shared_buckets(reps))
     wanted = keys.select(F.col("rep").alias("doc_id")).distinct()
     own = written(texts.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi"))
-    tried = written(_compared(_stars(keys), reps, own, k, DISTANCE))
-    edges = _links(tried, percent)
+    pairs = written(_within(_stars(keys), reps))
+    edges = written(_links(_compared(pairs, own, k), percent))
     labels = components(edges)
-    homes = written(_homes(tried, percent))
-    mixed = written(_mixed(keys, labels, homes))
-    if not mixed.isEmpty():
-        heads = written(_compared(_head_pairs(mixed), reps, own, k, F.col("reach") + DISTANCE))
-        edges = edges.unionByName(_links(heads, percent))
+    mixed = written(_mixed(keys, labels))
+    for nearest in (True, False):
+        if mixed.isEmpty():
+            break
+        more = written(_crossed(mixed, reps, own, k, nearest).join(pairs, ["a", "b"], "left_anti"))
+        pairs = pairs.unionByName(more)
+        edges = written(edges.unionByName(_links(_compared(more, own, k), percent)))
         labels = components(edges)
-        mixed = written(_mixed(keys, labels, homes))
-        if not mixed.isEmpty():
-            rest = written(_compared(_member_pairs(mixed, heads, percent), reps, own, k, DISTANCE))
-            labels = components(edges.unionByName(_links(rest, percent)))
+        mixed = written(_mixed(mixed, labels))
     out = described.join(reps.select("k1", "k2", "rep"), ["k1", "k2"], "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("label", "rep")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
@@ -162,21 +167,21 @@ def _shared_buckets(reps: DataFrame) -> DataFrame:
     return keys.join(shared, "bucket")
 
 
-def _ordered(a: str, b: str) -> list:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
-
-
 def _stars(keys: DataFrame) -> DataFrame:
     """Each document with the smallest of its bucket."""
     return keys.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
 
 
-def _compared(pairs: DataFrame, reps: DataFrame, texts: DataFrame, k: int, limit) -> DataFrame:
-    """``pairs`` within a signature distance of ``limit``, with that distance and the sizes of the common set and of the union."""
+def _within(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """The pairs (a, b) of a signature distance up to the limit."""
     sig = reps.select("rep", "sig")
-    near = pairs.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b").withColumn("apart", _distance("sa", "sb")).drop("sa", "sb")
-    near = written(near.where(F.col("apart") <= limit))
-    both = near.join(texts.toDF("b", "tb"), "b").join(texts.toDF("a", "ta"), "a").withColumn("o", _overlap(k)("ta", "tb"))
+    both = pairs.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b").withColumn("apart", _distance("sa", "sb"))
+    return both.where(F.col("apart") <= DISTANCE).select("a", "b")
+
+
+def _compared(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """The pairs with the sizes of the common set and of the union, from the texts."""
+    both = pairs.join(texts.toDF("b", "tb"), "b").join(texts.toDF("a", "ta"), "a").withColumn("o", _overlap(k)("ta", "tb"))
     return both.drop("ta", "tb").withColumns({"common": F.shiftright("o", 32), "union": F.col("o").bitwiseAND(F.lit(0xFFFFFFFF))}).drop("o")
 
 
@@ -184,39 +189,102 @@ def _links(compared: DataFrame, percent: int) -> DataFrame:
     return compared.where((F.col("common") > 0) & (100 * F.col("common") >= percent * F.col("union"))).select("a", "b")
 
 
-def _homes(tried: DataFrame, percent: int) -> DataFrame:
-    """(rep, home, radius, sig_radius): the nearest centre that a document is linked with, and the distances to it."""
-    far = 1 - F.col("common") / F.col("union")
-    linked = tried.where((F.col("common") > 0) & (100 * F.col("common") >= percent * F.col("union")))
-    return linked.groupBy(F.col("b").alias("rep")).agg(F.min(F.struct(far.alias("radius"), F.col("a").alias("home"), F.col("apart").alias("sig_radius"))).alias("h")).select("rep", "h.*")
-
-
-def _mixed(keys: DataFrame, labels: DataFrame, homes: DataFrame) -> DataFrame:
-    """(bucket, rep, comp, home, radius, sig_radius) of buckets that hold more than one component."""
+def _mixed(keys: DataFrame, labels: DataFrame) -> DataFrame:
+    """(bucket, rep, comp, blocks) of buckets that hold more than one component; blocks: how many blocks the bucket is dealt into."""
     own = keys.select("bucket", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("label", "rep").alias("comp"))
-    still = own.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("bucket")
-    at_home = {"home": F.coalesce("home", "rep"), "radius": F.coalesce("radius", F.lit(0.0)), "sig_radius": F.coalesce("sig_radius", F.lit(0))}
-    return own.join(still, "bucket").join(homes, "rep", "left").withColumns(at_home).select("bucket", "rep", "comp", "home", "radius", "sig_radius")
+    found = own.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.ceil(F.count("*") / _GROUP).alias("blocks"))
+    return own.join(found.where("low < high").select("bucket", "blocks"), "bucket")
 
 
-def _head_pairs(mixed: DataFrame) -> DataFrame:
-    """(a, b, reach, ra, rb): homes of different components that meet in a bucket, the signature distance their members may add, and the members' largest radius."""
-    heads = mixed.groupBy("bucket", "home", "comp").agg(F.max("radius").alias("r"), F.max("sig_radius").alias("s"))
-    right = heads.toDF("bucket", "home2", "comp2", "r2", "s2")
-    met = heads.join(right, "bucket").where("home < home2 AND comp <> comp2")
-    return met.groupBy(F.col("home").alias("a"), F.col("home2").alias("b")).agg(F.max(F.col("s") + F.col("s2")).alias("reach"), F.max("r").alias("ra"), F.max("r2").alias("rb"))
+def _long_signatures(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, off in slices(batch.column(1)):
+                h, row = shingles(words(data, off), k)
+                some, first = np.unique(row, return_index=True)
+                sig = np.zeros((hi - lo, LONG), np.uint8)
+                for j in range(LONG if len(some) else 0):
+                    sig[some, j] = mix(np.minimum.reduceat(h * _LONG_A[j] + _LONG_B[j], first)) & np.uint64(0xFF)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([r.tobytes() for r in sig], pa.binary())], ["rep", "long"])
+
+    return run
 
 
-def _member_pairs(mixed: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that meet in a bucket and may be similar enough.
+def _crossed(mixed: DataFrame, reps: DataFrame, texts: DataFrame, k: int, nearest: bool) -> DataFrame:
+    """Pairs (a, b) of a bucket's documents of different components whose signatures are near enough; or of each document with the nearest of each other component.
 
-    1 - similarity is a metric, so members x, y of homes a, b are at least d(a, b) - d(x, a) - d(y, b) apart; pairs that this
-    puts beyond the limit are left out unseen.  Pairs of two homes themselves have been tried.
+    A bucket of many documents is dealt into blocks, and each pair of blocks is a group of its own, so no task holds a whole bucket.
     """
-    slack = 1 - F.col("common") / F.col("union") - (1 - percent / 100) - 1e-9
-    near = heads.select("a", "b", "ra", "rb", slack.alias("slack")).where("slack <= ra + rb")
-    left = mixed.select("bucket", F.col("rep").alias("x"), F.col("home").alias("hx"), F.col("comp").alias("cx"), F.col("radius").alias("rx"))
-    right = mixed.select("bucket", F.col("rep").alias("y"), F.col("home").alias("hy"), F.col("comp").alias("cy"), F.col("radius").alias("ry"))
-    both = near.select(F.col("a").alias("hx"), F.col("b").alias("hy"), "slack", F.col("rb").alias("other")).unionByName(near.select(F.col("b").alias("hx"), F.col("a").alias("hy"), "slack", F.col("ra").alias("other")))
-    some = left.join(both, "hx").where("rx + other >= slack")
-    return some.join(right, ["bucket", "hy"]).where("cx < cy AND rx + ry >= slack AND NOT (x = hx AND y = hy)").select(*_ordered("x", "y")).distinct()
+    used = mixed.select(F.col("rep").alias("doc_id")).distinct()
+    long = texts.join(used, "doc_id", "left_semi").mapInArrow(_long_signatures(k), "rep long, long binary")
+    both = written(reps.select("rep", "sig").join(long, "rep"))
+    block = F.pmod(F.xxhash64("rep"), F.col("blocks"))
+    dealt = mixed.select("bucket", "rep", "comp", block.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    group = F.when((F.col("own") == 0) & (F.col("other") == 0), F.col("bucket")).otherwise(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")))
+    rows = dealt.select(group.alias("group"), "rep", "comp").join(both, "rep").select("group", "rep", "comp", "sig", "long")
+    return rows.repartition("group").sortWithinPartitions("group", "comp").mapInArrow(partial(_met, nearest), "a long, b long").distinct()
+
+
+def _near_in_group(comp: np.ndarray, sig: np.ndarray, long: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(x, y, distance) of near rows of different components; rows are sorted by it, and the largest is not compared with itself."""
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(comp)) + 1, [len(comp)]])
+    large = int(np.argmax(np.diff(cuts)))
+    rest = np.concatenate([np.arange(cuts[large]), np.arange(cuts[large + 1], len(comp))])
+    order = np.concatenate([rest, np.arange(cuts[large], cuts[large + 1])])
+    for x in range(0, len(rest), _BLOCK):
+        for y in range(x, len(comp), _BLOCK):
+            i, j = rest[x : x + _BLOCK], order[y : y + _BLOCK]
+            apart = np.zeros((len(i), len(j)), np.uint8)
+            for c in range(SYMBOLS):
+                apart += sig[i, c][:, None] != sig[j, c][None, :]
+            p, q = np.nonzero((apart <= DISTANCE) & (comp[i][:, None] != comp[j][None, :]))
+            for at in range(0, len(p), 1 << 14):
+                u, v = i[p[at : at + (1 << 14)]], j[q[at : at + (1 << 14)]]
+                far = (long[u] != long[v]).sum(1)
+                near = far <= LONG_DISTANCE
+                yield u[near], v[near], far[near]
+
+
+def _met_in_group(nearest: bool, rep: np.ndarray, comp: np.ndarray, sig: np.ndarray, long: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    best: dict[tuple[int, int], tuple[int, int]] = {}
+    for u, v, far in _near_in_group(comp, sig, long):
+        if not nearest:
+            yield np.minimum(rep[u], rep[v]), np.maximum(rep[u], rep[v])
+            continue
+        for a, b in ((u, v), (v, u)):
+            order = np.lexsort((rep[b], far, comp[b], a))
+            a, b, d = a[order], b[order], far[order]
+            first = np.ones(len(a), bool)
+            first[1:] = (a[1:] != a[:-1]) | (comp[b[1:]] != comp[b[:-1]])
+            for x, y, z in zip(a[first].tolist(), b[first].tolist(), d[first].tolist(), strict=True):
+                key = (x, int(comp[y]))
+                best[key] = min(best.get(key, (z, y)), (z, y))
+    if best:
+        x, y = rep[[k[0] for k in best]], rep[[v[1] for v in best.values()]]
+        yield np.minimum(x, y), np.maximum(x, y)
+
+
+def _met(nearest: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Near pairs of rows (group, rep, comp, sig, long), sorted by group and component."""
+
+    def compared(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        group, rep, comp = (rows[c].to_numpy() for c in ("group", "rep", "comp"))
+        sig = np.frombuffer(b"".join(rows["sig"].to_pylist()), np.uint16).reshape(-1, SYMBOLS)
+        long = np.frombuffer(b"".join(rows["long"].to_pylist()), np.uint8).reshape(-1, LONG)
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(group)]])
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            for found in _met_in_group(nearest, rep[lo:hi], comp[lo:hi], sig[lo:hi], long[lo:hi]):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["a", "b"])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        if held[0].column(0)[0] != batch.column(0)[-1]:  # all groups but the last are whole
+            rows = pa.Table.from_batches(held)
+            last = int(np.flatnonzero(np.diff(rows["group"].to_numpy()))[-1]) + 1
+            yield from compared(rows.slice(0, last))
+            held = rows.slice(last).combine_chunks().to_batches()
+    if held:
+        yield from compared(pa.Table.from_batches(held))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, lm_score, mixing, near_dup, quality, toxicity
+from . import decontaminate, language_id, lm_score, mixing, near_dup, quality, toxicity
 from .shared import documents, fold
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -33,6 +33,10 @@ FROM (SELECT *, (floor(rate * pos + u) - floor(rate * (pos - 1) + u))::BIGINT AS
 """
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = quality.scores(docs, quality.train(docs, labels))
@@ -73,5 +77,5 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.c AS component_id, d.
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT v, min(root) AS c FROM r GROUP BY v) m ON m.v = d.doc_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op4_quality, op6_near_duplicates, op7_language_id, op8_lm_score, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_decontaminate, op4_quality, op6_near_duplicates, op7_language_id, op8_lm_score, op10_toxicity)}
 ORACLES = {"op1_mix_sources": OP1_SQL, "op6_near_duplicates": OP6_SQL}

@@ -109,6 +109,15 @@ def words(data: np.ndarray, off: np.ndarray, table: np.ndarray = NON_SPACE, lowe
     return Words(starts, length, row, h, first, count, index, within, begin)
 
 
+def fold_case(data: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes with ASCII and Latin-1 capitals made small; lengths stay."""
+    out = LOWER[data]
+    second = np.flatnonzero(data[:-1] == 0xC3) + 1
+    value = data[second]
+    out[second[(value >= 0x80) & (value <= 0x9E) & (value != 0x97)]] += 32
+    return out
+
+
 def prefix_hash(data: np.ndarray, w: Words, n: int, lower: bool = True) -> np.ndarray:
     """Hash of each word's first ``n`` bytes."""
     if not len(w.start):

@@ -22,10 +22,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textkernel import ALNUM, prefix_hash, sentences, slices, words
+from .textkernel import ALNUM, fold_case, prefix_hash, sentences, slices, words
 from .training import labelled_sample
 
-MAX_TRAIN, MIN_DOCS, THRESHOLD = 10_000, 4, 0.7
+MAX_TRAIN, MIN_DOCS, THRESHOLD = 20_000, 4, 0.7
 WORD_BITS, PREFIX_BITS, PREFIX_BYTES = 18, 16, 5
 _SIZE = (1 << WORD_BITS) + (1 << PREFIX_BITS)
 
@@ -38,6 +38,7 @@ class ToxicityModel:
 
 def _features(data: np.ndarray, off: np.ndarray):
     """Words of a slice, their two feature indices, and the first word of each sentence."""
+    data = fold_case(data)
     w = words(data, off, ALNUM)
     idx = (w.hash >> np.uint64(64 - WORD_BITS)).astype(np.int32)
     pre = ((prefix_hash(data, w, PREFIX_BYTES) >> np.uint64(64 - PREFIX_BITS)).astype(np.int32)) + (1 << WORD_BITS)
@@ -65,7 +66,7 @@ def _softplus(z: np.ndarray) -> np.ndarray:
     return np.logaddexp(0, z)
 
 
-def fit(rows: DataFrame, epochs: int = 14, batch: int = 128, rate: float = 0.25, decay: float = 2e-4, seed: int = 7) -> ToxicityModel:
+def fit(rows: DataFrame, epochs: int = 30, batch: int = 128, rate: float = 0.5, decay: float = 3e-5, seed: int = 7) -> ToxicityModel:
     """Trains on (doc_id, label, text) rows, gathered on the driver: their number must be bounded."""
     table = rows.select("doc_id", "label", "text").mapInArrow(_training_rows, "doc_id long, label int, idx binary, pre binary, heads binary").toArrow().sort_by("doc_id")
     label = table["label"].to_numpy()
