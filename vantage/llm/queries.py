@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, lm_score, mixing, near_dup, quality, toxicity
-from .shared import documents, fold
+from . import decontaminate, fingerprint, html_text, language_id, licenses, lm_score, mixing, near_dup, quality, toxicity
+from .shared import bounded_batches, documents, fold
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
@@ -37,12 +37,21 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(documents(spark, sf_dir))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = quality.scores(docs, quality.train(docs, labels))
     return scored.withColumn("kept", F.col("tail_probability") >= quality.SELECT_AT)
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
+    return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(documents(spark, sf_dir), k=4, percent=80)
 
@@ -58,6 +67,23 @@ def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.model_scores(documents(spark, sf_dir))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
+def _op9_sql() -> str:
+    known = ", ".join(f"('{s}', '{i}')" for s, i in sorted(licenses.known_sentences().items()))
+    hits = ", ".join(f"CASE WHEN regexp_matches(' ' || ids || ' ', '{licenses.pattern(ids)}') THEN '{name}' END" for name, ids in licenses.RULES)
+    return f"""
+WITH k(s, id) AS (VALUES {known}),
+c AS (SELECT doc_id, string_split(regexp_replace(translate(text, '{_UP}', '{_LOW}'), '([.!?;])[\\x20\\x09\\x0B-\\x0D]+', '\\1' || chr(10), 'g'), chr(10)) AS cut FROM documents),
+u AS (SELECT doc_id, unnest(cut) AS s, unnest(range(1, len(cut) + 1)) AS pos FROM c),
+m AS (SELECT u.doc_id, u.pos, k.id FROM u JOIN k ON k.s = regexp_replace(trim(regexp_replace(u.s, '[^a-z0-9.+]+', ' ', 'g')), '[. ]+$', '')),
+g AS (SELECT doc_id, string_agg(id, ' ' ORDER BY pos) AS ids, min(pos) AS first_sentence FROM m GROUP BY doc_id)
+SELECT doc_id, ids AS sentence_ids, first_sentence, array_to_string(list_filter([{hits}], lambda x: x IS NOT NULL), ' ') AS licenses FROM g
+"""
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     held_out = fold(F.col("doc_id"), 3) == 1
@@ -77,5 +103,8 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.c AS component_id, d.
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT v, min(root) AS c FROM r GROUP BY v) m ON m.v = d.doc_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_decontaminate, op4_quality, op6_near_duplicates, op7_language_id, op8_lm_score, op10_toxicity)}
-ORACLES = {"op1_mix_sources": OP1_SQL, "op6_near_duplicates": OP6_SQL}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_mix_sources, op2_decontaminate, op3_fingerprints, op4_quality, op5_html_text, op6_near_duplicates, op7_language_id, op8_lm_score, op9_licenses, op10_toxicity)
+}
+ORACLES = {"op1_mix_sources": OP1_SQL, "op6_near_duplicates": OP6_SQL, "op9_licenses": _op9_sql()}
