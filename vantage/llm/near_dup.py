@@ -221,12 +221,18 @@ def _crossed(mixed: DataFrame, reps: DataFrame, texts: DataFrame, k: int, neares
     block = F.pmod(F.xxhash64("rep"), F.col("blocks"))
     dealt = mixed.select("bucket", "rep", "comp", block.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
     group = F.when((F.col("own") == 0) & (F.col("other") == 0), F.col("bucket")).otherwise(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")))
-    rows = dealt.select(group.alias("group"), "rep", "comp").join(both, "rep").select("group", "rep", "comp", "sig", "long")
+    side = F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own"))
+    slot = F.shiftright("bucket", 48).cast("int")
+    rows = dealt.select(group.alias("group"), "rep", "comp", side.alias("side"), slot.alias("slot")).join(both, "rep").select("group", "rep", "comp", "side", "slot", "sig", "long")
     return rows.repartition("group").sortWithinPartitions("group", "comp").mapInArrow(partial(_met, nearest), "a long, b long").distinct()
 
 
-def _near_in_group(comp: np.ndarray, sig: np.ndarray, long: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(x, y, distance) of near rows of different components; rows are sorted by it, and the largest is not compared with itself."""
+def _near_in_group(comp: np.ndarray, side: np.ndarray, slot: int, sig: np.ndarray, long: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(x, y, distance) of near rows of different components; rows are sorted by it, and the largest is not compared with itself.
+
+    Of the buckets that two documents share, only the first gives the pair; of blocks, those of different sides (-1: all).
+    """
+    chunk, wrong = divmod(slot, _WIDTH)
     cuts = np.concatenate([[0], np.flatnonzero(np.diff(comp)) + 1, [len(comp)]])
     large = int(np.argmax(np.diff(cuts)))
     rest = np.concatenate([np.arange(cuts[large]), np.arange(cuts[large + 1], len(comp))])
@@ -240,14 +246,17 @@ def _near_in_group(comp: np.ndarray, sig: np.ndarray, long: np.ndarray) -> Itera
             p, q = np.nonzero((apart <= DISTANCE) & (comp[i][:, None] != comp[j][None, :]))
             for at in range(0, len(p), 1 << 14):
                 u, v = i[p[at : at + (1 << 14)]], j[q[at : at + (1 << 14)]]
+                errors = (sig[u] != sig[v]).reshape(-1, CHUNKS, _WIDTH).sum(2)
+                here = ~(errors[:, :chunk] < 2).any(1) & ((errors[:, chunk] == 1) | (wrong == 0)) & ((side[u] < 0) | (side[u] != side[v]))
+                u, v = u[here], v[here]
                 far = (long[u] != long[v]).sum(1)
                 near = far <= LONG_DISTANCE
                 yield u[near], v[near], far[near]
 
 
-def _met_in_group(nearest: bool, rep: np.ndarray, comp: np.ndarray, sig: np.ndarray, long: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _met_in_group(nearest: bool, rep: np.ndarray, comp: np.ndarray, side: np.ndarray, slot: int, sig: np.ndarray, long: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     best: dict[tuple[int, int], tuple[int, int]] = {}
-    for u, v, far in _near_in_group(comp, sig, long):
+    for u, v, far in _near_in_group(comp, side, slot, sig, long):
         if not nearest:
             yield np.minimum(rep[u], rep[v]), np.maximum(rep[u], rep[v])
             continue
@@ -265,15 +274,15 @@ def _met_in_group(nearest: bool, rep: np.ndarray, comp: np.ndarray, sig: np.ndar
 
 
 def _met(nearest: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Near pairs of rows (group, rep, comp, sig, long), sorted by group and component."""
+    """Near pairs of rows (group, rep, comp, side, slot, sig, long), sorted by group and component."""
 
     def compared(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        group, rep, comp = (rows[c].to_numpy() for c in ("group", "rep", "comp"))
+        group, rep, comp, side, slot = (rows[c].to_numpy() for c in ("group", "rep", "comp", "side", "slot"))
         sig = np.frombuffer(b"".join(rows["sig"].to_pylist()), np.uint16).reshape(-1, SYMBOLS)
         long = np.frombuffer(b"".join(rows["long"].to_pylist()), np.uint8).reshape(-1, LONG)
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(group)]])
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            for found in _met_in_group(nearest, rep[lo:hi], comp[lo:hi], sig[lo:hi], long[lo:hi]):
+            for found in _met_in_group(nearest, rep[lo:hi], comp[lo:hi], side[lo:hi], int(slot[lo]), sig[lo:hi], long[lo:hi]):
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["a", "b"])
 
     held: list[pa.RecordBatch] = []
