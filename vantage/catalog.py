@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import visibility
+from .plans import series, visibility
 
-_PLANS = (visibility,)
+_PLANS = (visibility, series)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
