@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import series, visibility
+from .plans import relations, series, visibility
 
-_PLANS = (visibility, series)
+_PLANS = (visibility, series, relations)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

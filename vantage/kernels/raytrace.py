@@ -1,0 +1,46 @@
+"""Rays through a height-dependent refractive gradient, a fan at a time."""
+
+from __future__ import annotations
+
+import numpy as np
+
+C, G_RD = 7.87e-7, 9.80665 / 287.05
+
+
+def trace(angles: np.ndarray, s_ground: np.ndarray, y_ground: np.ndarray, total: float, gradient, pressure: float = 85000.0, temperature: float = 290.0, eye: float = 1.6, step: float = 5.0, curvature: float = 0.0):
+    """(height at the end, blocked) of each launch angle, by the midpoint rule: y'' = curvature - (C p / T^2) (g / R_d + dT/dz(height above ground))."""
+    n = max(2, int(np.ceil(total / step)))
+    h = total / n
+    y, slope = np.full(len(angles), eye + y_ground[0]), angles.astype(float).copy()
+    blocked = np.zeros(len(angles), bool)
+    factor = C * pressure / temperature**2
+
+    def bend(s, y):
+        agl = np.maximum(y - np.interp(s, s_ground, y_ground), 0.05)
+        return curvature - factor * (G_RD + gradient(agl))
+
+    for i in range(n):
+        s = i * h
+        half = y + slope * h / 2
+        a = bend(s + h / 2, half)
+        y, slope = y + slope * h + bend(s, y) * h * h / 2, slope + a * h
+        if i < n - 1:
+            blocked |= y < np.interp(s + h, s_ground, y_ground)
+    return y, blocked
+
+
+def images(angles: np.ndarray, end: np.ndarray, blocked: np.ndarray, target: float) -> np.ndarray:
+    """Launch angles that reach the target: roots between neighbouring rays that are both free."""
+    d = end - target
+    hit = (d[:-1] * d[1:] <= 0) & (d[:-1] != d[1:]) & ~blocked[:-1] & ~blocked[1:]
+    i = np.flatnonzero(hit)
+    return angles[i] - d[i] * (angles[i + 1] - angles[i]) / (d[i + 1] - d[i])
+
+
+def profile(kind: str, a: float, b: float):
+    """Temperature gradients by height above ground: constant, exponential surface layer, two layers."""
+    if kind == "lapse":
+        return lambda z: np.full_like(z, a)
+    if kind == "stable":
+        return lambda z: a / b * np.exp(-z / b) - 0.0065
+    return lambda z: np.where(z < b, a, -0.0065)

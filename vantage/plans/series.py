@@ -10,6 +10,8 @@ from ..operators import windows
 from .views import table, view, with_views
 
 GAP = 90.0
+#: added before rounding, so that exact halves go the same way on every engine
+TIE = 1.23e-9
 
 
 def micros(column: str) -> Column:
@@ -59,7 +61,7 @@ def resample_fixed_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points every 25 units along each user's series, with the value between its vertices."""
     segs = windows.segments(view(spark, sf_dir, "series").select("user_id", "seq", "chain", "v"), "user_id", "seq", ["chain", "v"])
     out = windows.resample(segs.withColumn("length", F.col("chain2") - F.col("chain")).withColumnRenamed("chain", "chain0"), "user_id", "seq", F.col("length"), 25.0)
-    return out.select("user_id", "chain", F.round(F.col("v") + F.col("share") * (F.col("v2") - F.col("v")), 6).alias("v"))
+    return out.select("user_id", "chain", F.round(F.col("v") + F.col("share") * (F.col("v2") - F.col("v")) + TIE, 6).alias("v"))
 
 
 def densify_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +81,7 @@ def fill_adjacent(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.floor(F.round(F.abs(F.col("az2") - F.col("az")) / 0.04, 6)).cast("int")
     near = segs.where(apart < 15).withColumn("n", n).where("n > 0")
     out = near.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n")))).withColumn("t", F.col("i") / (F.col("n") + 1))
-    return out.select("line_id", F.round(F.col("az") + F.col("t") * (F.col("az2") - F.col("az")), 6).alias("az"), F.round(F.col("el") + F.col("t") * (F.col("el2") - F.col("el")), 6).alias("el"), F.round(F.least("rate", "rate2"), 6).alias("rate"))
+    return out.select("line_id", F.round(F.col("az") + F.col("t") * (F.col("az2") - F.col("az")) + TIE, 6).alias("az"), F.round(F.col("el") + F.col("t") * (F.col("el2") - F.col("el")) + TIE, 6).alias("el"), F.round(F.least("rate", "rate2"), 6).alias("rate"))
 
 
 def zero_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,9 +209,9 @@ ORACLES = {
     "islands_class_or_gap": f"WITH a AS (SELECT *, floor(v)::BIGINT % 3 AS cls, epoch_us(ts) - lag(epoch_us(ts)) OVER ({_S}) AS gap FROM v_series), b AS (SELECT *, CASE WHEN lag(cls) OVER ({_S}) <> cls OR gap > 3600000000 THEN 1 ELSE 0 END AS new FROM a), c AS (SELECT *, sum(new) OVER ({_S}) AS island FROM b) SELECT user_id, count(*) AS rows, max(cls) AS cls, list(event_id ORDER BY seq)[count(*) // 2 + 1] AS middle_event FROM c GROUP BY user_id, island",
     "heading_from_neighbours": "WITH a AS (SELECT target_id, radians(coalesce(lag(lon) OVER w, lon)) AS l0, radians(coalesce(lead(lon) OVER w, lon)) AS l1, radians(coalesce(lag(lat) OVER w, lat)) AS p, radians(coalesce(lead(lat) OVER w, lat)) AS q FROM v_targets WINDOW w AS (PARTITION BY route ORDER BY chain)) SELECT target_id, round(((degrees(atan2(sin(l1 - l0) * cos(q), cos(p) * sin(q) - sin(p) * cos(q) * cos(l1 - l0))) % 360) + 360) % 360, 6) AS heading FROM a",
     "nonuniform_gradient": f"WITH a AS (SELECT user_id, seq, lead(chain) OVER w - chain AS hd, chain - lag(chain) OVER w AS hs, lead(v) OVER w - v AS up, v - lag(v) OVER w AS down FROM v_series WINDOW w AS ({_S})) SELECT user_id, seq, round(CASE WHEN hd IS NULL THEN down / hs WHEN hs IS NULL THEN up / hd ELSE (hs * hs * up + hd * hd * down) / (hs * hd * (hd + hs)) END, 6) AS slope FROM a",
-    "resample_fixed_spacing": f"WITH a AS (SELECT user_id, seq, v, lead(v) OVER w AS v2, chain, lead(chain) OVER w AS c2, first_value(chain) OVER w AS c0 FROM v_series WINDOW w AS ({_S})), b AS (SELECT *, unnest(range(ceil((chain - c0) / 25)::BIGINT, ceil((c2 - c0) / 25)::BIGINT)) AS n FROM a WHERE c2 IS NOT NULL) SELECT user_id, n * 25e0 AS chain, round(v + (n * 25 - (chain - c0)) / (c2 - chain) * (v2 - v), 6) AS v FROM b",
+    "resample_fixed_spacing": f"WITH a AS (SELECT user_id, seq, v, lead(v) OVER w AS v2, chain, lead(chain) OVER w AS c2, first_value(chain) OVER w AS c0 FROM v_series WINDOW w AS ({_S})), b AS (SELECT *, unnest(range(ceil((chain - c0) / 25)::BIGINT, ceil((c2 - c0) / 25)::BIGINT)) AS n FROM a WHERE c2 IS NOT NULL) SELECT user_id, n * 25e0 AS chain, round(v + (n * 25 - (chain - c0)) / (c2 - chain) * (v2 - v) + {TIE}, 6) AS v FROM b",
     "densify_segments": "WITH a AS (SELECT line_id, seq, km, lead(km) OVER (PARTITION BY line_id ORDER BY seq) AS k2 FROM v_lines), b AS (SELECT *, greatest(ceil(abs(k2 - km) / 0.5), 1)::BIGINT AS n FROM a WHERE k2 IS NOT NULL), c AS (SELECT *, unnest(range(n)) AS i FROM b) SELECT line_id, round(km + i / n * (k2 - km), 6) AS km FROM c UNION ALL SELECT line_id, round(km, 6) FROM a WHERE k2 IS NULL",
-    "fill_adjacent": "WITH a AS (SELECT *, lead(seq) OVER w AS s2, lead(az) OVER w AS az2, lead(el) OVER w AS el2, lead(km) OVER w AS km2, lead(rate) OVER w AS rate2 FROM v_lines WINDOW w AS (PARTITION BY line_id ORDER BY seq)), b AS (SELECT *, floor(round(abs(az2 - az) / 0.04::DOUBLE, 6))::BIGINT AS n FROM a WHERE rate IS NOT NULL AND rate2 IS NOT NULL AND sqrt(greatest(km * km + km2 * km2 - 2 * km * km2 * cos(radians(az2 - az)), 0)) < 15), c AS (SELECT *, unnest(range(1, n + 1)) AS i FROM b) SELECT line_id, round(az + i / (n + 1) * (az2 - az), 6) AS az, round(el + i / (n + 1) * (el2 - el), 6) AS el, round(least(rate, rate2), 6) AS rate FROM c",
+    "fill_adjacent": f"WITH a AS (SELECT *, lead(seq) OVER w AS s2, lead(az) OVER w AS az2, lead(el) OVER w AS el2, lead(km) OVER w AS km2, lead(rate) OVER w AS rate2 FROM v_lines WINDOW w AS (PARTITION BY line_id ORDER BY seq)), b AS (SELECT *, floor(round(abs(az2 - az) / 0.04::DOUBLE, 6))::BIGINT AS n FROM a WHERE rate IS NOT NULL AND rate2 IS NOT NULL AND sqrt(greatest(km * km + km2 * km2 - 2 * km * km2 * cos(radians(az2 - az)), 0)) < 15), c AS (SELECT *, unnest(range(1, n + 1)) AS i FROM b) SELECT line_id, round(az + i / (n + 1) * (az2 - az) + {TIE}, 6) AS az, round(el + i / (n + 1) * (el2 - el) + {TIE}, 6) AS el, round(least(rate, rate2), 6) AS rate FROM c",
     "zero_crossings": "WITH a AS (SELECT user_id, chain, v - 40 AS y, lead(chain) OVER w AS x2, lead(v) OVER w - 40 AS y2 FROM v_series WINDOW w AS (PARTITION BY user_id ORDER BY chain)) SELECT user_id, round(chain - y * (x2 - chain) / (y2 - y), 6) AS root FROM a WHERE (y <= 0 AND y2 > 0) OR (y >= 0 AND y2 < 0)",
     "moving_sum_full_frames": f"WITH a AS (SELECT user_id, seq, sum(v) OVER w AS t, count(*) OVER w AS n FROM v_series WINDOW w AS ({_S} ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)) SELECT user_id, seq, round(t, 6) AS total FROM a WHERE n = 5",
     "rolling_median_reject": f"WITH a AS (SELECT user_id, seq, v, quantile_cont(v, 0.5) OVER ({_S} ROWS BETWEEN 7 PRECEDING AND 7 FOLLOWING) AS m FROM v_series) SELECT user_id, seq, round(m, 6) AS median FROM a WHERE abs(v - m) > 60",

@@ -15,7 +15,7 @@ VIEWS = {
     "sum(1 + CAST(floor(value) AS BIGINT) % 97) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) * 1e0 AS chain FROM {events}",
     "lines": "SELECT c_nationkey AS line_id, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS seq, 15e1 + (c_custkey % 1400) * 1e-1 AS az, "
     "-1e0 + (c_custkey % 173) * 2e-2 AS el, 1e1 + (c_custkey % 311) * 1e-1 AS km, CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE c_acctbal / 1e4 END AS rate FROM {customer}",
-    "sources": "SELECT s_suppkey AS source_id, s_nationkey AS nation, 15e1 + (s_suppkey % 1493) * 1e-1 AS az, -5e-1 + (s_suppkey % 97) * 2e-2 AS el, 5e0 + (s_suppkey % 71) AS km, "
+    "sources": "SELECT s_suppkey AS source_id, s_nationkey AS nation, 15e1 + (s_suppkey * 37 % 1493) * 1e-1 AS az, -5e-1 + (s_suppkey % 97) * 2e-2 AS el, 5e0 + (s_suppkey % 71) AS km, "
     "(s_suppkey % 29) * 5e-2 AS kc, CASE s_suppkey % 4 WHEN 0 THEN 'tower' WHEN 1 THEN 'town' WHEN 2 THEN 'cell' ELSE 'field' END AS kind FROM {supplier}",
     "raster": "SELECT p_partkey % 60 AS r, p_partkey // 60 AS c, CASE WHEN p_partkey % 37 = 0 THEN NULL ELSE p_retailprice END AS z FROM {part}",
 }
