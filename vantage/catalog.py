@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import relations, series, visibility
+from .plans import numeric, relations, series, visibility
 
-_PLANS = (visibility, series, relations)
+_PLANS = (visibility, series, relations, numeric)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
