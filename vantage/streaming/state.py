@@ -57,10 +57,12 @@ def association_batch(detections: DataFrame) -> DataFrame:
     return detections.groupBy("burst").applyInPandas(lambda f: _with_units(f[["burst", "frame", "road", "chain", "az"]], []), OUT)
 
 
-def association_stream(detections: DataFrame, ttl: str = "1 hour") -> DataFrame:
-    """The same over a stream whose frames arrive in order; units are state, dropped ``ttl`` after a burst's last row."""
-    millis = {"second": 1000, "minute": 60_000, "hour": 3_600_000, "day": 86_400_000}
-    n, unit = ttl.split()
+def association_stream(detections: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """The same over a stream whose frames arrive in order; units are state.
+
+    With ``ttl_ms`` a burst's state goes that long after its last row; such a query never runs out of batches, so it needs a
+    processing-time trigger.  Without, state stays and any trigger will do.
+    """
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -69,9 +71,10 @@ def association_stream(detections: DataFrame, ttl: str = "1 hour") -> DataFrame:
         units = [dict(zip(("road", "chain", "az", "frame"), u, strict=True)) for u in (zip(*state.get, strict=True) if state.exists else [])]
         yield _with_units(pd.concat(list(frames))[["burst", "frame", "road", "chain", "az"]], units)
         state.update(tuple([u[c] for u in units] for c in ("road", "chain", "az", "frame")))
-        state.setTimeoutDuration(int(n) * millis[unit.rstrip("s")])
+        if ttl_ms:
+            state.setTimeoutDuration(ttl_ms)
 
-    return detections.groupBy("burst").applyInPandasWithState(step, OUT, "road array<string>, chain array<double>, az array<double>, frame array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return detections.groupBy("burst").applyInPandasWithState(step, OUT, "road array<string>, chain array<double>, az array<double>, frame array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout)
 
 
 POSE = "video long, frame long, az0 double, az_mean double, az_scatter double"
