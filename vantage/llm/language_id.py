@@ -34,7 +34,7 @@ _SPACE, _OTHER, _PAD = 0, 1, 2
 class LanguageModel:
     langs: list[str]
     symbol: np.ndarray  # of each code point of the basic plane
-    table: np.ndarray  # (state, symbol) -> next state * 2 + whether a phrase ended
+    table: np.ndarray  # (state, symbol) -> next state * 4 + phrases that end
     root: np.ndarray
     bits: np.ndarray  # of a phrase
 
@@ -110,10 +110,12 @@ def fit(texts: dict[str, str]) -> LanguageModel:
         dense = np.full((len(step), SYMBOLS), -1, np.int64)
         for s, d in enumerate(step):
             dense[s, list(d)] = list(d.values())
-        restart = np.where(dense[0] >= 0, dense[0], 0)
-        out = np.where(dense >= 0, (dense + at) * 2, (restart + at)[None, :] * 2 + 1)
-        out[:, _PAD] = (np.arange(len(step)) + at) * 2
-        out[0, _PAD] = at * 2
+        known = dense[0] >= 0
+        inside = (np.arange(len(step)) > 0).astype(np.int64)
+        # a step that fails ends the phrase, if one is open; a symbol that the text lacks is a phrase of its own
+        failed = (np.where(known, dense[0], 0) + at)[None, :] * 4 + inside[:, None] + ~known[None, :]
+        out = np.where(dense >= 0, (dense + at) * 4, failed)
+        out[:, _PAD] = (np.arange(len(step)) + at) * 4
         tables.append(out.astype(np.int32))
         roots.append(at)
         at += len(step)
@@ -152,9 +154,9 @@ def _costs(model: LanguageModel, data: np.ndarray, off: np.ndarray) -> tuple[np.
     flat = model.table.ravel()
     for i in range(LANE):
         step = flat[state * np.int32(SYMBOLS) + grid[i]]
-        total += step & 1
-        state = step >> 1
-    total += 1  # the phrase that a lane leaves open
+        total += step & 3
+        state = step >> 2
+    total += state != model.root[:, None]  # the phrase that a lane leaves open
     cost = np.array([np.bincount(owner, t, n) for t in total]).reshape(len(model.langs), n).T * model.bits
     return cost, has
 

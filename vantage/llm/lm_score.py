@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .shared import fold, written
 from .textkernel import LOWER, slices, words
 
-DEPTH, LANE, MAX_CONTEXTS, HOT_WORDS, PENALTY, PRIOR = 5, 256, 20_000, 1 << 18, 1.0, 4.0
+DEPTH, LANE, MAX_CONTEXTS, HOT_WORDS, PENALTY, PRIOR = 5, 256, 20_000, 1 << 18, 0.25, 8.0
 #: stands for the end of a text among word hashes, and before and after it among bytes
 END_WORD, END = np.uint64(0), 10
 _GRAM, _WORD = 0, 1
@@ -236,7 +236,7 @@ def score(docs: DataFrame, counted: DataFrame, tree: SuffixTree, hot_words: int
                 at = np.minimum(np.searchsorted(hot_key, keys), max(0, len(hot_key) - 1))
                 hit = (hot_key[at] == keys) if len(hot_key) else np.zeros(len(keys), bool)
                 value = np.where(hit, hot_log[at], 0.0)[back] if len(hot_key) else np.zeros(len(back))
-                base, known = np.bincount(w.row, value, rows), np.bincount(w.row, hit[back], rows).astype(np.int64)
+                base, known = np.bincount(w.row, value, rows).astype(np.float64), np.bincount(w.row, hit[back], rows).astype(np.int64)
                 base += hot_log[end] if end_known else 0
                 known += int(end_known)
                 cold = np.flatnonzero(~hit[back])
