@@ -6,8 +6,8 @@ from pyspark.sql import SparkSession
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
+sys.path.insert(0, os.path.join(ROOT, "tests"))
 os.environ["PYTHONPATH"] = os.pathsep.join([ROOT, os.environ.get("PYTHONPATH", "")])
-SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
@@ -23,6 +23,7 @@ def spark():
 @pytest.fixture(scope="session")
 def duck():
     import duckdb
+    from compare import SF
 
     con = duckdb.connect()
     con.execute("SET timezone = 'UTC'")
