@@ -36,28 +36,44 @@ class ToxicityModel:
     bias: float
 
 
-def _features(data: np.ndarray, off: np.ndarray):
-    """Words of a slice, their two feature indices, and the first word of each sentence."""
+@dataclass
+class _Words:
+    """Words of a slice without those that repeat the word before: place, row, two feature indices, words before each row, and the first word of each sentence."""
+
+    start: np.ndarray
+    end: np.ndarray
+    row: np.ndarray
+    idx: np.ndarray
+    pre: np.ndarray
+    begin: np.ndarray
+    first: np.ndarray
+
+
+def _features(data: np.ndarray, off: np.ndarray) -> _Words:
+    """A word said a thousand times on end is one hint, not a thousand: it counts once."""
     data = fold_case(data)
     w = words(data, off, ALNUM)
-    idx = (w.hash >> np.uint64(64 - WORD_BITS)).astype(np.int32)
-    pre = ((prefix_hash(data, w, PREFIX_BYTES) >> np.uint64(64 - PREFIX_BITS)).astype(np.int32)) + (1 << WORD_BITS)
-    number = sentences(data, w)
+    keep = np.ones(len(w.hash), bool)
+    keep[1:] = (w.hash[1:] != w.hash[:-1]) | (w.row[1:] != w.row[:-1])
+    idx = (w.hash >> np.uint64(64 - WORD_BITS)).astype(np.int32)[keep]
+    pre = (prefix_hash(data, w, PREFIX_BYTES) >> np.uint64(64 - PREFIX_BITS)).astype(np.int32)[keep] + (1 << WORD_BITS)
+    number = sentences(data, w)[keep]
     first = np.flatnonzero(np.diff(number, prepend=-1)) if len(number) else np.zeros(0, np.int64)
-    return w, idx, pre, first
+    row = w.row[keep]
+    begin = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(off) - 1))])
+    return _Words(w.start[keep], (w.start + w.length)[keep], row, idx, pre, begin, first)
 
 
 def _training_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, labels = batch.column(0), batch.column(1)
         for lo, hi, data, off in slices(batch.column(2)):
-            w, idx, pre, first = _features(data, off)
-            begin = np.append(w.first, len(idx))
-            heads = np.zeros(len(idx), np.int8)
-            heads[first] = 1
-            cut = [(a, b) for a, b in zip(begin[:-1], begin[1:], strict=True)]
+            w = _features(data, off)
+            heads = np.zeros(len(w.idx), np.int8)
+            heads[w.first] = 1
+            cut = list(zip(w.begin[:-1], w.begin[1:], strict=True))
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(lo, hi - lo), labels.slice(lo, hi - lo)] + [pa.array([x[a:b].tobytes() for a, b in cut], pa.binary()) for x in (idx, pre, heads)],
+                [ids.slice(lo, hi - lo), labels.slice(lo, hi - lo)] + [pa.array([x[a:b].tobytes() for a, b in cut], pa.binary()) for x in (w.idx, w.pre, heads)],
                 ["doc_id", "label", "idx", "pre", "heads"],
             )
 
@@ -66,8 +82,8 @@ def _softplus(z: np.ndarray) -> np.ndarray:
     return np.logaddexp(0, z)
 
 
-def fit(rows: DataFrame, epochs: int = 30, batch: int = 128, rate: float = 0.5, decay: float = 3e-5, seed: int = 7) -> ToxicityModel:
-    """Trains on (doc_id, label, text) rows, gathered on the driver: their number must be bounded."""
+def fit(rows: DataFrame, epochs: int = 30, batch: int = 128, rate: float = 0.5, decay: float = 1e-5, toxic_weight: float = 10.0, seed: int = 7) -> ToxicityModel:
+    """Trains on (doc_id, label, text) rows, gathered on the driver: their number must be bounded.  Toxic documents, the rarer, weigh more."""
     table = rows.select("doc_id", "label", "text").mapInArrow(_training_rows, "doc_id long, label int, idx binary, pre binary, heads binary").toArrow().sort_by("doc_id")
     label = table["label"].to_numpy()
     weights, acc = np.zeros(_SIZE, np.float32), np.full(_SIZE, 1e-2, np.float32)
@@ -98,7 +114,7 @@ def fit(rows: DataFrame, epochs: int = 30, batch: int = 128, rate: float = 0.5,
             doc = np.repeat(np.arange(len(chosen)), count)
             z = np.clip(np.add.reduceat(weights[idx] + weights[pre], first) + bias, -30, 30)
             total = np.bincount(doc, _softplus(z), len(chosen))
-            slope = np.where(y == 1, -1 / np.expm1(np.clip(total, 1e-6, 50)), 1.0)
+            slope = np.where(y == 1, -toxic_weight / np.expm1(np.clip(total, 1e-6, 50)), 1.0)
             g = np.clip(slope[doc] / (1 + np.exp(-z)), -4, 4)
             g_word = np.repeat(g, size)
             grad = (np.bincount(idx, g_word, _SIZE) + np.bincount(pre, g_word, _SIZE)).astype(np.float32) / len(chosen)
@@ -113,19 +129,19 @@ def fit(rows: DataFrame, epochs: int = 30, batch: int = 128, rate: float = 0.5,
     return ToxicityModel(weights, bias)
 
 
-def _sentence_costs(model: ToxicityModel, data: np.ndarray, off: np.ndarray):
-    """Of each sentence: -log(1 - p), first word and row."""
-    w, idx, pre, first = _features(data, off)
-    if not len(first):
-        return w, np.zeros(0), first, np.zeros(0, np.int64)
-    z = np.add.reduceat((model.weights[idx] + model.weights[pre]).astype(np.float64), first) + model.bias
-    return w, _softplus(z), first, w.row[first]
+def _sentence_costs(model: ToxicityModel, data: np.ndarray, off: np.ndarray) -> tuple[_Words, np.ndarray, np.ndarray]:
+    """The words of a slice; of each sentence -log(1 - p) and the row."""
+    w = _features(data, off)
+    if not len(w.first):
+        return w, np.zeros(0), np.zeros(0, np.int64)
+    z = np.add.reduceat((model.weights[w.idx] + model.weights[w.pre]).astype(np.float64), w.first) + model.bias
+    return w, _softplus(z), w.row[w.first]
 
 
 def _score_column(model: ToxicityModel, column) -> np.ndarray:
     out = np.zeros(len(column))
     for lo, hi, data, off in slices(column):
-        _, cost, _, row = _sentence_costs(model, data, off)
+        _, cost, row = _sentence_costs(model, data, off)
         out[lo:hi] = -np.expm1(-np.bincount(row, cost, hi - lo))
     return out
 
@@ -157,11 +173,11 @@ def offending_sentences(docs: DataFrame, model: ToxicityModel, threshold: float
         for batch in batches:
             ids = batch.column(0)
             for lo, _, data, off in slices(batch.column(1)):
-                w, cost, first, row = _sentence_costs(model, data, off)
+                w, cost, row = _sentence_costs(model, data, off)
                 p = -np.expm1(-cost)
-                last = np.append(first[1:], len(w.start)) - 1
+                last = np.append(w.first[1:], len(w.start)) - 1
                 hit = np.flatnonzero(p >= threshold)
-                start, end = w.start[first[hit]], w.start[last[hit]] + w.length[last[hit]]
+                start, end = w.start[w.first[hit]], w.end[last[hit]]
                 texts = [bytes(data[a:b]).decode("utf-8", "replace") for a, b in zip(start, end, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [ids.take(pa.array(lo + row[hit])), pa.array(start - off[row[hit]]), pa.array(end - off[row[hit]]), pa.array(texts, pa.string()), pa.array(p[hit])],
