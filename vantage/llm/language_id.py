@@ -5,7 +5,7 @@ phrases that a language's automaton holds; a phrase costs as many bits as a poin
 with the lowest cost wins.  The automata are compiled into one transition table, and all texts of a slice are parsed in step, in
 lanes of ``LANE`` symbols (a phrase ends with its lane).
 
-Labelled text is sampled: about ``SAMPLE_CHARS`` characters of each language, of the rows with the lowest hash of doc_id.  Symbols
+Labelled text is sampled: about ``SAMPLE_CHARS`` characters of each language, in pieces of ``PIECE`` of the rows with the lowest hash of doc_id.  Symbols
 are lower-case letters; every run of other characters is one space.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; without any labelled text every text is ``und``;
@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from .textkernel import slices
 
-SAMPLE_CHARS, LANE, SYMBOLS = 20_000, 256, 64
+SAMPLE_CHARS, PIECE, LANE, SYMBOLS = 30_000, 500, 256, 64
 _LETTER = np.array([chr(c).isalpha() for c in range(0x10000)])
 _SPACE, _OTHER, _PAD = 0, 1, 2
 
@@ -190,21 +190,35 @@ def train(docs: DataFrame, where: Column | None = None, sample_chars: int = SAMP
     """Samples about ``sample_chars`` characters of each language.
 
     Rows are taken where their hash falls below a share that is set for twice that much text; of these few rows the driver keeps
-    the lowest hashes until the characters suffice, and of a longer text its leading part.
+    the lowest hashes until the characters suffice.  Of a longer text a piece from a hashed place is taken, so that many texts
+    have a part in the sample.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     if where is not None:
         rows = rows.where(where)
-    sizes = {r["lang"]: (r["n"], r["chars"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).toLocalIterator()}
+    sizes = {r["lang"]: (r["n"], r["chars"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.least(F.length("text"), F.lit(PIECE))).alias("chars")).toLocalIterator()}
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     share = {x: min(1.0, max(2 * sample_chars / max(1, chars), 24 / n)) for x, (n, chars) in sizes.items()}
     if not share:
         return fit({})
     limit = F.create_map(*[F.lit(v) for kv in share.items() for v in kv])
-    picked = rows.where(place < limit[F.col("lang")]).select("lang", "doc_id", place.alias("place"), F.substring("text", 1, sample_chars).alias("text"))
-    texts: dict[str, str] = {}
+    at = (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.length("text") - PIECE, F.lit(0)) + 1) + 1).cast("int")
+    picked = rows.where(place < limit[F.col("lang")]).select("lang", "doc_id", place.alias("place"), F.substring(F.col("text"), at, F.lit(PIECE)).alias("text"))
+    pieces: dict[str, list[str]] = {}
     for r in sorted(picked.collect(), key=lambda r: (r["lang"], r["place"], r["doc_id"] if r["doc_id"] is not None else -1, r["text"])):
-        own = texts.get(r["lang"], "")
-        if len(own) < sample_chars:
-            texts[r["lang"]] = (own + "\n" + r["text"])[:sample_chars]
-    return fit(texts)
+        own = pieces.setdefault(r["lang"], [])
+        if sum(map(len, own)) < sample_chars:
+            own.append(r["text"])
+    return fit({x: "\n".join(own) for x, own in _agreed(pieces).items()})
+
+
+def _agreed(pieces: dict[str, list[str]]) -> dict[str, list[str]]:
+    """The pieces that a model of the other half of the sample gives to their own language: passages in another language that stand
+    in a labelled document must not teach it.  A language that would lose all its pieces keeps them."""
+    kept: dict[str, list[str]] = {x: [] for x in pieces}
+    for half in (0, 1):
+        model = fit({x: "\n".join(own[1 - half :: 2]) for x, own in pieces.items()})
+        for x, own in pieces.items():
+            names, _ = _predicted(model, pa.array(own[half::2], pa.string()))
+            kept[x] += [t for t, name in zip(own[half::2], names, strict=True) if name == x]
+    return {x: kept[x] or pieces[x] for x in pieces}

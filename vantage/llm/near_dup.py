@@ -40,7 +40,7 @@ _WIDTH, _BLOCK, _GROUP = SYMBOLS // CHUNKS, 1024, 8192
 _rng = np.random.default_rng(48)
 _A = _rng.integers(1, 2**63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 2**63, SYMBOLS, dtype=np.uint64)
-#: a longer signature of 8-bit symbols sifts pairs before their texts are fetched: at J = 0.8, 153 of 768 symbols differ on average, and more than 206 once in 10^6 pairs
+#: a longer signature of 8-bit symbols sifts pairs before their texts are fetched: at J = 0.8, 153 of 768 symbols differ on average, and more than 206 in two of 10^6 pairs
 LONG, LONG_DISTANCE = 768, 206
 _LONG_A = _rng.integers(1, 2**63, LONG, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LONG_B = _rng.integers(0, 2**63, LONG, dtype=np.uint64)
