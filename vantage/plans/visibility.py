@@ -24,36 +24,41 @@ def terrain(lon: Column, lat: Column) -> Column:
 
 
 def chord_samples(targets: DataFrame, lamps=LAMPS, surface=terrain, step: float = STEP) -> DataFrame:
-    """(target_id, n, s_<i>, y_<i>, d_<i>, radius, az, dist): samples along each sight line in the chord frame of each lamp i.
+    """(target_id, n, s_<i>, y_<i>, d_<i>, up_<i>, radius, az, dist): samples along each sight line in the chord frame of each lamp i.
 
-    The frame's origin is the eye, its first axis points to the lamp, its second is the mean vertical made normal to it.  Lamps are
-    columns, not rows: the geometry of a sample is computed once.
+    The frame's origin is the eye, its first axis points to the lamp, its second is the mean vertical made normal to it.  What
+    depends on target and lamp alone stands below the explode, so a sample costs one point and two dot products for each lamp;
+    lamps are columns, not rows.
     """
     t = targets.withColumns({"dist": geo.haversine(F.lit(LON0), F.lit(LAT0), F.col("lon"), F.col("lat")), "az": geo.bearing(F.lit(LON0), F.lit(LAT0), F.col("lon"), F.col("lat"))})
-    t = t.withColumns({"tz": surface(F.col("lon"), F.col("lat")), "radius": geo.normal_section_radius((F.col("lat") + LAT0) / 2, F.col("az"))})
-    t = t.withColumn("n", F.explode(F.sequence(F.lit(1), F.greatest(F.ceil(F.col("dist") / step), F.lit(2)).cast("int") - 1)))
-    along = F.col("dist") * F.col("n") / F.greatest(F.ceil(F.col("dist") / step), F.lit(2))
-    t = t.withColumn("along", along)
-    lon, lat = geo.spherical_direct(F.lit(LON0), F.lit(LAT0), F.col("az"), F.col("along"))
-    t = t.withColumns({"plon": lon, "plat": lat})
-    origin = _constant_ecef(LON0, LAT0, GROUND + EYE)
-    point = geo.ecef(F.col("plon"), F.col("plat"), surface(F.col("plon"), F.col("plat")))
     up = geo.normal(F.col("lon"), F.col("lat"))
-    t = t.withColumns({"px": point[0] - origin[0], "py": point[1] - origin[1], "pz": point[2] - origin[2], "nx": up[0], "ny": up[1], "nz": up[2]})
-    rel, top = (F.col("px"), F.col("py"), F.col("pz")), [F.col(c) + v for c, v in zip(("nx", "ny", "nz"), _constant_normal(LON0, LAT0), strict=True)]
+    t = t.withColumns({
+        "tz": surface(F.col("lon"), F.col("lat")), "radius": geo.normal_section_radius((F.col("lat") + LAT0) / 2, F.col("az")), "parts": F.greatest(F.ceil(F.col("dist") / step), F.lit(2)),
+        "nx": up[0], "ny": up[1], "nz": up[2],
+    })
+    origin = _constant_ecef(LON0, LAT0, GROUND + EYE)
+    own, top = (F.col("nx"), F.col("ny"), F.col("nz")), [F.col(c) + v for c, v in zip(("nx", "ny", "nz"), _constant_normal(LON0, LAT0), strict=True)]
+    axes = "xyz"
     for i, lamp in enumerate(lamps):
         end = geo.ecef(F.col("lon"), F.col("lat"), F.col("tz") + lamp)
-        t = t.withColumns({f"ex{i}": end[0] - origin[0], f"ey{i}": end[1] - origin[1], f"ez{i}": end[2] - origin[2]})
-        e = (F.col(f"ex{i}"), F.col(f"ey{i}"), F.col(f"ez{i}"))
+        t = t.withColumns({f"e{c}": end[j] - origin[j] for j, c in enumerate(axes)})
+        e = [F.col(f"e{c}") for c in axes]
         t = t.withColumn(f"d_{i}", F.sqrt(geo.dot(e, e)))
-        t = t.withColumn(f"h{i}", geo.dot(top, e) / F.col(f"d_{i}"))
-        w = [a - F.col(f"h{i}") * b / F.col(f"d_{i}") for a, b in zip(top, e, strict=True)]
-        t = t.withColumns({f"wx{i}": w[0], f"wy{i}": w[1], f"wz{i}": w[2]})
-        w = (F.col(f"wx{i}"), F.col(f"wy{i}"), F.col(f"wz{i}"))
-        length = F.sqrt(geo.dot(w, w))
-        t = t.withColumns({f"s_{i}": geo.dot(rel, e) / F.col(f"d_{i}"), f"y_{i}": geo.dot(rel, w) / length, f"up_{i}": geo.dot((F.col("nx"), F.col("ny"), F.col("nz")), w) / length})
-    keep = ["target_id", "n", "radius", "az", "dist", "chain", "route"] + [f"{c}_{i}" for i in range(len(lamps)) for c in ("s", "y", "d", "up")]
-    return t.select(*keep)
+        t = t.withColumn("h", geo.dot(top, e) / F.col(f"d_{i}"))
+        t = t.withColumns({f"w{c}": top[j] - F.col("h") * e[j] / F.col(f"d_{i}") for j, c in enumerate(axes)})
+        w = [F.col(f"w{c}") for c in axes]
+        t = t.withColumn("size", F.sqrt(geo.dot(w, w)))
+        t = t.withColumns({f"u{c}{i}": e[j] / F.col(f"d_{i}") for j, c in enumerate(axes)} | {f"v{c}{i}": w[j] / F.col("size") for j, c in enumerate(axes)})
+        t = t.withColumn(f"up_{i}", geo.dot(own, [F.col(f"v{c}{i}") for c in axes]))
+    fixed = [f"{c}{i}" for i in range(len(lamps)) for c in ("ux", "uy", "uz", "vx", "vy", "vz", "d_", "up_")]
+    t = t.select("target_id", "radius", "az", "dist", "parts", "chain", "route", *fixed, F.explode(F.sequence(F.lit(1), F.col("parts").cast("int") - 1)).alias("n"))
+    lon, lat = geo.spherical_direct(F.lit(LON0), F.lit(LAT0), F.col("az"), F.col("dist") * F.col("n") / F.col("parts"))
+    t = t.withColumns({"plon": lon, "plat": lat})
+    point = geo.ecef(F.col("plon"), F.col("plat"), surface(F.col("plon"), F.col("plat")))
+    t = t.withColumns({f"p{c}": point[j] - origin[j] for j, c in enumerate(axes)})
+    rel = [F.col(f"p{c}") for c in axes]
+    along = [x for i in range(len(lamps)) for x in (geo.dot(rel, [F.col(f"u{c}{i}") for c in axes]).alias(f"s_{i}"), geo.dot(rel, [F.col(f"v{c}{i}") for c in axes]).alias(f"y_{i}"))]
+    return t.select("target_id", "n", "radius", "az", "dist", "chain", "route", *along, *[f"{c}_{i}" for i in range(len(lamps)) for c in ("d", "up")])
 
 
 def _constant_ecef(lon: float, lat: float, h: float) -> tuple[float, float, float]:
