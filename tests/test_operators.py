@@ -107,3 +107,12 @@ def test_readers(spark, tmp_path):
     files = spark.createDataFrame([("a-400.jpg",), ("a-1600.jpg",), ("b-2000.jpg",), ("b-3000.jpg",), ("c.png",)], "file string")
     assert sorted(r.file for r in readers.precache(files, 800).collect()) == ["a-400.jpg", "b-2000.jpg", "c.png"]
     assert spark.range(1).select(readers.image_format(F.lit(bytes.fromhex("89504e470d0a1a0a")))).first()[0] == "png"
+
+
+def test_evidence_kind_reads_whole_texts(spark, tmp_path):
+    from vantage.plans import relations
+
+    turns = [("user", 2, "x " * 50 + "seen on video"), ("user", 2, "y " * 50 + "an old legend"), ("user", 2, None)]
+    spark.createDataFrame(turns, "role string, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.kind: r.n for r in relations.evidence_kind(spark, str(tmp_path)).collect()}
+    assert got == {"video": 1, "other-weak": 1, "other": 1}

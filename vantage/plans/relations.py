@@ -288,7 +288,7 @@ def classify_spec_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def evidence_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "conversations").select(F.col("role"), rules.evidence_kind(F.concat_ws(" ", "role", F.substring("text", 1, 60), F.when(F.col("turn") % 3 == 0, "a Photo").when(F.col("turn") % 3 == 1, "hearsay report"))).alias("kind"))
+    t = table(spark, sf_dir, "conversations").select(F.col("role"), rules.evidence_kind(F.concat_ws(" ", "role", "text", F.when(F.col("turn") % 3 == 0, "a Photo").when(F.col("turn") % 3 == 1, "hearsay report"))).alias("kind"))
     return t.groupBy("role", "kind").agg(F.count("*").alias("n"))
 
 
