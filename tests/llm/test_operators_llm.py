@@ -140,6 +140,14 @@ def test_decontamination_odd(spark, docs_of):
     assert decontaminate.clean(d, bench.limit(0)).count() == 12
 
 
+def test_decontamination_tries_every_window(spark, docs_of):
+    item = [f"q{i}" for i in range(40)]
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    d = docs_of([" ".join(item[-5:] + item), " ".join(item[:5] + item), " ".join(item[-5:])])
+    assert {r.doc_id: r.errors for r in decontaminate.matches(d, bench).collect()} == {0: 0, 1: 0}
+    assert [r.doc_id for r in decontaminate.clean(d, bench).collect()] == [2]
+
+
 # fingerprints
 
 

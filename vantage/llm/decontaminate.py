@@ -106,9 +106,9 @@ class Matcher:
                 m = len(self.items[i][1])
                 b = budget(m, self.share)
                 lo, hi = max(0, word - a - b), min(len(words), word - a + m + b)
-                if (i, lo) in done:
+                if (i, word - a) in done:
                     continue
-                done.add((i, lo))
+                done.add((i, word - a))
                 best = myers(self.masks[i], m, words[lo:hi], b)
                 if best and (i not in found or (best[0], lo + best[1]) < found[i]):
                     found[i] = (best[0], lo + best[1])
