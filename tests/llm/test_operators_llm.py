@@ -401,6 +401,25 @@ def test_suffix_tree_is_a_distribution_and_lanes_agree(spark, docs_of):
     assert whole == pytest.approx(total)
 
 
+def test_every_context_that_passes_is_kept(spark):
+    docs = spark.read.parquet(SF.replace("sf0.001", "sf0.01") + "/documents.parquet")
+    counted = lm_score.counts(docs)
+    grams = [(r.key, r.n) for r in counted.where("kind = 0").collect()]
+    follow = {}
+    for key, n in grams:
+        for d in range(lm_score.DEPTH + 1):
+            if d == 0 or key >> 8 * d & 255:
+                follow.setdefault((d, key >> 8 & (1 << 8 * d) - 1), Counter())[key & 255] += n
+    passing = 0
+    for (d, c), own in follow.items():
+        if d:
+            up, total = follow[d - 1, c & (1 << 8 * (d - 1)) - 1], sum(own.values())
+            above = sum(up.values())
+            passing += sum(n * math.log(n / total / (up[s] / above)) for s, n in own.items()) > lm_score.PENALTY * len(own) * math.log(total)
+    states = lm_score.fit(counted).follow.shape[0]
+    assert states >= passing > 20_000
+
+
 def test_contexts_help_on_unseen_words(spark, docs_of):
     rng = random.Random(6)
     word = lambda: "".join(rng.choice("ba dul kin lo resh tor mi vex qua zed pho gi".split()) for _ in range(rng.randint(3, 5)))

@@ -3,8 +3,8 @@
 A text is its words, ASCII lower case, each followed by a space, and an end symbol.  All training texts are counted whole: each
 word, and each byte with the ``DEPTH`` bytes before it (those of earlier texts apart).  A context is kept if its next-byte
 distribution diverges from that of its longest proper suffix by more than chance explains (a likelihood-ratio test with a penalty
-of ``PENALTY`` * log(count) for each next byte seen); if more than ``MAX_CONTEXTS`` pass, those with the largest divergence stay,
-which bounds the model, not the data it counts.  Next-byte distributions are smoothed with those of the suffix; kept contexts and
+of ``PENALTY`` * log(count) for each next byte seen); all that pass stay, so the model grows with the text, up to what ``DEPTH``
+bytes can tell apart.  Next-byte distributions are smoothed with those of the suffix; kept contexts and
 their prefixes and suffixes form an automaton whose states are longest suffixes, and all texts of a slice run through it in step,
 in lanes of ``LANE`` bytes after ``DEPTH`` bytes of run-in.
 
@@ -17,6 +17,7 @@ the base is uniform; other columns are ignored.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from .shared import fold, written
 from .textkernel import LOWER, slices, words
 
-DEPTH, LANE, MAX_CONTEXTS, HOT_WORDS, PENALTY, PRIOR = 5, 256, 20_000, 1 << 18, 0.25, 8.0
+DEPTH, LANE, MAX_CONTEXTS, HOT_WORDS, PENALTY, PRIOR = 5, 256, None, 1 << 18, 0.25, 8.0
 #: stands for the end of a text among word hashes, and before and after it among bytes
 END_WORD, END = np.uint64(0), 10
 _GRAM, _WORD = 0, 1
@@ -113,6 +114,27 @@ class SuffixTree:
     start: int
 
 
+class FittedTree:
+    """The counts (depth, context, symbol, n) of the kept contexts; the automaton is compiled when first used, once in a process."""
+
+    def __init__(self, token: str, *counts: np.ndarray):
+        self.token, self.counts = token, counts
+
+    def __reduce__(self):
+        return FittedTree, (self.token, *self.counts)
+
+    def __getattr__(self, name: str):
+        if name not in SuffixTree.__dataclass_fields__:
+            raise AttributeError(name)
+        if self.token not in _compiled_trees:
+            _compiled_trees.clear()
+            _compiled_trees[self.token] = _compiled(*self.counts)
+        return getattr(_compiled_trees[self.token], name)
+
+
+_compiled_trees: dict[str, SuffixTree] = {}
+
+
 def _contexts(grams: DataFrame) -> DataFrame:
     """(depth, context, symbol, n) of every context of 0 to DEPTH bytes; contexts do not reach beyond a text's beginning."""
     depth = F.explode(F.sequence(F.lit(0), F.lit(DEPTH))).alias("depth")
@@ -122,8 +144,8 @@ def _contexts(grams: DataFrame) -> DataFrame:
     return rows.where(whole).select("depth", context.alias("context"), "symbol", "n").groupBy("depth", "context", "symbol").agg(F.sum("n").alias("n"))
 
 
-def fit(counted: DataFrame, max_contexts: int = MAX_CONTEXTS) -> SuffixTree:
-    """Divergence tests on the counted contexts; only kept contexts, ``max_contexts`` at most, reach the driver."""
+def fit(counted: DataFrame, max_contexts: int | None = MAX_CONTEXTS) -> FittedTree:
+    """Divergence tests on the counted contexts; only kept contexts, all or the ``max_contexts`` of largest gain, reach the driver."""
     rows = written(_contexts(counted.where(F.col("kind") == _GRAM)))
     total = rows.groupBy("depth", "context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
     own = rows.join(total, ["depth", "context"])
@@ -131,10 +153,12 @@ def fit(counted: DataFrame, max_contexts: int = MAX_CONTEXTS) -> SuffixTree:
     shorter = F.col("context").bitwiseAND(F.expr("shiftleft(1L, 8 * (depth - 1)) - 1"))
     tested = own.where("depth > 0").withColumn("shorter", shorter).join(parent, ["depth", "shorter", "symbol"])
     gain = F.sum(F.col("n") * F.log(F.col("n") / F.col("total") / F.col("p"))) - PENALTY * F.first("kinds") * F.log(F.first("total"))
-    kept = tested.groupBy("depth", "context").agg(gain.alias("gain")).where("gain > 0").orderBy(F.desc("gain"), "depth", "context").limit(max_contexts)
-    chosen = rows.join(F.broadcast(kept.select("depth", "context").union(rows.sparkSession.range(1).selectExpr("0", "0L"))), ["depth", "context"])
-    table = chosen.select("depth", "context", "symbol", "n").toArrow()
-    return _compiled(*(table[c].to_numpy() for c in ("depth", "context", "symbol", "n")))
+    kept = tested.groupBy("depth", "context").agg(gain.alias("gain")).where("gain > 0")
+    if max_contexts is not None:
+        kept = kept.orderBy(F.desc("gain"), "depth", "context").limit(max_contexts)
+    chosen = rows.join(kept.select("depth", "context").union(rows.sparkSession.range(1).selectExpr("0", "0L")), ["depth", "context"])
+    table = chosen.select(F.col("depth").cast("byte").alias("depth"), "context", F.col("symbol").cast("short").alias("symbol"), "n").toArrow()
+    return FittedTree(uuid.uuid4().hex, *(table[c].to_numpy() for c in ("depth", "context", "symbol", "n")))
 
 
 def _compiled(depth: np.ndarray, context: np.ndarray, symbol: np.ndarray, n: np.ndarray) -> SuffixTree:
@@ -143,50 +167,35 @@ def _compiled(depth: np.ndarray, context: np.ndarray, symbol: np.ndarray, n: np.
     of_byte = np.full(256, len(order), np.int64)  # the last symbol: any byte that training did not hold
     of_byte[order] = np.arange(len(order))
     width = len(order) + 1
-    found: dict[tuple[int, int], list[int]] = {}
-    for i, key in enumerate(zip(depth.tolist(), context.tolist(), strict=True)):
-        found.setdefault(key, []).append(i)
-    states = {(0, 0), (1, END)}
-    todo = list(found)
-    while todo:
-        d, c = todo.pop()
-        if (d, c) in states and (d, c) not in found or d < 0:
-            continue
-        states.add((d, c))
-        if d:
-            todo += [x for x in ((d - 1, c & ((1 << 8 * (d - 1)) - 1)), (d - 1, c >> 8)) if x not in states]
-    ordered = sorted(states)
-    number = {s: i for i, s in enumerate(ordered)}
-    p = np.zeros((len(ordered), width))
-    follow = np.zeros((len(ordered), width), np.int32)
-    by_byte = [int(b) for b in order]
-    for i, (d, c) in enumerate(ordered):
-        seen = np.zeros(width)
-        own = found.get((d, c), [])
-        if own:
-            seen[of_byte[symbol[own].astype(np.int64)]] = n[own]
+    levels = [np.unique(context[depth == d]).astype(np.int64) for d in range(DEPTH + 1)]
+    levels[0], levels[1] = np.zeros(1, np.int64), np.union1d(levels[1], [END])
+    for d in range(DEPTH, 1, -1):
+        levels[d - 1] = np.unique(np.concatenate([levels[d - 1], levels[d] & ((1 << 8 * (d - 1)) - 1), levels[d] >> 8]))
+    first = np.concatenate([[0], np.cumsum([len(x) for x in levels])])
+    number = lambda d, c: first[d] + np.searchsorted(levels[d], c)
+    p = np.zeros((first[-1], width), np.float32)
+    follow = np.zeros((first[-1], width), np.int32)
+    for d, level in enumerate(levels):
+        at = depth == d
+        p[number(d, context[at]), of_byte[symbol[at].astype(np.int64)]] = n[at]
         if d == 0:
-            base = seen + 0.5
-            p[i] = base / (base[:-1].sum() + 0.5 * (256 - len(order)))
+            p[0] += 0.5
+            p[0] /= p[0, :-1].sum() + 0.5 * (256 - len(order))
         else:
-            up = number[(d - 1, c & ((1 << 8 * (d - 1)) - 1))]
-            p[i] = (seen + PRIOR * p[up]) / (seen.sum() + PRIOR) if own else p[up]
-        for j, b in enumerate(by_byte):
-            if b == END:
-                follow[i, j] = number[(1, END)]
-                continue
-            grown, k = ((c << 8) | b) & ((1 << 8 * DEPTH) - 1), min(d + 1, DEPTH)
-            while (k, grown) not in number:
-                k -= 1
-                grown &= (1 << 8 * k) - 1
-            follow[i, j] = number[(k, grown)]
-    if END not in by_byte:
-        of_byte[END] = len(order)
-        follow[:, -1] = number[(1, END)]
-    return SuffixTree(of_byte, follow * np.int32(width), np.log10(p), int(number[(1, END)]) * width)
-
-
-def _tree_scores(tree: SuffixTree, stream: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+            for lo in range(0, len(level), 4096):  # few at once: a level's copies would double a task's memory
+                up, here = number(d - 1, level[lo : lo + 4096] & ((1 << 8 * (d - 1)) - 1)), slice(first[d] + lo, min(first[d] + lo + 4096, first[d + 1]))
+                total = p[here].sum(1, keepdims=True, dtype=np.float64).astype(np.float32)
+                p[here] = (p[here] + np.float32(PRIOR) * p[up]) / (total + np.float32(PRIOR))
+                follow[here] = follow[up]
+        if d < DEPTH:
+            known = levels[d + 1][of_byte[levels[d + 1] & 255] < len(order)]
+            follow[number(d, known >> 8), of_byte[known & 255]] = number(d + 1, known)
+    follow[:, of_byte[END]] = number(1, END)
+    follow *= np.int32(width)
+    return SuffixTree(of_byte, follow, np.log10(p, out=p), int(number(1, END)) * width)
+
+
+def _tree_scores(tree: SuffixTree | FittedTree, stream: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     rows = len(bounds) - 1
     size = np.diff(bounds)
     lanes = -(-size // LANE)
@@ -207,7 +216,7 @@ def _tree_scores(tree: SuffixTree, stream: np.ndarray, bounds: np.ndarray) -> np
     return np.bincount(owner, total, rows)
 
 
-def score(docs: DataFrame, counted: DataFrame, tree: SuffixTree, hot_words: int = HOT_WORDS, text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, counted: DataFrame, tree: FittedTree, hot_words: int = HOT_WORDS, text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of each row's whole text."""
     spark = docs.sparkSession
     vocabulary = counted.where((F.col("kind") == _WORD) & (F.col("n") > 0)).select("key", "n")
