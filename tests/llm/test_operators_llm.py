@@ -474,6 +474,20 @@ def test_license_rules(spark, docs_of):
     assert licenses.scan(docs_of(texts).limit(0)).count() == 0
 
 
+def test_licenses_wrapped_over_lines(docs_of):
+    import textwrap
+
+    full = {i: s[0] for i, s in licenses.SENTENCES.items()}
+    wrap = lambda ids, width, mark: "\n".join(mark + x for i in ids for x in textwrap.wrap(full[i], width, break_long_words=False))
+    texts = [
+        wrap(["mit-condition", "as-is"], 70, ""), wrap(["gpl-free", "gpl-warranty"], 60, " * "), wrap(["bsd-redistribution", "bsd-no-endorsement"], 1, "# "),
+        "This project is\r\nlicensed under the MIT License.", "The software is provided \"as is\"\n\n" + full["as-is"][30:],
+    ]
+    got = rows(licenses.scan(docs_of(texts)), "doc_id")
+    assert {i: r.licenses for i, r in got.items()} == {0: "MIT-text", 1: "GPL-3.0-or-later", 2: "BSD-3-Clause", 3: "MIT"}
+    assert got[3].sentence_ids == "mit-notice" and got[3].first_sentence == 1
+
+
 # pipeline
 
 

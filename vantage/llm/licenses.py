@@ -1,7 +1,9 @@
 """Licence scans by sentence rules, in DataFrame operations only.
 
 A text is cut into sentences at line breaks and after . ! ? ; before white space.  Sentences are normalised (ASCII lower case,
-other characters than letters, digits, . and + are one space) and mapped to the identifiers of known licence sentences.  The
+other characters than letters, digits, . and + are one space) and mapped to the identifiers of known licence sentences.  A
+known sentence may be wrapped: from each line that one can begin with, runs of neighbouring lines up to the longest known sentence
+are looked up too; a blank line or a sentence's end parts them, and lines inside a wrapped sentence count for nothing else.  The
 sequence of a text's identifiers is matched against ordered rules: a rule holds if its identifiers occur in its order.
 
 Texts without any of the words that each known sentence has one of are passed over before they are cut; this loses nothing.
@@ -67,6 +69,11 @@ def known_sentences(sentences: dict[str, list[str]] = SENTENCES) -> dict[str, st
     return known
 
 
+def beginnings(known: dict[str, str]) -> list[str]:
+    """What the first line of a known sentence may be, however it is wrapped."""
+    return sorted({" ".join(w[:n]).rstrip(". ") for w in (s.split() for s in known) for n in range(1, len(w) + 1)})
+
+
 def _normal(sentence: Column) -> Column:
     return F.regexp_replace(F.trim(F.regexp_replace(sentence, "[^a-z0-9.+]+", " ")), r"[. ]+$", "")
 
@@ -78,7 +85,24 @@ def scan(docs: DataFrame, sentences: dict[str, list[str]] = SENTENCES, rules=RUL
     low = F.translate("text", UPPER, LOWER)
     some = docs.select("doc_id", low.alias("low")).where(F.col("low").rlike("|".join(WORDS)))
     cut = some.select("doc_id", F.split(F.regexp_replace("low", r"([.!?;])[\x20\x09\x0B-\x0D]+", "$1\n"), "\n").alias("cut"))
-    at = F.filter(F.transform("cut", lambda s, i: F.struct((i + 1).alias("at"), F.try_element_at(table, _normal(s)).alias("id"))), lambda x: x["id"].isNotNull())
+    cut = cut.select("doc_id", F.transform("cut", _normal).alias("line"), F.transform("cut", lambda s: s.rlike(r"[.!?;]$")).alias("ends"))
+    begun = F.filter(F.transform("line", lambda s, i: F.struct(s.alias("line"), (i + 1).alias("at"))), lambda x: x["line"].isin(beginnings(known)))
+    cut = cut.select("doc_id", "line", "ends", begun.alias("begun")).where(F.size("begun") > 0)
+    longest = max(len(s.split()) for s in known)
+
+    def run(at: Column, n: Column) -> Column:
+        """The identifier of ``n`` neighbouring lines from ``at`` on; none across a blank line or a sentence's end."""
+        lines = F.slice("line", at, n)
+        parted = F.array_contains(lines, "") | F.array_contains(F.slice("ends", at, n - 1), True)
+        return F.struct(n.alias("n"), F.when(~parted, F.try_element_at(table, F.array_join(lines, " "))).alias("id"))
+
+    def first(x: Column) -> Column:
+        runs = F.filter(F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("line") - x["at"] + 1)), lambda n: run(x["at"], n)), lambda r: r["id"].isNotNull())
+        return F.struct(x["at"].alias("at"), F.get(runs, F.lit(0))["n"].alias("n"), F.get(runs, F.lit(0))["id"].alias("id"))
+
+    cut = cut.select("doc_id", F.filter(F.transform("begun", first), lambda x: x["id"].isNotNull()).alias("hit"))
+    cut = cut.select("doc_id", "hit", F.filter("hit", lambda x: x["n"] > 1).alias("wrapped"))
+    at = F.filter("hit", lambda x: ~F.exists("wrapped", lambda w: (w["at"] < x["at"]) & (x["at"] < w["at"] + w["n"])))
     found = cut.select("doc_id", at.alias("at")).where(F.size("at") > 0).select("doc_id", F.array_join("at.id", " ").alias("sentence_ids"), F.get("at", F.lit(0))["at"].cast("long").alias("first_sentence"))
     padded = F.concat(F.lit(" "), F.col("sentence_ids"), F.lit(" "))
     hits = [F.when(padded.rlike(pattern(ids)), F.lit(name)) for name, ids in rules]
