@@ -1,5 +1,6 @@
 """Each operator against a brute-force version and on the awkward inputs: nulls, empty and long texts, ties, repeats, empty tables."""
 
+import dataclasses
 import hashlib
 import math
 import random
@@ -380,44 +381,66 @@ def test_base_scores_equal_brute_force(spark, sample, monkeypatch):
         assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(tokens), sum(counts[t] > 0 for t in tokens), total, fold(i) == 0)
         assert r.base_score == pytest.approx(sum(math.log10((counts[t] + 0.1) / below) for t in tokens))
     counted = lm_score.counts(sample.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 != 0))
-    few = rows(lm_score.score(sample, counted, lm_score.fit(counted), hot_words=10), "doc_id")
-    assert all(few[i].base_score == pytest.approx(got[i].base_score) and few[i].n_known == got[i].n_known for i in docs)
-
-
-def test_suffix_tree_is_a_distribution_and_lanes_agree(spark, docs_of):
-    counted = lm_score.counts(docs_of(["the cat sat on the mat", "the dog sat on the log", "a cat and a dog"] * 30))
-    tree = lm_score.fit(counted)
-    p = 10**tree.log_p
-    seen = p.shape[1] - 1
-    assert np.allclose(p[:, :seen].sum(1) + p[:, seen] * (256 - seen), 1)
-    t = "the cat sat on the log " * 60
-    stream = np.frombuffer((t + "\n").encode(), np.uint8)
-    whole = lm_score._tree_scores(tree, stream, np.array([0, len(stream)]))[0]
-    state, total = tree.start, 0.0
-    for b in stream:
-        cell = state + tree.symbol[b]
-        total += tree.log_p.ravel()[cell]
-        state = tree.follow.ravel()[cell]
-    assert whole == pytest.approx(total)
+    few = rows(lm_score.score(sample, counted, lm_score.fit(counted, 2000), hot_words=10), "doc_id")
+    assert all(few[i].base_score == pytest.approx(got[i].base_score) and few[i].n_known == got[i].n_known and few[i].score == pytest.approx(got[i].score) for i in docs)
+
+
+def plain_suffix_tree(texts):
+    """log10 probability function of a plain suffix tree: counts by context string, the divergence test, mixing from short to long."""
+    as_bytes = lambda t: [10, *" ".join([*words(t), ""]).encode(), 10]
+    follow = defaultdict(Counter)
+    for t in texts:
+        s = as_bytes(t)
+        for i in range(1, len(s)):
+            for d in range(min(lm_score.DEPTH, i) + 1):
+                follow[tuple(s[i - d : i])][s[i]] += 1
+    kept = {}
+    for c, own in follow.items():
+        up, total = follow[c[1:]], sum(own.values())
+        gain = sum(n * math.log(n / total / (up[x] / sum(up.values()))) for x, n in own.items()) - lm_score.PENALTY * len(own) * math.log(total)
+        if c and gain > 0:
+            kept[c] = (own, total, lm_score.WEIGHT * len(own))
+    root = follow[()]
+
+    def p(context, x):
+        out = (root[x] + 0.5) / (sum(root.values()) + 128)
+        for d in range(1, len(context) + 1):
+            if context[-d:] in kept:
+                own, total, w = kept[context[-d:]]
+                out = (own[x] + w * out) / (total + w)
+        return out
+
+    def log_p(t):
+        s = as_bytes(t)
+        return sum(math.log10(p(tuple(s[max(0, i - lm_score.DEPTH) : i]), s[i])) for i in range(1, len(s)))
+
+    return log_p, p, kept
+
+
+@pytest.mark.parametrize("hot_pairs", [lm_score.HOT_PAIRS, 300, 0])
+def test_suffix_tree_equals_plain_one(spark, docs_of, hot_pairs):
+    rng = random.Random(8)
+    vocab = "the cat sat on a mat Dog log née élan 😀 zz".split()
+    texts = [*ODD[:5], *ODD[6:], *(" ".join(rng.choice(vocab) for _ in range(rng.randint(1, 40))) for _ in range(60))]
+    texts += texts[-5:]
+    docs = docs_of(texts)
+    counted = lm_score.counts(docs.where("doc_id % 4 <> 0"))
+    model = lm_score.fit(counted, hot_pairs)
+    assert (model.rare is None) == (hot_pairs == lm_score.HOT_PAIRS)
+    log_p, p, kept = plain_suffix_tree([t for i, t in enumerate(texts) if i % 4])
+    assert model.kept == sum(len(own) for own, _, _ in kept.values()) > 300
+    got = rows(lm_score.score(docs, counted, model), "doc_id")
+    for i, t in enumerate(texts):
+        assert got[i].score == pytest.approx(log_p(t), rel=1e-5), t
+    for context in [(), (10,), (32,), *list(kept)[::40]]:
+        assert sum(p(context, x) for x in range(256)) == pytest.approx(1)
 
 
 def test_every_context_that_passes_is_kept(spark):
     docs = spark.read.parquet(SF.replace("sf0.001", "sf0.01") + "/documents.parquet")
-    counted = lm_score.counts(docs)
-    grams = [(r.key, r.n) for r in counted.where("kind = 0").collect()]
-    follow = {}
-    for key, n in grams:
-        for d in range(lm_score.DEPTH + 1):
-            if d == 0 or key >> 8 * d & 255:
-                follow.setdefault((d, key >> 8 & (1 << 8 * d) - 1), Counter())[key & 255] += n
-    passing = 0
-    for (d, c), own in follow.items():
-        if d:
-            up, total = follow[d - 1, c & (1 << 8 * (d - 1)) - 1], sum(own.values())
-            above = sum(up.values())
-            passing += sum(n * math.log(n / total / (up[s] / above)) for s, n in own.items()) > lm_score.PENALTY * len(own) * math.log(total)
-    states = lm_score.fit(counted).follow.shape[0]
-    assert states >= passing > 20_000
+    _, _, kept = plain_suffix_tree([r.text for r in docs.collect()])
+    model = lm_score.fit(lm_score.counts(docs), 1000)
+    assert model.kept == sum(len(own) for own, _, _ in kept.values()) and len(kept) > 150_000
 
 
 def test_contexts_help_on_unseen_words(spark, docs_of):
@@ -425,7 +448,9 @@ def test_contexts_help_on_unseen_words(spark, docs_of):
     word = lambda: "".join(rng.choice("ba dul kin lo resh tor mi vex qua zed pho gi".split()) for _ in range(rng.randint(3, 5)))
     docs = docs_of([" ".join(word() for _ in range(40)) for _ in range(200)])
     counted = lm_score.counts(docs.where("doc_id % 4 <> 0"))
-    deep, flat = (lm_score.score(docs.where("doc_id % 4 = 0"), counted, lm_score.fit(counted, n)).agg(F.sum("score")).first()[0] for n in (lm_score.MAX_CONTEXTS, 0))
+    model = lm_score.fit(counted)
+    none = dataclasses.replace(model, tree=dataclasses.replace(model.tree, contexts=[np.zeros(0, np.int64)] * (lm_score.DEPTH + 1)))
+    deep, flat = (lm_score.score(docs.where("doc_id % 4 = 0"), counted, m).agg(F.sum("score")).first()[0] for m in (model, none))
     assert deep > 0.6 * flat
 
 

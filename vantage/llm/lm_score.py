@@ -1,23 +1,30 @@
 """Language-model scores from a probabilistic suffix tree over bytes, with unigram word scores beside them.
 
 A text is its words, ASCII lower case, each followed by a space, and an end symbol.  All training texts are counted whole: each
-word, and each byte with the ``DEPTH`` bytes before it (those of earlier texts apart).  A context is kept if its next-byte
-distribution diverges from that of its longest proper suffix by more than chance explains (a likelihood-ratio test with a penalty
-of ``PENALTY`` * log(count) for each next byte seen); all that pass stay, so the model grows with the text, up to what ``DEPTH``
-bytes can tell apart.  Next-byte distributions are smoothed with those of the suffix; kept contexts and
-their prefixes and suffixes form an automaton whose states are longest suffixes, and all texts of a slice run through it in step,
-in lanes of ``LANE`` bytes after ``DEPTH`` bytes of run-in.
-
-Word counts stay distributed.  Only words above a count that at most ``HOT_WORDS`` words reach are sent to every task; the other
-words of a text are looked up by a join.
-
-Defined results: a null or empty text has the end token only; rows that repeat an id are scored one by one; without training texts
-the base is uniform; other columns are ignored.
+word, and each byte with the ``DEPTH`` bytes before it (those of earlier texts apart).  A context of 1 to ``DEPTH`` bytes is kept if
+its next-byte distribution diverges from that of the context one byte shorter by more than chance explains (a likelihood-ratio test
+with a penalty of ``PENALTY`` * log(count) for each next byte seen).  All that pass stay, so the model grows with the text.
+
+The probability of a byte starts from the smoothed byte frequencies; each kept suffix of what stands before it, from the shortest to
+the longest, then mixes its own counts with the probability so far: (n + w * p) / (total + w), w = ``WEIGHT`` * kinds of next bytes.
+So the longest kept suffix speaks last, and every context's distribution adds up to 1.  Equal positions of a slice of texts (the same
+byte after the same ``DEPTH`` bytes) are looked up once, by binary search in sorted arrays.
+
+Contexts above a count that at most ``HOT_PAIRS`` pairs of context and next byte reach are sent to every task.  For the rarer ones
+tasks have a bit table of ``BITS`` bits that tells which contexts may be kept (it may say yes too often, never no too often); the
+positions it points at are joined with the table of rarer contexts.  As a longer suffix never is more frequent than a shorter one,
+the join only carries on what the task began, so scores do not depend on the bound.
+
+Word counts stay distributed in the same way: only words above a count that at most ``HOT_WORDS`` words reach are sent to every task;
+the other words of a text are looked up by a join.
+
+Defined results: a null or empty text has the end token only; very long texts are scored whole; rows that repeat an id are scored one
+by one; without training texts the base is uniform, and so are the bytes; an empty table gives no rows; other columns, whatever
+their names, are ignored.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,13 +35,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import fold, written
-from .textkernel import LOWER, slices, words
+from .textkernel import LOWER, mix, slices, words
 
-DEPTH, LANE, MAX_CONTEXTS, HOT_WORDS, PENALTY, PRIOR = 5, 256, None, 1 << 18, 0.25, 8.0
+DEPTH, WEIGHT, PENALTY, HOT_WORDS, HOT_PAIRS, BITS = 6, 3.0, 0.25, 1 << 18, 6_000_000, 1 << 26
 #: stands for the end of a text among word hashes, and before and after it among bytes
 END_WORD, END = np.uint64(0), 10
 _GRAM, _WORD = 0, 1
-_FLUSH = 1 << 20
+_FLUSH = 1 << 21
 
 
 def _stream(data: np.ndarray, off: np.ndarray):
@@ -55,17 +62,22 @@ def _stream(data: np.ndarray, off: np.ndarray):
 
 
 def _grams(stream: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Each byte with the DEPTH before it, packed; before a text stands END, and 0 before that."""
+    """Each byte below the DEPTH bytes before it, the nearest on top; before a text stands END, and 0 before that."""
     row_start = np.repeat(bounds[:-1], np.diff(bounds))
     into = np.arange(len(stream)) - row_start
     key = stream.astype(np.int64)
-    padded = np.concatenate([np.zeros(DEPTH, np.int64), stream.astype(np.int64)])
+    padded = np.concatenate([np.zeros(DEPTH, np.int64), key])
     for d in range(1, DEPTH + 1):
         before = padded[DEPTH - d : DEPTH - d + len(stream)]
-        key |= np.where(into >= d, before, np.where(into == d - 1, END, 0)) << (8 * d)
+        key |= np.where(into >= d, before, np.where(into == d - 1, END, 0)) << (8 * (DEPTH + 1 - d))
     return key
 
 
+def _context(gram, depth: int):
+    """The ``depth`` bytes before a gram's last."""
+    return gram >> (8 * (DEPTH + 1 - depth))
+
+
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     key, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
     order = np.argsort(key, kind="stable")
@@ -102,123 +114,160 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def counts(texts: DataFrame) -> DataFrame:
-    """(kind, key, n) of all words (hashed; 0 is the end) and packed byte contexts of the whole ``text`` column."""
+    """(kind, key, n) of all words (hashed; 0 is the end) and packed bytes with what stands before them of the whole ``text`` column."""
     return written(texts.select("text").mapInArrow(_counts, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
 
 
 @dataclass
 class SuffixTree:
-    symbol: np.ndarray  # of each byte
-    follow: np.ndarray  # (state, symbol) -> state * symbols
-    log_p: np.ndarray  # (state, symbol) -> log10
-    start: int
-
-
-class FittedTree:
-    """The counts (depth, context, symbol, n) of the kept contexts; the automaton is compiled when first used, once in a process."""
+    """The frequent kept contexts by depth, sorted: with totals and weights, and pairs (context, next byte) with counts; ``maybe``: bits of the rarer."""
 
-    def __init__(self, token: str, *counts: np.ndarray):
-        self.token, self.counts = token, counts
+    root: np.ndarray
+    contexts: list[np.ndarray]
+    totals: list[np.ndarray]
+    weights: list[np.ndarray]
+    pairs: list[np.ndarray]
+    counts: list[np.ndarray]
+    maybe: np.ndarray | None
 
-    def __reduce__(self):
-        return FittedTree, (self.token, *self.counts)
-
-    def __getattr__(self, name: str):
-        if name not in SuffixTree.__dataclass_fields__:
-            raise AttributeError(name)
-        if self.token not in _compiled_trees:
-            _compiled_trees.clear()
-            _compiled_trees[self.token] = _compiled(*self.counts)
-        return getattr(_compiled_trees[self.token], name)
 
+@dataclass
+class FittedModel:
+    """The tree that tasks hold, and the table (depth, context, symbol, n) of the rarer kept contexts, if there are any."""
 
-_compiled_trees: dict[str, SuffixTree] = {}
+    tree: SuffixTree
+    rare: DataFrame | None
+    kept: int
 
 
 def _contexts(grams: DataFrame) -> DataFrame:
     """(depth, context, symbol, n) of every context of 0 to DEPTH bytes; contexts do not reach beyond a text's beginning."""
     depth = F.explode(F.sequence(F.lit(0), F.lit(DEPTH))).alias("depth")
-    rows = grams.select("n", F.col("key").bitwiseAND(255).alias("symbol"), F.shiftright("key", 8).alias("full"), depth)
-    context = F.col("full").bitwiseAND(F.expr("shiftleft(1L, 8 * depth) - 1"))
-    whole = (F.col("depth") == 0) | (F.expr("shiftright(full, 8 * (depth - 1)) & 255") > 0)
-    return rows.where(whole).select("depth", context.alias("context"), "symbol", "n").groupBy("depth", "context", "symbol").agg(F.sum("n").alias("n"))
+    rows = grams.select("n", F.col("key").bitwiseAND(255).cast("int").alias("symbol"), "key", depth)
+    rows = rows.select("depth", F.expr(f"shiftright(key, 8 * ({DEPTH + 1} - depth))").alias("context"), "symbol", "n")
+    rows = rows.withColumn("context", F.when(F.col("depth") == 0, 0).otherwise(F.col("context")))
+    whole = (F.col("depth") == 0) | (F.col("context").bitwiseAND(255) > 0)
+    return rows.where(whole).groupBy("depth", "context", "symbol").agg(F.sum("n").alias("n"))
 
 
-def fit(counted: DataFrame, max_contexts: int | None = MAX_CONTEXTS) -> FittedTree:
-    """Divergence tests on the counted contexts; only kept contexts, all or the ``max_contexts`` of largest gain, reach the driver."""
+def kept_contexts(counted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(depth, context, symbol, n, total) of the contexts that pass the divergence test, and the same of the empty context."""
     rows = written(_contexts(counted.where(F.col("kind") == _GRAM)))
     total = rows.groupBy("depth", "context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
-    own = rows.join(total, ["depth", "context"])
+    own = written(rows.join(total, ["depth", "context"]))
     parent = own.select((F.col("depth") + 1).alias("depth"), F.col("context").alias("shorter"), "symbol", (F.col("n") / F.col("total")).alias("p"))
-    shorter = F.col("context").bitwiseAND(F.expr("shiftleft(1L, 8 * (depth - 1)) - 1"))
+    shorter = F.when(F.col("depth") == 1, 0).otherwise(F.shiftright("context", 8))
     tested = own.where("depth > 0").withColumn("shorter", shorter).join(parent, ["depth", "shorter", "symbol"])
     gain = F.sum(F.col("n") * F.log(F.col("n") / F.col("total") / F.col("p"))) - PENALTY * F.first("kinds") * F.log(F.first("total"))
-    kept = tested.groupBy("depth", "context").agg(gain.alias("gain")).where("gain > 0")
-    if max_contexts is not None:
-        kept = kept.orderBy(F.desc("gain"), "depth", "context").limit(max_contexts)
-    chosen = rows.join(kept.select("depth", "context").union(rows.sparkSession.range(1).selectExpr("0", "0L")), ["depth", "context"])
-    table = chosen.select(F.col("depth").cast("byte").alias("depth"), "context", F.col("symbol").cast("short").alias("symbol"), "n").toArrow()
-    return FittedTree(uuid.uuid4().hex, *(table[c].to_numpy() for c in ("depth", "context", "symbol", "n")))
-
-
-def _compiled(depth: np.ndarray, context: np.ndarray, symbol: np.ndarray, n: np.ndarray) -> SuffixTree:
-    root = depth == 0
-    order = symbol[root][np.argsort(-n[root], kind="stable")].astype(np.int64)
-    of_byte = np.full(256, len(order), np.int64)  # the last symbol: any byte that training did not hold
-    of_byte[order] = np.arange(len(order))
-    width = len(order) + 1
-    levels = [np.unique(context[depth == d]).astype(np.int64) for d in range(DEPTH + 1)]
-    levels[0], levels[1] = np.zeros(1, np.int64), np.union1d(levels[1], [END])
-    for d in range(DEPTH, 1, -1):
-        levels[d - 1] = np.unique(np.concatenate([levels[d - 1], levels[d] & ((1 << 8 * (d - 1)) - 1), levels[d] >> 8]))
-    first = np.concatenate([[0], np.cumsum([len(x) for x in levels])])
-    number = lambda d, c: first[d] + np.searchsorted(levels[d], c)
-    p = np.zeros((first[-1], width), np.float32)
-    follow = np.zeros((first[-1], width), np.int32)
-    for d, level in enumerate(levels):
-        at = depth == d
-        p[number(d, context[at]), of_byte[symbol[at].astype(np.int64)]] = n[at]
-        if d == 0:
-            p[0] += 0.5
-            p[0] /= p[0, :-1].sum() + 0.5 * (256 - len(order))
-        else:
-            for lo in range(0, len(level), 4096):  # few at once: a level's copies would double a task's memory
-                up, here = number(d - 1, level[lo : lo + 4096] & ((1 << 8 * (d - 1)) - 1)), slice(first[d] + lo, min(first[d] + lo + 4096, first[d + 1]))
-                total = p[here].sum(1, keepdims=True, dtype=np.float64).astype(np.float32)
-                p[here] = (p[here] + np.float32(PRIOR) * p[up]) / (total + np.float32(PRIOR))
-                follow[here] = follow[up]
-        if d < DEPTH:
-            known = levels[d + 1][of_byte[levels[d + 1] & 255] < len(order)]
-            follow[number(d, known >> 8), of_byte[known & 255]] = number(d + 1, known)
-    follow[:, of_byte[END]] = number(1, END)
-    follow *= np.int32(width)
-    return SuffixTree(of_byte, follow, np.log10(p, out=p), int(number(1, END)) * width)
-
-
-def _tree_scores(tree: SuffixTree | FittedTree, stream: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    passed = tested.groupBy("depth", "context").agg(gain.alias("gain")).where("gain > 0").select("depth", "context")
+    columns = ["depth", "context", "symbol", "n", "total"]
+    return own.join(passed, ["depth", "context"]).select(*columns), own.where("depth = 0").select(*columns)
+
+
+def _bits(depth: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two bit numbers of each context."""
+    h = mix(context.astype(np.uint64) * np.uint64(8) + depth.astype(np.uint64))
+    return (h & np.uint64(BITS - 1)).astype(np.int64), ((h >> np.uint64(32)) & np.uint64(BITS - 1)).astype(np.int64)
+
+
+def _bit_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        bits = np.unique(np.concatenate(_bits(batch.column(0).to_numpy(), batch.column(1).to_numpy())))
+        value = np.int64(1) << (bits & 31)
+        word, first = np.unique(bits >> 5, return_index=True)
+        yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(np.bitwise_or.reduceat(value, first) if len(first) else value)], ["word", "bits"])
+
+
+def fit(counted: DataFrame, hot_pairs: int = HOT_PAIRS) -> FittedModel:
+    """Divergence tests on the counted contexts.  Only frequent contexts, of ``hot_pairs`` pairs at most, reach the driver."""
+    kept, root = kept_contexts(counted)
+    kept = written(kept)
+    level = F.floor(F.log2("total")).cast("int")
+    steps = kept.groupBy(level.alias("level")).agg(F.count("*").alias("pairs")).collect()
+    least, room = 64, hot_pairs
+    for r in sorted(steps, key=lambda r: -r["level"]):
+        if r["pairs"] > room:
+            break
+        least, room = r["level"], room - r["pairs"]
+    hot = kept.where(level >= least).select(F.col("depth").cast("byte").alias("depth"), (F.col("context") * 256 + F.col("symbol")).alias("pair"), "n").toArrow()
+    depth, pair, n = (hot[c].to_numpy() for c in ("depth", "pair", "n"))
+    contexts, totals, weights, pairs, counts = ([np.zeros(0, t)] for t in (np.int64, np.float32, np.float32, np.int64, np.float32))
+    for d in range(1, DEPTH + 1):
+        own = np.flatnonzero(depth == d)
+        own = own[np.argsort(pair[own])]
+        pairs.append(pair[own])
+        counts.append(n[own].astype(np.float32))
+        context, first, kinds = np.unique(pair[own] >> 8, return_index=True, return_counts=True)
+        contexts.append(context)
+        totals.append(np.add.reduceat(n[own], first).astype(np.float32) if len(first) else np.zeros(0, np.float32))
+        weights.append((WEIGHT * kinds).astype(np.float32))
+    of_byte = np.full(256, 0.5)
+    for r in root.select("symbol", "n").toLocalIterator():  # 256 at most
+        of_byte[r["symbol"]] += r["n"]
+    rare, maybe = None, None
+    if any(r["level"] < least for r in steps):
+        rare = kept.where(level < least)
+        words = rare.select("depth", "context").distinct().mapInArrow(_bit_words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+        maybe = np.zeros(BITS >> 5, np.uint32)
+        maybe[words["word"].to_numpy()] = words["bits"].to_numpy().astype(np.uint32)
+    return FittedModel(SuffixTree(of_byte / of_byte.sum(), contexts, totals, weights, pairs, counts, maybe), rare, sum(r["pairs"] for r in steps))
+
+
+def _probabilities(tree: SuffixTree, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each gram the probability of its last byte as far as the tree goes, and whether a rarer context may carry it on."""
+    symbol = gram & 255
+    p, more = tree.root[symbol], np.zeros(len(gram), bool)
+    for d in range(1, DEPTH + 1):
+        context = _context(gram, d)
+        if tree.maybe is not None:
+            one, two = _bits(np.full(len(gram), d), context)
+            more |= ((tree.maybe[one >> 5] >> (one & 31).astype(np.uint32)) & (tree.maybe[two >> 5] >> (two & 31).astype(np.uint32)) & 1).astype(bool)
+        known = tree.contexts[d]
+        if not len(known):
+            continue
+        at = np.minimum(np.searchsorted(known, context), len(known) - 1)
+        hit = np.flatnonzero(known[at] == context)
+        at, pair = at[hit], context[hit] << 8 | symbol[hit]
+        place = np.minimum(np.searchsorted(tree.pairs[d], pair), len(tree.pairs[d]) - 1)
+        n = np.where(tree.pairs[d][place] == pair, tree.counts[d][place], 0).astype(np.float64)
+        w = tree.weights[d][at].astype(np.float64)
+        p[hit] = (n + w * p[hit]) / (tree.totals[d][at] + w)
+    return p, more
+
+
+def _tree_scores(tree: SuffixTree, stream: np.ndarray, bounds: np.ndarray):
+    """log10 probability of each row without the positions of rarer contexts; of those (row, gram, times, p)."""
     rows = len(bounds) - 1
-    size = np.diff(bounds)
-    lanes = -(-size // LANE)
-    owner = np.repeat(np.arange(rows), lanes)
-    nth = np.arange(len(owner)) - np.repeat(np.concatenate([[0], np.cumsum(lanes)])[:-1], lanes)
-    at = bounds[owner] + nth * LANE
-    stop = np.minimum(at + LANE, bounds[owner + 1])
-    begin = np.where(nth > 0, at - DEPTH, at)
-    codes = np.append(tree.symbol[stream], 0).astype(np.int32)
-    state = np.full(len(owner), tree.start, np.int32)
-    total = np.zeros(len(owner))
-    follow, log_p = tree.follow.ravel(), tree.log_p.ravel()
-    for i in range(LANE + DEPTH):
-        pos = begin + i
-        cell = state + codes[np.minimum(pos, len(stream))]
-        total += np.where((pos >= at) & (pos < stop), log_p[cell], 0.0)
-        state = follow[cell]
-    return np.bincount(owner, total, rows)
-
-
-def score(docs: DataFrame, counted: DataFrame, tree: FittedTree, hot_words: int = HOT_WORDS, text_col: str = "text") -> DataFrame:
+    row = np.repeat(np.arange(rows), np.diff(bounds))
+    gram, back = np.unique(_grams(stream, bounds), return_inverse=True)
+    p, more = _probabilities(tree, gram)
+    total = np.bincount(row, np.where(more, 0.0, np.log10(p))[back], rows)
+    far = np.flatnonzero(more[back])
+    key, times = np.unique(row[far] * len(gram) + back[far], return_counts=True)
+    where, which = np.divmod(key, max(1, len(gram)))
+    return total, where, gram[which], times, p[which]
+
+
+def _rare_scores(scored: DataFrame, rare: DataFrame) -> DataFrame:
+    """(row_key, rest) of the positions that tasks left open."""
+    open_ = scored.select("row_key", F.explode(F.arrays_zip("gram", "times", "p")).alias("x")).select("row_key", "x.gram", "x.times", "x.p")
+    once = open_.groupBy("gram").agg(F.first("p").alias("p"))
+    depth = F.explode(F.sequence(F.lit(1), F.lit(DEPTH))).alias("depth")
+    asked = once.select("gram", depth).select("gram", "depth", F.expr(f"shiftright(gram, 8 * ({DEPTH + 1} - depth))").alias("context"), F.col("gram").bitwiseAND(255).cast("int").alias("symbol"))
+    own = rare.groupBy("depth", "context").agg(F.first("total").alias("total"), F.count("*").alias("kinds"), F.map_from_entries(F.collect_list(F.struct("symbol", "n"))).alias("next"))
+    found = asked.join(own, ["depth", "context"]).select("gram", F.struct("depth", F.coalesce(F.try_element_at("next", F.col("symbol")), F.lit(0)).alias("n"), "total", (WEIGHT * F.col("kinds")).alias("w")).alias("step"))
+    steps = found.groupBy("gram").agg(F.sort_array(F.collect_list("step")).alias("steps"))
+    carried = F.aggregate(F.coalesce("steps", F.array()), F.col("p"), lambda p, x: (x["n"] + x["w"] * p) / (x["total"] + x["w"]))
+    known = once.join(steps, "gram", "left").select("gram", F.log10(carried).alias("log_p"))
+    return open_.select("row_key", "gram", "times").join(known, "gram").groupBy("row_key").agg(F.sum(F.col("times") * F.col("log_p")).alias("rest"))
+
+
+def _lists(n: np.ndarray, values: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(values))
+
+
+def score(docs: DataFrame, counted: DataFrame, model: FittedModel, hot_words: int = HOT_WORDS, text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of each row's whole text."""
-    spark = docs.sparkSession
     vocabulary = counted.where((F.col("kind") == _WORD) & (F.col("n") > 0)).select("key", "n")
     level = F.floor(F.log2("n")).cast("int")
     steps = vocabulary.groupBy(level.alias("level")).agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect()
@@ -231,6 +280,7 @@ def score(docs: DataFrame, counted: DataFrame, tree: FittedTree, hot_words: int
     hot = vocabulary.where(level >= least).toArrow().sort_by("key")
     hot_key, hot_n = hot["key"].to_numpy(), hot["n"].to_numpy()
     below = all_tokens + 0.1 * (kinds + 1)
+    tree = model.tree
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number = TaskContext.get().partitionId(), 0
@@ -238,7 +288,7 @@ def score(docs: DataFrame, counted: DataFrame, tree: FittedTree, hot_words: int
         end = int(np.searchsorted(hot_key, 0))
         end_known = end < len(hot_key) and hot_key[end] == 0
         for batch in batches:
-            for lo, hi, data, off in slices(batch.column(1)):
+            for lo, hi, data, off in slices(batch.column(1), 4 << 20):
                 w, stream, bounds = _stream(data, off)
                 rows = hi - lo
                 keys, back = np.unique(w.hash.view(np.int64), return_inverse=True)
@@ -255,21 +305,25 @@ def score(docs: DataFrame, counted: DataFrame, tree: FittedTree, hot_words: int
                     cold_key, cold_row = np.concatenate([cold_key, np.zeros(rows, np.int64)]), np.concatenate([cold_row, np.arange(rows)])
                     order = np.argsort(cold_row, kind="stable")
                     cold_key = cold_key[order]
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(cold_n)]).astype(np.int32)), pa.array(cold_key))
+                lists = _lists(cold_n, cold_key)
+                total, where, gram, times, p = _tree_scores(tree, stream, bounds)
+                far = np.bincount(where, minlength=rows)
                 ident = (task << 40) + number + np.arange(rows)
                 number += rows
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, rows), pa.array(ident), pa.array(w.count + 1), pa.array(known), pa.array(base), pa.array(_tree_scores(tree, stream, bounds)), lists],
-                    ["doc_id", "row_key", "n_tokens", "hot_known", "hot_base", "score", "cold"],
+                    [batch.column(0).slice(lo, rows), pa.array(ident), pa.array(w.count + 1), pa.array(known), pa.array(base), pa.array(total), lists, *(_lists(far, x) for x in (gram, times, p))],
+                    ["doc_id", "row_key", "n_tokens", "hot_known", "hot_base", "score", "cold", "gram", "times", "p"],
                 )
 
-    scored = written(docs.select(F.col("doc_id").cast("long"), text_col).mapInArrow(run, "doc_id long, row_key long, n_tokens long, hot_known long, hot_base double, score double, cold array<long>"))
+    scored = written(docs.select(F.col("doc_id").cast("long"), text_col).mapInArrow(run, "doc_id long, row_key long, n_tokens long, hot_known long, hot_base double, score double, cold array<long>, gram array<long>, times array<long>, p array<double>"))
     rare = scored.select("row_key", F.explode("cold").alias("key")).groupBy("row_key", "key").agg(F.count("*").alias("times"))
     rare = rare.join(vocabulary.where(level < least), "key", "left").withColumn("c", F.coalesce("n", F.lit(0)))
     rest = rare.groupBy("row_key").agg(
         F.sum(F.col("times") * F.log10((F.col("c") + 0.1) / F.lit(below))).alias("rest_base"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("rest_known")
     )
-    out = scored.drop("cold").join(rest, "row_key", "left")
+    out = scored.drop("cold", "gram", "times", "p").join(rest, "row_key", "left")
+    if model.rare is not None:
+        out = out.join(_rare_scores(scored, model.rare), "row_key", "left").withColumn("score", F.col("score") + F.coalesce("rest", F.lit(0.0)))
     known = F.col("hot_known") + F.coalesce("rest_known", F.lit(0))
     base = F.col("hot_base") + F.coalesce("rest_base", F.lit(0.0))
     return out.select("doc_id", "n_tokens", known.alias("n_known"), F.lit(all_tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
