@@ -37,11 +37,11 @@ from pyspark.sql import functions as F
 from .shared import fold, written
 from .textkernel import LOWER, mix, slices, words
 
-DEPTH, WEIGHT, PENALTY, HOT_WORDS, HOT_PAIRS, BITS = 6, 3.0, 0.25, 1 << 18, 6_000_000, 1 << 26
+DEPTH, WEIGHT, PENALTY, HOT_WORDS, HOT_PAIRS, BITS = 6, 3.0, 0.25, 1 << 18, 3_000_000, 1 << 26
 #: stands for the end of a text among word hashes, and before and after it among bytes
 END_WORD, END = np.uint64(0), 10
 _GRAM, _WORD = 0, 1
-_FLUSH = 1 << 21
+_FLUSH = 1 << 20
 
 
 def _stream(data: np.ndarray, off: np.ndarray):
@@ -288,7 +288,7 @@ def score(docs: DataFrame, counted: DataFrame, model: FittedModel, hot_words: in
         end = int(np.searchsorted(hot_key, 0))
         end_known = end < len(hot_key) and hot_key[end] == 0
         for batch in batches:
-            for lo, hi, data, off in slices(batch.column(1), 4 << 20):
+            for lo, hi, data, off in slices(batch.column(1)):
                 w, stream, bounds = _stream(data, off)
                 rows = hi - lo
                 keys, back = np.unique(w.hash.view(np.int64), return_inverse=True)
