@@ -7,8 +7,8 @@ with a penalty of ``PENALTY`` * log(count) for each next byte seen).  All that p
 
 The probability of a byte starts from the smoothed byte frequencies; each kept suffix of what stands before it, from the shortest to
 the longest, then mixes its own counts with the probability so far: (n + w * p) / (total + w), w = ``WEIGHT`` * kinds of next bytes.
-So the longest kept suffix speaks last, and every context's distribution adds up to 1.  Equal positions of a slice of texts (the same
-byte after the same ``DEPTH`` bytes) are looked up once, by binary search in sorted arrays.
+So the longest kept suffix speaks last, and every context's distribution adds up to 1.  Equal positions (the same byte after the
+same ``DEPTH`` bytes) of a slice of texts are looked up once, by binary search in sorted arrays, and remembered for the next slices.
 
 Contexts above a count that at most ``HOT_PAIRS`` pairs of context and next byte reach are sent to every task.  For the rarer ones
 tasks have a bit table of ``BITS`` bits that tells which contexts may be kept (it may say yes too often, never no too often); the
@@ -25,6 +25,7 @@ their names, are ignored.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -41,7 +42,7 @@ DEPTH, WEIGHT, PENALTY, HOT_WORDS, HOT_PAIRS, BITS = 6, 3.0, 0.25, 1 << 18, 3_00
 #: stands for the end of a text among word hashes, and before and after it among bytes
 END_WORD, END = np.uint64(0), 10
 _GRAM, _WORD = 0, 1
-_FLUSH = 1 << 20
+_FLUSH, _BUCKET_BITS, _REMEMBERED = 1 << 20, 11, 1_500_000
 
 
 def _stream(data: np.ndarray, off: np.ndarray):
@@ -86,14 +87,42 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return key[first], np.add.reduceat(n, first) if len(first) else n
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[int, list] = {_GRAM: [], _WORD: []}
-    size = {_GRAM: 0, _WORD: 0}
+class _Merger:
+    """Adds up counts by key; what is held grows with the keys alone."""
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size, self.limit = 0, _FLUSH
+
+    def add(self, key: np.ndarray, n: np.ndarray):
+        self.parts.append((key, n))
+        self.size += len(key)
+        if self.size > self.limit:
+            self.merge()
+            self.limit = 2 * self.size + _FLUSH
 
-    def flush(kind):
-        key, n = _merged(held[kind])
-        held[kind], size[kind] = [], 0
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key), pa.array(n)], ["kind", "key", "n"])
+    def merge(self) -> tuple[np.ndarray, np.ndarray]:
+        self.parts = [_merged(self.parts)] if self.parts else [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        self.size = len(self.parts[0][0])
+        return self.parts[0]
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(kind, bucket, keys, counts): counts of a task, packed by bucket of the key, so that they travel in few rows."""
+    held = {_GRAM: _Merger(), _WORD: _Merger()}
+
+    def packed(kind):
+        key, n = held[kind].merge()
+        held[kind] = _Merger()
+        bucket = (mix(key.view(np.uint64)) >> np.uint64(64 - _BUCKET_BITS)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        key, n, bucket = key[order], n[order], bucket[order]
+        cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+        for lo in range(0, len(cuts), 256):
+            own = cuts[lo : lo + 256]
+            ends = [*cuts[lo + 1 : lo + 257], len(key)][: len(own)]
+            blobs = [[x[i:j].tobytes() for i, j in zip(own, ends, strict=True)] for x in (key, n)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), kind, np.int32)), pa.array(bucket[own]), *(pa.array(x, pa.binary()) for x in blobs)], ["kind", "bucket", "keys", "counts"])
 
     for batch in batches:
         for lo, hi, data, off in slices(batch.column(0)):
@@ -101,21 +130,29 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = {_GRAM: np.unique(_grams(stream, bounds), return_counts=True), _WORD: np.unique(w.hash.view(np.int64), return_counts=True)}
             found[_WORD] = (np.append(found[_WORD][0], 0), np.append(found[_WORD][1], hi - lo))
             for kind, (key, n) in found.items():
-                held[kind].append((key, n))
-                size[kind] += len(key)
-                if size[kind] > _FLUSH:
-                    held[kind] = [_merged(held[kind])]
-                    size[kind] = len(held[kind][0][0])
-                    if size[kind] > _FLUSH // 2:
-                        yield flush(kind)
+                held[kind].add(key, n)
+                if held[kind].size > 2 * _FLUSH:
+                    yield from packed(kind)
+    for kind in held:
+        yield from packed(kind)
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = {_GRAM: _Merger(), _WORD: _Merger()}
+    for batch in batches:
+        for kind, keys, counts in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
+            held[kind].add(np.frombuffer(keys.as_buffer(), np.int64).copy(), np.frombuffer(counts.as_buffer(), np.int64).copy())
     for kind in held:
-        if held[kind]:
-            yield flush(kind)
+        key, n = held[kind].merge()
+        for lo in range(0, len(key), 1 << 16):
+            part = slice(lo, lo + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key[part]), kind, np.int32)), pa.array(key[part]), pa.array(n[part])], ["kind", "key", "n"])
 
 
 def counts(texts: DataFrame) -> DataFrame:
     """(kind, key, n) of all words (hashed; 0 is the end) and packed bytes with what stands before them of the whole ``text`` column."""
-    return written(texts.select("text").mapInArrow(_counts, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
+    packed = texts.select("text").mapInArrow(_counts, "kind int, bucket int, keys binary, counts binary")
+    return written(packed.repartition("kind", "bucket").mapInArrow(_added, "kind int, key long, n long"))
 
 
 @dataclass
@@ -129,6 +166,7 @@ class SuffixTree:
     pairs: list[np.ndarray]
     counts: list[np.ndarray]
     maybe: np.ndarray | None
+    name: str
 
 
 @dataclass
@@ -210,7 +248,7 @@ def fit(counted: DataFrame, hot_pairs: int = HOT_PAIRS) -> FittedModel:
         words = rare.select("depth", "context").distinct().mapInArrow(_bit_words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
         maybe = np.zeros(BITS >> 5, np.uint32)
         maybe[words["word"].to_numpy()] = words["bits"].to_numpy().astype(np.uint32)
-    return FittedModel(SuffixTree(of_byte / of_byte.sum(), contexts, totals, weights, pairs, counts, maybe), rare, sum(r["pairs"] for r in steps))
+    return FittedModel(SuffixTree(of_byte / of_byte.sum(), contexts, totals, weights, pairs, counts, maybe, uuid.uuid4().hex), rare, sum(r["pairs"] for r in steps))
 
 
 def _probabilities(tree: SuffixTree, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -235,17 +273,54 @@ def _probabilities(tree: SuffixTree, gram: np.ndarray) -> tuple[np.ndarray, np.n
     return p, more
 
 
+class _Memory:
+    """What a worker found out about grams of earlier slices; at most ``_REMEMBERED`` of them, then it starts anew."""
+
+    def __init__(self, name: str):
+        self.name = name
+        self.known = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, bool))
+        self.fresh: list[tuple] = []
+        self.size = 0
+
+    def probabilities(self, tree: SuffixTree, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 p of sorted grams, and whether a rarer context may carry them on."""
+        known, log_p, more = self.known
+        at = np.minimum(np.searchsorted(known, gram), max(0, len(known) - 1))
+        missed = np.flatnonzero(known[at] != gram) if len(known) else np.arange(len(gram))
+        p, open_ = _probabilities(tree, gram[missed])
+        p = np.log10(p)
+        out, rare = (x[at] if len(known) else np.zeros(len(gram), x.dtype) for x in (log_p, more))
+        out[missed], rare[missed] = p, open_
+        self.fresh.append((gram[missed], p, open_))
+        self.size += len(missed)
+        if self.size > 200_000:
+            old = [self.known] if len(known) + self.size <= _REMEMBERED else []
+            all_of_it = [np.concatenate(x) for x in zip(*old, *self.fresh, strict=True)]
+            key, first = np.unique(all_of_it[0], return_index=True)
+            self.known, self.fresh, self.size = (key, all_of_it[1][first], all_of_it[2][first]), [], 0
+        return out, rare
+
+
+_memory: list[_Memory] = []
+
+
+def _remembered(tree: SuffixTree) -> _Memory:
+    if not _memory or _memory[0].name != tree.name:
+        _memory[:] = [_Memory(tree.name)]
+    return _memory[0]
+
+
 def _tree_scores(tree: SuffixTree, stream: np.ndarray, bounds: np.ndarray):
     """log10 probability of each row without the positions of rarer contexts; of those (row, gram, times, p)."""
     rows = len(bounds) - 1
     row = np.repeat(np.arange(rows), np.diff(bounds))
     gram, back = np.unique(_grams(stream, bounds), return_inverse=True)
-    p, more = _probabilities(tree, gram)
-    total = np.bincount(row, np.where(more, 0.0, np.log10(p))[back], rows)
+    log_p, more = _remembered(tree).probabilities(tree, gram)
+    total = np.bincount(row, np.where(more, 0.0, log_p)[back], rows)
     far = np.flatnonzero(more[back])
     key, times = np.unique(row[far] * len(gram) + back[far], return_counts=True)
     where, which = np.divmod(key, max(1, len(gram)))
-    return total, where, gram[which], times, p[which]
+    return total, where, gram[which], times, 10 ** log_p[which]
 
 
 def _rare_scores(scored: DataFrame, rare: DataFrame) -> DataFrame:
