@@ -38,11 +38,11 @@ from pyspark.sql import functions as F
 from .shared import fold, written
 from .textkernel import LOWER, mix, slices, words
 
-DEPTH, WEIGHT, PENALTY, HOT_WORDS, HOT_PAIRS, BITS = 6, 3.0, 0.25, 1 << 18, 3_000_000, 1 << 26
+DEPTH, WEIGHT, PENALTY, HOT_WORDS, HOT_PAIRS, BITS = 6, 3.0, 0.25, 1 << 18, 4_500_000, 1 << 26
 #: stands for the end of a text among word hashes, and before and after it among bytes
 END_WORD, END = np.uint64(0), 10
 _GRAM, _WORD = 0, 1
-_FLUSH, _BUCKET_BITS, _REMEMBERED = 1 << 20, 11, 1_500_000
+_FLUSH, _BUCKET_BITS, _REMEMBERED = 1 << 20, 11, 3_000_000
 
 
 def _stream(data: np.ndarray, off: np.ndarray):
@@ -64,13 +64,17 @@ def _stream(data: np.ndarray, off: np.ndarray):
 
 def _grams(stream: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Each byte below the DEPTH bytes before it, the nearest on top; before a text stands END, and 0 before that."""
-    row_start = np.repeat(bounds[:-1], np.diff(bounds))
-    into = np.arange(len(stream)) - row_start
-    key = stream.astype(np.int64)
-    padded = np.concatenate([np.zeros(DEPTH, np.int64), key])
-    for d in range(1, DEPTH + 1):
-        before = padded[DEPTH - d : DEPTH - d + len(stream)]
-        key |= np.where(into >= d, before, np.where(into == d - 1, END, 0)) << (8 * (DEPTH + 1 - d))
+    if not len(stream):
+        return np.zeros(0, np.int64)
+    padded = np.zeros(DEPTH + len(stream) + 8, np.uint8)
+    padded[DEPTH - 1], padded[DEPTH : DEPTH + len(stream)] = END, stream
+    window = np.lib.stride_tricks.as_strided(padded[:8].view("<i8"), (len(stream),), (1,))  # the bytes from DEPTH before on, the last on top
+    key = (window & ((1 << 8 * DEPTH) - 1)) << 8
+    key |= stream
+    for into in range(DEPTH - 1):  # of a text's first bytes only what its own beginning explains
+        at = bounds[:-1] + into
+        at = at[at < bounds[1:]]
+        key[at] &= ~((1 << 8 * (DEPTH - into)) - 1) | 255
     return key
 
 
@@ -121,18 +125,21 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo in range(0, len(cuts), 256):
             own = cuts[lo : lo + 256]
             ends = [*cuts[lo + 1 : lo + 257], len(key)][: len(own)]
-            blobs = [[x[i:j].tobytes() for i, j in zip(own, ends, strict=True)] for x in (key, n)]
+            blobs = [[x[i:j].tobytes() for i, j in zip(own, ends, strict=True)] for x in (key, n.astype(np.int32))]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), kind, np.int32)), pa.array(bucket[own]), *(pa.array(x, pa.binary()) for x in blobs)], ["kind", "bucket", "keys", "counts"])
 
+    seen = 0
     for batch in batches:
         for lo, hi, data, off in slices(batch.column(0)):
             w, stream, bounds = _stream(data, off)
+            seen += len(stream)
             found = {_GRAM: np.unique(_grams(stream, bounds), return_counts=True), _WORD: np.unique(w.hash.view(np.int64), return_counts=True)}
             found[_WORD] = (np.append(found[_WORD][0], 0), np.append(found[_WORD][1], hi - lo))
             for kind, (key, n) in found.items():
                 held[kind].add(key, n)
-                if held[kind].size > 2 * _FLUSH:
+                if held[kind].size > 2 * _FLUSH or seen > 1 << 30:  # counts travel as 32 bits
                     yield from packed(kind)
+            seen = seen if seen <= 1 << 30 else 0
     for kind in held:
         yield from packed(kind)
 
@@ -141,7 +148,7 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held = {_GRAM: _Merger(), _WORD: _Merger()}
     for batch in batches:
         for kind, keys, counts in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
-            held[kind].add(np.frombuffer(keys.as_buffer(), np.int64).copy(), np.frombuffer(counts.as_buffer(), np.int64).copy())
+            held[kind].add(np.frombuffer(keys.as_buffer(), np.int64).copy(), np.frombuffer(counts.as_buffer(), np.int32).astype(np.int64))
     for kind in held:
         key, n = held[kind].merge()
         for lo in range(0, len(key), 1 << 16):
@@ -293,7 +300,7 @@ class _Memory:
         out[missed], rare[missed] = p, open_
         self.fresh.append((gram[missed], p, open_))
         self.size += len(missed)
-        if self.size > 200_000:
+        if self.size > 100_000:
             old = [self.known] if len(known) + self.size <= _REMEMBERED else []
             all_of_it = [np.concatenate(x) for x in zip(*old, *self.fresh, strict=True)]
             key, first = np.unique(all_of_it[0], return_index=True)
@@ -313,14 +320,20 @@ def _remembered(tree: SuffixTree) -> _Memory:
 def _tree_scores(tree: SuffixTree, stream: np.ndarray, bounds: np.ndarray):
     """log10 probability of each row without the positions of rarer contexts; of those (row, gram, times, p)."""
     rows = len(bounds) - 1
-    row = np.repeat(np.arange(rows), np.diff(bounds))
-    gram, back = np.unique(_grams(stream, bounds), return_inverse=True)
+    gram = _grams(stream, bounds)
+    order = np.argsort(gram)
+    row = np.repeat(np.arange(rows, dtype=np.int32), np.diff(bounds))[order]
+    gram = gram[order]
+    first = np.flatnonzero(np.diff(gram, prepend=-1))
+    size = np.diff(first, append=len(gram))
+    gram = gram[first]
     log_p, more = _remembered(tree).probabilities(tree, gram)
-    total = np.bincount(row, np.where(more, 0.0, log_p)[back], rows)
-    far = np.flatnonzero(more[back])
-    key, times = np.unique(row[far] * len(gram) + back[far], return_counts=True)
-    where, which = np.divmod(key, max(1, len(gram)))
-    return total, where, gram[which], times, 10 ** log_p[which]
+    total = np.bincount(row, np.repeat(np.where(more, 0.0, log_p), size), rows)
+    which = np.flatnonzero(more)
+    far = np.flatnonzero(np.repeat(more, size)) if len(which) else which
+    key, times = np.unique(row[far].astype(np.int64) * max(1, len(which)) + np.repeat(np.arange(len(which)), size[which]), return_counts=True)
+    where, nth = np.divmod(key, max(1, len(which)))
+    return total, where, gram[which[nth]], times, 10 ** log_p[which[nth]]
 
 
 def _rare_scores(scored: DataFrame, rare: DataFrame) -> DataFrame:
