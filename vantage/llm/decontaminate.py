@@ -1,20 +1,24 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
-Test items and documents are word sequences (letters and digits, in lower case).  An item of m words may be changed by
-b = floor(m * ``ERROR_SHARE``) word insertions, deletions or substitutions.  It is split into b + 1 pieces, of which one at least is
+Test items and documents are word sequences: runs of letters and digits of any script, in lower case; in scripts that are written
+without spaces (Chinese, Japanese, Thai, Lao, Khmer, Burmese) each letter is a word.  An item of m words may be changed by
+b = floor(m * ``ERROR_SHARE``) word insertions, deletions or substitutions; items of fewer than ``MIN_EDITED`` words, too short to be
+told from other phrases when changed, are searched unchanged (b = 0).  An item is split into b + 1 pieces, of which one at least is
 unchanged in any such copy; an Aho-Corasick automaton finds all exact piece hits in a document's whole text, and Myers'
 bit-parallel algorithm verifies the window around each hit for a semi-global match of at most b errors.
 
 Items are the stated query set: they are read in blocks of ``BLOCK_WORDS`` words, each sent to all tasks in turn against all
 documents, so what is broadcast is bounded whatever the number of items.
 
-Defined results: null, empty and word-free texts match nothing, nor do items of fewer than ``MIN_WORDS`` words (too short to be
-told from common phrases); equal items are reported each; a document that holds an item several times has one row for it, of its
-best match (fewest errors, then first); other columns are passed by.
+Defined results: null, empty and word-free texts match nothing, and items without words match no text; very long texts are searched
+whole; equal items are reported each; a document that holds an item several times has one row for it, of its best match (fewest
+errors, then first); rows that repeat an id are reported each; no documents or no items give no rows; other columns, whatever their
+names, are ignored by ``matches`` and pass through ``clean``.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import ahocorasick
@@ -24,20 +28,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textkernel import ALNUM, LOWER, column_bytes
+from .textkernel import column_bytes
 
-ERROR_SHARE, MIN_WORDS, BLOCK_WORDS = 0.2, 8, 200_000
-_SEPARATE = np.where(ALNUM, LOWER, 32).astype(np.uint8)
+ERROR_SHARE, MIN_EDITED, BLOCK_WORDS = 0.2, 8, 200_000
+#: letters of scripts without spaces: Thai, Lao, Burmese, Khmer, kana, Han
+_SINGLE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_WORD = re.compile(rf"[^\W_{_SINGLE}]+|[{_SINGLE}]")
 
 
-def _words(data: np.ndarray) -> list[str]:
-    """The words of a text, in lower case; bytes stand as Latin-1 characters."""
-    low = np.frombuffer(data.tobytes().decode("utf-8", "replace").lower().encode(), np.uint8)
-    return _SEPARATE[low].tobytes().decode("latin-1").split()
+def _words(text: str) -> list[str]:
+    return _WORD.findall(text.lower())
 
 
 def budget(m: int, share: float) -> int:
-    return int(m * share)
+    return int(m * share) if m >= MIN_EDITED else 0
 
 
 def pieces(m: int, b: int) -> list[tuple[int, int]]:
@@ -88,20 +92,20 @@ class Matcher:
             self.automaton.make_automaton()
         self.empty = not at
 
-    def find(self, data: np.ndarray) -> dict[int, tuple[int, int]]:
-        """Item number -> (errors, number of the match's last word) in a text's bytes."""
+    def find(self, content: str) -> dict[int, tuple[int, int]]:
+        """Item number -> (errors, number of the match's last word) in a text."""
         if self.empty:
             return {}
-        words = _words(data)
+        words = _words(content)
         text = " " + " ".join(words) + " "
         hits = list(self.automaton.iter(text))
         if not hits:
             return {}
-        spaces = np.flatnonzero(np.frombuffer(text.encode("latin-1"), np.uint8) == 32)
+        starts = np.cumsum([0, *(len(w) + 1 for w in words)])  # of the space before each word
         found: dict[int, tuple[int, int]] = {}
         done: set[tuple[int, int]] = set()
         for end, (length, where) in hits:
-            word = int(np.searchsorted(spaces, end - length + 1))
+            word = int(np.searchsorted(starts, end - length + 1))
             for i, a in where:
                 m = len(self.items[i][1])
                 b = budget(m, self.share)
@@ -115,11 +119,18 @@ class Matcher:
         return found
 
 
+def _texts(column) -> Iterator[str]:
+    """The texts of an Arrow column one by one; a null is an empty one."""
+    data, off = column_bytes(column)
+    for a, b in zip(off[:-1], off[1:], strict=True):
+        yield data[a:b].tobytes().decode("utf-8", "replace")
+
+
 def _blocks(items: DataFrame, share: float, item_col: str, text_col: str) -> Iterator[list[tuple[int, list[str]]]]:
     block, size = [], 0
     for r in items.where(F.col(text_col).isNotNull() & F.col(item_col).isNotNull()).select(item_col, text_col).toLocalIterator():
-        item = _words(np.frombuffer(r[1].encode(), np.uint8))
-        if len(item) < MIN_WORDS:
+        item = _words(r[1])
+        if not item:
             continue
         block.append((r[0], item))
         size += len(item)
@@ -139,8 +150,7 @@ def matches(docs: DataFrame, items: DataFrame, share: float = ERROR_SHARE, text_
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(block, share)
             for batch in batches:
-                data, off = column_bytes(batch.column(1))
-                rows = [(r, i, *hit) for r in range(len(off) - 1) for i, hit in sorted(matcher.find(data[off[r] : off[r + 1]]).items())]
+                rows = [(r, i, *hit) for r, text in enumerate(_texts(batch.column(1))) for i, hit in sorted(matcher.find(text).items())]
                 ids = batch.column(0).take(pa.array([r[0] for r in rows], pa.int64()))
                 columns = [[block[r[1]][0] for r in rows], [r[2] for r in rows], [len(block[r[1]][1]) for r in rows], [r[3] for r in rows]]
                 yield pa.RecordBatch.from_arrays([ids, pa.array(columns[0], pa.int64()), *(pa.array(c, pa.int32()) for c in columns[1:])], schema.names)
@@ -157,8 +167,7 @@ def holds_item(items: DataFrame, share: float = ERROR_SHARE):
         def run(text: pa.Array, block=block, held: list = []) -> pa.Array:  # noqa: B006  a worker's matcher is built once
             if not held:
                 held.append(Matcher(block, share))
-            data, off = column_bytes(text)
-            return pa.array([bool(held[0].find(data[off[r] : off[r + 1]])) for r in range(len(off) - 1)], pa.bool_())
+            return pa.array([bool(held[0].find(x)) for x in _texts(text)], pa.bool_())
 
         out.append(_column_function(run))
     return out

@@ -2,14 +2,22 @@
 
 For each language a suffix automaton of labelled text recognises all its substrings.  A text is parsed greedily into the longest
 phrases that a language's automaton holds; a phrase costs as many bits as a pointer into that language's text, and the language
-with the lowest cost wins.  The automata are compiled into one transition table, and all texts of a slice are parsed in step, in
-lanes of ``LANE`` symbols (a phrase ends with its lane).
+with the lowest cost wins.
 
-Labelled text is sampled: about ``SAMPLE_CHARS`` characters of each language, in pieces of ``PIECE`` of the rows with the lowest hash of doc_id.  Symbols
-are lower-case letters; every run of other characters is one space.
+Symbols do not depend on the languages at hand: a run of other characters than letters is one space, an ASCII letter is one symbol
+(in lower case), and each UTF-8 byte of any other letter is two, its upper and its lower half.  So all letters of all scripts are
+told apart with ``SYMBOLS`` symbols.
+
+The automata are compiled into one transition table, and all texts of a slice are parsed in step, in lanes of ``LANE`` symbols.  A
+lane begins in the state that the lane before it ends in: each is parsed from a fresh start first, and then again from the true
+state until both parses are in the same state, from where on they are one.  So long texts are parsed as if at one go.
+
+Labelled text is sampled: about ``SAMPLE_CHARS`` characters of each language, fewer if ``TOTAL_CHARS`` for all languages together would
+be exceeded (this bounds the table that tasks hold), in pieces of ``PIECE`` of the rows with the lowest hash of doc_id.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; without any labelled text every text is ``und``;
-equal costs go to the language that is first by code point; repeated rows get equal results; other columns are passed by.
+very long texts are parsed whole; equal costs go to the language that is first by code point; repeated rows get equal results; an
+empty table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -25,15 +33,15 @@ from pyspark.sql import types as T
 
 from .textkernel import slices
 
-SAMPLE_CHARS, PIECE, LANE, SYMBOLS = 30_000, 500, 256, 64
+SAMPLE_CHARS, TOTAL_CHARS, PIECE, LANE, SYMBOLS = 30_000, 400_000, 500, 256, 64
 _LETTER = np.array([chr(c).isalpha() for c in range(0x10000)])
-_SPACE, _OTHER, _PAD = 0, 1, 2
+#: symbols: space, padding, 26 letters, 16 upper halves and 16 lower halves of bytes
+_SPACE, _PAD, _LOWER, _HIGH, _LOW = 0, 1, 2, 28, 44
 
 
 @dataclass
 class LanguageModel:
     langs: list[str]
-    symbol: np.ndarray  # of each code point of the basic plane
     table: np.ndarray  # (state, symbol) -> next state * 4 + phrases that end
     root: np.ndarray
     bits: np.ndarray  # of a phrase
@@ -70,43 +78,51 @@ def _automaton(text: np.ndarray) -> list[dict[int, int]]:
     return step
 
 
-def _code_points(data: np.ndarray) -> np.ndarray:
-    return np.frombuffer(data.tobytes().decode("utf-8", "replace").lower().encode("utf-32-le"), np.uint32)
-
-
-def _basic(points: np.ndarray) -> np.ndarray:
-    return np.minimum(points, 0xFFFF)
-
-
 def _letters(points: np.ndarray) -> np.ndarray:
-    out = _LETTER[_basic(points)]
+    out = _LETTER[np.minimum(points, 0xFFFF)]
     far = np.flatnonzero(points > 0xFFFF)
     if len(far):
         out[far] = [chr(c).isalpha() for c in points[far].tolist()]
     return out
 
 
-def _squeezed(codes: np.ndarray) -> np.ndarray:
-    keep = np.ones(len(codes), bool)
-    keep[1:] = (codes[1:] != _SPACE) | (codes[:-1] != _SPACE)
-    return keep
+def symbols(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbol, row of it, whether the row has a letter) of texts given as UTF-8 bytes with row offsets."""
+    n = len(off) - 1
+    text = data.tobytes().decode("utf-8", "replace").lower()
+    starts = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[off]
+    if starts[-1] != len(text):  # lower() may change lengths
+        rows = [data[a:b].tobytes().decode("utf-8", "replace").lower() for a, b in zip(off[:-1], off[1:], strict=True)]
+        text = "".join(rows)
+        starts = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    row = np.repeat(np.arange(n, dtype=np.int32), np.diff(starts))
+    letter = _letters(points)
+    has = np.bincount(row[letter], minlength=n) > 0
+    keep = letter.copy()  # of other characters the first of a run
+    keep[1:] |= letter[:-1] | (row[1:] != row[:-1])
+    keep[:1] = True
+    points, row, letter = points[keep], row[keep], letter[keep]
+    plain = (points >= 97) & (points <= 122) & letter
+    wide = letter & ~plain
+    size = np.where(wide, 2 * (1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)), 1)
+    first = np.concatenate([[0], np.cumsum(size)])
+    out = np.full(first[-1], _SPACE, np.uint8)
+    out[first[:-1][plain]] = points[plain] - 97 + _LOWER
+    raw = np.frombuffer("".join(map(chr, points[wide].tolist())).encode("utf-8", "surrogatepass"), np.uint8)
+    place = np.repeat(first[:-1][wide], size[wide] // 2) + 2 * (np.arange(len(raw)) - np.repeat(np.cumsum(size[wide] // 2) - size[wide] // 2, size[wide] // 2))
+    out[place], out[place + 1] = _HIGH + (raw >> 4), _LOW + (raw & 15)
+    return out, np.repeat(row, size), has
 
 
 def fit(texts: dict[str, str]) -> LanguageModel:
     """Builds the model of labelled texts, language by language."""
     langs = sorted(x for x in texts if texts[x])
-    points = {x: _code_points(np.frombuffer(texts[x].encode(), np.uint8)) for x in langs}
-    seen = np.zeros(0x10000, np.int64)
-    for p in points.values():
-        np.add.at(seen, _basic(p)[_letters(p)], 1)
-    symbol = np.where(_LETTER, _OTHER, _SPACE).astype(np.int64)
-    common = np.argsort(-seen, kind="stable")[: SYMBOLS - 3]
-    common = common[seen[common] > 0]
-    symbol[common] = 3 + np.arange(len(common))
-    tables, roots, at = [], [], 0
+    tables, roots, sizes, at = [], [], [], 0
     for x in langs:
-        codes = symbol[_basic(points[x])]
-        step = _automaton(codes[_squeezed(codes)])
+        data = np.frombuffer(texts[x].encode("utf-8", "replace"), np.uint8)
+        codes, _, _ = symbols(data, np.array([0, len(data)]))
+        step = _automaton(codes)
         dense = np.full((len(step), SYMBOLS), -1, np.int64)
         for s, d in enumerate(step):
             dense[s, list(d)] = list(d.values())
@@ -118,28 +134,14 @@ def fit(texts: dict[str, str]) -> LanguageModel:
         out[:, _PAD] = (np.arange(len(step)) + at) * 4
         tables.append(out.astype(np.int32))
         roots.append(at)
+        sizes.append(len(codes))
         at += len(step)
-    bits = np.array([np.log2(max(2, len(points[x]))) for x in langs])
-    return LanguageModel(langs, symbol, np.concatenate(tables) if tables else np.zeros((0, SYMBOLS), np.int32), np.array(roots, np.int64), bits)
+    bits = np.array([np.log2(max(2, n)) for n in sizes])
+    return LanguageModel(langs, np.concatenate(tables) if tables else np.zeros((0, SYMBOLS), np.int32), np.array(roots, np.int64), bits)
 
 
-def _costs(model: LanguageModel, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bits by language, whether it has a letter) of each text."""
-    n = len(off) - 1
-    text = data.tobytes().decode("utf-8", "replace").lower()
-    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    # code points by row: lower() may change lengths, so rows are found from the lowered texts when it does
-    starts = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[off]
-    if starts[-1] != len(points):
-        rows = [data[a:b].tobytes().decode("utf-8", "replace").lower() for a, b in zip(off[:-1], off[1:], strict=True)]
-        points = np.frombuffer("".join(rows).encode("utf-32-le"), np.uint32)
-        starts = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
-    row = np.repeat(np.arange(n), np.diff(starts))
-    has = np.bincount(row[_letters(points)], minlength=n) > 0
-    codes = model.symbol[_basic(points)]
-    keep = np.ones(len(codes), bool)
-    keep[1:] = (codes[1:] != _SPACE) | (codes[:-1] != _SPACE) | (row[1:] != row[:-1])
-    codes, row = codes[keep], row[keep]
+def _phrases(model: LanguageModel, codes: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    """Number of phrases by row and language; rows are runs of ``codes``."""
     size = np.bincount(row, minlength=n)
     first = np.concatenate([[0], np.cumsum(size)])
     lanes = -(-size // LANE)
@@ -149,16 +151,52 @@ def _costs(model: LanguageModel, data: np.ndarray, off: np.ndarray) -> tuple[np.
     end = np.minimum(at + LANE, first[owner + 1])
     grid = at[None, :] + np.arange(LANE)[:, None]
     grid = np.where(grid < end[None, :], np.append(codes, _PAD)[np.minimum(grid, len(codes))], _PAD).astype(np.int32)
-    total = np.zeros((len(model.langs), len(owner)), np.int64)
-    state = np.repeat(model.root[:, None], len(owner), 1).astype(np.int32)
+    langs, width = len(model.langs), len(owner)
     flat = model.table.ravel()
+    root = np.repeat(model.root[:, None], width, 1).astype(np.int32)
+    long = bool((lanes > 1).any())
+    states = np.zeros((LANE, langs, width), np.int32) if long else None
+    counts = np.zeros((LANE + 1, langs, width), np.int16) if long else None
+    state, total = root, np.zeros((langs, width), np.int64)
     for i in range(LANE):
         step = flat[state * np.int32(SYMBOLS) + grid[i]]
         total += step & 3
         state = step >> 2
-    total += state != model.root[:, None]  # the phrase that a lane leaves open
-    cost = np.array([np.bincount(owner, t, n) for t in total]).reshape(len(model.langs), n).T * model.bits
-    return cost, has
+        if long:
+            states[i], counts[i + 1] = state, total
+    if long:
+        fresh, final, entry = total.copy(), state.copy(), root
+        while True:
+            before = np.where(nth[None, :] > 0, np.roll(final, 1, 1), root)
+            lang, lane = np.nonzero(before != entry)
+            if not len(lane):
+                break
+            entry = before
+            now, seen = entry[lang, lane], np.zeros(len(lane), np.int64)
+            total[lang, lane] = 0
+            for i in range(LANE):  # until the parse from the true state and the fresh one agree
+                step = flat[now * np.int32(SYMBOLS) + grid[i, lane]]
+                seen += step & 3
+                now = step >> 2
+                same = now == states[i, lang, lane]
+                if same.any():
+                    x, y = lang[same], lane[same]
+                    total[x, y] = seen[same] + fresh[x, y] - counts[i + 1, x, y]
+                    final[x, y] = state[x, y]
+                    lang, lane, now, seen = (z[~same] for z in (lang, lane, now, seen))
+                    if not len(lane):
+                        break
+            total[lang, lane], final[lang, lane] = seen, now
+        state = final
+    last = np.append(nth[1:] == 0, True) if width else np.zeros(0, bool)
+    total[:, last] += (state != root)[:, last]  # the phrase that the text's end leaves open
+    return np.array([np.bincount(owner, t, n) for t in total]).reshape(langs, n).T
+
+
+def _costs(model: LanguageModel, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bits by language, whether it has a letter) of each text."""
+    codes, row, has = symbols(data, off)
+    return _phrases(model, codes, row, len(off) - 1) * model.bits, has
 
 
 def _predicted(model: LanguageModel, column) -> tuple[list[str], np.ndarray]:
@@ -187,7 +225,7 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> Da
 
 
 def train(docs: DataFrame, where: Column | None = None, sample_chars: int = SAMPLE_CHARS) -> LanguageModel:
-    """Samples about ``sample_chars`` characters of each language.
+    """Samples about ``sample_chars`` characters of each language, of many languages ``TOTAL_CHARS`` in all.
 
     Rows are taken where their hash falls below a share that is set for twice that much text; of these few rows the driver keeps
     the lowest hashes until the characters suffice.  Of a longer text a piece from a hashed place is taken, so that many texts
@@ -197,6 +235,7 @@ def train(docs: DataFrame, where: Column | None = None, sample_chars: int = SAMP
     if where is not None:
         rows = rows.where(where)
     sizes = {r["lang"]: (r["n"], r["chars"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.least(F.length("text"), F.lit(PIECE))).alias("chars")).toLocalIterator()}
+    sample_chars = min(sample_chars, TOTAL_CHARS // max(1, len(sizes)))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     share = {x: min(1.0, max(2 * sample_chars / max(1, chars), 24 / n)) for x, (n, chars) in sizes.items()}
     if not share:

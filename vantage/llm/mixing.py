@@ -9,9 +9,10 @@ ceil(rate) times.  Size classes in order make the sample follow the size distrib
 Prefix sums are counted in three levels (size class, slice of the hash, document), so a source that holds most rows is dealt over
 many tasks; only tables of one row for each source and size class are summed in one window.
 
-Defined results: null and empty texts have size 0 and are sampled like others; a source without words has target 0; a null source
-is a source of its own, last in order; rows that repeat an id are rows of their own; an empty table gives no rows; offsets come
-from ``seed`` and the source's name, so reruns agree.
+Defined results: null and empty texts have size 0 and are sampled like others; very long texts are counted whole; a source without
+words has target 0; a null source is a source of its own, last in order; rows that repeat an id are rows of their own, in any order
+if they tie; an empty table gives no rows; other columns, whatever their names, pass through ``emit`` and are ignored by ``mix``;
+offsets come from ``seed`` and the source's name, so reruns agree.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import numbered, written
 
 WEIGHTS, BUDGET, CAP, SLICES = (3, 1, 2), 1.5, 2.0, 2
 
@@ -50,10 +51,10 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, budget: float = BUDGET, ca
     return sources.select("key", "source_size", F.when(F.col("full"), F.col("ceiling")).otherwise(F.col("weight") * common).alias("target"))
 
 
-def _rows(docs: DataFrame, keep: list[str]) -> DataFrame:
+def _rows(docs: DataFrame, row: str) -> DataFrame:
     digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     key = F.coalesce(F.concat(F.lit("0"), F.col("source")), F.lit("1"))  # null after all others
-    rows = docs.select(F.struct(*keep).alias("row"), F.col("doc_id").alias("id"), key.alias("key"), word_count(F.col("text")).alias("size"), digest.alias("digest"))
+    rows = docs.select(F.col(row).alias("row"), F.col("doc_id").alias("id"), key.alias("key"), word_count(F.col("text")).alias("size"), digest.alias("digest"))
     size_class = F.expr("length(bin(size)) * 16 + shiftright(size, greatest(length(bin(size)) - 4, 0))")
     return rows.withColumns({"class": size_class, "slice": F.substring("digest", 1, SLICES), "place": F.substring("digest", SLICES + 1, 16)}).drop("digest")
 
@@ -78,11 +79,13 @@ def _copies(rows: DataFrame, weights, budget: float, cap: float, seed: int) -> D
 
 def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, cap: float = CAP, seed: int = 1) -> DataFrame:
     """doc_id, size, source_size, target, taken (words that the mix takes of the document, repeats counted), copies of every row."""
-    out = _copies(written(_rows(docs, ["doc_id"])), weights, budget, cap, seed)
-    return out.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+    out = _copies(written(_rows(docs, "doc_id")), weights, budget, cap, seed)
+    return out.select(F.col("row").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
 def emit(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, cap: float = CAP, seed: int = 1) -> DataFrame:
-    """The mixed corpus: the columns of ``docs``, each row as often as it is taken."""
-    out = _copies(_rows(docs, docs.columns), weights, budget, cap, seed)
-    return out.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
+    """The mixed corpus: the columns of ``docs``, each row as often as it is taken.  Texts are counted once and move once, when taken rows are fetched."""
+    keyed, row = numbered(docs)
+    taken = _copies(written(_rows(keyed, row)), weights, budget, cap, seed).where("copies > 0")
+    each = taken.select(F.col("row").alias(row), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(row)
+    return keyed.join(each, row).drop(row)

@@ -7,23 +7,28 @@ error at most; so every chunk is indexed once for each symbol that may be wrong
 ``2 * CHUNKS - 1`` meet in some bucket.  For pairs at J = 0.8, where 9.6 of 48 symbols differ on average, the chance of more than
 23 differing symbols is below 1e-5.
 
-Candidate pairs are confirmed on their full sets, taken from the texts.  Rows of equal word sequences form one class beforehand
-and only a class's first document takes part, so groups of exact copies cost one row each.  Within a bucket, pairs are tried as
-stars first (each document with the bucket's centre).  Where a bucket then still holds several components, its signatures are
-compared in blocks, different components only: first each document is tried with the nearest of each other component, then, where
-components are still apart, with all that are near.  Near pairs alone become rows.  So every pair of a bucket is tried or already
-joined, and no group is expanded into all its pairs.
+Rows have keys of their own, so ids may repeat.  Rows of equal word sequences form one class beforehand and only a class's first row
+takes part, so groups of exact copies cost one row each.  Links are found on the full sets, never on signatures alone:
 
-Components come from minimum labels with pointer jumping on tables in the shared folder; nothing is gathered on the driver.
+1. Each document of a bucket is compared with the bucket's centre; the centre's set travels once for every ``STAR`` documents.
+2. Where a bucket then still holds several components, its documents are compared with each other in one task: pairs of different
+   components, near by signature, by their sets.  A link joins two components at once, so a bucket gives fewer links than it has
+   components; documents that are near but below the limit give no row at all.  Buckets of the same members count once, of the
+   buckets that two documents share only the first compares them, and a large bucket is dealt into blocks by rows and by set size.
+
+Components come from minimum labels with pointer jumping on tables in the shared folder; nothing is gathered on the driver.  Where a
+table with one row for each key meets rows of which a key may hold a large part, the keys of more than a ``HOT_SHARE``-th of all rows
+(so fewer than ``HOT_SHARE`` keys) are broadcast and the others shuffled.
 
 Defined results: a null or empty text, or one without words, has an empty set and stays alone; a text of fewer than ``k`` words has
-one shingle, its whole sequence; rows that repeat an id and text fall into one class; other columns are ignored.
+one shingle, its whole sequence; very long texts are taken whole; rows that repeat an id are rows of their own, those that repeat a
+text too fall into one class; a row without id takes part, comes after all others, and is kept if its component has no id and it is
+its first row; an empty table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -36,14 +41,12 @@ from .textkernel import distinct_per_row, mix, sequence_keys, shingles, slices,
 
 SYMBOLS, CHUNKS = 48, 12
 DISTANCE = 2 * CHUNKS - 1
-_WIDTH, _BLOCK, _GROUP = SYMBOLS // CHUNKS, 1024, 8192
+STAR, HOT_SHARE = 2048, 1000
+_WIDTH, _BLOCK, _GROUP, _GROUP_SHINGLES = SYMBOLS // CHUNKS, 1024, 8192, 1 << 22
+_LAST = (1 << 63) - 1
 _rng = np.random.default_rng(48)
 _A = _rng.integers(1, 2**63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 2**63, SYMBOLS, dtype=np.uint64)
-#: a longer signature of 8-bit symbols sifts pairs before their texts are fetched: at J = 0.8, 153 of 768 symbols differ on average, and more than 206 in two of 10^6 pairs
-LONG, LONG_DISTANCE = 768, 206
-_LONG_A = _rng.integers(1, 2**63, LONG, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_LONG_B = _rng.integers(0, 2**63, LONG, dtype=np.uint64)
 
 
 def _signatures(h: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
@@ -61,7 +64,7 @@ def _signatures(h: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
 def _described(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, off in slices(batch.column(1)):
+            for lo, hi, data, off in slices(batch.column(2)):
                 w = words(data, off)
                 h, row = shingles(w, k)
                 _, _, n = distinct_per_row(h, row, hi - lo)
@@ -70,12 +73,27 @@ def _described(k: int):
                 offsets = np.arange(hi - lo + 1, dtype=np.int32) * (2 * SYMBOLS)
                 binary = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(offsets), pa.py_buffer(sig.tobytes())])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(n), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), binary], ["doc_id", "n_shingles", "k1", "k2", "sig"]
+                    [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(n), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), binary],
+                    ["row_key", "doc_id", "n_shingles", "k1", "k2", "sig"],
                 )
 
     return run
 
 
+def _sets(k: int):
+    """(rep, set): the distinct shingle hashes of each row, in order, as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, off in slices(batch.column(1)):
+                h, _, n = distinct_per_row(*shingles(words(data, off), k), hi - lo)
+                offsets = np.concatenate([[0], np.cumsum(8 * n)]).astype(np.int32)
+                binary = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(offsets), pa.py_buffer(h.tobytes())])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), binary], ["rep", "set"])
+
+    return run
+
+
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each chunk and each of its symbols that may be wrong."""
     for batch in batches:
@@ -97,74 +115,100 @@ def _distance(x: pa.Array, y: pa.Array) -> pa.Array:
     return pa.array((a != b).sum(1).astype(np.int32))
 
 
-def _overlap(k: int):
-    @F.arrow_udf(T.LongType())
-    def overlap(x: pa.Array, y: pa.Array) -> pa.Array:
-        """Size of the two texts' common set and of their union, in the high and the low 32 bits."""
-        out = np.zeros(len(x), np.int64)
-        step = 128
-        for at in range(0, len(x), step):
-            both = pa.concat_arrays([z.combine_chunks() if isinstance(z, pa.ChunkedArray) else z for z in (x.slice(at, step), y.slice(at, step))])
-            n = len(both) // 2
-            sets: list[np.ndarray] = []
-            for lo, hi, data, off in slices(both):
-                h, _, count = distinct_per_row(*shingles(words(data, off), k), hi - lo)
-                sets += np.split(h, np.cumsum(count)[:-1])
-            for i in range(n):
-                common = len(np.intersect1d(sets[i], sets[n + i], assume_unique=True))
-                out[at + i] = (common << 32) | (len(sets[i]) + len(sets[n + i]) - common)
-        return pa.array(out)
-
-    return overlap
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(node, label) of all ends of ``edges`` (a, b): label is the smallest node that can be reached.  Ids must not be null."""
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """Size of the common set of two sorted sets, neither empty."""
+    if len(a) > len(b):
+        a, b = b, a
+    return int(np.count_nonzero(b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a))
+
+
+def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
+    common = _common(a, b)
+    return 100 * common >= percent * (len(a) + len(b) - common)
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], size: str, total: int) -> DataFrame:
+    """``left`` joined with ``right``, which has one row for each key and in ``size`` the number of ``left``'s rows with it, of ``total``."""
+    hot = right.where(F.col(size) * HOT_SHARE > total)
+    if hot.isEmpty():
+        return left.join(right.drop(size), on)
+    frequent = left.join(F.broadcast(hot.drop(size)), on)
+    others = left.join(F.broadcast(hot.select(*on)), on, "left_anti").join(right.where(F.col(size) * HOT_SHARE <= total).drop(size), on)
+    return frequent.unionByName(others)
+
+
+def components(edges: DataFrame, first: DataFrame | None = None) -> DataFrame:
+    """(node, label) of all ends of ``edges`` (a, b): the smallest label of a node that can be reached.
+
+    A node's own label is {its rank in ``first`` (node, rank), or itself; itself}.  Nodes must not be null.
+    """
     both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")).select("node", F.least("node", "label").alias("label")))
+    nodes = written(both.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("degree")))
+    total = both.count()
+    ranked = nodes.join(first, "node") if first is not None else nodes.withColumn("rank", F.col("node"))
+    labels = written(ranked.select("node", "degree", F.struct("rank", "node").alias("label")))
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("other"))
-        less = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "other").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        now = written(less.join(jump, "label").select("node", F.least("label", "next").alias("label"), "old"))
-        changed = now.where("label < old").limit(1).count()
-        drop_written(labels)
+        near = spread_join(both, labels.select(F.col("node").alias("b"), "label", "degree"), ["b"], "degree", total).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("other"))
+        less = written(labels.join(near, "node").select("node", "degree", F.col("label").alias("old"), F.least("label", "other").alias("label")))
+        heads = less.groupBy(F.col("label.node").alias("head")).agg(F.count("*").alias("n"))
+        jump = written(heads.join(labels.select(F.col("node").alias("head"), F.col("label").alias("next")), "head"))
+        now = written(spread_join(less.withColumn("head", F.col("label.node")), jump, ["head"], "n", less.count()).select("node", "degree", F.least("label", "next").alias("label"), "old"))
+        changed = not now.where("label < old").isEmpty()
+        for table in (labels, less, jump):
+            drop_written(table)
         labels = now
         if not changed:
             drop_written(both)
+            drop_written(nodes)
             return now.select("node", "label")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id (smallest id reachable over links), kept."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    described = written(texts.mapInArrow(_described(k), "doc_id long, n_shingles long, k1 long, k2 long, sig binary"))
-    reps = written(described.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")))
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """One row per row of ``docs``: row_key, doc_id, n_shingles, component_id (smallest id reachable over links), kept, first.
+
+    ``kept``: whether the row has its component's id; ``first``: whether it is the one row that stands for its component.  ``row_col``:
+    a column of unique numbers, for a table that has one and gives the same at each reading; else rows are numbered.
+    """
+    row_key = F.monotonically_increasing_id() if row_col is None else F.col(row_col).cast("long")
+    texts = docs.select(row_key.alias("row_key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    texts = texts if row_col else written(texts)
+    described = written(texts.mapInArrow(_described(k), "row_key long, doc_id long, n_shingles long, k1 long, k2 long, sig binary"))
+    head = F.min(F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("rank"), F.col("row_key").alias("rep")))
+    reps = described.where("n_shingles > 0").groupBy("k1", "k2").agg(head.alias("head"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n"), F.count("*").alias("rows"))
+    reps = written(reps.select("k1", "k2", "head.rank", "head.rep", "sig", "n", "rows"))
     keys = written(_shared_buckets(reps))
-    wanted = keys.select(F.col("rep").alias("doc_id")).distinct()
-    own = written(texts.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi"))
-    pairs = written(_within(_stars(keys), reps))
-    edges = written(_links(_compared(pairs, own, k), percent))
-    labels = components(edges)
-    mixed = written(_mixed(keys, labels))
-    for nearest in (True, False):
-        if mixed.isEmpty():
-            break
-        more = written(_crossed(mixed, reps, own, k, nearest).join(pairs, ["a", "b"], "left_anti"))
-        pairs = pairs.unionByName(more)
-        edges = written(edges.unionByName(_links(_compared(more, own, k), percent)))
-        labels = components(edges)
-        mixed = written(_mixed(mixed, labels))
-    out = described.join(reps.select("k1", "k2", "rep"), ["k1", "k2"], "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("label", "rep")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    wanted = keys.select(F.col("rep").alias("row_key")).distinct()
+    sets = written(texts.select("row_key", "text").join(wanted.hint("shuffle_hash"), "row_key", "left_semi").mapInArrow(_sets(k), "rep long, set binary"))
+    if not row_col:
+        drop_written(texts)
+    ranks = reps.select(F.col("rep").alias("node"), "rank")
+    edges = written(_star_links(_within(_stars(keys), reps), sets, percent))
+    labels = components(edges, ranks)
+    mixed = written(_mixed(keys, reps, labels))
+    if not mixed.isEmpty():
+        more = written(_crossed(mixed, reps, sets, percent))
+        if not more.isEmpty():
+            labels = components(edges.unionByName(more), ranks)
+        drop_written(more)
+    classes = written(reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", "rows", F.coalesce("label", F.struct("rank", F.col("rep").alias("node"))).alias("label")))
+    for table in (keys, sets, edges, mixed, reps):
+        drop_written(table)
+    rows = described.select("row_key", "doc_id", "n_shingles", "k1", "k2")
+    joined = spread_join(rows.where("n_shingles > 0"), classes, ["k1", "k2"], "rows", described.count()).drop("k1", "k2")
+    alone = rows.where("n_shingles = 0").drop("k1", "k2").withColumn("label", F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("rank"), F.col("row_key").alias("node")))
+    out = joined.unionByName(alone)
+    component, first = F.when(F.col("label.rank") < _LAST, F.col("label.rank")), F.col("row_key") == F.col("label.node")
+    out = out.select("row_key", "doc_id", "n_shingles", component.alias("component_id"), first.alias("first"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("first"))).select("row_key", "doc_id", "n_shingles", "component_id", "kept", "first")
 
 
 def _shared_buckets(reps: DataFrame) -> DataFrame:
-    """(bucket, rep) of buckets that hold two classes or more."""
+    """(bucket, rep, centre) of buckets that hold two classes or more."""
     keys = reps.select("rep", "sig").mapInArrow(_buckets, "bucket long, rep long")
-    shared = keys.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("centre")).where("n > 1").select("bucket", "centre")
-    return keys.join(shared, "bucket")
+    shared = written(keys.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("centre")).where("n > 1"))
+    return spread_join(keys, shared, ["bucket"], "n", SYMBOLS * reps.count())
 
 
 def _stars(keys: DataFrame) -> DataFrame:
@@ -173,64 +217,68 @@ def _stars(keys: DataFrame) -> DataFrame:
 
 
 def _within(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The pairs (a, b) of a signature distance up to the limit."""
+    """The pairs (a, b) of a signature distance up to the limit, with the number of pairs of ``a``."""
+    pairs = written(pairs)
+    degree = pairs.groupBy("a").agg(F.count("*").alias("n"))
     sig = reps.select("rep", "sig")
-    both = pairs.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b").withColumn("apart", _distance("sa", "sb"))
-    return both.where(F.col("apart") <= DISTANCE).select("a", "b")
-
-
-def _compared(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
-    """The pairs with the sizes of the common set and of the union, from the texts."""
-    both = pairs.join(texts.toDF("b", "tb"), "b").join(texts.toDF("a", "ta"), "a").withColumn("o", _overlap(k)("ta", "tb"))
-    return both.drop("ta", "tb").withColumns({"common": F.shiftright("o", 32), "union": F.col("o").bitwiseAND(F.lit(0xFFFFFFFF))}).drop("o")
-
-
-def _links(compared: DataFrame, percent: int) -> DataFrame:
-    return compared.where((F.col("common") > 0) & (100 * F.col("common") >= percent * F.col("union"))).select("a", "b")
+    centres = written(degree.join(sig.toDF("a", "sa"), "a").withColumn("stars", F.col("n")))
+    both = spread_join(pairs, centres, ["a"], "stars", pairs.count()).join(sig.toDF("b", "sb"), "b").withColumn("apart", _distance("sa", "sb"))
+    return written(both.where(F.col("apart") <= DISTANCE).select("a", "b", "n"))
 
 
-def _mixed(keys: DataFrame, labels: DataFrame) -> DataFrame:
-    """(bucket, rep, comp, blocks) of buckets that hold more than one component; blocks: how many blocks the bucket is dealt into."""
-    own = keys.select("bucket", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("label", "rep").alias("comp"))
-    found = own.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.ceil(F.count("*") / _GROUP).alias("blocks"))
-    return own.join(found.where("low < high").select("bucket", "blocks"), "bucket")
+def _star_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The linked ones of the pairs (a, b, n): each centre's set goes to a group for every ``STAR`` of its n pairs, and is compared there."""
+    dealt = pairs.select("a", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / STAR)).alias("part"), "b")
+    centres = dealt.select("a", "part").distinct().join(sets.withColumnRenamed("rep", "a"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "set")
+    others = dealt.join(sets.withColumnRenamed("rep", "b"), "b").select("a", "part", "b", "set")
+    rows = centres.unionByName(others).repartition("a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b"))
 
-
-def _long_signatures(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, centre = None, np.zeros(0, np.uint64)
         for batch in batches:
-            for lo, hi, data, off in slices(batch.column(1)):
-                h, row = shingles(words(data, off), k)
-                some, first = np.unique(row, return_index=True)
-                sig = np.zeros((hi - lo, LONG), np.uint8)
-                for j in range(LONG if len(some) else 0):
-                    sig[some, j] = mix(np.minimum.reduceat(h * _LONG_A[j] + _LONG_B[j], first)) & np.uint64(0xFF)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([r.tobytes() for r in sig], pa.binary())], ["rep", "long"])
+            out = []
+            for a, part, b, own in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                own = np.frombuffer(own, np.uint64)
+                if b is None:
+                    group, centre = (a, part), own
+                elif group == (a, part) and _similar(centre, own, percent):
+                    out.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    return run
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def _mixed(keys: DataFrame, reps: DataFrame, labels: DataFrame) -> DataFrame:
+    """(bucket, rep, comp, blocks) of buckets that hold more than one component, of those with the same members the first; blocks: how many it is dealt into."""
+    state = reps.select("rep", "n").join(labels.select(F.col("node").alias("rep"), F.col("label.node").alias("comp")), "rep", "left").select("rep", "n", F.coalesce("comp", "rep").alias("comp"))
+    own = written(keys.select("bucket", "rep").join(state, "rep"))
+    blocks = F.greatest(F.ceil(F.count("*") / _GROUP), F.ceil(F.sum("n") / _GROUP_SHINGLES))
+    members = [F.bit_xor(F.xxhash64("rep")).alias("m1"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("m2"), F.count("*").alias("size")]
+    found = own.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), blocks.alias("blocks"), *members).where("low < high")
+    once = written(found.groupBy("m1", "m2", "size").agg(F.min("bucket").alias("bucket"), F.first("blocks").alias("blocks")).select("bucket", "blocks", "size"))
+    return spread_join(own, once, ["bucket"], "size", own.count()).select("bucket", "rep", "comp", "blocks")
 
 
-def _crossed(mixed: DataFrame, reps: DataFrame, texts: DataFrame, k: int, nearest: bool) -> DataFrame:
-    """Pairs (a, b) of a bucket's documents of different components whose signatures are near enough; or of each document with the nearest of each other component.
+def _crossed(mixed: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between a bucket's documents of different components, enough to join all that links join.
 
     A bucket of many documents is dealt into blocks, and each pair of blocks is a group of its own, so no task holds a whole bucket.
     """
-    used = mixed.select(F.col("rep").alias("doc_id")).distinct()
-    long = texts.join(used, "doc_id", "left_semi").mapInArrow(_long_signatures(k), "rep long, long binary")
-    both = written(reps.select("rep", "sig").join(long, "rep"))
     block = F.pmod(F.xxhash64("rep"), F.col("blocks"))
     dealt = mixed.select("bucket", "rep", "comp", block.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
     group = F.when((F.col("own") == 0) & (F.col("other") == 0), F.col("bucket")).otherwise(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")))
     side = F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own"))
     slot = F.shiftright("bucket", 48).cast("int")
-    rows = dealt.select(group.alias("group"), "rep", "comp", side.alias("side"), slot.alias("slot")).join(both, "rep").select("group", "rep", "comp", "side", "slot", "sig", "long")
-    return rows.repartition("group").sortWithinPartitions("group", "comp").mapInArrow(partial(_met, nearest), "a long, b long").distinct()
+    both = reps.select("rep", "sig").join(sets, "rep")
+    rows = dealt.select(group.alias("group"), "rep", "comp", side.alias("side"), slot.alias("slot")).join(both, "rep").select("group", "rep", "comp", "side", "slot", "sig", "set")
+    return rows.repartition("group").sortWithinPartitions("group", "comp").mapInArrow(_met(percent), "a long, b long").distinct()
 
 
-def _near_in_group(comp: np.ndarray, side: np.ndarray, slot: int, sig: np.ndarray, long: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(x, y, distance) of near rows of different components; rows are sorted by it, and the largest is not compared with itself.
+def _near_in_group(comp: np.ndarray, side: np.ndarray, slot: int, sig: np.ndarray, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(x, y) of near rows of different components, nearest first in a block; rows are sorted by component, and the largest is not compared with itself.
 
     Of the buckets that two documents share, only the first gives the pair; of blocks, those of different sides (-1: all).
+    ``label`` tells which rows are joined by now.
     """
     chunk, wrong = divmod(slot, _WIDTH)
     cuts = np.concatenate([[0], np.flatnonzero(np.diff(comp)) + 1, [len(comp)]])
@@ -240,60 +288,58 @@ def _near_in_group(comp: np.ndarray, side: np.ndarray, slot: int, sig: np.ndarra
     for x in range(0, len(rest), _BLOCK):
         for y in range(x, len(comp), _BLOCK):
             i, j = rest[x : x + _BLOCK], order[y : y + _BLOCK]
+            if (label[i] == label[i[0]]).all() and (label[j] == label[i[0]]).all():
+                continue
             apart = np.zeros((len(i), len(j)), np.uint8)
             for c in range(SYMBOLS):
                 apart += sig[i, c][:, None] != sig[j, c][None, :]
-            p, q = np.nonzero((apart <= DISTANCE) & (comp[i][:, None] != comp[j][None, :]))
+            p, q = np.nonzero((apart <= DISTANCE) & (label[i][:, None] != label[j][None, :]))
+            nearest = np.argsort(apart[p, q], kind="stable")
+            p, q = p[nearest], q[nearest]
             for at in range(0, len(p), 1 << 14):
                 u, v = i[p[at : at + (1 << 14)]], j[q[at : at + (1 << 14)]]
                 errors = (sig[u] != sig[v]).reshape(-1, CHUNKS, _WIDTH).sum(2)
                 here = ~(errors[:, :chunk] < 2).any(1) & ((errors[:, chunk] == 1) | (wrong == 0)) & ((side[u] < 0) | (side[u] != side[v]))
-                u, v = u[here], v[here]
-                far = (long[u] != long[v]).sum(1)
-                near = far <= LONG_DISTANCE
-                yield u[near], v[near], far[near]
-
-
-def _met_in_group(nearest: bool, rep: np.ndarray, comp: np.ndarray, side: np.ndarray, slot: int, sig: np.ndarray, long: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    best: dict[tuple[int, int], tuple[int, int]] = {}
-    for u, v, far in _near_in_group(comp, side, slot, sig, long):
-        if not nearest:
-            yield np.minimum(rep[u], rep[v]), np.maximum(rep[u], rep[v])
-            continue
-        for a, b in ((u, v), (v, u)):
-            order = np.lexsort((rep[b], far, comp[b], a))
-            a, b, d = a[order], b[order], far[order]
-            first = np.ones(len(a), bool)
-            first[1:] = (a[1:] != a[:-1]) | (comp[b[1:]] != comp[b[:-1]])
-            for x, y, z in zip(a[first].tolist(), b[first].tolist(), d[first].tolist(), strict=True):
-                key = (x, int(comp[y]))
-                best[key] = min(best.get(key, (z, y)), (z, y))
-    if best:
-        x, y = rep[[k[0] for k in best]], rep[[v[1] for v in best.values()]]
-        yield np.minimum(x, y), np.maximum(x, y)
-
-
-def _met(nearest: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Near pairs of rows (group, rep, comp, side, slot, sig, long), sorted by group and component."""
-
-    def compared(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+                yield u[here], v[here]
+
+
+def _met_in_group(rep: np.ndarray, comp: np.ndarray, side: np.ndarray, slot: int, sig: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    label, out = comp.copy(), []
+    for u, v in _near_in_group(comp, side, slot, sig, label):
+        for at in range(0, len(u), 256):
+            apart = np.flatnonzero(label[u[at : at + 256]] != label[v[at : at + 256]]) + at
+            for x, y in zip(u[apart].tolist(), v[apart].tolist(), strict=True):
+                if label[x] != label[y] and _similar(sets[x], sets[y], percent):
+                    out.append((int(rep[x]), int(rep[y])))
+                    label[label == label[y]] = label[x]
+    return out
+
+
+def _met(percent: int):
+    """Links of rows (group, rep, comp, side, slot, sig, set), sorted by group and component."""
+
+    def compared(rows: pa.Table) -> pa.RecordBatch:
         group, rep, comp, side, slot = (rows[c].to_numpy() for c in ("group", "rep", "comp", "side", "slot"))
         sig = np.frombuffer(b"".join(rows["sig"].to_pylist()), np.uint16).reshape(-1, SYMBOLS)
-        long = np.frombuffer(b"".join(rows["long"].to_pylist()), np.uint8).reshape(-1, LONG)
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(group)]])
+        out = []
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            for found in _met_in_group(nearest, rep[lo:hi], comp[lo:hi], side[lo:hi], int(slot[lo]), sig[lo:hi], long[lo:hi]):
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["a", "b"])
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows["set"].slice(lo, hi - lo)]
+            out += _met_in_group(rep[lo:hi], comp[lo:hi], side[lo:hi], int(slot[lo]), sig[lo:hi], sets, percent)
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        if held[0].column(0)[0] != batch.column(0)[-1]:  # all groups but the last are whole
-            rows = pa.Table.from_batches(held)
-            last = int(np.flatnonzero(np.diff(rows["group"].to_numpy()))[-1]) + 1
-            yield from compared(rows.slice(0, last))
-            held = rows.slice(last).combine_chunks().to_batches()
-    if held:
-        yield from compared(pa.Table.from_batches(held))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            if held[0].column(0)[0] != batch.column(0)[-1]:  # all groups but the last are whole
+                rows = pa.Table.from_batches(held)
+                last = int(np.flatnonzero(np.diff(rows["group"].to_numpy()))[-1]) + 1
+                yield compared(rows.slice(0, last))
+                held = rows.slice(last).combine_chunks().to_batches()
+        if held:
+            yield compared(pa.Table.from_batches(held))
+
+    return run

@@ -4,10 +4,13 @@ One set of hashed weights is shared by all grades: P(grade >= j) = logistic(s(te
 score s is the mean over a text's words of a weight for the word and one for its shape (kinds of bytes, length, repetition of the
 word before), plus a weight for the text's length class.  Expected grade and tail probability follow from the thresholds.
 
-Training uses at most ``MAX_TRAIN`` labelled documents (those with the lowest hash of doc_id); scoring covers all texts whole.
+Training uses at most ``MAX_TRAIN`` labelled documents (those with the lowest hash of doc_id) and at most as many bytes of their
+features as ``training.MAX_BYTES`` tells; scoring covers all texts whole.
 
 Defined results: null and empty texts, and texts without words, get the lowest grade and tail probability 0; if the labels hold
-one grade only, every text with words gets that grade; null labels are left out; other columns are passed by.
+one grade only, every text with words gets that grade; null labels are left out and repeated ones of an id count once, with the
+highest; very long texts are scored whole; repeated rows get equal scores; an empty table gives no rows; other columns, whatever
+their names, are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .textkernel import slices, words
-from .training import labelled_sample
+from .training import gathered, labelled_sample
 
 MAX_TRAIN, MIN_DOCS, SELECT_AT = 8_000, 4, 0.5
 WORD_BITS, SHAPES, LENGTHS = 17, 8192, 40
@@ -82,8 +85,9 @@ def _logistic(z):
 
 
 def fit(rows: DataFrame, epochs: int = 20, batch: int = 128, rate: float = 0.5, decay: float = 1e-5, seed: int = 5) -> QualityModel:
-    """Trains on (doc_id, label, text) rows, gathered on the driver: their number must be bounded."""
-    table = rows.select("doc_id", "label", "text").mapInArrow(_training_rows, "doc_id long, label int, n long, idx binary, share binary").where("n > 0").toArrow().sort_by("doc_id")
+    """Trains on (doc_id, label, text) rows, gathered on the driver: their number must be bounded, and their bytes are."""
+    features = rows.select("doc_id", "label", "text").mapInArrow(_training_rows, "doc_id long, label int, n long, idx binary, share binary").where("n > 0")
+    table = gathered(features, ["idx", "share"])
     label = table["label"].to_numpy()
     grades = np.unique(label)
     weights, acc = np.zeros(_SIZE, np.float32), np.full(_SIZE, 1e-3, np.float32)

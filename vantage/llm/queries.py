@@ -53,7 +53,7 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup.near_duplicates(documents(spark, sf_dir), k=4, percent=80)
+    return near_dup.near_duplicates(documents(spark, sf_dir), k=4, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,10 +73,10 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _op9_sql() -> str:
     known = ", ".join(f"('{s}', '{i}')" for s, i in sorted(licenses.known_sentences().items()))
-    hits = ", ".join(f"CASE WHEN regexp_matches(' ' || ids || ' ', '{licenses.pattern(ids)}') THEN '{name}' END" for name, ids in licenses.RULES)
+    hits = ", ".join(f"CASE WHEN regexp_matches(' ' || ids || ' ', '{licenses.pattern(*ids)}') THEN '{name}' END" for name, *ids in licenses._by_name(licenses.RULES))
     return f"""
 WITH k(s, id) AS (VALUES {known}),
-c AS (SELECT doc_id, string_split(regexp_replace(translate(text, '{_UP}', '{_LOW}'), '([.!?;])[\\x20\\x09\\x0B-\\x0D]+', '\\1' || chr(10), 'g'), chr(10)) AS cut FROM documents),
+c AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(translate(text, '{_UP}', '{_LOW}'), '(?m)^[\\x20\\x09]*[;!]+', '', 'g'), '([.!?;])[\\x20\\x09\\x0B-\\x0D]+', '\\1' || chr(10), 'g'), chr(10)) AS cut FROM documents),
 u AS (SELECT doc_id, unnest(cut) AS s, unnest(range(1, len(cut) + 1)) AS pos FROM c),
 m AS (SELECT u.doc_id, u.pos, k.id FROM u JOIN k ON k.s = regexp_replace(trim(regexp_replace(u.s, '[^a-z0-9.+]+', ' ', 'g')), '[. ]+$', '')),
 g AS (SELECT doc_id, string_agg(id, ' ' ORDER BY pos) AS ids, min(pos) AS first_sentence FROM m GROUP BY doc_id)
@@ -88,7 +88,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     held_out = fold(F.col("doc_id"), 3) == 1
     scored = toxicity.scores(docs, toxicity.train(docs, labels, where=~held_out))
-    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "offending_start", "offending_end")
 
 
 OP6_SQL = f"""

@@ -5,10 +5,12 @@ sentence is, P = 1 - prod(1 - p_s).  The likelihood of the document labels train
 offending sentences.  Weights are kept for features of ``MIN_DOCS`` training documents or more, so that words of a single document
 cannot mark it.
 
-Training uses at most ``MAX_TRAIN`` labelled documents (those with the lowest hash of doc_id); scoring covers all texts whole.
+Training uses at most ``MAX_TRAIN`` labelled documents (those with the lowest hash of doc_id) and at most as many bytes of their
+words as ``training.MAX_BYTES`` tells; scoring covers all texts whole.
 
-Defined results: null and empty texts, and texts without words, score 0; without any labels of both kinds every score is 0;
-repeated rows get equal scores; other columns are passed by.
+Defined results: null and empty texts, and texts without words, score 0 and have no offending sentence; very long texts are scored
+whole; without any labels of both kinds, or without documents that have them, every score is 0; repeated labels of an id count once;
+repeated rows get equal scores; an empty table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .textkernel import ALNUM, fold_case, prefix_hash, sentences, slices, words
-from .training import labelled_sample
+from .training import gathered, labelled_sample
 
 MAX_TRAIN, MIN_DOCS, THRESHOLD = 20_000, 4, 0.7
 WORD_BITS, PREFIX_BITS, PREFIX_BYTES = 18, 16, 5
@@ -83,8 +85,9 @@ def _softplus(z: np.ndarray) -> np.ndarray:
 
 
 def fit(rows: DataFrame, epochs: int = 30, batch: int = 128, rate: float = 0.5, decay: float = 1e-5, toxic_weight: float = 10.0, seed: int = 7) -> ToxicityModel:
-    """Trains on (doc_id, label, text) rows, gathered on the driver: their number must be bounded.  Toxic documents, the rarer, weigh more."""
-    table = rows.select("doc_id", "label", "text").mapInArrow(_training_rows, "doc_id long, label int, idx binary, pre binary, heads binary").toArrow().sort_by("doc_id")
+    """Trains on (doc_id, label, text) rows, gathered on the driver: their number must be bounded, and their bytes are.  Toxic documents, the rarer, weigh more."""
+    features = rows.select("doc_id", "label", "text").mapInArrow(_training_rows, "doc_id long, label int, idx binary, pre binary, heads binary")
+    table = gathered(features, ["idx", "pre", "heads"])
     label = table["label"].to_numpy()
     weights, acc = np.zeros(_SIZE, np.float32), np.full(_SIZE, 1e-2, np.float32)
     if not len(label) or label.min() == label.max():
@@ -156,14 +159,21 @@ def score(model: ToxicityModel):
     return run
 
 
-def scores(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
-    """doc_id and the score of each row's whole text."""
+def scores(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """doc_id, the score of each row's whole text, and the byte offsets of sentences that score ``threshold`` or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_score_column(model, batch.column(1)))], ["doc_id", "score"])
-
-    return docs.select("doc_id", text_col).mapInArrow(run, T.StructType([docs.schema["doc_id"], T.StructField("score", T.DoubleType())]))
+            for lo, hi, data, off in slices(batch.column(1)):
+                w, cost, row = _sentence_costs(model, data, off)
+                hit = np.flatnonzero(cost >= -np.log1p(-threshold))
+                last = np.append(w.first[1:], len(w.start))[hit] - 1
+                cuts = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row[hit], minlength=hi - lo))]).astype(np.int32))
+                start, end = (pa.ListArray.from_arrays(cuts, pa.array(x - off[row[hit]])) for x in (w.start[w.first[hit]], w.end[last]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(-np.expm1(-np.bincount(row, cost, hi - lo))), start, end], ["doc_id", "score", "offending_start", "offending_end"])
+
+    fields = [docs.schema["doc_id"], T.StructField("score", T.DoubleType()), *(T.StructField(c, T.ArrayType(T.LongType())) for c in ("offending_start", "offending_end"))]
+    return docs.select("doc_id", text_col).mapInArrow(run, T.StructType(fields))
 
 
 def offending_sentences(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
