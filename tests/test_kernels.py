@@ -3,7 +3,7 @@ import math
 import numpy as np
 import pytest
 
-from vantage.kernels import fit, geodesic, noise, raytrace
+from vantage.kernels import fit, geodesic, noise, raster, raytrace, sightline
 
 
 def test_geodesic_known_and_round_trip():
@@ -18,24 +18,68 @@ def test_geodesic_known_and_round_trip():
 
 
 @pytest.mark.parametrize("length", [20.0, 70.0])
-def test_ar1_field_statistics(length):
+def test_correlated_field_statistics(length):
     s = np.concatenate([np.arange(0, 1000, 2.0), np.arange(1000, 5000, 5.0)])
-    f = noise.ar1_field(s, length, 4000, np.random.default_rng(0))
+    f = noise.correlated(s, length, 4000, np.random.default_rng(0))
     assert abs(f.std() - 1) < 0.02 and abs(f.mean()) < 0.02
     lag = int(np.searchsorted(s, length))
     assert abs(np.mean(f[:, 0] * f[:, lag]) - math.exp(-s[lag] / length)) < 0.06
+    at = int(np.searchsorted(s, 1000.0))  # across the change of spacing
+    assert abs(np.mean(f[:, at - 3] * f[:, at + 3]) - math.exp(-(s[at + 3] - s[at - 3]) / length)) < 0.06
 
 
 def test_monte_carlo_bounds_and_eye_only_normal():
     s, one = np.array([100.0, 200.0]), np.ones(2)
-    assert noise.visibility_probability(np.array([-9.0, -9.0]), one, s, 0.1 * one, 20 * one, 0.1, 50, 1) == 1
-    assert noise.visibility_probability(np.array([9.0, -9.0]), one, s, 0.1 * one, 20 * one, 0.1, 50, 1) == 0
-    p = noise.visibility_probability(np.array([0.1, -9.0]), one, s, 0 * one, 20 * one, 0.2, 20000, 3)
+    assert noise.visibility_probability(np.array([-9.0, -9.0]), one, s, 0.1, 20.0, 0.1, 50, 1) == 1
+    assert noise.visibility_probability(np.array([9.0, -9.0]), one, s, 0.1, 20.0, 0.1, 50, 1) == 0
+    p = noise.visibility_probability(np.array([0.1, -9.0]), one, s, 0.0, 20.0, 0.2, 20000, 3)
     assert abs(p - 0.5 * (1 + math.erf(-0.5 / math.sqrt(2)))) < 0.02
-    again = noise.visibility_probability(np.array([0.1, -9.0]), one, s, 0 * one, 20 * one, 0.2, 20000, 3)
+    again = noise.visibility_probability(np.array([0.1, -9.0]), one, s, 0.0, 20.0, 0.2, 20000, 3)
     assert p == again
 
 
+def test_sampling_distances_equal_plain_lists():
+    sampling = sightline.Sampling()
+    for total in (3.0, 7.9, 9.0, 500.0, 2999.0, 3004.5, 5990.0, 6000.1, 17_123.4):
+        end = total - 3
+        if end <= 5:
+            expected = {total / 2}
+        else:
+            near, far = np.arange(5, min(3000, end), 2), end - np.arange(0, min(3000, end - 5), 2)
+            mid = np.arange(3000, total - 3000, 5) if total > 6000 else np.zeros(0)
+            expected = {x for x in np.concatenate([near, far, mid]).tolist() if 5 <= x <= end}
+        s, ray = sampling.distances(np.array([total, 800.0]))
+        assert set(s[ray == 0].tolist()) == expected
+        assert sorted(set(ray.tolist())) == [0, 1]
+
+
+def test_missing_terrain_is_not_free_sight():
+    viewer = sightline.Viewer(-103.88, 30.27, 1501.6)
+    lon, lat = np.array([-103.95, -103.90]), np.array([30.2, 30.25])
+    flat = lambda x, y: np.full(np.shape(x), 1400.0)
+    hole = lambda x, y: np.where((y < 30.24) & (y > 30.23), np.nan, 1400.0)
+    of = lambda surface, **k: np.concatenate([r.highest(r.critical(0)) for _, r in sightline.rays(lon, lat, viewer, (0.66,), surface, **k)])
+    assert np.isfinite(of(flat)).all()
+    assert np.isnan(of(hole)).tolist() == [True, False]
+    with pytest.raises(sightline.MissingTerrain):
+        of(hole, strict=True)
+
+
+def test_mosaic_takes_the_first_tile_with_data():
+    fine = raster.Tile("1M_a", -104.0, 30.1, 0.01, -0.01, np.array([[1.0, 2.0, 3.0], [4.0, np.nan, 6.0], [7.0, 8.0, 9.0]]))
+    coarse = raster.Tile("13_b", -105.0, 31.0, 0.1, -0.1, np.full((20, 20), 100.0))
+    mosaic = raster.Mosaic([fine, coarse])
+    lon, lat = np.array([-103.9875, -103.98, -104.5, -90.0]), np.array([30.0949, 30.084, 30.5, 30.0])
+    z, source = mosaic.sample(lon, lat)
+    assert source.tolist() == [1, 1, 1, -1] and z[2] == 100 and np.isnan(z[3])
+    solid = raster.Mosaic([raster.Tile("1M_a", -104.0, 30.1, 0.01, -0.01, np.arange(9.0).reshape(3, 3)), coarse])
+    z, source = solid.sample(np.array([-103.985, -103.99, -104.2]), np.array([30.085, 30.09, 30.2]))
+    assert source.tolist() == [0, 0, 1] and z == pytest.approx([4.0, 2.0, 100.0])
+    part = coarse.window(-104.05, 30.2, -103.95, 30.4)
+    assert part.z.shape == (2, 2) and part.bounds == pytest.approx((-104.1, 30.2, -103.9, 30.4))
+    assert np.isnan(fine.sample(np.array([-103.984]), np.array([30.094]))[0])  # a neighbour without data
+
+
 def test_ray_in_constant_gradient_is_a_parabola():
     angles = np.linspace(-0.002, 0.002, 401)
     s = np.array([0.0, 20000.0])
@@ -46,6 +90,11 @@ def test_ray_in_constant_gradient_is_a_parabola():
     assert blocked.any() and len(raytrace.images(angles, end, blocked, 1.2)) >= 1
 
 
+def test_layered_profiles_of_any_number_of_layers():
+    p = raytrace.layered([(0.0, 0.12), (10.0, -0.02), (40.0, -0.0065), (200.0, 0.0)])
+    assert p(np.array([-1.0, 0.0, 9.9, 10.0, 39.0, 40.0, 199.0, 200.0, 900.0])).tolist() == [0.12, 0.12, 0.12, -0.02, -0.02, -0.0065, -0.0065, 0.0, 0.0]
+
+
 def test_camera_fit_and_homography():
     true = (200.0, 1.0, 2.0, 1500.0)
     az, el = np.array([190, 195, 200, 205, 210.0]), np.array([0, 1, 2, 0.5, 1.5])

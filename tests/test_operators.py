@@ -21,9 +21,9 @@ def test_physics_identities(spark):
         t=physics.transmission(lit(68000.0), lit(68.0)),
         limits=F.array(*[physics.magnitude_limit(lit(21.4), lit(f)) for f in (2.4, 5.77)]),
         tail=physics.rear_intensity(lit(180.0)),
-        brake=physics.rear_intensity(lit(180.0), braking=True, which="max"),
+        brake=physics.rear_intensity(lit(180.0), braking=True, bound="most"),
         front=physics.rear_intensity(lit(30.0)),
-        half=physics.regulatory_lamp(physics.TAIL, lit(15.0)),
+        half=physics.lamp_candela({"tail": 1}, lit(15.0)),
         euler=geo.normal_section_radius(lit(30.0), lit(45.0)),
         far=physics.magnitude(lit(0.0)),
     )
@@ -112,7 +112,7 @@ def test_readers(spark, tmp_path):
 def test_evidence_kind_reads_whole_texts(spark, tmp_path):
     from vantage.plans import relations
 
-    turns = [("user", 2, "x " * 50 + "seen on video"), ("user", 2, "y " * 50 + "an old legend"), ("user", 2, None)]
+    turns = [("user", 3, "x " * 50 + "seen on video"), ("user", 3, "y " * 50 + "a single witness"), ("user", 3, None)]
     spark.createDataFrame(turns, "role string, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
-    got = {r.kind: r.n for r in relations.evidence_kind(spark, str(tmp_path)).collect()}
-    assert got == {"video": 1, "other-weak": 1, "other": 1}
+    got = {(r.kind, r.weak): r.n for r in relations.evidence_kind(spark, str(tmp_path)).collect()}
+    assert got == {("photo", False): 1, ("eyewitness", True): 1, ("eyewitness", False): 1}

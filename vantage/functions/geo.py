@@ -89,21 +89,61 @@ def azimuthal_equidistant(az, d) -> tuple[Column, Column]:
     return d * F.sin(F.radians(az)), d * F.cos(F.radians(az))
 
 
-def utm_inverse(e, n, zone: int = 13) -> tuple[Column, Column]:
-    """(lon, lat) of UTM coordinates, northern hemisphere (Snyder's series)."""
-    k0, ep = 0.9996, E2 / (1 - E2)
+def utm_constants() -> dict[str, float]:
+    """What the inverse projection needs of the ellipsoid: second eccentricity, scale of the meridian arc, factors of the footpoint latitude's series."""
     e1 = (1 - math.sqrt(1 - E2)) / (1 + math.sqrt(1 - E2))
-    mu = n / k0 / (A * (1 - E2 / 4 - 3 * E2**2 / 64 - 5 * E2**3 / 256))
-    phi = mu + (3 * e1 / 2 - 27 * e1**3 / 32) * F.sin(2 * mu) + (21 * e1**2 / 16 - 55 * e1**4 / 32) * F.sin(4 * mu) + (151 * e1**3 / 96) * F.sin(6 * mu)
-    s, c, t = F.sin(phi), F.cos(phi), F.tan(phi)
-    c1, t1, n1 = ep * c * c, t * t, F.lit(A) / F.sqrt(1 - E2 * s * s)
-    r1 = F.lit(A * (1 - E2)) / F.pow(1 - E2 * s * s, F.lit(1.5))
-    d = (e - 500000.0) / (n1 * k0)
-    lat = phi - n1 * t / r1 * (d * d / 2 - (5 + 3 * t1 + 10 * c1 - 4 * c1 * c1 - 9 * ep) * F.pow(d, F.lit(4)) / 24)
-    lon = (d - (1 + 2 * t1 + c1) * F.pow(d, F.lit(3)) / 6) / c
+    return {
+        "ep": E2 / (1 - E2), "scale": A * (1 - E2 / 4 - 3 * E2**2 / 64 - 5 * E2**3 / 256), "f2": 3 * e1 / 2 - 27 * e1**3 / 32, "f4": 21 * e1**2 / 16 - 55 * e1**4 / 32, "f6": 151 * e1**3 / 96, "f8": 1097 * e1**4 / 512,
+    }
+
+
+def utm_inverse(e, n, zone: int = 13) -> tuple[Column, Column]:
+    """(lon, lat) of UTM coordinates, northern hemisphere: the textbook series to the sixth power of the distance from the meridian."""
+    c = utm_constants()
+    ep, mu = c["ep"], n / 0.9996 / c["scale"]
+    phi = mu + sum((c[f"f{i}"] * F.sin(i * mu) for i in (2, 4, 6, 8)), F.lit(0.0))
+    c1, t1, n1, r1 = ep * F.cos(phi) * F.cos(phi), F.tan(phi) * F.tan(phi), prime_vertical(F.degrees(phi)), meridional(F.degrees(phi))
+    d = (e - 500000.0) / (n1 * 0.9996)
+    power = lambda k: F.pow(d, F.lit(float(k)))
+    lat = phi - n1 * F.tan(phi) / r1 * (d * d / 2 - (5 + 3 * t1 + 10 * c1 - 4 * c1 * c1 - 9 * ep) * power(4) / 24 + (61 + 90 * t1 + 298 * c1 + 45 * t1 * t1 - 252 * ep - 3 * c1 * c1) * power(6) / 720)
+    lon = (d - (1 + 2 * t1 + c1) * power(3) / 6 + (5 - 2 * c1 + 28 * t1 - 3 * c1 * c1 + 8 * ep + 24 * t1 * t1) * power(5) / 120) / F.cos(phi)
     return F.degrees(lon) + (6.0 * zone - 183.0), F.degrees(lat)
 
 
+def local_plane(lon1, lat1, lon2, lat2) -> tuple[Column, Column]:
+    """(distance, azimuth) by the radii at the mean latitude; the plane's azimuth holds at the midpoint, half the meridian convergence takes it to the start."""
+    mean = (lat1 + lat2) / 2
+    north, east = F.radians(lat2 - lat1) * meridional(mean), F.radians(lon2 - lon1) * prime_vertical(mean) * F.cos(F.radians(mean))
+    return F.sqrt(north * north + east * east), norm360(F.degrees(F.atan2(east, north)) - (lon2 - lon1) * F.sin(F.radians(mean)) / 2)
+
+
+def rotation(a, b, g) -> list[list[Column]]:
+    """Rows of the matrix that turns by ``a`` about z, ``b`` about x, ``g`` about y (degrees), applied from the right."""
+    one, none = F.lit(1.0), F.lit(0.0)
+    (ca, sa), (cb, sb), (cg, sg) = ((F.cos(F.radians(x)), F.sin(F.radians(x))) for x in (a, b, g))
+    z, x, y = [[ca, -sa, none], [sa, ca, none], [none, none, one]], [[one, none, none], [none, cb, -sb], [none, sb, cb]], [[cg, none, sg], [none, one, none], [-sg, none, cg]]
+    times = lambda m, n: [[dot(row, [n[k][j] for k in range(3)]) for j in range(3)] for row in m]
+    return times(times(z, x), y)
+
+
+def device_screen(az, el, a, b, g, d_az, d_el, focal) -> tuple[Column, Column]:
+    """Offsets (right, down) on a device's screen of a direction, by its angles and calibration offsets; null behind it."""
+    east, up = F.radians(norm360(az - d_az)), F.radians(el - d_el)
+    world = [F.cos(up) * F.sin(east), F.cos(up) * F.cos(east), F.sin(up)]
+    m = rotation(a, b, g)
+    own = [dot([m[k][j] for k in range(3)], world) for j in range(3)]
+    ahead = -own[2]
+    return F.when(ahead > 0.02, focal * own[0] / ahead), F.when(ahead > 0.02, -focal * own[1] / ahead)
+
+
+def star_place(ra_hours, dec, seconds, lon: float, lat: float) -> tuple[Column, Column]:
+    """(az, el) of a star, ``seconds`` after 2000-01-01 12:00 UTC: the hour angle from mean sidereal time."""
+    hour = F.radians(norm360(280.46061837 + 360.98564736629 * (seconds / 86400.0) + lon - ra_hours * 15))
+    d, p = F.radians(dec), math.radians(lat)
+    az = F.atan2(-F.cos(d) * F.sin(hour), F.sin(d) * math.cos(p) - F.cos(d) * math.sin(p) * F.cos(hour))
+    return norm360(F.degrees(az)), F.degrees(F.asin(F.sin(d) * math.sin(p) + F.cos(d) * math.cos(p) * F.cos(hour)))
+
+
 #: sixteen points, clockwise from north
 COMPASS = ["N", "NNE", "NE", "ENE", "E", "ESE", "SE", "SSE", "S", "SSW", "SW", "WSW", "W", "WNW", "NW", "NNW"]
 
@@ -138,3 +178,22 @@ def equivalent_focal_px(f35, width, height) -> Column:
 
 def mrad_to_deg(m) -> Column:
     return F.degrees(F.atan(m / 1000.0))
+
+
+#: millimetres of a focal plane's resolution unit, by its code
+PLANE_UNITS = {2: 25.4, 3: 10.0, 4: 1.0, 5: 0.001}
+
+
+def focal_plane_px(mm, resolution, unit: Column) -> Column:
+    """Focal length in pixels from millimetres and pixels per unit; an unknown unit counts as inches."""
+    size = F.lit(PLANE_UNITS[2])
+    for code, value in PLANE_UNITS.items():
+        size = F.when(unit == code, value).otherwise(size)
+    return mm * resolution / size
+
+
+def axis_angle(label: Column) -> Column:
+    """Degrees of an axis label such as 5L, 2.5U, H or V: left and down are negative, H and V are 0."""
+    size, side = F.regexp_extract(label, r"^([0-9.]*)", 1), F.substring(label, -1, 1)
+    degrees = F.coalesce(F.nullif(size, F.lit("")).cast("double"), F.lit(0.0))
+    return F.when(side.isin("H", "V"), 0.0).when(side.isin("L", "D"), 0.0 - degrees).otherwise(degrees)

@@ -2,40 +2,39 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 
 
-def ar1_field(s: np.ndarray, length: float, draws: int, rng: np.random.Generator) -> np.ndarray:
-    """``draws`` x len(s) unit-variance fields with correlation exp(-d / length): a first-order recursion on an even grid of a
-    quarter of the length (5 at most), interpolated, with the variance that interpolation loses put back."""
-    step = min(length / 4, 5.0)
-    phi = math.exp(-step / length)
-    grid = np.arange(s.min() - step, s.max() + 2 * step, step)
-    field = rng.standard_normal((len(grid), draws))
-    scale = math.sqrt(1 - phi * phi)
-    for i in range(1, len(grid)):
-        field[i] = phi * field[i - 1] + scale * field[i]
-    at = np.minimum(((s - grid[0]) / step).astype(int), len(grid) - 2)
-    t = (s - grid[at]) / step
-    out = (1 - t)[:, None] * field[at] + t[:, None] * field[at + 1]
-    return (out / np.sqrt((1 - t) ** 2 + t**2 + 2 * t * (1 - t) * phi)[:, None]).T
-
-
-def visibility_probability(excess: np.ndarray, fraction: np.ndarray, s: np.ndarray, sigma: np.ndarray, length: np.ndarray, eye_sd: float, draws: int, seed: int) -> float:
-    """Share of draws in which no sample stands above the line: ``excess`` is its height over it, ``fraction`` how far the eye's
-    height shifts the line there.  Six standard deviations on either side decide without drawing; only samples that may touch are drawn."""
+def correlated(s: np.ndarray, length: float, draws: int, rng: np.random.Generator) -> np.ndarray:
+    """``draws`` fields of unit variance at the sorted places ``s``, with correlation exp(-distance / length).
+
+    The process is Markov, so each value is drawn given the one before it: exact at uneven places, and without a grid.
+    """
+    keep = np.exp(-np.diff(s, prepend=s[:1]) / length)
+    fresh = np.sqrt(1 - keep * keep)
+    if len(fresh):
+        keep[0], fresh[0] = 0.0, 1.0
+    out = rng.standard_normal((len(s), draws)) * fresh[:, None]
+    for before, (now, share) in zip(out[:-1], zip(out[1:], keep[1:], strict=True), strict=True):
+        now += share * before
+    return out.T
+
+
+def seen_share(excess: np.ndarray, fraction: np.ndarray, s: np.ndarray, sigma: float, length: float, eye_sd: float, draws: int, seed: int) -> float:
+    """Share of draws in which no sample stands above the line: ``excess`` is its height over it, ``fraction`` how far the eye's height shifts the line there."""
+    rng = np.random.default_rng(seed)
+    eye = rng.standard_normal(draws) * eye_sd
+    ground = correlated(s, length, draws, rng) * sigma
+    return float(np.mean((excess + ground - eye[:, None] * fraction <= 0).all(axis=1)))
+
+
+def visibility_probability(excess: np.ndarray, fraction: np.ndarray, s: np.ndarray, sigma: float, length: float, eye_sd: float, draws: int, seed: int) -> float:
+    """``seen_share`` where six standard deviations on either side do not decide without drawing; only samples that may touch are drawn."""
     sd = np.sqrt(sigma**2 + (eye_sd * fraction) ** 2)
     if np.all(excess + 6 * sd <= 0):
         return 1.0
     if np.any(excess - 6 * sd > 0):
         return 0.0
-    near = excess + 6 * sd > 0
-    rng = np.random.default_rng(seed)
-    eye = rng.standard_normal(draws) * eye_sd
-    error = np.zeros((draws, int(near.sum())))
-    for one in np.unique(length[near]):
-        own = length[near] == one
-        error[:, own] = ar1_field(s[near][own], float(one), draws, rng) * sigma[near][own]
-    return float(np.mean(np.max(excess[near] + error - eye[:, None] * fraction[near], axis=1) <= 0))
+    near = np.flatnonzero(excess + 6 * sd > 0)
+    near = near[np.argsort(s[near], kind="stable")]
+    return seen_share(excess[near], fraction[near], s[near], sigma, length, eye_sd, draws, seed)

@@ -37,10 +37,16 @@ def images(angles: np.ndarray, end: np.ndarray, blocked: np.ndarray, target: flo
     return angles[i] - d[i] * (angles[i + 1] - angles[i]) / (d[i + 1] - d[i])
 
 
+def layered(layers: list[tuple[float, float]]):
+    """Gradient by layers (bottom above ground, gradient), lowest first; below the first bottom the first layer counts."""
+    bottoms, gradients = (np.array(x, float) for x in zip(*layers, strict=True))
+    return lambda z: gradients[np.clip(np.searchsorted(bottoms, z, side="right") - 1, 0, len(bottoms) - 1)]
+
+
 def profile(kind: str, a: float, b: float):
     """Temperature gradients by height above ground: constant, exponential surface layer, two layers."""
     if kind == "lapse":
         return lambda z: np.full_like(z, a)
     if kind == "stable":
         return lambda z: a / b * np.exp(-z / b) - 0.0065
-    return lambda z: np.where(z < b, a, -0.0065)
+    return layered([(0.0, a), (b, -0.0065)])

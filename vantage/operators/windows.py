@@ -37,12 +37,23 @@ def runs_sharing_vertex(df: DataFrame, key: str, order: str, label: str) -> Data
     return own.unionByName(last.where(F.col("_next") > F.col("island")).withColumn("island", F.col("_next")).drop("_next"))
 
 
-def neighbours(column: str, key: str, order: str) -> tuple[Column, Column]:
+def neighbours(column: str, key: str | list[str], order: str) -> tuple[Column, Column]:
     """Values of the rows before and after, the own at the ends."""
-    w = Window.partitionBy(key).orderBy(order)
+    w = Window.partitionBy(*([key] if isinstance(key, str) else key)).orderBy(order)
     return F.coalesce(F.lag(column).over(w), F.col(column)), F.coalesce(F.lead(column).over(w), F.col(column))
 
 
+def in_stretches(df: DataFrame, key: str, order: str, length: float, reach: float) -> DataFrame:
+    """Rows by stretches of a key (``_stretch``), each with the neighbouring stretches' rows within ``reach`` as a margin (``_own`` false).
+
+    Windows of neighbours may then run over (key, _stretch), so a long line is dealt over many tasks; a row's neighbours must be
+    within ``reach`` of it.
+    """
+    at = F.floor(F.col(order) / length)
+    near = F.array_distinct(F.array(at, F.floor((F.col(order) - reach) / length), F.floor((F.col(order) + reach) / length)))
+    return df.withColumn("_at", at).withColumn("_stretch", F.explode(near)).withColumn("_own", F.col("_stretch") == F.col("_at")).drop("_at")
+
+
 def gradient(y: str, x: str, key: str, order: str) -> Column:
     """Second-order differences on uneven spacing; one-sided at the ends; null for a single row or equal x."""
     w = Window.partitionBy(key).orderBy(order)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..kernels import fit, geodesic, noise, raytrace
+from ..kernels import fit, geodesic, raytrace, sightline
 from ..sources import readers
 from ..streaming import state
 from . import visibility
@@ -24,29 +24,18 @@ def geodesic_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mc_visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chance that each target is seen under terrain and eye errors.
+    """Chance that each target is seen under terrain and eye errors, 200 draws for those that six standard deviations leave open.
 
-    The six-sigma bounds are one aggregation; only targets they leave open, and of those only samples that may touch the line, go
-    to the kernel.  A seed of each target's position makes reruns agree.
+    Rays are made once and judged where the target is; a seed of the target's id makes reruns agree.
     """
-    sigma, length, eye_sd, draws = 0.56, 70.0, 0.15, 200
-    s, d = F.col("s_0"), F.col("d_0")
-    x = visibility.chord_samples(view(spark, sf_dir, "targets"), lamps=(0.66,)).select("target_id", s.alias("s"), (F.col("y_0") - 0.13 * s * (d - s) / (2 * F.col("radius"))).alias("excess"), ((d - s) / d).alias("fraction"))
-    sd = F.sqrt(F.lit(sigma**2) + F.pow(eye_sd * F.col("fraction"), F.lit(2.0)))
-    x = x.withColumns({"high": F.col("excess") + 6 * sd, "low": F.col("excess") - 6 * sd})
-    bound = x.groupBy("target_id").agg(F.max("high").alias("high"), F.max("low").alias("low"), F.collect_list(F.when(F.col("high") > 0, F.struct("s", "excess", "fraction"))).alias("near"))
-    sure = bound.where("high <= 0 OR low > 0").select("target_id", F.when(F.col("high") <= 0, 1.0).otherwise(0.0).alias("p_vis"))
-
-    @F.pandas_udf("double")
-    def draw(ident: pd.Series, near: pd.Series) -> pd.Series:
-        out = []
-        for i, rows in zip(ident, near, strict=True):
-            a = np.array(sorted((r["s"], r["excess"], r["fraction"]) for r in rows))
-            n = len(a)
-            out.append(noise.visibility_probability(a[:, 1], a[:, 2], a[:, 0], np.full(n, sigma), np.full(n, length), eye_sd, draws, int(i)))
-        return pd.Series(out)
-
-    return sure.unionByName(bound.where("high > 0 AND low <= 0").select("target_id", draw("target_id", "near").alias("p_vis")))
+    chance = lambda rays, ident: sightline.probability(rays, 0.13, 0.56, 70.0, 0.15, 200, ident)
+    return visibility.reduced(view(spark, sf_dir, "targets"), (0.66,), {"p_vis": chance})
+
+
+def mc_certain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The targets whose chance is 0 or 1 because no error of six standard deviations changes what is seen."""
+    open_ = lambda rays, ident: sightline.probability(rays, 0.13, 0.56, 70.0, 0.15, 0, ident)
+    return visibility.reduced(view(spark, sf_dir, "targets"), (0.66,), {"p_vis": open_}).where("p_vis IS NOT NULL").select("target_id", "p_vis")
 
 
 def raytrace_images(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,9 +142,10 @@ def skyline_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (geodesic_inverse, mc_visibility, raytrace_images, pose_fit, track_association, contour_rings, manifest_verify, calibrated_bearings, block_mean, terrain_slope, smoothed_raster, skyline_layers)
+    for f in (geodesic_inverse, mc_visibility, mc_certain, raytrace_images, pose_fit, track_association, contour_rings, manifest_verify, calibrated_bearings, block_mean, terrain_slope, smoothed_raster, skyline_layers)
 }
 ORACLES = {
+    "mc_certain": visibility._sql((0.66,), ", b AS (SELECT target_id, y - 0.13::DOUBLE * s * (d - s) / (2 * radius) AS e, 6 * sqrt(0.56::DOUBLE * 0.56::DOUBLE + pow(0.15::DOUBLE * (d - s) / d, 2)) AS six FROM x), m AS (SELECT target_id, max(e + six) AS high, max(e - six) AS low FROM b GROUP BY target_id) SELECT target_id, CASE WHEN low > 0 THEN 0e0 ELSE 1e0 END AS p_vis FROM m WHERE low > 0 OR high <= 0"),
     "calibrated_bearings": "SELECT e.event_id, CASE WHEN date_diff('second', c.ts, e.ts) <= 1800 THEN c.value END AS \"offset\" FROM (SELECT * FROM events WHERE event_type <> 'click') e ASOF LEFT JOIN (SELECT user_id, ts, value FROM events WHERE event_type = 'click') c ON c.user_id = e.user_id AND e.ts >= c.ts",
     "block_mean": with_views("SELECT r // 6 AS br, c // 6 AS bc, round(avg(z), 6) AS z FROM v_raster GROUP BY 1, 2"),
     "terrain_slope": "WITH g AS (SELECT i // 60 AS r, i % 60 AS c, 20 * sin((i // 60) * 0.3::DOUBLE) + 15 * cos((i % 60) * 0.2::DOUBLE) AS z FROM range(3600) x(i)), d AS (SELECT r, c, (lead(z) OVER (PARTITION BY c ORDER BY r) - lag(z) OVER (PARTITION BY c ORDER BY r)) / 20 AS dy, (lead(z) OVER (PARTITION BY r ORDER BY c) - lag(z) OVER (PARTITION BY r ORDER BY c)) / 20 AS dx FROM g) SELECT r, c, round(degrees(atan(sqrt(dx * dx + dy * dy))), 6) AS slope, round((1 + dx * 0.5 + dy * 0.5) / (sqrt(1 + dx * dx + dy * dy) * 1.224744871391589::DOUBLE), 6) AS shade FROM d WHERE dx IS NOT NULL AND dy IS NOT NULL",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, physics
-from ..operators import grids, joins, rules, windows
+from ..operators import grids, joins, rules, stats, windows
 from .views import table, view, with_views
 
 
@@ -64,7 +64,7 @@ def nearest_station_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each customer's nearest supplier of its nation by balance, or the default."""
     c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("nation"), "c_acctbal")
     s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"), "s_suppkey", "s_acctbal")
-    out = joins.nearest_by_key(c, s, "nation", F.round(F.abs(F.col("c_acctbal") - F.col("s_acctbal")), 2), F.col("s_suppkey"), "station", ["c_custkey"])
+    out = joins.nearest_by_key(c, s, "nation", F.col("c_acctbal"), F.col("s_acctbal"), "s_suppkey", "station", ["c_custkey"], 2)
     return out.select("c_custkey", F.coalesce("station", F.lit(-1)).alias("station"), F.col("station_distance").alias("distance"))
 
 
@@ -177,11 +177,20 @@ def obstruction_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def robust_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean, population deviation, median, 5th and 95th percentile, and 1.4826 times the median absolute deviation, by flag."""
-    l = table(spark, sf_dir, "lineitem").select("l_returnflag", F.col("l_extendedprice").alias("x"))
-    one = l.groupBy("l_returnflag").agg(F.round(F.avg("x"), 4).alias("mean"), F.round(F.stddev_pop("x"), 4).alias("sd"), F.expr("percentile(x, array(0.05, 0.5, 0.95))").alias("p"))
-    mad = l.join(F.broadcast(one.select("l_returnflag", F.col("p")[1].alias("m"))), "l_returnflag").groupBy("l_returnflag").agg((1.4826 * F.expr("percentile(abs(x - m), 0.5)")).alias("mad"))
-    return one.join(mad, "l_returnflag").select("l_returnflag", "mean", "sd", *[F.round(F.col("p")[i], 4).alias(n) for i, n in enumerate(("p5", "median", "p95"))], F.round("mad", 4).alias("robust_sd"))
+    """Mean, population deviation, median, 5th and 95th percentile, and 1.4826 times the median absolute deviation, by flag.
+
+    Values are counted first; order statistics come from running counts of distinct values, so no group's values are gathered.
+    """
+    counted = table(spark, sf_dir, "lineitem").groupBy("l_returnflag", F.col("l_extendedprice").alias("x")).agg(F.count("*").alias("n"))
+    n = F.col("n")
+    mean, square = F.sum(F.col("x") * n) / F.sum(n), F.sum(F.col("x") * F.col("x") * n) / F.sum(n)
+    moments = counted.groupBy("l_returnflag").agg(mean.alias("m"), F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))).alias("s"))
+    p = stats.weighted_quantiles(counted, ["l_returnflag"], "x", "n", [0.05, 0.5, 0.95])
+    middle = F.broadcast(p.select("l_returnflag", F.col("q")[1].alias("mid")))
+    away = counted.join(middle, "l_returnflag").groupBy("l_returnflag", F.abs(F.col("x") - F.col("mid")).alias("y")).agg(F.sum("n").alias("n"))
+    mad = stats.weighted_quantiles(away, ["l_returnflag"], "y", "n", [0.5]).select("l_returnflag", F.col("q")[0].alias("mad"))
+    out = moments.join(p, "l_returnflag").join(mad, "l_returnflag")
+    return out.select("l_returnflag", F.round("m", 4).alias("mean"), F.round("s", 4).alias("sd"), *[F.round(F.col("q")[i], 4).alias(c) for i, c in enumerate(("p5", "median", "p95"))], F.round(1.4826 * F.col("mad"), 4).alias("robust_sd"))
 
 
 def greatest_of_three(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -288,8 +297,10 @@ def classify_spec_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def evidence_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "conversations").select(F.col("role"), rules.evidence_kind(F.concat_ws(" ", "role", "text", F.when(F.col("turn") % 3 == 0, "a Photo").when(F.col("turn") % 3 == 1, "hearsay report"))).alias("kind"))
-    return t.groupBy("role", "kind").agg(F.count("*").alias("n"))
+    """Turns by kind of evidence and whether the source is weak, by all words of their whole texts."""
+    t = table(spark, sf_dir, "conversations")
+    text = F.concat_ws(" ", "role", "text", F.when(F.col("turn") % 4 == 0, "a Photo").when(F.col("turn") % 4 == 1, "newspaper report, hearsay").when(F.col("turn") % 4 == 2, "campaign"))
+    return t.groupBy("role", rules.evidence_kind(text).alias("kind"), rules.weak_source(text).alias("weak")).agg(F.count("*").alias("n"))
 
 
 def catalogue_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -354,7 +365,7 @@ def _boxes(frm: str, ha: float, he: float, extra: str) -> str:
 _MAP = _boxes("v_lines WHERE rate IS NOT NULL", 0.6, 0.3, "line_id, rate") + ", m0 AS (SELECT line_id, ia, ie0::INT AS ie, max(rate) AS r FROM st GROUP BY ALL), mp AS (SELECT ia, ie, sum(r) AS rate FROM m0 GROUP BY ia, ie)"
 _ANGLE = "abs(((({a} - {b} + 540) % 360) + 360) % 360 - 180)"
 _LAMP = lambda x, points: " ".join(["CASE WHEN", f"{x} <= {points[0][0]} THEN {points[0][1]}::DOUBLE"] + [f"WHEN {x} <= {b[0]} THEN pow(10, log10({a[1]}::DOUBLE) + ({x} - {a[0]}) * ((log10({b[1]}::DOUBLE) - log10({a[1]}::DOUBLE)) / {b[0] - a[0]}))" for a, b in zip(points[:-1], points[1:], strict=True)] + [f"ELSE {points[-1][1]}::DOUBLE END"])
-_REG = lambda spec: f"(CASE WHEN off <= 45 THEN {_LAMP('off', spec[0])} ELSE 0 END)"
+_REG = lambda lamp: f"(CASE WHEN off <= 45 THEN {_LAMP('off', physics.LAMPS[lamp]['least'])} ELSE 0 END)"
 _MAG = "round(-13.99::DOUBLE - 2.5::DOUBLE * log10(greatest({i} / (d * d) * exp(-ln(20) * d / (mor * 1000)), 1e-30)), 6)"
 ORACLES = {
     "zip_assert": "WITH j AS (SELECT a.o_orderkey, b.o_totalprice AS price FROM orders a JOIN orders b USING (o_orderkey)) SELECT count(*) AS matched, round(sum(price), 2) AS price, (SELECT count(*) FROM orders) AS expected, count(*) = (SELECT count(*) FROM orders) AS complete FROM j",
@@ -388,12 +399,12 @@ ORACLES = {
     "band_coverage": f"WITH {_MAP}, g AS (SELECT (i % {grids.N_AZ})::INT AS ia, (i // {grids.N_AZ})::INT AS ie FROM range({grids.N_AZ * 9}) r(i)), c AS (SELECT CASE WHEN rate IS NULL OR round(rate, 6) < 0.01 THEN 0 WHEN round(rate, 6) < 0.1 THEN 1 WHEN round(rate, 6) < 1 THEN 2 WHEN round(rate, 6) < 10 THEN 3 ELSE 4 END AS level FROM g LEFT JOIN mp USING (ia, ie)) SELECT level, round(count(*) / {grids.N_AZ * 9}, 6) AS share FROM c GROUP BY level",
     "column_window_max": f"WITH {_MAP}, c AS (SELECT ia, max(rate) AS top FROM mp GROUP BY ia) SELECT a.ia, round(any_value(a.top), 6) AS top, round(max(b.top), 6) AS window_top FROM c a JOIN c b ON b.ia BETWEEN a.ia - 3 AND a.ia + 3 GROUP BY a.ia",
     "scenario_max": f"WITH {_MAP}, l AS (SELECT ia, ie, floor(round(rate, 6))::BIGINT AS level FROM mp), u AS (SELECT * FROM l UNION ALL SELECT ia, (ie + 3) % {grids.N_EL}, level + 1 FROM l) SELECT ia, ie, max(level) AS level FROM u GROUP BY ia, ie",
-    "photometry_magnitudes": "WITH s AS (SELECT source_id, km * 1000 AS d, abs((((az * 3.7::DOUBLE + 540) % 360) + 360) % 360 - 180) AS h FROM v_sources), o AS (SELECT *, 180 - h AS off FROM s), i AS (SELECT *, CASE WHEN h <= 90 THEN 0 ELSE 2 * " + _REG(physics.TAIL) + " END AS tail, CASE WHEN h <= 90 THEN 0 ELSE 2 * " + _REG(physics.TAIL) + " + 2 * " + _REG(physics.STOP) + " + " + _REG(physics.HIGH_STOP) + " END AS brake FROM o, (VALUES (68e0), (111e0), (203e0)) v(mor)) SELECT source_id, mor, " + _MAG.format(i="tail") + " AS m_tail, " + _MAG.format(i="brake") + " AS m_brake FROM i",
+    "photometry_magnitudes": "WITH s AS (SELECT source_id, km * 1000 AS d, abs((((az * 3.7::DOUBLE + 540) % 360) + 360) % 360 - 180) AS h FROM v_sources), o AS (SELECT *, 180 - h AS off FROM s), i AS (SELECT *, CASE WHEN h <= 90 THEN 0 ELSE 2 * " + _REG("tail") + " END AS tail, CASE WHEN h <= 90 THEN 0 ELSE 2 * " + _REG("tail") + " + 2 * " + _REG("stop") + " + " + _REG("high_stop") + " END AS brake FROM o, (VALUES (68e0), (111e0), (203e0)) v(mor)) SELECT source_id, mor, " + _MAG.format(i="tail") + " AS m_tail, " + _MAG.format(i="brake") + " AS m_brake FROM i",
     "beam_lookup": "WITH b AS (SELECT i // 45 AS r, i % 45 AS c, log10(20000e0 / (1 + pow((i // 45 - 12) / 3e0, 2) + pow((i % 45 - 22) / 6e0, 2))) AS z FROM range(1125) g(i)), s AS (SELECT source_id, least(greatest((el + 3) * 4, 0), 23.999::DOUBLE) AS v, least(greatest((az - 150) / 3, 0), 43.999::DOUBLE) AS h FROM v_sources) SELECT source_id, round(greatest(pow(10, sum((CASE WHEN r = floor(v) THEN 1 - (v - floor(v)) ELSE v - floor(v) END) * (CASE WHEN c = floor(h) THEN 1 - (h - floor(h)) ELSE h - floor(h) END) * z)), 0.5), 4) AS candela FROM s JOIN b ON r BETWEEN floor(v) AND floor(v) + 1 AND c BETWEEN floor(h) AND floor(h) + 1 GROUP BY source_id",
     "detect_km": "WITH s AS (SELECT kind, round(-13.99::DOUBLE - 2.5::DOUBLE * log10(80e0 / pow(km * 1000, 2) * exp(-ln(20) * km * 1000 / 111000e0)), 6) AS m FROM v_sources) SELECT kind, " + ", ".join(f"round(count(CASE WHEN m <= round(0.3834::DOUBLE * 21.4::DOUBLE - 1.44::DOUBLE - 2.5::DOUBLE * log10({f}::DOUBLE), 6) THEN 1 END) * 0.06::DOUBLE, 6) AS {n}" for f, n in ((2.0, "reference"), (4.8, "least"), (1.0, "most"))) + " FROM s GROUP BY kind",
     "angular_rates": "WITH s AS (SELECT *, km / 5 + el / 2 + 273.15::DOUBLE AS t FROM v_sources) SELECT source_id, round(degrees(30 * abs(sin(radians(200 - az))) / (km * 1000)) * 60, 6) AS deg_per_min, ['N', 'NNE', 'NE', 'ENE', 'E', 'ESE', 'SE', 'SSE', 'S', 'SSW', 'SW', 'WSW', 'W', 'WNW', 'NW', 'NNW'][floor(az / 22.5::DOUBLE + 0.5::DOUBLE)::INT % 16 + 1] AS point, round(503e0 * 850 / (t * t) * (0.0343::DOUBLE + el / 78), 6) AS k FROM s",
     "classify_spec_text": "WITH s AS (SELECT p_partkey, p_size % 12 AS ch, substr('KLMN', (p_partkey % 4 + 1)::INT, 1) AS ed FROM part) SELECT CASE WHEN p_partkey % 10 <= 1 THEN 'none' WHEN ed = 'K' THEN 'lit' WHEN ch = 10 THEN 'adls' WHEN ch = 9 THEN 'dual_high' WHEN ch = 8 THEN 'dual' WHEN ch = 7 THEN 'white_high' WHEN ch = 6 THEN 'white' WHEN ch = 5 THEN 'red' ELSE 'lit' END AS kind, count(*) AS parts FROM s GROUP BY 1",
-    "evidence_kind": "WITH t AS (SELECT role, lower(concat_ws(' ', role, substr(text, 1, 60), CASE turn % 3 WHEN 0 THEN 'a Photo' WHEN 1 THEN 'hearsay report' END)) AS x FROM conversations), k AS (SELECT role, x, CASE WHEN regexp_matches(x, 'photo|image|picture') THEN 'photo' WHEN regexp_matches(x, 'video|film') THEN 'video' WHEN regexp_matches(x, 'report|account') THEN 'report' ELSE 'other' END AS k FROM t) SELECT role, k || CASE WHEN regexp_matches(x, 'rumou?r|hearsay|legend') THEN '-weak' ELSE '' END AS kind, count(*) AS n FROM k GROUP BY 1, 2",
+    "evidence_kind": "WITH t AS (SELECT role, lower(concat_ws(' ', role, text, CASE turn % 4 WHEN 0 THEN 'a Photo' WHEN 1 THEN 'newspaper report, hearsay' WHEN 2 THEN 'campaign' END)) AS x FROM conversations) SELECT role, CASE WHEN regexp_matches(x, 'photo|video') THEN 'photo' WHEN regexp_matches(x, 'instrument|campaign|measurement|triangul|spectro') THEN 'instrument' WHEN regexp_matches(x, 'newspaper|magazine|tv|press|print') THEN 'press' ELSE 'eyewitness' END AS kind, regexp_matches(x, 'single|uncited|unverified|fan|weak|hearsay|third-hand') AS weak, count(*) AS n FROM t GROUP BY 1, 2, 3",
     "catalogue_filter": "SELECT p_partkey, p_name FROM part WHERE lower(concat_ws(' ', p_name, p_brand, p_type)) LIKE '%red%'",
     "refraction_bins": "SELECT CASE WHEN kc <= 0 THEN 'k1' WHEN kc <= 0.07::DOUBLE THEN 'k2' WHEN kc <= 0.13::DOUBLE THEN 'k3' WHEN kc <= 0.25 THEN 'k4' WHEN kc <= 0.5 THEN 'k5' ELSE 'k6' END AS bin, count(*) AS n FROM v_sources GROUP BY 1",
     "class_vmhx": "WITH s AS (SELECT *, CASE WHEN source_id % 13 <> 0 THEN source_id % 41 / 40e0 END AS p FROM v_sources), c AS (SELECT *, CASE WHEN p IS NULL THEN 'x' WHEN p <= 0.05::DOUBLE THEN 'h' WHEN p >= 0.95::DOUBLE AND kc <= 0.13::DOUBLE THEN 'v' ELSE 'm' END AS cls FROM s) SELECT source_id, cls, CASE cls WHEN 'v' THEN 1e0 WHEN 'm' THEN 0.5::DOUBLE ELSE 0e0 END AS weight, round(greatest(CASE WHEN cls IN ('v', 'm') THEN least(kc, 0.13::DOUBLE) ELSE kc END, 0), 6) AS k_low FROM c",

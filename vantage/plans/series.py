@@ -45,10 +45,10 @@ def islands_class_or_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def heading_from_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Azimuth from the point before to the point after on each route, the own point at its ends."""
-    t = view(spark, sf_dir, "targets")
-    cols = {f"{c}_{i}": e for c in ("lon", "lat") for i, e in enumerate(windows.neighbours(c, "route", "chain"))}
-    t = t.withColumns(cols)
+    """Azimuth from the point before to the point after on each route, the own point at its ends; routes are dealt by stretches."""
+    t = windows.in_stretches(view(spark, sf_dir, "targets"), "route", "chain", 120_000.0, 600.0)
+    cols = {f"{c}_{i}": e for c in ("lon", "lat") for i, e in enumerate(windows.neighbours(c, ["route", "_stretch"], "chain"))}
+    t = t.withColumns(cols).where("_own")
     return t.select("target_id", F.round(geo.bearing(F.col("lon_0"), F.col("lat_0"), F.col("lon_1"), F.col("lat_1")), 6).alias("heading"))
 
 
@@ -140,12 +140,12 @@ def linear_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def poisson_binomial(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chance of at least two successes of each user's first ten trials, by folding (1 - q, q) over an array."""
-    s = view(spark, sf_dir, "series").where("seq <= 10").select("user_id", "seq", (F.least(F.col("v"), F.lit(200.0)) / 250).alias("q"))
-    g = s.groupBy("user_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", "q"))), lambda x: x["q"]).alias("q"))
+    """Chance of at least two successes in each user's trials of a day, by folding (1 - q, q) over an array."""
+    s = view(spark, sf_dir, "series").select("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), "seq", (F.least(F.col("v"), F.lit(200.0)) / 250).alias("q"))
+    g = s.groupBy("user_id", "day").agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", "q"))), lambda x: x["q"]).alias("q"))
     start = F.struct(F.lit(1.0).alias("p0"), F.lit(0.0).alias("p1"))
     fold = F.aggregate("q", start, lambda a, q: F.struct((a["p0"] * (1 - q)).alias("p0"), (a["p1"] * (1 - q) + a["p0"] * q).alias("p1")))
-    return g.withColumn("f", fold).select("user_id", F.round(1 - F.col("f.p0") - F.col("f.p1"), 9).alias("tail"))
+    return g.withColumn("f", fold).select("user_id", "day", (F.round(1 - F.col("f.p0") - F.col("f.p1"), 9) + 0.0).alias("tail"))
 
 
 def occupancy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -220,7 +220,7 @@ ORACLES = {
     "grid_search_fit": f"WITH {_VARIOGRAM}, c AS (SELECT i * 0.5::DOUBLE + 1 AS length FROM range(119) r(i)), s AS (SELECT length, round(sum(pow(gamma - (SELECT max(gamma) FROM g) * (1 - exp(-lag / length)), 2)), 3) AS cost FROM g, c GROUP BY length) SELECT length, cost FROM s ORDER BY cost, length LIMIT 1",
     "autocorrelation": "WITH a AS (SELECT user_id, seq, v - avg(v) OVER (PARTITION BY user_id) AS x FROM v_series), p AS (SELECT a.user_id, k, round(sum(a.x * b.x), 3) AS p FROM a, range(1, 13) r(k), a b WHERE b.user_id = a.user_id AND b.seq = a.seq + k GROUP BY a.user_id, k), m AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY p DESC, k) AS o FROM p), d AS (SELECT user_id, round(avg(CASE WHEN x > 0 THEN 1e0 ELSE 0e0 END), 6) AS duty FROM a GROUP BY user_id) SELECT d.user_id, duty, m.k::INT AS lag FROM d LEFT JOIN m ON m.user_id = d.user_id AND o = 1",
     "linear_fit": "SELECT user_id, round(regr_slope(v, chain), 6) AS slope, round(regr_intercept(v, chain), 4) AS intercept FROM v_series GROUP BY user_id",
-    "poisson_binomial": "WITH RECURSIVE q AS (SELECT user_id, seq, least(v, 200) / 250 AS q FROM v_series WHERE seq <= 10), r AS (SELECT user_id, 0::BIGINT AS seq, 1e0 AS p0, 0e0 AS p1 FROM q WHERE seq = 1 UNION ALL SELECT r.user_id, q.seq, p0 * (1 - q.q), p1 * (1 - q.q) + p0 * q.q FROM r JOIN q ON q.user_id = r.user_id AND q.seq = r.seq + 1) SELECT user_id, round(1 - arg_max(p0, seq) - arg_max(p1, seq), 9) AS tail FROM r GROUP BY user_id",
+    "poisson_binomial": "WITH q AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, least(v, 200) / 250 AS q FROM v_series) SELECT user_id, day, round(1 - exp(sum(ln(1 - q))) * (1 + sum(q / (1 - q))), 9) + 0e0 AS tail FROM q GROUP BY user_id, day",
     "occupancy": "WITH a AS (SELECT event_type, count(*) / 72e1 AS rate, avg(v) AS len FROM v_series GROUP BY event_type), b AS (SELECT *, rate / 36e2 * len * 100 / 30 AS n FROM a) SELECT event_type, round(n, 9) AS expected, round(1 - exp(-n), 9) AS \"any\", round(rate * 3, 6) AS appearances FROM b",
     "road_at_t": f"WITH {_UNDER_WAY} SELECT hour, under_way FROM n",
     "simulated_statistics": f"WITH {_UNDER_WAY} SELECT count(*) AS hours_with_any, max(under_way) AS most, round(avg(under_way), 6) AS mean_if_any FROM n",

@@ -1,13 +1,23 @@
-"""Line-of-sight queries: critical refraction, limiting samples, margins, clutter, lengths, comparisons."""
+"""Line-of-sight queries: critical refraction, limiting samples, margins, clutter, lengths, comparisons.
+
+The registered queries sample rays every 2 m within 3 km of both ends and every 5 m between.  That is some thousand samples a ray,
+so their rays are made and reduced where the target is (``kernels.sightline``, map only); ``chord_samples`` and ``k_critical`` are the
+same as column expressions, for surfaces that are columns or come from a join.
+"""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import geo
+from ..kernels import sightline
 from ..operators import windows
 from .views import EYE, GROUND, LAT0, LON0, view, with_views
 
@@ -15,7 +25,6 @@ from .views import EYE, GROUND, LAT0, LON0, view, with_views
 LAMPS = (0.56, 0.66, 0.86, 1.12, 1.37, 2.5, 4.0)
 KS = (0.0, 0.13, 0.25, 0.5, 1.0)
 CLUTTER = (0.25, 0.5, 1.0)
-STEP = 500.0
 
 
 def terrain(lon: Column, lat: Column) -> Column:
@@ -23,7 +32,22 @@ def terrain(lon: Column, lat: Column) -> Column:
     return 1400 + 25 * F.sin(lon * 150) * F.cos(lat * 120) + 10 * F.sin(lat * 400)
 
 
-def chord_samples(targets: DataFrame, lamps=LAMPS, surface=terrain, step: float = STEP) -> DataFrame:
+def adaptive(total: Column) -> Column:
+    """The reference sampling: every 2 m within 3 km of both ends, every 5 m between."""
+    return windows.sample_distances(total, 5.0, 3.0, 3000.0, 2.0, 5.0)
+
+
+def evenly(step: float):
+    """Distances every ``step`` metres at most, ends excluded, two parts at least."""
+
+    def distances(total: Column) -> Column:
+        parts = F.greatest(F.ceil(total / step), F.lit(2)).cast("int")
+        return F.transform(F.sequence(F.lit(1), parts - 1), lambda n: total * n / parts)
+
+    return distances
+
+
+def chord_samples(targets: DataFrame, lamps=LAMPS, surface=terrain, distances=adaptive) -> DataFrame:
     """(target_id, n, s_<i>, y_<i>, d_<i>, up_<i>, radius, az, dist): samples along each sight line in the chord frame of each lamp i.
 
     The frame's origin is the eye, its first axis points to the lamp, its second is the mean vertical made normal to it.  What
@@ -33,7 +57,7 @@ def chord_samples(targets: DataFrame, lamps=LAMPS, surface=terrain, step: float
     t = targets.withColumns({"dist": geo.haversine(F.lit(LON0), F.lit(LAT0), F.col("lon"), F.col("lat")), "az": geo.bearing(F.lit(LON0), F.lit(LAT0), F.col("lon"), F.col("lat"))})
     up = geo.normal(F.col("lon"), F.col("lat"))
     t = t.withColumns({
-        "tz": surface(F.col("lon"), F.col("lat")), "radius": geo.normal_section_radius((F.col("lat") + LAT0) / 2, F.col("az")), "parts": F.greatest(F.ceil(F.col("dist") / step), F.lit(2)),
+        "tz": surface(F.col("lon"), F.col("lat")), "radius": geo.normal_section_radius((F.col("lat") + LAT0) / 2, F.col("az")), "places": distances(F.col("dist")),
         "nx": up[0], "ny": up[1], "nz": up[2],
     })
     origin = _constant_ecef(LON0, LAT0, GROUND + EYE)
@@ -51,8 +75,8 @@ def chord_samples(targets: DataFrame, lamps=LAMPS, surface=terrain, step: float
         t = t.withColumns({f"u{c}{i}": e[j] / F.col(f"d_{i}") for j, c in enumerate(axes)} | {f"v{c}{i}": w[j] / F.col("size") for j, c in enumerate(axes)})
         t = t.withColumn(f"up_{i}", geo.dot(own, [F.col(f"v{c}{i}") for c in axes]))
     fixed = [f"{c}{i}" for i in range(len(lamps)) for c in ("ux", "uy", "uz", "vx", "vy", "vz", "d_", "up_")]
-    t = t.select("target_id", "radius", "az", "dist", "parts", "chain", "route", *fixed, F.explode(F.sequence(F.lit(1), F.col("parts").cast("int") - 1)).alias("n"))
-    lon, lat = geo.spherical_direct(F.lit(LON0), F.lit(LAT0), F.col("az"), F.col("dist") * F.col("n") / F.col("parts"))
+    t = t.select("target_id", "radius", "az", "dist", "chain", "route", *fixed, F.posexplode("places").alias("n", "at"))
+    lon, lat = geo.spherical_direct(F.lit(LON0), F.lit(LAT0), F.col("az"), F.col("at"))
     t = t.withColumns({"plon": lon, "plat": lat})
     point = geo.ecef(F.col("plon"), F.col("plat"), surface(F.col("plon"), F.col("plat")))
     t = t.withColumns({f"p{c}": point[j] - origin[j] for j, c in enumerate(axes)})
@@ -77,65 +101,125 @@ def critical(i: int) -> Column:
     return 2 * F.col("radius") * F.col(f"y_{i}") / (F.col(f"s_{i}") * (F.col(f"d_{i}") - F.col(f"s_{i}")))
 
 
-def k_critical(samples: DataFrame, lamps=LAMPS) -> DataFrame:
-    """(target_id, lamp, k_crit): the lamp is visible for k >= k_crit.  One row for each target, lamps unpivoted after the maximum."""
-    wide = samples.groupBy("target_id").agg(*[F.round(F.max(critical(i)), 5).alias(f"k{i}") for i in range(len(lamps))])
+def k_critical(samples: DataFrame, lamps=LAMPS, strict: bool = False) -> DataFrame:
+    """(target_id, lamp, k_crit): the lamp is visible for k >= k_crit.  One row for each target, lamps unpivoted after the maximum.
+
+    A ray over ground without height is not known to be free: its k_crit is null, with ``strict`` the query fails.
+    """
+    missing = F.count_if(F.col("y_0").isNull())
+    unknown = F.when(missing > 0, F.raise_error("samples have no ground height") if strict else F.lit(None))
+    wide = samples.groupBy("target_id").agg(*[F.when(missing > 0, unknown.cast("double")).otherwise(F.round(F.max(critical(i)), 5)).alias(f"k{i}") for i in range(len(lamps))])
     pairs = F.explode(F.array(*[F.struct(F.lit(lamp).alias("lamp"), F.col(f"k{i}").alias("k_crit")) for i, lamp in enumerate(lamps)]))
     return wide.select("target_id", pairs.alias("p")).select("target_id", "p.lamp", "p.k_crit")
 
 
+def ground(lon: np.ndarray, lat: np.ndarray) -> np.ndarray:
+    """``terrain`` for arrays."""
+    return 1400 + 25 * np.sin(lon * 150) * np.cos(lat * 120) + 10 * np.sin(lat * 400)
+
+
+VIEWER = sightline.Viewer(LON0, LAT0, GROUND + EYE)
+
+
+def reduced(targets: DataFrame, lamps, values: dict, keep: list[str] = ["target_id"], surface=ground, sampling: sightline.Sampling = sightline.Sampling(), strict: bool = False) -> DataFrame:  # noqa: B006, B008
+    """``keep`` and a double column for each of ``values``: name -> function (rays, other columns of the targets) of a value for each target.
+
+    A value is null where a sample has no ground height; with ``strict`` that fails.
+    """
+    columns = [*dict.fromkeys([*keep, "target_id", "lon", "lat"])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lon, lat, ident = (batch.column(c).to_numpy() for c in ("lon", "lat", "target_id"))
+            out = {name: np.empty(batch.num_rows) for name in values}
+            for rows, rays in sightline.rays(lon, lat, VIEWER, lamps, surface, sampling, strict):
+                for name, value in values.items():
+                    out[name][rows] = value(rays, ident[rows])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(v, from_pandas=True) for v in out.values())], [*keep, *values])
+
+    fields = [*(targets.schema[c] for c in keep), *(T.StructField(n, T.DoubleType()) for n in values)]
+    return targets.select(*columns).mapInArrow(run, T.StructType(fields))
+
+
+def critical_of(i: int, raised: float | None = None):
+    """k_crit of lamp i; ``raised``: clutter on samples farther than 10 m from both ends."""
+
+    def value(rays: sightline.Ray, _) -> np.ndarray:
+        if raised is None:
+            return np.round(rays.highest(rays.critical(i)), 4)
+        inner = (rays.s[i] > 10) & (rays.d[i][rays.ray] - rays.s[i] > 10)
+        return rays.highest(rays.critical(i, np.where(inner, raised, 0.0)))
+
+    return value
+
+
+def _limit(rays: sightline.Ray, _) -> np.ndarray:
+    """Ground distance of the limiting sample, the nearest on ties."""
+    k = np.round(rays.critical(0), 4)
+    best = k == rays.highest(k)[rays.ray]
+    return np.minimum.reduceat(np.where(best, rays.ground, np.inf), rays.first)
+
+
+def _share_of_chord(far: bool):
+    def value(rays: sightline.Ray, _) -> np.ndarray:
+        d, s = rays.d[0][rays.ray], rays.s[0]
+        return rays.highest(rays.excess(0, 0.13) * d / (s if far else d - s) / (rays.up[0][rays.ray] if far else 1.0))
+
+    return value
+
+
 def visible_km_by_lamp_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Visible length by lamp height and refraction coefficient, 60 m for each target point."""
-    found = k_critical(chord_samples(view(spark, sf_dir, "targets")))
-    return found.groupBy("lamp").agg(*[F.count(F.when(F.col("k_crit") <= k, 1)).alias(f"n{j}") for j, k in enumerate(KS)]).select("lamp", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.round(F.col(f"n{j}") * 0.06, 6).alias("visible_km")) for j, k in enumerate(KS)])).alias("p")).select("lamp", "p.k", "p.visible_km")
+    found = reduced(view(spark, sf_dir, "targets"), LAMPS, {f"k{i}": critical_of(i) for i in range(len(LAMPS))})
+    counts = found.agg(*[F.count(F.when(F.col(f"k{i}") <= k, 1)).alias(f"n{i}_{j}") for i in range(len(LAMPS)) for j, k in enumerate(KS)])
+    cells = [F.struct(F.lit(lamp).alias("lamp"), F.lit(k).alias("k"), F.round(F.col(f"n{i}_{j}") * 0.06, 6).alias("visible_km")) for i, lamp in enumerate(LAMPS) for j, k in enumerate(KS)]
+    return counts.select(F.explode(F.array(*cells)).alias("p")).select("p.*")
 
 
 def limiting_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which sample limits each target, for one lamp; the nearer one on ties."""
-    samples = chord_samples(view(spark, sf_dir, "targets"), lamps=(0.66,))
-    best = F.max_by(F.struct("n", "s_0"), F.struct(F.round(critical(0), 5), -F.col("n")))
-    return samples.groupBy("target_id").agg(best.alias("b")).select("target_id", F.col("b.n").cast("long").alias("n"), F.round("b.s_0", 2).alias("limit_m"))
+    """How far away the sample is that limits each target, for one lamp; the nearer one on ties."""
+    return reduced(view(spark, sf_dir, "targets"), (0.66,), {"limit_m": _limit}).select("target_id", F.round("limit_m", 1).alias("limit_m"))
 
 
 def clearance_and_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clearance and the heights that lamp or eye would need, at k = 0.13."""
-    s, y, d, k = F.col("s_0"), F.col("y_0"), F.col("d_0"), 0.13
-    excess = y - k * s * (d - s) / (2 * F.col("radius"))
-    samples = chord_samples(view(spark, sf_dir, "targets"), lamps=(0.66,))
-    out = samples.groupBy("target_id").agg(F.max(excess).alias("e"), F.max(excess * d / s / F.col("up_0")).alias("l"), F.max(excess * d / (d - s)).alias("o"))
-    return out.select("target_id", F.round(-F.col("e"), 4).alias("clearance"), F.round("l", 3).alias("lamp_margin"), F.round("o", 3).alias("eye_margin"))
+    values = {"clearance": lambda rays, _: -rays.highest(rays.excess(0, 0.13)), "lamp_margin": _share_of_chord(True), "eye_margin": _share_of_chord(False)}
+    return reduced(view(spark, sf_dir, "targets"), (0.66,), values).select("target_id", F.round("clearance", 3).alias("clearance"), *((F.round(c, 2) + 0.0).alias(c) for c in ("lamp_margin", "eye_margin")))
 
 
 def clutter_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """k_crit with clutter added to samples farther than 10 m from both ends."""
-    samples = chord_samples(view(spark, sf_dir, "targets"), lamps=(0.66,))
-    inner = (F.col("s_0") > 10) & (F.col("d_0") - F.col("s_0") > 10)
-    kc = lambda v: 2 * F.col("radius") * (F.col("y_0") + F.when(inner, v).otherwise(0.0)) / (F.col("s_0") * (F.col("d_0") - F.col("s_0")))
-    return samples.groupBy("target_id").agg(*[F.round(F.max(kc(v)), 5).alias(f"k_clutter_{int(v * 100)}") for v in CLUTTER])
+    values = {f"k_clutter_{int(v * 100)}": critical_of(0, v) for v in CLUTTER}
+    return reduced(view(spark, sf_dir, "targets"), (0.66,), values).select("target_id", *(F.round(c, 3).alias(c) for c in values))
 
 
 def run_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two runs over the same points: agreement at k = 0.13, both kinds of disagreement, median difference."""
-    t = view(spark, sf_dir, "targets")
-    a = k_critical(chord_samples(t, lamps=(0.66,)), lamps=(0.66,)).select("target_id", F.col("k_crit").alias("a"))
-    b = k_critical(chord_samples(t, lamps=(1.12,)), lamps=(1.12,)).select("target_id", F.col("k_crit").alias("b"))
-    both = a.join(b, "target_id")
+    """Two runs over the same points: agreement at k = 0.13, both kinds of disagreement, median difference; rays are made once for both."""
+    both = reduced(view(spark, sf_dir, "targets"), (0.66, 1.12), {"a": critical_of(0), "b": critical_of(1)})
     va, vb = F.col("a") <= 0.13, F.col("b") <= 0.13
     return both.agg(
         F.round(F.avg(F.when(va == vb, 1.0).otherwise(0.0)), 6).alias("agreement"), F.count(F.when(va & ~vb, 1)).alias("only_a"), F.count(F.when(~va & vb, 1)).alias("only_b"),
-        F.round(F.expr("percentile(b - a, 0.5)"), 5).alias("median_difference"),
+        F.round(F.expr("percentile(b - a, 0.5)"), 4).alias("median_difference"),
     )
 
 
 def length_by_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Length with k_crit at most k, for k = 0, 0.05, ... 1, and the same from the running total by grouping sets of route."""
-    t = view(spark, sf_dir, "targets")
-    kc = k_critical(chord_samples(t, lamps=(0.66,)), lamps=(0.66,)).join(t.select("target_id", "route"), "target_id")
+    """Length with k_crit at most k, for k = 0, 0.05, ... 1, by route and over all."""
+    kc = reduced(view(spark, sf_dir, "targets"), (0.66,), {"k_crit": critical_of(0)}, ["target_id", "route"])
     wide = kc.rollup("route").agg(*[F.count(F.when(F.col("k_crit") <= i / 20, 1)).alias(f"n{i}") for i in range(21)])
     pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("step"), F.round(F.col(f"n{i}") * 0.06, 6).alias("km")) for i in range(21)]))
     return wide.select(F.coalesce("route", F.lit("all")).alias("route"), pairs.alias("p")).select("route", "p.step", "p.km")
 
 
+def trace_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points worth tracing: of every second point of a route those that are not hidden for certain, k_crit being at most 2, with the span of launch angles (mrad)."""
+    t = view(spark, sf_dir, "targets").where("target_id % 2 = 0")
+    found = reduced(t, (4.0,), {"k_crit": critical_of(0), "d": lambda rays, _: rays.d[0]})
+    return found.where("k_crit <= 2").select("target_id", "k_crit", F.round(F.col("d") / (2 * geo.R_SPHERE) * 1000, 4).alias("span"))
+
+
 def prefix_max_visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's series as a ray: which samples are seen past all nearer ground."""
     s = view(spark, sf_dir, "series")
@@ -159,49 +243,52 @@ def _terrain(lon: str, lat: str) -> str:
     return f"(1400 + 25 * sin({lon} * 150) * cos({lat} * 120) + 10 * sin({lat} * 400))"
 
 
-def samples_sql(lamps) -> str:
-    """The same samples in SQL, lamps as rows."""
+def samples_sql(lamps, where: str = "true") -> str:
+    """The same samples in SQL, lamps as rows: frames by target and lamp, points by target and distance, then both joined."""
     rows = ", ".join(f"({i}, {lamp}::DOUBLE)" for i, lamp in enumerate(lamps))
     o, n = _constant_ecef(LON0, LAT0, GROUND + EYE), _constant_normal(LON0, LAT0)
     d = "::DOUBLE"
     return f"""
 lamps(i, lamp) AS (VALUES {rows}),
-t0 AS (SELECT *, radians(lat) AS q, radians(lon) AS lo, radians({LAT0}{d}) AS p, radians({LON0}{d}) AS p0 FROM v_targets),
+t0 AS (SELECT *, radians(lat) AS q, radians(lon) AS lo, radians({LAT0}{d}) AS p, radians({LON0}{d}) AS p0 FROM v_targets WHERE {where}),
 t1 AS (SELECT *, 2 * {geo.R_SPHERE}{d} * asin(sqrt(pow(sin((q - p) / 2), 2) + cos(p) * cos(q) * pow(sin((lo - p0) / 2), 2))) AS dist,
-       ((degrees(atan2(sin(lo - p0) * cos(q), cos(p) * sin(q) - sin(p) * cos(q) * cos(lo - p0))) % 360) + 360) % 360 AS az, {_terrain('lon', 'lat')} AS tz FROM t0),
-t2 AS (SELECT *, greatest(ceil(dist / {STEP}{d}), 2) AS parts, radians((lat + {LAT0}{d}) / 2) AS ml FROM t1),
-t3 AS (SELECT *, {geo.A}{d} * (1 - {_FLAT2}) / pow(1 - {_FLAT2} * sin(ml) * sin(ml), 1.5{d}) AS m, {geo.A}{d} / sqrt(1 - {_FLAT2} * sin(ml) * sin(ml)) AS pv,
-       {geo.A}{d} / sqrt(1 - {_FLAT2} * sin(q) * sin(q)) AS tn FROM t2),
-t4 AS (SELECT *, 1 / (cos(radians(az)) * cos(radians(az)) / m + sin(radians(az)) * sin(radians(az)) / pv) AS radius, cos(q) * cos(lo) AS nx, cos(q) * sin(lo) AS ny, sin(q) AS nz FROM t3),
-t5 AS (SELECT *, unnest(range(1, parts::BIGINT)) AS n FROM t4),
-t6 AS (SELECT *, dist * n / parts / {geo.R_SPHERE}{d} AS dd FROM t5),
-t7 AS (SELECT *, asin(sin(p) * cos(dd) + cos(p) * sin(dd) * cos(radians(az))) AS pq FROM t6),
-t8 AS (SELECT *, p0 + atan2(sin(radians(az)) * sin(dd) * cos(p), cos(dd) - sin(p) * sin(pq)) AS pl FROM t7),
-t9 AS (SELECT *, {_terrain('degrees(pl)', 'degrees(pq)')} AS z, {geo.A}{d} / sqrt(1 - {_FLAT2} * sin(pq) * sin(pq)) AS pn FROM t8),
-t10 AS (SELECT *, (pn + z) * cos(pq) * cos(pl) - {o[0]!r}{d} AS px, (pn + z) * cos(pq) * sin(pl) - {o[1]!r}{d} AS py, (pn * (1 - {_FLAT2}) + z) * sin(pq) - {o[2]!r}{d} AS pz,
-        nx + {n[0]!r}{d} AS ux, ny + {n[1]!r}{d} AS uy, nz + {n[2]!r}{d} AS uz FROM t9),
-t11 AS (SELECT t10.*, i, lamp, (tn + tz + lamp) * nx - {o[0]!r}{d} AS ex, (tn + tz + lamp) * ny - {o[1]!r}{d} AS ey, (tn * (1 - {_FLAT2}) + tz + lamp) * nz - {o[2]!r}{d} AS ez FROM t10, lamps),
-t12 AS (SELECT *, sqrt(ex * ex + ey * ey + ez * ez) AS d FROM t11),
-t13 AS (SELECT *, (ux * ex + uy * ey + uz * ez) / d AS h, (px * ex + py * ey + pz * ez) / d AS s FROM t12),
-t14 AS (SELECT *, ux - h * ex / d AS wx, uy - h * ey / d AS wy, uz - h * ez / d AS wz FROM t13),
-x AS (SELECT target_id, route, lamp, n, s, d, radius, (px * wx + py * wy + pz * wz) / sqrt(wx * wx + wy * wy + wz * wz) AS y,
-      (nx * wx + ny * wy + nz * wz) / sqrt(wx * wx + wy * wy + wz * wz) AS up FROM t14),
-kc AS (SELECT target_id, any_value(route) AS route, lamp, round(max(2 * radius * y / (s * (d - s))), 5) AS k_crit FROM x GROUP BY target_id, lamp)"""
-
-
-def _sql(lamps, tail: str) -> str:
-    return with_views(f"WITH {samples_sql(lamps)} {tail}")
+       atan2(sin(lo - p0) * cos(q), cos(p) * sin(q) - sin(p) * cos(q) * cos(lo - p0)) AS az, {_terrain('lon', 'lat')} AS tz, radians((lat + {LAT0}{d}) / 2) AS ml FROM t0),
+t2 AS (SELECT *, {geo.A}{d} * (1 - {_FLAT2}) / pow(1 - {_FLAT2} * sin(ml) * sin(ml), 1.5{d}) AS m, {geo.A}{d} / sqrt(1 - {_FLAT2} * sin(ml) * sin(ml)) AS pv,
+       {geo.A}{d} / sqrt(1 - {_FLAT2} * sin(q) * sin(q)) AS tn, cos(q) * cos(lo) AS nx, cos(q) * sin(lo) AS ny, sin(q) AS nz FROM t1),
+t3 AS (SELECT *, 1 / (cos(az) * cos(az) / m + sin(az) * sin(az) / pv) AS radius FROM t2),
+f0 AS (SELECT target_id, route, radius, nx, ny, nz, lamp, nx + {n[0]!r}{d} AS ux, ny + {n[1]!r}{d} AS uy, nz + {n[2]!r}{d} AS uz,
+       (tn + tz + lamp) * nx - {o[0]!r}{d} AS ex, (tn + tz + lamp) * ny - {o[1]!r}{d} AS ey, (tn * (1 - {_FLAT2}) + tz + lamp) * nz - {o[2]!r}{d} AS ez FROM t3, lamps),
+f1 AS (SELECT *, sqrt(ex * ex + ey * ey + ez * ez) AS d FROM f0),
+f2 AS (SELECT *, (ux * ex + uy * ey + uz * ez) / d AS h FROM f1),
+f3 AS (SELECT *, ux - h * ex / d AS wx, uy - h * ey / d AS wy, uz - h * ez / d AS wz FROM f2),
+f4 AS (SELECT *, sqrt(wx * wx + wy * wy + wz * wz) AS size FROM f3),
+f AS (SELECT target_id, route, radius, lamp, d, ex / d AS a1, ey / d AS a2, ez / d AS a3, wx / size AS b1, wy / size AS b2, wz / size AS b3, (nx * wx + ny * wy + nz * wz) / size AS up FROM f4),
+g0 AS (SELECT target_id, p, p0, az, unnest(CASE WHEN dist - 3 <= 5 THEN [dist / 2] ELSE list_concat(
+  list_transform(range(ceil((least(3000{d}, dist - 3) - 5) / 2)::BIGINT), lambda j: 5 + j * 2e0),
+  list_transform(range(ceil(least(3000{d}, dist - 8) / 2)::BIGINT), lambda j: dist - 3 - j * 2e0),
+  list_transform(range(greatest(ceil((dist - 6000) / 5), 0)::BIGINT), lambda j: 3000 + j * 5e0)) END) AS g FROM t3),
+g1 AS (SELECT *, asin(sin(p) * cos(g / {geo.R_SPHERE}{d}) + cos(p) * sin(g / {geo.R_SPHERE}{d}) * cos(az)) AS pq FROM g0),
+g2 AS (SELECT *, p0 + atan2(sin(az) * sin(g / {geo.R_SPHERE}{d}) * cos(p), cos(g / {geo.R_SPHERE}{d}) - sin(p) * sin(pq)) AS pl FROM g1),
+g3 AS (SELECT *, {_terrain('degrees(pl)', 'degrees(pq)')} AS z, {geo.A}{d} / sqrt(1 - {_FLAT2} * sin(pq) * sin(pq)) AS pn FROM g2),
+g4 AS (SELECT target_id, g, (pn + z) * cos(pq) * cos(pl) - {o[0]!r}{d} AS px, (pn + z) * cos(pq) * sin(pl) - {o[1]!r}{d} AS py, (pn * (1 - {_FLAT2}) + z) * sin(pq) - {o[2]!r}{d} AS pz FROM g3),
+x AS (SELECT target_id, route, lamp, g, d, radius, up, px * a1 + py * a2 + pz * a3 AS s, px * b1 + py * b2 + pz * b3 AS y FROM g4 JOIN f USING (target_id)),
+kc AS (SELECT target_id, any_value(route) AS route, lamp, any_value(d) AS d, round(max(2 * radius * y / (s * (d - s))), 4) AS k_crit FROM x GROUP BY target_id, lamp)"""
+
+
+def _sql(lamps, tail: str, where: str = "true") -> str:
+    return with_views(f"WITH {samples_sql(lamps, where)} {tail}")
 
 
 _K = ", ".join(f"({k}::DOUBLE)" for k in KS)
-QUERIES = {f.__name__: f for f in (visible_km_by_lamp_k, limiting_sample, clearance_and_margins, clutter_sensitivity, run_compare, length_by_k, prefix_max_visibility, sampling_distances)}
+QUERIES = {f.__name__: f for f in (visible_km_by_lamp_k, limiting_sample, clearance_and_margins, clutter_sensitivity, run_compare, length_by_k, trace_candidates, prefix_max_visibility, sampling_distances)}
 ORACLES = {
     "visible_km_by_lamp_k": _sql(LAMPS, f"SELECT lamp, k, round(count(CASE WHEN k_crit <= k THEN 1 END) * 0.06::DOUBLE, 6) AS visible_km FROM kc, (VALUES {_K}) v(k) GROUP BY lamp, k"),
-    "limiting_sample": _sql((0.66,), "SELECT target_id, n, round(s, 2) AS limit_m FROM (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY round(2 * radius * y / (s * (d - s)), 5) DESC, n) AS o FROM x) WHERE o = 1"),
-    "clearance_and_margins": _sql((0.66,), ", e AS (SELECT *, y - 0.13::DOUBLE * s * (d - s) / (2 * radius) AS ex FROM x) SELECT target_id, round(-max(ex), 4) AS clearance, round(max(ex * d / s / up), 3) AS lamp_margin, round(max(ex * d / (d - s)), 3) AS eye_margin FROM e GROUP BY target_id"),
-    "clutter_sensitivity": _sql((0.66,), "SELECT target_id, " + ", ".join(f"round(max(2 * radius * (y + CASE WHEN s > 10 AND d - s > 10 THEN {v}::DOUBLE ELSE 0 END) / (s * (d - s))), 5) AS k_clutter_{int(v * 100)}" for v in CLUTTER) + " FROM x GROUP BY target_id"),
-    "run_compare": _sql((0.66, 1.12), ", p AS (SELECT a.k_crit AS a, b.k_crit AS b FROM kc a JOIN kc b USING (target_id) WHERE a.lamp < 1 AND b.lamp > 1) SELECT round(avg(CASE WHEN (a <= 0.13) = (b <= 0.13) THEN 1e0 ELSE 0e0 END), 6) AS agreement, count(CASE WHEN a <= 0.13 AND b > 0.13 THEN 1 END) AS only_a, count(CASE WHEN a > 0.13 AND b <= 0.13 THEN 1 END) AS only_b, round(quantile_cont(b - a, 0.5), 5) AS median_difference FROM p"),
+    "limiting_sample": _sql((0.66,), ", r AS (SELECT target_id, g, round(2 * radius * y / (s * (d - s)), 4) AS k FROM x) SELECT target_id, round(arg_max(g, struct_pack(k := k, nearest := -g)), 1) AS limit_m FROM r GROUP BY target_id"),
+    "clearance_and_margins": _sql((0.66,), ", e AS (SELECT *, y - 0.13::DOUBLE * s * (d - s) / (2 * radius) AS ex FROM x) SELECT target_id, round(-max(ex), 3) AS clearance, round(max(ex * d / s / up), 2) + 0e0 AS lamp_margin, round(max(ex * d / (d - s)), 2) + 0e0 AS eye_margin FROM e GROUP BY target_id"),
+    "clutter_sensitivity": _sql((0.66,), "SELECT target_id, " + ", ".join(f"round(max(2 * radius * (y + CASE WHEN s > 10 AND d - s > 10 THEN {v}::DOUBLE ELSE 0 END) / (s * (d - s))), 3) AS k_clutter_{int(v * 100)}" for v in CLUTTER) + " FROM x GROUP BY target_id"),
+    "run_compare": _sql((0.66, 1.12), ", p AS (SELECT a.k_crit AS a, b.k_crit AS b FROM kc a JOIN kc b USING (target_id) WHERE a.lamp < 1 AND b.lamp > 1) SELECT round(avg(CASE WHEN (a <= 0.13) = (b <= 0.13) THEN 1e0 ELSE 0e0 END), 6) AS agreement, count(CASE WHEN a <= 0.13 AND b > 0.13 THEN 1 END) AS only_a, count(CASE WHEN a > 0.13 AND b <= 0.13 THEN 1 END) AS only_b, round(quantile_cont(b - a, 0.5), 4) AS median_difference FROM p"),
     "length_by_k": _sql((0.66,), "SELECT coalesce(route, 'all') AS route, step::INT AS step, round(count(CASE WHEN k_crit <= step / 20e0 THEN 1 END) * 0.06::DOUBLE, 6) AS km FROM kc, range(21) r(step) GROUP BY GROUPING SETS ((route, step), (step))"),
+    "trace_candidates": _sql((4.0,), f"SELECT target_id, k_crit, round(d / (2 * {geo.R_SPHERE}::DOUBLE) * 1000, 4) AS span FROM kc WHERE k_crit <= 2", "target_id % 2 = 0"),
     "prefix_max_visibility": with_views("WITH a AS (SELECT user_id, seq, chain * 10 AS d, (v - chain * 10 * chain * 10 / 14642000 - 50) / (chain * 10) AS g, (v + 2 - chain * 10 * chain * 10 / 14642000 - 50) / (chain * 10) AS t FROM v_series), b AS (SELECT *, max(g) OVER (PARTITION BY user_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM a) SELECT user_id, seq, m IS NULL OR t >= m AS visible, round((t - m) * d, 5) AS clearance FROM b"),
     "sampling_distances": with_views("""WITH a AS (SELECT source_id, km * 100 AS total FROM v_sources), s AS (
 SELECT source_id, unnest(CASE WHEN total - 3 <= 5 THEN [total / 2] ELSE list_distinct(list_filter(list_concat(

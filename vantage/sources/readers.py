@@ -5,11 +5,14 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..kernels import raster
+
 MANIFEST = "file STRING, path STRING, url STRING, product STRING, crs STRING, bytes LONG, sha256 STRING, last_modified STRING, retrieved STRING"
 
 
@@ -53,7 +56,7 @@ def positional(json_text: Column, fields: list[str], types: list[str]) -> Column
 
 def read_csv_points(spark: SparkSession, path: str, lat: str, lon: str) -> DataFrame:
     """A CSV with header; rows whose coordinates are not numbers are left out."""
-    rows = spark.read.option("header", True).csv(path)
+    rows = spark.read.option("header", True).option("escape", '"').csv(path)
     return rows.withColumns({lat: F.col(lat).try_cast("double"), lon: F.col(lon).try_cast("double")}).where(F.col(lat).isNotNull() & F.col(lon).isNotNull())
 
 
@@ -104,3 +107,53 @@ def precache(files: DataFrame, size_cap: int) -> DataFrame:
     rows = files.withColumns({"stem": stem, "width": width})
     order = Window.partitionBy("stem").orderBy(F.col("width") > size_cap, F.when(F.col("width") <= size_cap, -F.col("width")).otherwise(F.col("width")), "file")
     return rows.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+
+
+TILE = "name string, west double, north double, dx double, dy double, row0 int, col0 int, rows int, cols int, z binary"
+
+
+def read_raster_blocks(spark: SparkSession, path: str, bounds: tuple[float, float, float, float] | None = None, size: int = 512) -> DataFrame:
+    """Blocks of the GeoTIFF files under a path (TILE; heights as 32-bit floats, nan for no data), those that meet ``bounds`` (west, south, east, north) only."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for file, data in zip(frame["path"], frame["content"], strict=True):
+                tile = raster.read_geotiff(bytes(data), file.rsplit("/", 1)[-1])
+                part = tile.window(*bounds) if bounds else tile
+                if part is None:
+                    continue
+                r0, c0 = round((part.north - tile.north) / tile.dy), round((part.west - tile.west) / tile.dx)
+                rows, cols = part.z.shape
+                for r in range(0, rows, size):
+                    out = [(tile.name, tile.west, tile.north, tile.dx, tile.dy, r0 + r, c0 + c, *part.z[r : r + size, c : c + size].shape, part.z[r : r + size, c : c + size].astype("<f4").tobytes()) for c in range(0, cols, size)]
+                    yield pd.DataFrame(out, columns=[f.split()[0] for f in TILE.split(", ")])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, TILE)
+
+
+def raster_cells(blocks: DataFrame) -> DataFrame:
+    """(name, r, c, z) of all cells of blocks, null where there is no data."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for b in frame.itertuples():
+                z = np.frombuffer(b.z, "<f4").astype(float)
+                at = np.arange(len(z))
+                yield pd.DataFrame({"name": b.name, "r": b.row0 + at // b.cols, "c": b.col0 + at % b.cols, "z": z})
+
+    cells = blocks.mapInPandas(run, "name string, r long, c long, z double")
+    return cells.withColumn("z", F.nanvl("z", F.lit(None)))
+
+
+def read_point_cloud(spark: SparkSession, path: str, chunk: int = 5_000_000) -> DataFrame:
+    """(file, x, y, z, cls, withheld) of the returns of uncompressed LAS files, ``chunk`` of them at a time."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for file, data in zip(frame["path"], frame["content"], strict=True):
+                first = 0
+                while len((part := raster.read_las(bytes(data), first, chunk))["x"]):
+                    yield pd.DataFrame({"file": file.rsplit("/", 1)[-1], **part})
+                    first += chunk
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "file string, x double, y double, z double, cls int, withheld boolean")

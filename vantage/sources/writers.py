@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..kernels import raster
+
 
 def xml_escape(c: Column) -> Column:
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
@@ -21,11 +28,16 @@ def kml_placemarks(rows: DataFrame, name: str, points: str, colour: str = "ff000
 
 
 def write_kml(rows: DataFrame, path: str, name: str = "name", points: str = "points") -> None:
-    """A folder of text parts, each a complete document, so any part can be read alone."""
-    body = kml_placemarks(rows, name, points)
+    """A folder of text parts, each a complete document, so any part can be read alone: placemarks are lines, streamed between head and tail."""
     head, tail = '<?xml version="1.0" encoding="UTF-8"?><kml xmlns="http://www.opengis.net/kml/2.2"><Document>', "</Document></kml>"
-    whole = body.withColumn("p", F.spark_partition_id()).groupBy("p").agg(F.array_join(F.sort_array(F.collect_list("value")), "\n").alias("b"))
-    whole.select(F.concat(F.lit(head), "b", F.lit(tail)).alias("value")).write.mode("overwrite").text(path)
+
+    def framed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        line = lambda x: pa.RecordBatch.from_arrays([pa.array([x])], ["value"])
+        yield line(head)
+        yield from batches
+        yield line(tail)
+
+    kml_placemarks(rows, name, points).mapInArrow(framed, "value string").write.mode("overwrite").text(path)
 
 
 def write_log_csv(rows: DataFrame, path: str) -> None:
@@ -33,12 +45,38 @@ def write_log_csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').option("emptyValue", "").option("nullValue", "").csv(path)
 
 
-def positional_json(rows: DataFrame, columns: list[str], order: list[str]) -> DataFrame:
-    """(fields, row): each row as a JSON array in the order of ``columns``, numbered for a stable output."""
-    w = Window.orderBy(*order)
+def json_row(columns: list[str]) -> Column:
+    """A row as a JSON array in the order of ``columns``, nulls kept."""
     cell = lambda c: F.coalesce(F.to_json(F.array(F.col(c))), F.lit("[null]"))
     inner = [F.substring(cell(c), F.lit(2), F.length(cell(c)) - 2) for c in columns]
-    return rows.select(F.row_number().over(w).alias("n"), F.concat(F.lit("["), F.concat_ws(",", *inner), F.lit("]")).alias("row"))
+    return F.concat(F.lit("["), F.concat_ws(",", *inner), F.lit("]"))
+
+
+def positional_json(rows: DataFrame, columns: list[str], order: list[str]) -> DataFrame:
+    """(row) each row as a JSON array, in the stated order: sorted by ranges over many tasks, so written parts follow each other."""
+    return rows.orderBy(*order).select(json_row(columns).alias("row"))
+
+
+def geotiff(cells: DataFrame, key: str, dx: float, dy: float, bands: list[str]) -> DataFrame:
+    """(key, file) A GeoTIFF of the ``bands`` of each tile's cells (key, r, c, bands): a tile must fit in a task.  Cells that are missing have no data."""
+
+    def one(f: pd.DataFrame) -> pd.DataFrame:
+        r0, c0 = int(f["r"].min()), int(f["c"].min())
+        grid = np.full((len(bands), int(f["r"].max()) - r0 + 1, int(f["c"].max()) - c0 + 1), np.nan)
+        for i, b in enumerate(bands):
+            grid[i, f["r"] - r0, f["c"] - c0] = f[b]
+        return pd.DataFrame({key: [f[key].iloc[0]], "file": [raster.write_geotiff(c0 * dx, r0 * dy, dx, dy, grid)]})
+
+    return cells.groupBy(key).applyInPandas(one, f"{key} {cells.schema[key].dataType.simpleString()}, file binary")
+
+
+def template(page: str, values: dict[str, str]) -> str:
+    """``page`` with each mark replaced by its value; a mark that does not stand there exactly once is an error."""
+    for mark, value in values.items():
+        if page.count(mark) != 1:
+            raise ValueError(f"{mark!r} stands {page.count(mark)} times, not once")
+        page = page.replace(mark, value)
+    return page
 
 
 def quantised(height: Column, z0: float) -> Column:
