@@ -773,7 +773,7 @@ HEADERS = [
     ("Redistributions of source code must retain the above copyright notice, this\nlist of conditions and the following disclaimer.\n\nRedistributions in binary form must reproduce the above copyright notice, this list\nof conditions and the following disclaimer in the documentation and/or other\nmaterials provided with the distribution.", "BSD-2-Clause-text"),
     ("Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.", "ISC-text"),
     ("This is free and unencumbered software released into the public domain.", "Unlicense-text"), ("Text under CC0. To the extent possible under law, the author(s) have dedicated all copyright and\nrelated and neighboring rights to this software to the public domain worldwide.", "CC0-1.0-waiver"),
-    ("Released under CC BY-SA 4.0.", "CC-BY-SA-4.0"), ("Distributed under the Boost Software License, Version 1.0.\n(See accompanying file)", "BSL-1.0 BSL-1.0-notice"), ("This program is licensed under the EUPL 1.2", "EUPL-1.2"), ("All rights reserved.", None),
+    ("Released under CC BY-SA 4.0.", "CC-BY-SA-4.0"), ("Distributed under the Boost Software License, Version 1.0.\n(See accompanying file)", "BSL-1.0"), ("This program is licensed under the EUPL 1.2", "EUPL-1.2"), ("All rights reserved.", None),
 ]
 
 

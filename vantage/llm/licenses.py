@@ -93,7 +93,6 @@ TEXTS = {
     "isc-grant": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
     "zlib-warranty": ["This software is provided 'as-is', without any express or implied warranty."],
     "zlib-grant": ["Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"],
-    "bsl-notice": ["Distributed under the Boost Software License, Version 1.0."],
     "unlicense-domain": ["This is free and unencumbered software released into the public domain."],
     "wtfpl-name": ["DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE"],
     "cc0-waiver": ["To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide."],
@@ -121,7 +120,6 @@ RULES = [
     ("BSD-3-Clause", ["bsd-redistribution", "bsd-no-endorsement"]),
     ("ISC-text", ["isc-grant"]),
     ("Zlib-text", ["zlib-warranty", "zlib-grant"]),
-    ("BSL-1.0-notice", ["bsl-notice"]),
     ("Unlicense-text", ["unlicense-domain"]),
     ("WTFPL-text", ["wtfpl-name"]),
     ("CC0-1.0-waiver", ["cc0-waiver"]),
@@ -153,32 +151,43 @@ def _normal(sentence: Column) -> Column:
     return F.regexp_replace(F.trim(F.regexp_replace(sentence, "[^a-z0-9.+]+", " ")), r"[. ]+$", "")
 
 
+def _made(df: DataFrame, **columns: Column) -> DataFrame:
+    """doc_id and the columns, made once: a generator's output is not written into later expressions, where it would be made again for each line."""
+    one = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_made")
+    return df.select("doc_id", one).select("doc_id", *[f"_made.{n}" for n in columns])
+
+
 def scan(docs: DataFrame, sentences: dict[str, list[str]] = SENTENCES, rules=RULES) -> DataFrame:
     """(doc_id, sentence_ids, first_sentence, licenses) of rows with a known sentence: its identifiers in order, the number of the first, the rules that hold."""
     known = known_sentences(sentences)
+    whole, begin = sorted(known), beginnings(known)
     table = F.create_map(*[F.lit(x) for x in chain.from_iterable(sorted(known.items()))])
     low = F.translate("text", UPPER, LOWER)
     some = docs.select("doc_id", low.alias("low")).where(reduce(or_, [F.col("low").contains(w) for w in WORDS]))
     cut = some.select("doc_id", F.split(F.regexp_replace(F.regexp_replace("low", r"(?m)^[\x20\x09]*[;!]+", ""), r"([.!?;])[\x20\x09\x0B-\x0D]+", "$1\n"), "\n").alias("cut"))
-    cut = cut.select("doc_id", F.transform("cut", _normal).alias("line"), F.transform("cut", lambda s: s.rlike(r"[.!?;]$")).alias("ends"))
-    begun = F.filter(F.transform("line", lambda s, i: F.struct(s.alias("line"), (i + 1).alias("at"))), lambda x: x["line"].isin(beginnings(known)))
-    cut = cut.select("doc_id", "line", "ends", begun.alias("begun")).where(F.size("begun") > 0)
+    cut = _made(cut, line=F.transform("cut", _normal), ends=F.transform("cut", lambda s: s.rlike(r"[.!?;]$")))
+    # a sentence stands in a line, or begins in one and goes on in the next: both are looked up in hashed sets
+    places = F.transform("line", lambda s, i: F.struct(s.alias("line"), i.alias("i")))
+    goes_on = lambda x: ~F.get("ends", x["i"]) & F.coalesce(F.get("line", x["i"] + 1) != "", F.lit(False)) & F.concat_ws(" ", x["line"], F.get("line", x["i"] + 1)).isin(begin)
+    begun = F.transform(F.filter(places, lambda x: x["line"].isin(whole) | (x["line"].isin(begin) & goes_on(x))), lambda x: F.struct((x["i"] + 1).alias("at")))
+    cut = _made(cut, line=F.col("line"), ends=F.col("ends"), begun=begun).where(F.size("begun") > 0)
     longest = max(len(s.split()) for s in known)
 
     def run(at: Column, n: Column) -> Column:
         """The identifier of ``n`` neighbouring lines from ``at`` on; none across a blank line or a sentence's end."""
         lines = F.slice("line", at, n)
+        text = F.array_join(lines, " ")
         parted = F.array_contains(lines, "") | F.array_contains(F.slice("ends", at, n - 1), True)
-        return F.struct(n.alias("n"), F.when(~parted, F.try_element_at(table, F.array_join(lines, " "))).alias("id"))
+        return F.struct(n.alias("n"), F.when(text.isin(whole) & ~parted, F.try_element_at(table, text)).alias("id"))
 
     def first(x: Column) -> Column:
         runs = F.filter(F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("line") - x["at"] + 1)), lambda n: run(x["at"], n)), lambda r: r["id"].isNotNull())
         return F.struct(x["at"].alias("at"), F.get(runs, F.lit(0))["n"].alias("n"), F.get(runs, F.lit(0))["id"].alias("id"))
 
-    cut = cut.select("doc_id", F.filter(F.transform("begun", first), lambda x: x["id"].isNotNull()).alias("hit"))
+    cut = _made(cut, hit=F.filter(F.transform("begun", first), lambda x: x["id"].isNotNull()))
     cut = cut.select("doc_id", "hit", F.filter("hit", lambda x: x["n"] > 1).alias("wrapped"))
     at = F.filter("hit", lambda x: ~F.exists("wrapped", lambda w: (w["at"] < x["at"]) & (x["at"] < w["at"] + w["n"])))
-    found = cut.select("doc_id", at.alias("at")).where(F.size("at") > 0).select("doc_id", F.array_join("at.id", " ").alias("sentence_ids"), F.get("at", F.lit(0))["at"].cast("long").alias("first_sentence"))
+    found = _made(cut, at=at).where(F.size("at") > 0).select("doc_id", F.array_join("at.id", " ").alias("sentence_ids"), F.get("at", F.lit(0))["at"].cast("long").alias("first_sentence"))
     padded = F.concat(F.lit(" "), F.col("sentence_ids"), F.lit(" "))
     hits = [F.when(padded.rlike(pattern(*ids)), F.lit(name)) for name, *ids in _by_name(rules)]
     return found.withColumn("licenses", F.array_join(F.filter(F.array(*hits), lambda x: x.isNotNull()), " "))
