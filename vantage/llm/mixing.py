@@ -88,4 +88,4 @@ def emit(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, cap: float =
     keyed, row = numbered(docs)
     taken = _copies(written(_rows(keyed, row)), weights, budget, cap, seed).where("copies > 0")
     each = taken.select(F.col("row").alias(row), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(row)
-    return keyed.join(each, row).drop(row)
+    return keyed.join(each.hint("merge"), row).drop(row)
