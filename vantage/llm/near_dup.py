@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import drop_written, written
+from .shared import clear_written, drop_written, written, written_so_far
 from .textkernel import distinct_per_row, mix, sequence_keys, shingles, slices, words
 
 SYMBOLS, CHUNKS = 48, 12
@@ -171,6 +171,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     ``kept``: whether the row has its component's id; ``first``: whether it is the one row that stands for its component.  ``row_col``:
     a column of unique numbers, for a table that has one and gives the same at each reading; else rows are numbered.
     """
+    before = written_so_far()
     row_key = F.monotonically_increasing_id() if row_col is None else F.col(row_col).cast("long")
     texts = docs.select(row_key.alias("row_key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     texts = texts if row_col else written(texts)
@@ -191,10 +192,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         more = written(_crossed(mixed, reps, sets, percent))
         if not more.isEmpty():
             labels = components(edges.unionByName(more), ranks)
-        drop_written(more)
     classes = written(reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", "rows", F.coalesce("label", F.struct("rank", F.col("rep").alias("node"))).alias("label")))
-    for table in (keys, sets, edges, mixed, reps):
-        drop_written(table)
+    clear_written(docs.sparkSession, before, described, classes)
     rows = described.select("row_key", "doc_id", "n_shingles", "k1", "k2")
     joined = spread_join(rows.where("n_shingles > 0"), classes, ["k1", "k2"], "rows", described.count()).drop("k1", "k2")
     alone = rows.where("n_shingles = 0").drop("k1", "k2").withColumn("label", F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("rank"), F.col("row_key").alias("node")))
