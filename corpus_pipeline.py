@@ -34,8 +34,10 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     bounded_batches(spark)
     keyed, row = numbered(docs)
-    spare = near_dup.near_duplicates(keyed, k=5, percent=80, row_col=row).where("NOT first").select(F.col("row_key").alias(row))
-    return keyed.join(written(spare), row, "left_anti").drop(row)
+    before = written_so_far()
+    spare = written(near_dup.near_duplicates(keyed, k=5, percent=80, row_col=row).where("NOT first").select(F.col("row_key").alias(row)))
+    clear_written(spark, before, spare)
+    return keyed.join(spare, row, "left_anti").drop(row)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
