@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import struct
 from dataclasses import dataclass
 
@@ -27,8 +28,9 @@ class Tile:
     def window(self, west: float, south: float, east: float, north: float) -> Tile | None:
         """The part that meets some bounds, or None."""
         rows, cols = self.z.shape
-        c0, c1 = max(0, int(np.floor((west - self.west) / self.dx))), min(cols, int(np.ceil((east - self.west) / self.dx)))
-        r0, r1 = max(0, int(np.floor((north - self.north) / self.dy))), min(rows, int(np.ceil((south - self.north) / self.dy)))
+        place = lambda x, origin, step: round((x - origin) / step, 9)
+        c0, c1 = max(0, math.floor(place(west, self.west, self.dx))), min(cols, math.ceil(place(east, self.west, self.dx)))
+        r0, r1 = max(0, math.floor(place(north, self.north, self.dy))), min(rows, math.ceil(place(south, self.north, self.dy)))
         if c0 >= c1 or r0 >= r1:
             return None
         return Tile(self.name, self.west + c0 * self.dx, self.north + r0 * self.dy, self.dx, self.dy, self.z[r0:r1, c0:c1])

@@ -124,7 +124,8 @@ VIEWER = sightline.Viewer(LON0, LAT0, GROUND + EYE)
 def reduced(targets: DataFrame, lamps, values: dict, keep: list[str] = ["target_id"], surface=ground, sampling: sightline.Sampling = sightline.Sampling(), strict: bool = False) -> DataFrame:  # noqa: B006, B008
     """``keep`` and a double column for each of ``values``: name -> function (rays, other columns of the targets) of a value for each target.
 
-    A value is null where a sample has no ground height; with ``strict`` that fails.
+    A value is null where a sample has no ground height; with ``strict`` that fails.  A target is a few numbers and thousands of
+    samples, so targets are dealt evenly over all cores first, however few files they come from.
     """
     columns = [*dict.fromkeys([*keep, "target_id", "lon", "lat"])]
 
@@ -140,7 +141,8 @@ def reduced(targets: DataFrame, lamps, values: dict, keep: list[str] = ["target_
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(v, from_pandas=True) for v in out.values())], [*keep, *values])
 
     fields = [*(targets.schema[c] for c in keep), *(T.StructField(n, T.DoubleType()) for n in values)]
-    return targets.select(*columns).mapInArrow(run, T.StructType(fields))
+    parts = 4 * targets.sparkSession.sparkContext.defaultParallelism
+    return targets.select(*columns).repartition(parts, "target_id").mapInArrow(run, T.StructType(fields))
 
 
 def critical_of(i: int, raised: float | None = None):
