@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import camera, files, numeric, relations, scene, series, traffic, visibility
+from .plans import camera, files, measures, numeric, relations, scene, series, traffic, visibility
 
-_PLANS = (visibility, series, relations, numeric, scene, traffic, camera, files)
+_PLANS = (visibility, series, relations, numeric, scene, traffic, camera, files, measures)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

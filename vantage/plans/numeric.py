@@ -93,6 +93,37 @@ def contour_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.groupBy("level").applyInPandas(outline, "level double, ring long, vertices long, corners string")
 
 
+def contour_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corners and enclosed area (holes negative) of the outlines of each level of the rate map."""
+    from .relations import rate_map_max_then_sum
+
+    m = rate_map_max_then_sum(spark, sf_dir).withColumn("level", F.explode(F.array(F.lit(0.25), F.lit(0.5), F.lit(1.0)))).where("rate >= level").select("ia", "ie", "level")
+
+    def outline(f: pd.DataFrame) -> pd.DataFrame:
+        rings = fit.cell_rings(set(zip(f["ia"].tolist(), f["ie"].tolist(), strict=True)))
+        area = sum(a[0] * b[1] - b[0] * a[1] for r in rings for a, b in zip(r[:-1], r[1:], strict=True)) / 2
+        return pd.DataFrame({"level": [float(f["level"].iloc[0])], "corners": [sum(len(r) - 1 for r in rings)], "area": [float(area)]})
+
+    return m.groupBy("level").applyInPandas(outline, "level double, corners long, area double")
+
+
+def uniform_rays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images of lamps 30 m above flat ground seen from 50 m, through constant gradients: one image each, whose angle (mrad) has a closed form."""
+    rows = spark.range(24).select(F.col("id").alias("ray"), (2000.0 + F.col("id") % 6 * 700).alias("d"), (-0.0098 + F.floor(F.col("id") / 6) * 0.01).alias("gradient"))
+
+    def run(frames):
+        for f in frames:
+            out = []
+            for r in f.itertuples():
+                angles, s = np.linspace(-0.03, 0.01, 801), np.linspace(0, r.d, 21)
+                end, blocked = raytrace.trace(angles, s, np.zeros_like(s), r.d, raytrace.profile("lapse", r.gradient, 0.0), eye=50.0, step=20.0, curvature=1 / 6371000.0)
+                found = raytrace.images(angles, end, blocked, 30.0) * 1000
+                out.append((r.ray, len(found), round(float(found[0]), 5) if len(found) else None))
+            yield pd.DataFrame(out, columns=["ray", "images", "angle"])
+
+    return rows.repartition(4, "ray").mapInPandas(run, "ray long, images long, angle double")
+
+
 def manifest_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of two small files against a manifest with one file changed and one missing."""
     found = readers.file_digests(spark, f"{sf_dir}/region.parquet").unionByName(readers.file_digests(spark, f"{sf_dir}/nation.parquet"))
@@ -142,9 +173,31 @@ def skyline_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (geodesic_inverse, mc_visibility, mc_certain, raytrace_images, pose_fit, track_association, contour_rings, manifest_verify, calibrated_bearings, block_mean, terrain_slope, smoothed_raster, skyline_layers)
+    for f in (geodesic_inverse, mc_visibility, mc_certain, raytrace_images, pose_fit, track_association, contour_rings, contour_totals, uniform_rays, manifest_verify, calibrated_bearings, block_mean, terrain_slope, smoothed_raster, skyline_layers)
 }
+
+
+def _geodesic_sql() -> str:
+    """Vincenty's inverse with a fixed number of steps: enough for tens of kilometres."""
+    f, a = f"{geo.FLAT!r}::DOUBLE", f"{geo.A}::DOUBLE"
+    steps = [f"g0 AS (SELECT target_id, radians(lon) - radians({LON0}::DOUBLE) AS dl, atan((1 - {f}) * tan(radians({LAT0}::DOUBLE))) AS u, atan((1 - {f}) * tan(radians(lat))) AS v, radians(lon) - radians({LON0}::DOUBLE) AS l FROM v_targets)"]
+    for i in range(6):
+        steps.append(f"a{i} AS (SELECT *, sqrt(pow(cos(v) * sin(l), 2) + pow(cos(u) * sin(v) - sin(u) * cos(v) * cos(l), 2)) AS ss, sin(u) * sin(v) + cos(u) * cos(v) * cos(l) AS cs FROM g{i})")
+        steps.append(f"b{i} AS (SELECT *, atan2(ss, cs) AS sg, cos(u) * cos(v) * sin(l) / ss AS sa FROM a{i})")
+        steps.append(f"c{i} AS (SELECT *, 1 - sa * sa AS ca, cs - 2 * sin(u) * sin(v) / (1 - sa * sa) AS cm, {f} / 16 * (1 - sa * sa) * (4 + {f} * (4 - 3 * (1 - sa * sa))) AS c FROM b{i})")
+        steps.append(f"g{i + 1} AS (SELECT target_id, dl, u, v, dl + (1 - c) * {f} * sa * (sg + c * ss * (cm + c * cs * (2 * cm * cm - 1))) AS l, ss AS s0, cs AS c0, sg AS sg0, ca AS ca0, cm AS cm0 FROM c{i})")
+    steps.append(f"h AS (SELECT *, ca0 * (1 / ((1 - {f}) * (1 - {f})) - 1) AS k FROM g6)")
+    steps.append("q AS (SELECT *, 1 + k / 16384 * (4096 + k * (320 * k - 768 - 175 * k * k)) AS big, k / 1024 * (256 + k * (74 * k - 128 - 47 * k * k)) AS b FROM h)")
+    return f"WITH {', '.join(steps)} SELECT target_id, round((degrees(atan2(cos(v) * sin(l), cos(u) * sin(v) - sin(u) * cos(v) * cos(l))) % 360 + 360) % 360, 6) AS az, round({a} * (1 - {f}) * big * (sg0 - b * s0 * (cm0 + b / 4 * (c0 * (2 * cm0 * cm0 - 1) - b / 6 * cm0 * (4 * s0 * s0 - 3) * (4 * cm0 * cm0 - 3)))), 3) AS dist, 0e0 AS miss FROM q"
+
+
+_RATES = "(SELECT ia, ie, round(sum(r), 6) AS rate FROM (SELECT line_id, ia, ie, max(rate) AS r FROM (SELECT *, greatest(ceil(round((az - 6e-1 - 150) / 5e-1, 6)), 0) AS a0, least(floor(round((az + 6e-1 - 150) / 5e-1, 6)), 299) AS a1, greatest(ceil(round((el - 3e-1 + 2) / 25e-2, 6)), 0) AS e0, least(floor(round((el + 3e-1 + 2) / 25e-2, 6)), 23) AS e1 FROM v_lines WHERE rate IS NOT NULL) b, range(300) x(ia), range(24) y(ie) WHERE ia BETWEEN a0 AND a1 AND ie BETWEEN e0 AND e1 GROUP BY 1, 2, 3) GROUP BY 1, 2)"
 ORACLES = {
+    "geodesic_inverse": with_views(_geodesic_sql()),
+    "manifest_verify": "SELECT * FROM (VALUES ('region.parquet', 'ok'), ('nation.parquet', 'changed'), ('gone.tif', 'missing')) v(file, status)",
+    "pose_fit": "SELECT n_nationkey, n_nationkey * 4 + 160e0 AS az0, 5e-1 AS el0, 2e0 AS roll, 15e2 AS focal, 0e0 AS rms FROM nation",
+    "contour_totals": with_views(f"WITH m AS (SELECT ia, ie, level FROM {_RATES}, (VALUES (25e-2), (5e-1), (1e0)) l(level) WHERE rate >= level), p AS (SELECT level, ia + dx AS x, ie + dy AS y, count(*) AS n, count(*) FILTER (dx = dy) AS diagonal FROM m, range(2) a(dx), range(2) b(dy) GROUP BY 1, 2, 3), c AS (SELECT level, sum(CASE WHEN n IN (1, 3) THEN 1 WHEN n = 2 AND diagonal IN (0, 2) THEN 2 ELSE 0 END)::BIGINT AS corners FROM p GROUP BY level) SELECT level, corners, (SELECT count(*) FROM m WHERE m.level = c.level)::DOUBLE AS area FROM c"),
+    "uniform_rays": "WITH r AS (SELECT i AS ray, 2000e0 + i % 6 * 700 AS d, -98e-4 + i // 6 * 1e-2 AS g FROM range(24) t(i)) SELECT ray, 1::BIGINT AS images, round(((30 - 50) / d - (1 / 6371000e0 - 7.87e-7::DOUBLE * 85000 / 84100 * (9.80665::DOUBLE / 287.05::DOUBLE + g)) * d / 2) * 1000, 5) AS angle FROM r",
     "mc_certain": visibility._sql((0.66,), ", b AS (SELECT target_id, y - 0.13::DOUBLE * s * (d - s) / (2 * radius) AS e, 6 * sqrt(0.56::DOUBLE * 0.56::DOUBLE + pow(0.15::DOUBLE * (d - s) / d, 2)) AS six FROM x), m AS (SELECT target_id, max(e + six) AS high, max(e - six) AS low FROM b GROUP BY target_id) SELECT target_id, CASE WHEN low > 0 THEN 0e0 ELSE 1e0 END AS p_vis FROM m WHERE low > 0 OR high <= 0"),
     "calibrated_bearings": "SELECT e.event_id, CASE WHEN date_diff('second', c.ts, e.ts) <= 1800 THEN c.value END AS \"offset\" FROM (SELECT * FROM events WHERE event_type <> 'click') e ASOF LEFT JOIN (SELECT user_id, ts, value FROM events WHERE event_type = 'click') c ON c.user_id = e.user_id AND e.ts >= c.ts",
     "block_mean": with_views("SELECT r // 6 AS br, c // 6 AS bc, round(avg(z), 6) AS z FROM v_raster GROUP BY 1, 2"),
