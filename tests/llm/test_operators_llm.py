@@ -844,10 +844,36 @@ def test_pipeline_stages(spark):
     now = cp.written(stages[2](spark, now, SF))
     expected = {i: expected[i] for n, i in enumerate(ids) if comp[n][1] == n}
     assert {r.doc_id for r in now.collect()} == set(expected)
-    bench = [re.findall(r"\w+", r.text.lower()) for r in items.collect()]
     now = cp.written(stages[3](spark, now, SF))
-    joined = {i: " " + " ".join(re.findall(r"\w+", t.lower())) + " " for i, t in expected.items()}
-    exact = {i for i, t in joined.items() if any(len(b) >= 8 and f" {' '.join(b)} " in t for b in bench)}
-    left = {r.doc_id for r in now.collect()}
-    assert left <= set(expected) - exact and len(set(expected) - exact - left) <= 2
-    assert cp.run(spark, SF).groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 2
+    bench = [re.findall(r"[^\W_]+", r.text.lower()) for r in items.collect()]
+    expected = {i: t for i, t in expected.items() if not any(e <= int(0.2 * len(b)) for e, b in zip(best_matches(bench, re.findall(r"[^\W_]+", t.lower())), bench, strict=True))}
+    assert {r.doc_id for r in now.collect()} == set(expected) and all(len(b) >= 8 for b in bench)
+    import duckdb
+
+    from vantage.llm.queries import OP1_SQL
+
+    con = duckdb.connect()
+    con.register("documents", now.toPandas())
+    copies = {i: n for i, n in con.execute(f"SELECT doc_id, copies FROM ({OP1_SQL}) WHERE copies > 0").fetchall()}
+    assert Counter(r.doc_id for r in stages[4](spark, now, SF).collect()) == Counter(copies)
+    whole = cp.run(spark, SF)
+    assert Counter(r.doc_id for r in whole.collect()) == Counter(copies) and whole.columns == docs.columns
+
+
+def best_matches(patterns, text):
+    """Errors of the best semi-global match of each pattern: one row of the table for each word, all patterns at once."""
+    width = max(map(len, patterns))
+    number = {w: i for i, w in enumerate({w for p in patterns for w in p})}
+    table = np.full((len(patterns), width), -1)
+    for i, p in enumerate(patterns):
+        table[i, : len(p)] = [number[w] for w in p]
+    place = np.arange(width + 1)
+    row = np.repeat(place[None, :], len(patterns), 0)
+    ends = np.array([len(p) for p in patterns])
+    best = row[np.arange(len(patterns)), ends].copy()
+    for w in text:
+        new = np.zeros_like(row)
+        new[:, 1:] = np.minimum(row[:, :-1] + (table != number.get(w, -2)), row[:, 1:] + 1)
+        row = np.minimum.accumulate(new - place, axis=1) + place
+        best = np.minimum(best, row[np.arange(len(patterns)), ends])
+    return best.tolist()
