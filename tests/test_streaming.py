@@ -44,3 +44,24 @@ def test_append_log(spark, tmp_path):
     d = spark.createDataFrame([(1, "a")], "id int, note string")
     state.append_log(stream_of(spark, d, f"{tmp_path}/l", 1), f"{tmp_path}/log", f"{tmp_path}/cp", "field").awaitTermination()
     assert [tuple(r) for r in spark.read.parquet(f"{tmp_path}/log").collect()] == [(1, "a", "field")]
+
+
+def test_tracker_stream_equals_batch_and_truth(spark, tmp_path):
+    import numpy as np
+
+    from vantage.kernels import fit
+
+    rows = []
+    for video in range(2):
+        for frame in range(4):
+            pose = (200.0 + 10 * video + frame * 0.4 + (15 if frame == 3 else 0), 0.5, 1.0, 1500.0)  # the last frame jumps
+            az, el = pose[0] + np.array([-6, -3, 0, 3, 6.0]), np.array([0.2, 1.0, -0.5, 0.8, 0.1])
+            x, y = fit.project(az, el, pose)
+            rows += [(video, frame, *map(float, r)) for r in zip(x, y, az, el, strict=True)]
+    d = spark.createDataFrame(rows, "video long, frame long, x double, y double, az double, el double")
+    batch = {(r.video, r.frame): r for r in state.track_batch(d).collect()}
+    for (video, frame), r in batch.items():
+        assert abs(r.az0 - (200.0 + 10 * video + frame * 0.4 + (15 if frame == 3 else 0))) < 0.02 and r.rms < 0.1
+    stream = {(r.video, r.frame): r for r in drained(state.track_stream(stream_of(spark, d, f"{tmp_path}/t", 1)), "tracks").collect()}
+    assert stream.keys() == batch.keys() and all(abs(stream[k].az0 - batch[k].az0) < 1e-9 for k in batch)
+    assert batch[0, 0].reseeded and not batch[0, 1].reseeded

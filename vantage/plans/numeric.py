@@ -80,6 +80,17 @@ def track_association(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.association_batch(d).groupBy("burst").agg(F.countDistinct("unit").alias("units"), F.count("*").alias("detections"))
 
 
+def tracked_poses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bearings of panning cameras by a tracker that begins each frame's fit with the pose before it: one camera for each region."""
+    n = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("video"))
+    d = n.withColumn("frame", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(5).cast("long")))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(5))))
+    pan = F.col("video") * 20.0 + 170 + F.col("frame") * 0.3
+    d = d.withColumns({"az": pan - 10 + F.col("j") * 4, "el": (F.col("j") % 3 - 1) * 1.5})
+    x, y = geo.pinhole(F.col("az"), F.col("el"), pan, F.lit(0.5), F.lit(1.0), F.lit(1500.0))
+    out = state.track_batch(d.select("video", "frame", x.alias("x"), y.alias("y"), "az", "el"))
+    return out.select("video", "frame", F.round("az0", 2).alias("az0"), F.round("focal", 0).alias("focal"), (F.col("rms") < 1).alias("fits"))
+
+
 def contour_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outlines of the rate map's cells of at least 0.5: border edges are an anti-join in Spark, a level's rings are closed in one group."""
     from .relations import rate_map_max_then_sum
@@ -173,7 +184,7 @@ def skyline_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (geodesic_inverse, mc_visibility, mc_certain, raytrace_images, pose_fit, track_association, contour_rings, contour_totals, uniform_rays, manifest_verify, calibrated_bearings, block_mean, terrain_slope, smoothed_raster, skyline_layers)
+    for f in (geodesic_inverse, mc_visibility, mc_certain, raytrace_images, pose_fit, track_association, tracked_poses, contour_rings, contour_totals, uniform_rays, manifest_verify, calibrated_bearings, block_mean, terrain_slope, smoothed_raster, skyline_layers)
 }
 
 
@@ -195,6 +206,7 @@ _RATES = "(SELECT ia, ie, round(sum(r), 6) AS rate FROM (SELECT line_id, ia, ie,
 ORACLES = {
     "geodesic_inverse": with_views(_geodesic_sql()),
     "manifest_verify": "SELECT * FROM (VALUES ('region.parquet', 'ok'), ('nation.parquet', 'changed'), ('gone.tif', 'missing')) v(file, status)",
+    "tracked_poses": "SELECT r_regionkey::BIGINT AS video, f AS frame, round(r_regionkey * 20 + 170 + f * 3e-1, 2) AS az0, 15e2 AS focal, true AS fits FROM region, range(6) t(f)",
     "pose_fit": "SELECT n_nationkey, n_nationkey * 4 + 160e0 AS az0, 5e-1 AS el0, 2e0 AS roll, 15e2 AS focal, 0e0 AS rms FROM nation",
     "contour_totals": with_views(f"WITH m AS (SELECT ia, ie, level FROM {_RATES}, (VALUES (25e-2), (5e-1), (1e0)) l(level) WHERE rate >= level), p AS (SELECT level, ia + dx AS x, ie + dy AS y, count(*) AS n, count(*) FILTER (dx = dy) AS diagonal FROM m, range(2) a(dx), range(2) b(dy) GROUP BY 1, 2, 3), c AS (SELECT level, sum(CASE WHEN n IN (1, 3) THEN 1 WHEN n = 2 AND diagonal IN (0, 2) THEN 2 ELSE 0 END)::BIGINT AS corners FROM p GROUP BY level) SELECT level, corners, (SELECT count(*) FROM m WHERE m.level = c.level)::DOUBLE AS area FROM c"),
     "uniform_rays": "WITH r AS (SELECT i AS ray, 2000e0 + i % 6 * 700 AS d, -98e-4 + i // 6 * 1e-2 AS g FROM range(24) t(i)) SELECT ray, 1::BIGINT AS images, round(((30 - 50) / d - (1 / 6371000e0 - 7.87e-7::DOUBLE * 85000 / 84100 * (9.80665::DOUBLE / 287.05::DOUBLE + g)) * d / 2) * 1000, 5) AS angle FROM r",

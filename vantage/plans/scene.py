@@ -149,6 +149,26 @@ def catalogue_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.agg(F.count("*").alias("all"), F.count_if(F.length("text") > 200).alias("long"), F.count_if(F.col("role") == "user").alias("by_user"), F.count_if(F.lower("text").rlike("^(the|der|le|el) ")).alias("article"))
 
 
+def identified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What lies in a bearing's window, of all layers: sources, line vertices and places in one list, ranked by distance; the five nearest.
+
+    Layers with different fields become one table first, so one bucketed join serves them all.
+    """
+    near = _places(spark, sf_dir).withColumns({"az": F.round(geo.bearing(F.lit(LON0), F.lit(LAT0), F.col("lon"), F.col("lat")), 6), "km": F.round(geo.haversine(F.lit(LON0), F.lit(LAT0), F.col("lon"), F.col("lat")) / 1000, 6)})
+    layers = view(spark, sf_dir, "sources").select(F.col("kind").alias("layer"), F.col("source_id").alias("id"), "az", F.round("km", 6).alias("km"), "kc")
+    layers = layers.unionByName(view(spark, sf_dir, "lines").where("rate > 0").select(F.lit("line").alias("layer"), (F.col("line_id") * 1_000_000 + F.col("seq")).cast("long").alias("id"), "az", F.round("km", 6).alias("km"), "rate"), allowMissingColumns=True)
+    layers = layers.unionByName(near.where("km < 60").select(F.lit("place").alias("layer"), F.col("c_custkey").alias("id"), "az", "km"), allowMissingColumns=True)
+    obs = table(spark, sf_dir, "nation").select("n_nationkey", (F.col("n_nationkey") * 6 + 150.25).alias("b"), F.when(F.col("n_nationkey") % 2 == 0, 1.0).otherwise(3.0).alias("tol"))
+    met = joins.angular_join(layers, F.col("az"), obs, F.col("b"), F.col("tol"))
+    return windows.top_by(met, ["n_nationkey"], ["km", "layer", "id"], 5).select("n_nationkey", "rank", "layer", "id", "km", F.round("kc", 6).alias("kc"))
+
+
+def catalogue_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns by facets: role, and a text anywhere in the whole record, in lower case."""
+    c = table(spark, sf_dir, "conversations")
+    return c.where((F.col("role") == "user") & F.lower(F.concat_ws(" ", F.col("conv_id").cast("string"), F.col("turn").cast("string"), "role", "text")).contains("the ")).select("conv_id", "turn")
+
+
 def brightest_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each nation's sources the brightest: the smallest magnitude, then the smaller id."""
     s = view(spark, sf_dir, "sources").withColumn("m", F.round(physics.magnitude(80.0 / F.pow(F.col("km") * 1000, F.lit(2.0))), 6))
@@ -320,7 +340,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         bbox_then_radius, attribute_in_lists, band_below_skyline, stride_sample, footprint_reject, error_by_source, returns_filtered, privacy_rule, global_nearest, nearest_lamp, route_labels, line_fan_stats, fan_text, merged_lines,
-        catalogue_counters, brightest_sample, top_lights, calibration_targets, alternative_minima, verdict_ranking, first_night_period, log_newest_first, moon_and_brightness, forecast_classes, search_widths, sky_states, facing_direction,
+        catalogue_counters, identified, catalogue_facets, brightest_sample, top_lights, calibration_targets, alternative_minima, verdict_ranking, first_night_period, log_newest_first, moon_and_brightness, forecast_classes, search_widths, sky_states, facing_direction,
         observer_height, tile_catalogue, tile_footprints, road_points, vetted_lights, named_route, fan_edges, class_colours, flux_magnitudes, scenario_runs,
     )
 }
@@ -341,6 +361,8 @@ ORACLES = {
     "fan_text": f"{_FAN_STATS} SELECT line_id, CASE WHEN NOT in_fan THEN printf('Outside (nearest km %.1f)', nearest) ELSE printf('In fan: az %.1f-%.1f, km %.1f-%.1f', fan_az_min, fan_az_max, fan_km_min, fan_km_max) || CASE WHEN front_km_min IS NULL THEN '' ELSE printf('; in front at km %.1f-%.1f', front_km_min, front_km_max) END END AS text FROM s",
     "merged_lines": "WITH l AS (SELECT *, ['UP', 'TXPF', 'BNSF'][line_id % 3 + 1] AS owner, CASE WHEN line_id % 4 = 0 THEN NULL ELSE line_id % 2 END AS sub, CASE WHEN line_id % 5 = 0 THEN 'siding/yard' ELSE 'main' END AS kind FROM v_lines) SELECT CASE owner WHEN 'UP' THEN 'Union Pacific (Sunset Route)' WHEN 'TXPF' THEN 'Texas Pacifico (ex-South Orient)' ELSE owner END || ' - ' || coalesce(sub::VARCHAR, '(siding/yard)') || ', ' || kind AS label, count(DISTINCT line_id) AS parts, count(*) AS vertices, round(arg_max(az, line_id * 1000000 + seq), 6) AS last_az FROM l GROUP BY owner, sub, kind",
     "catalogue_counters": "SELECT count(*) AS \"all\", count(*) FILTER (length(text) > 200) AS long, count(*) FILTER (role = 'user') AS by_user, count(*) FILTER (regexp_matches(lower(text), '^(the|der|le|el) ')) AS article FROM conversations",
+    "identified": f"WITH {_PLACES}, n AS (SELECT c_custkey, round(((degrees(atan2(sin(radians(lon) - radians({_V[0]})) * cos(radians(lat)), cos(radians({_V[1]})) * sin(radians(lat)) - sin(radians({_V[1]})) * cos(radians(lat)) * cos(radians(lon) - radians({_V[0]})))) % 360) + 360) % 360, 6) AS az, round({_hav(*_V, 'lon', 'lat')} / 1000, 6) AS km FROM p), l AS (SELECT kind AS layer, source_id AS id, az, round(km, 6) AS km, kc FROM v_sources UNION ALL SELECT 'line', line_id * 1000000 + seq, az, round(km, 6), NULL FROM v_lines WHERE rate > 0 UNION ALL SELECT 'place', c_custkey, az, km, NULL FROM n WHERE km < 60), o AS (SELECT n_nationkey, n_nationkey * 6 + 15025e-2 AS b, CASE WHEN n_nationkey % 2 = 0 THEN 1e0 ELSE 3e0 END AS tol FROM nation), m AS (SELECT * FROM l, o WHERE abs(((az - b + 540) % 360 + 360) % 360 - 180) <= tol) SELECT n_nationkey, row_number() OVER (PARTITION BY n_nationkey ORDER BY km, layer, id)::INT AS rank, layer, id, km, round(kc, 6) AS kc FROM m QUALIFY rank <= 5",
+    "catalogue_facets": "SELECT conv_id, turn FROM conversations WHERE role = 'user' AND contains(lower(concat_ws(' ', conv_id, turn, role, text)), 'the ')",
     "brightest_sample": "WITH s AS (SELECT nation, source_id, round(-1399e-2 - 25e-1 * log10(greatest(80e0 / pow(km * 1000, 2e0), 1e-30)), 6) AS m FROM v_sources) SELECT nation, m, source_id FROM s QUALIFY row_number() OVER (PARTITION BY nation ORDER BY m, source_id) = 1",
     "top_lights": "SELECT p_partkey, round(p_retailprice * sqrt(least(p_size * 20, 400)), 4) AS weight FROM part ORDER BY weight DESC, p_partkey LIMIT 40",
     "calibration_targets": "SELECT source_id, round(degrees(acos(least(greatest(sin(radians(el)) * sin(radians(4e-1)) + cos(radians(el)) * cos(radians(4e-1)) * cos(radians(az) - radians(215e0)), -1e0), 1e0))), 6) AS apart FROM v_sources ORDER BY apart, source_id LIMIT 12",

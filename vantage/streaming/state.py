@@ -99,6 +99,52 @@ def pose_stream(frames: DataFrame, keep: int = 20) -> DataFrame:
     return frames.groupBy("video").applyInPandasWithState(step, POSE, "ring array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
+RESEED_PX = 2.5
+TRACK = "video long, frame long, az0 double, el0 double, roll double, focal double, rms double, reseeded boolean"
+
+
+def follow(pose: tuple | None, rows: pd.DataFrame) -> tuple[tuple | None, list[tuple]]:
+    """Camera poses of frames in order: each is fitted from the pose before it; where that misses by more than ``RESEED_PX`` pixels, or
+    there is none, from the best of a round of bearings."""
+    from ..kernels import fit
+
+    out = []
+    for frame, f in rows.sort_values("frame", kind="stable").groupby("frame"):
+        x, y, az, el = (f[c].to_numpy() for c in ("x", "y", "az", "el"))
+        best, rms = fit.camera_fit(x, y, az, el, pose) if pose else (None, float("inf"))
+        again = rms > RESEED_PX
+        if again:
+            focal = pose[3] if pose else 1500.0
+
+            def miss(seed, x=x, y=y, az=az, el=el):
+                u, v = fit.project(az, el, seed)
+                return float(((u - x) ** 2 + (v - y) ** 2).mean())
+
+            seeds = sorted(((float(az.mean()) + d, 0.0, 0.0, focal) for d in range(-30, 31, 2)), key=miss)[:3]
+            best, rms = min((fit.camera_fit(x, y, az, el, seed) for seed in seeds), key=lambda b: b[1])
+        pose = tuple(float(v) for v in best)
+        out.append((int(f["video"].iloc[0]), int(frame), *pose, rms, again))
+    return pose, out
+
+
+def track_batch(detections: DataFrame) -> DataFrame:
+    """TRACK of each video's frames from detections (video, frame, x, y, az, el) with known directions."""
+    columns = [c.split()[0] for c in TRACK.split(", ")]
+    return detections.groupBy("video").applyInPandas(lambda f: pd.DataFrame(follow(None, f)[1], columns=columns), TRACK)
+
+
+def track_stream(detections: DataFrame) -> DataFrame:
+    """The same over a stream whose frames arrive in order and whole: the last pose is a video's state."""
+    columns = [c.split()[0] for c in TRACK.split(", ")]
+
+    def step(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        pose, out = follow(tuple(state.get) if state.exists else None, pd.concat(list(parts)))
+        state.update(pose)
+        yield pd.DataFrame(out, columns=columns)
+
+    return detections.groupBy("video").applyInPandasWithState(step, TRACK, "az0 double, el0 double, roll double, focal double", "append", GroupStateTimeout.NoTimeout)
+
+
 def latest_calibration(observations: DataFrame, calibrations: DataFrame, ttl_minutes: int = 30) -> DataFrame:
     """Each observation (device, ts) with the latest absolute calibration offset of its device not older than the TTL, else null: one union and one window."""
     from pyspark.sql import Window
