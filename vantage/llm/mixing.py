@@ -2,7 +2,7 @@
 
 Sources share ``budget`` times all words by weight; a target stops at ``cap`` times its source's words and the excess goes to the
 other sources by weight (water filling).  Every document of a source expects rate = target / source words copies.  Within a source,
-documents stand in a fixed order: by size class, then by a hash of the id.  The prefix sums of their expected copies plus one
+documents stand in a fixed order: by size class, then by a hash of id and text.  The prefix sums of their expected copies plus one
 random offset of the source tell how often each is taken: once for each integer that its step crosses, so floor(rate) or
 ceil(rate) times.  Size classes in order make the sample follow the size distribution, so words come out near their target.
 
@@ -52,7 +52,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, budget: float = BUDGET, ca
 
 
 def _rows(docs: DataFrame, row: str) -> DataFrame:
-    digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    digest = F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("text")))  # of the text too: rows without id, or of one id, are spread
     key = F.coalesce(F.concat(F.lit("0"), F.col("source")), F.lit("1"))  # null after all others
     rows = docs.select(F.col(row).alias("row"), F.col("doc_id").alias("id"), key.alias("key"), word_count(F.col("text")).alias("size"), digest.alias("digest"))
     size_class = F.expr("length(bin(size)) * 16 + shiftright(size, greatest(length(bin(size)) - 4, 0))")

@@ -17,7 +17,7 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP1_SQL = f"""
-WITH d AS (SELECT doc_id, coalesce('0' || source, '1') AS key, len({_WORDS.format('text')}) AS size, md5(coalesce(doc_id::VARCHAR, '')) AS digest FROM documents),
+WITH d AS (SELECT doc_id, coalesce('0' || source, '1') AS key, len({_WORDS.format('text')}) AS size, md5(concat_ws(':', doc_id::VARCHAR, text)) AS digest FROM documents),
 r AS (SELECT *, length(bin(size)) * 16 + (size >> greatest(length(bin(size)) - 4, 0)) AS class, substr(digest, 1, 2) AS slice, substr(digest, 3, 16) AS place FROM d),
 a AS (SELECT doc_id, key, size, row_number() OVER (PARTITION BY key ORDER BY class, slice, place, doc_id) AS pos FROM r),
 s AS (SELECT key, sum(size)::BIGINT AS source_size FROM d GROUP BY key),
