@@ -116,3 +116,44 @@ def test_evidence_kind_reads_whole_texts(spark, tmp_path):
     spark.createDataFrame(turns, "role string, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = {(r.kind, r.weak): r.n for r in relations.evidence_kind(spark, str(tmp_path)).collect()}
     assert got == {("photo", False): 1, ("eyewitness", True): 1, ("eyewitness", False): 1}
+
+
+def test_kernel_and_column_sight_lines_agree(spark):
+    from vantage.plans import visibility
+
+    t = spark.createDataFrame([(i, -103.93 - i * 0.004, 30.25 - i * 0.003, i * 60.0, "r") for i in range(12)], "target_id long, lon double, lat double, chain double, route string")
+    columns = {(r.target_id, r.lamp): r.k_crit for r in visibility.k_critical(visibility.chord_samples(t, lamps=(0.66, 4.0)), lamps=(0.66, 4.0)).collect()}
+    kernel = visibility.reduced(t, (0.66, 4.0), {"a": visibility.critical_of(0), "b": visibility.critical_of(1)}).collect()
+    for r in kernel:
+        assert r.a == pytest.approx(columns[r.target_id, 0.66], abs=1e-4) and r.b == pytest.approx(columns[r.target_id, 4.0], abs=1e-4)
+
+
+def test_ground_without_height_is_unknown_or_an_error(spark):
+    from vantage.plans import visibility
+
+    t = spark.createDataFrame([(1, -103.95, 30.20, 0.0, "r"), (2, -103.885, 30.27, 60.0, "r")], "target_id long, lon double, lat double, chain double, route string")
+    hole = lambda lon, lat: F.when((lat > 30.23) & (lat < 30.24), F.lit(None).cast("double")).otherwise(visibility.terrain(lon, lat))
+    samples = visibility.chord_samples(t, lamps=(0.66,), surface=hole, distances=visibility.evenly(200.0))
+    got = {r.target_id: r.k_crit for r in visibility.k_critical(samples, lamps=(0.66,)).collect()}
+    assert got[1] is None and got[2] is not None
+    with pytest.raises(Exception, match="ground height"):
+        visibility.k_critical(samples, lamps=(0.66,), strict=True).collect()
+
+
+def test_weighted_quantiles_and_nearest_equal_plain_ones(spark):
+    import numpy as np
+
+    from vantage.operators import joins, stats
+
+    rng = np.random.default_rng(4)
+    values = {k: rng.integers(0, 40, 300).astype(float) for k in range(3)} | {3: np.array([7.0]), 4: np.array([1.0, 1.0])}
+    d = spark.createDataFrame([(k, float(v)) for k, vs in values.items() for v in vs], "k int, v double").groupBy("k", "v").count()
+    for r in stats.weighted_quantiles(d, ["k"], "v", "count", [0.0, 0.05, 0.5, 0.77, 1.0]).collect():
+        assert r.q == pytest.approx(np.quantile(values[r.k], [0.0, 0.05, 0.5, 0.77, 1.0]).tolist())
+    left = [(i, int(rng.integers(0, 3)), float(rng.integers(0, 50))) for i in range(60)] + [(60, 9, 1.0), (61, 0, None)]
+    right = [(i, int(rng.integers(0, 3)), float(rng.integers(0, 50))) for i in range(20)]
+    a, b = spark.createDataFrame(left, "i long, k int, x double"), spark.createDataFrame(right, "p long, k int, y double")
+    got = {r.i: (r.near, r.near_distance) for r in joins.nearest_by_key(a, b, "k", F.col("x"), F.col("y"), "p", "near", ["i"], 6).collect()}
+    for i, k, x in left[:-1]:
+        options = sorted((abs(x - y), p) for p, q, y in right if q == k)
+        assert got[i] == ((options[0][1], options[0][0]) if options else (None, None))

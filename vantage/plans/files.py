@@ -20,21 +20,7 @@ def _text_file(df: DataFrame, path: str) -> None:
 def _binary_files(spark: SparkSession, rows: DataFrame, name: str, content: str) -> str:
     """One file for each row, written where the row is: (name, content) -> the folder."""
     path = scratch.folder(spark)
-    target = path.removeprefix("file://").removeprefix("file:")
-    if "://" in target:
-        raise ValueError("binary files are written to a folder that all executors mount")
-
-    def run(frames):
-        import os
-
-        for f in frames:
-            os.makedirs(target, exist_ok=True)
-            for n, data in zip(f[name], f[content], strict=True):
-                with open(os.path.join(target, n), "wb") as out:
-                    out.write(data)
-            yield pd.DataFrame({"n": [len(f)]})
-
-    rows.mapInPandas(run, "n long").agg(F.sum("n")).collect()
+    writers.write_files(rows, name, content, path)
     return path
 
 

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from ..functions import geo
 from ..kernels import sightline
 from ..operators import windows
+from ..sources import readers, scratch, writers
 from .views import EYE, GROUND, LAT0, LON0, view, with_views
 
 # Lamp heights (m), refraction coefficients, clutter (m)
@@ -222,6 +223,31 @@ def trace_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("k_crit <= 2").select("target_id", "k_crit", F.round(F.col("d") / (2 * geo.R_SPHERE) * 1000, 4).alias("span"))
 
 
+#: rasters of the mosaic query: name, western and northern edge in cells, cell size, rows, columns; the fine one comes first and has holes
+RASTERS = [("a_fine", -52070, -15145, 0.002, 110, 60), ("b_coarse", -10420, -3040, 0.01, 40, 40)]
+COARSE = sightline.Sampling(zone=2000.0, fine=250.0, coarse=500.0)
+
+
+def sight_over_mosaic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """k_crit over ground from two GeoTIFF files: where the fine one has a hole the coarse one counts, and a ray that leaves both has none.
+
+    Blocks of the files become one mosaic that all tasks get, which is why its size is checked.
+    """
+    path = scratch.folder(spark)
+    files = None
+    for name, c0, r0, size, rows, cols in RASTERS:
+        cell = spark.range(rows * cols).select((F.floor(F.col("id") / cols) + r0).alias("r"), (F.col("id") % cols + c0).alias("c"))
+        lon, lat = (F.col("c") + 0.5) * size, (F.col("r") + 0.5) * -size
+        hole = ((F.col("r") - r0) * 7 + (F.col("c") - c0) * 3) % 97 == 0
+        z = F.when(hole & F.lit(name == "a_fine"), F.lit(None)).otherwise(terrain(lon, lat))
+        one = writers.geotiff(cell.select(F.lit(name).alias("name"), "r", "c", z.alias("z")), "name", size, -size, ["z"])
+        files = one if files is None else files.unionByName(one)
+    writers.write_files(files.select(F.concat("name", F.lit(".tif")).alias("name"), "file"), "name", "file", path)
+    mosaic = readers.mosaic(readers.read_raster_blocks(spark, path, size=64))
+    found = reduced(view(spark, sf_dir, "targets"), (0.66,), {"k_crit": critical_of(0)}, surface=mosaic, sampling=COARSE)
+    return found.select("target_id", "k_crit")
+
+
 def prefix_max_visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's series as a ray: which samples are seen past all nearer ground."""
     s = view(spark, sf_dir, "series")
@@ -245,8 +271,17 @@ def _terrain(lon: str, lat: str) -> str:
     return f"(1400 + 25 * sin({lon} * 150) * cos({lat} * 120) + 10 * sin({lat} * 400))"
 
 
-def samples_sql(lamps, where: str = "true") -> str:
-    """The same samples in SQL, lamps as rows: frames by target and lamp, points by target and distance, then both joined."""
+def samples_sql(lamps, where: str = "true", sampling: sightline.Sampling = sightline.Sampling(), heights: str = "") -> str:  # noqa: B008
+    """The same samples in SQL, lamps as rows: frames by target and lamp, points by target and distance, then both joined.
+
+    ``heights``: a table zz (target_id, g, z) from places pp (target_id, g, lon, lat), g being -1 for the targets; else the analytic surface.
+    """
+    near, far, zone, fine, coarse = (repr(float(x)) + "::DOUBLE" for x in (sampling.skip_near, sampling.skip_far, sampling.zone, sampling.fine, sampling.coarse))
+    places = "pp AS (SELECT target_id, -1e0 AS g, lon, lat FROM t3 UNION ALL SELECT DISTINCT target_id, g, degrees(pl), degrees(pq) FROM g2)"
+    if heights:
+        heights = f"{places}, {heights}, t4 AS (SELECT t3.*, z AS tz FROM t3 JOIN zz ON zz.target_id = t3.target_id AND g = -1), g25 AS (SELECT g2.*, z FROM g2 JOIN zz ON zz.target_id = g2.target_id AND zz.g = g2.g)"
+    else:
+        heights = f"t4 AS (SELECT *, {_terrain('lon', 'lat')} AS tz FROM t3), g25 AS (SELECT *, {_terrain('degrees(pl)', 'degrees(pq)')} AS z FROM g2)"
     rows = ", ".join(f"({i}, {lamp}::DOUBLE)" for i, lamp in enumerate(lamps))
     o, n = _constant_ecef(LON0, LAT0, GROUND + EYE), _constant_normal(LON0, LAT0)
     d = "::DOUBLE"
@@ -254,35 +289,53 @@ def samples_sql(lamps, where: str = "true") -> str:
 lamps(i, lamp) AS (VALUES {rows}),
 t0 AS (SELECT *, radians(lat) AS q, radians(lon) AS lo, radians({LAT0}{d}) AS p, radians({LON0}{d}) AS p0 FROM v_targets WHERE {where}),
 t1 AS (SELECT *, 2 * {geo.R_SPHERE}{d} * asin(sqrt(pow(sin((q - p) / 2), 2) + cos(p) * cos(q) * pow(sin((lo - p0) / 2), 2))) AS dist,
-       atan2(sin(lo - p0) * cos(q), cos(p) * sin(q) - sin(p) * cos(q) * cos(lo - p0)) AS az, {_terrain('lon', 'lat')} AS tz, radians((lat + {LAT0}{d}) / 2) AS ml FROM t0),
+       atan2(sin(lo - p0) * cos(q), cos(p) * sin(q) - sin(p) * cos(q) * cos(lo - p0)) AS az, radians((lat + {LAT0}{d}) / 2) AS ml FROM t0),
 t2 AS (SELECT *, {geo.A}{d} * (1 - {_FLAT2}) / pow(1 - {_FLAT2} * sin(ml) * sin(ml), 1.5{d}) AS m, {geo.A}{d} / sqrt(1 - {_FLAT2} * sin(ml) * sin(ml)) AS pv,
        {geo.A}{d} / sqrt(1 - {_FLAT2} * sin(q) * sin(q)) AS tn, cos(q) * cos(lo) AS nx, cos(q) * sin(lo) AS ny, sin(q) AS nz FROM t1),
 t3 AS (SELECT *, 1 / (cos(az) * cos(az) / m + sin(az) * sin(az) / pv) AS radius FROM t2),
+g0 AS (SELECT target_id, p, p0, az, unnest(CASE WHEN dist - {far} <= {near} THEN [dist / 2] ELSE list_concat(
+  list_transform(range(ceil((least({zone}, dist - {far}) - {near}) / {fine})::BIGINT), lambda j: {near} + j * {fine}),
+  list_transform(range(ceil(least({zone}, dist - {far} - {near}) / {fine})::BIGINT), lambda j: dist - {far} - j * {fine}),
+  list_transform(range(greatest(ceil((dist - 2 * {zone}) / {coarse}), 0)::BIGINT), lambda j: {zone} + j * {coarse})) END) AS g FROM t3),
+g1 AS (SELECT *, asin(sin(p) * cos(g / {geo.R_SPHERE}{d}) + cos(p) * sin(g / {geo.R_SPHERE}{d}) * cos(az)) AS pq FROM g0),
+g2 AS (SELECT *, p0 + atan2(sin(az) * sin(g / {geo.R_SPHERE}{d}) * cos(p), cos(g / {geo.R_SPHERE}{d}) - sin(p) * sin(pq)) AS pl FROM g1),
+{heights},
 f0 AS (SELECT target_id, route, radius, nx, ny, nz, lamp, nx + {n[0]!r}{d} AS ux, ny + {n[1]!r}{d} AS uy, nz + {n[2]!r}{d} AS uz,
-       (tn + tz + lamp) * nx - {o[0]!r}{d} AS ex, (tn + tz + lamp) * ny - {o[1]!r}{d} AS ey, (tn * (1 - {_FLAT2}) + tz + lamp) * nz - {o[2]!r}{d} AS ez FROM t3, lamps),
+       (tn + tz + lamp) * nx - {o[0]!r}{d} AS ex, (tn + tz + lamp) * ny - {o[1]!r}{d} AS ey, (tn * (1 - {_FLAT2}) + tz + lamp) * nz - {o[2]!r}{d} AS ez FROM t4, lamps),
 f1 AS (SELECT *, sqrt(ex * ex + ey * ey + ez * ez) AS d FROM f0),
 f2 AS (SELECT *, (ux * ex + uy * ey + uz * ez) / d AS h FROM f1),
 f3 AS (SELECT *, ux - h * ex / d AS wx, uy - h * ey / d AS wy, uz - h * ez / d AS wz FROM f2),
 f4 AS (SELECT *, sqrt(wx * wx + wy * wy + wz * wz) AS size FROM f3),
 f AS (SELECT target_id, route, radius, lamp, d, ex / d AS a1, ey / d AS a2, ez / d AS a3, wx / size AS b1, wy / size AS b2, wz / size AS b3, (nx * wx + ny * wy + nz * wz) / size AS up FROM f4),
-g0 AS (SELECT target_id, p, p0, az, unnest(CASE WHEN dist - 3 <= 5 THEN [dist / 2] ELSE list_concat(
-  list_transform(range(ceil((least(3000{d}, dist - 3) - 5) / 2)::BIGINT), lambda j: 5 + j * 2e0),
-  list_transform(range(ceil(least(3000{d}, dist - 8) / 2)::BIGINT), lambda j: dist - 3 - j * 2e0),
-  list_transform(range(greatest(ceil((dist - 6000) / 5), 0)::BIGINT), lambda j: 3000 + j * 5e0)) END) AS g FROM t3),
-g1 AS (SELECT *, asin(sin(p) * cos(g / {geo.R_SPHERE}{d}) + cos(p) * sin(g / {geo.R_SPHERE}{d}) * cos(az)) AS pq FROM g0),
-g2 AS (SELECT *, p0 + atan2(sin(az) * sin(g / {geo.R_SPHERE}{d}) * cos(p), cos(g / {geo.R_SPHERE}{d}) - sin(p) * sin(pq)) AS pl FROM g1),
-g3 AS (SELECT *, {_terrain('degrees(pl)', 'degrees(pq)')} AS z, {geo.A}{d} / sqrt(1 - {_FLAT2} * sin(pq) * sin(pq)) AS pn FROM g2),
+g3 AS (SELECT *, {geo.A}{d} / sqrt(1 - {_FLAT2} * sin(pq) * sin(pq)) AS pn FROM g25),
 g4 AS (SELECT target_id, g, (pn + z) * cos(pq) * cos(pl) - {o[0]!r}{d} AS px, (pn + z) * cos(pq) * sin(pl) - {o[1]!r}{d} AS py, (pn * (1 - {_FLAT2}) + z) * sin(pq) - {o[2]!r}{d} AS pz FROM g3),
 x AS (SELECT target_id, route, lamp, g, d, radius, up, px * a1 + py * a2 + pz * a3 AS s, px * b1 + py * b2 + pz * b3 AS y FROM g4 JOIN f USING (target_id)),
 kc AS (SELECT target_id, any_value(route) AS route, lamp, any_value(d) AS d, round(max(2 * radius * y / (s * (d - s))), 4) AS k_crit FROM x GROUP BY target_id, lamp)"""
 
 
-def _sql(lamps, tail: str, where: str = "true") -> str:
-    return with_views(f"WITH {samples_sql(lamps, where)} {tail}")
+def _sql(lamps, tail: str, where: str = "true", **options) -> str:
+    return with_views(f"WITH {samples_sql(lamps, where, **options)} {tail}")
+
+
+def _mosaic_sql() -> str:
+    """zz for places pp: bilinear on each raster where all four neighbours have data, the first raster's value first."""
+    parts = []
+    for name, c0, r0, size, rows, cols in RASTERS:
+        cell = _terrain(f"((c + {c0} + 5e-1) * {size}::DOUBLE)", f"((r + ({r0}) + 5e-1) * -({size}::DOUBLE))")
+        hole = "WHERE (r * 7 + c * 3) % 97 <> 0" if name == "a_fine" else ""
+        west, north = f"({c0} * {size}::DOUBLE)", f"({r0} * -({size}::DOUBLE))"
+        parts.append(f"r_{name} AS (SELECT r, c, ({cell})::FLOAT::DOUBLE AS z FROM range({rows}) a(r), range({cols}) b(c) {hole})")
+        parts.append(f"p_{name} AS (SELECT target_id, g, round((lon - {west}) / {size}::DOUBLE - 5e-1, 9) AS x, round((lat - {north}) / -({size}::DOUBLE) - 5e-1, 9) AS y FROM pp)")
+        parts.append(f"i_{name} AS (SELECT *, least(greatest(floor(x), 0), {cols - 2})::BIGINT AS c, least(greatest(floor(y), 0), {rows - 2})::BIGINT AS r FROM p_{name} WHERE x >= 0 AND y >= 0 AND x <= {cols - 1} AND y <= {rows - 1})")
+        four = ", ".join(f"z{i}{j}.z AS z{i}{j}" for i in (0, 1) for j in (0, 1))
+        joins = " ".join(f"JOIN r_{name} z{i}{j} ON z{i}{j}.r = i.r + {i} AND z{i}{j}.c = i.c + {j}" for i in (0, 1) for j in (0, 1))
+        parts.append(f"q_{name} AS (SELECT target_id, g, x - i.c AS tx, y - i.r AS ty, {four} FROM i_{name} i {joins})")
+        parts.append(f"v_{name} AS (SELECT target_id, g, (z00 * (1 - tx) + z01 * tx) * (1 - ty) + (z10 * (1 - tx) + z11 * tx) * ty AS z FROM q_{name})")
+    return ", ".join(parts) + ", zz AS (SELECT pp.target_id, pp.g, coalesce(a.z, b.z) AS z FROM pp LEFT JOIN v_a_fine a ON a.target_id = pp.target_id AND a.g = pp.g LEFT JOIN v_b_coarse b ON b.target_id = pp.target_id AND b.g = pp.g)"
 
 
 _K = ", ".join(f"({k}::DOUBLE)" for k in KS)
-QUERIES = {f.__name__: f for f in (visible_km_by_lamp_k, limiting_sample, clearance_and_margins, clutter_sensitivity, run_compare, length_by_k, trace_candidates, prefix_max_visibility, sampling_distances)}
+QUERIES = {f.__name__: f for f in (visible_km_by_lamp_k, limiting_sample, clearance_and_margins, clutter_sensitivity, run_compare, length_by_k, trace_candidates, sight_over_mosaic, prefix_max_visibility, sampling_distances)}
 ORACLES = {
     "visible_km_by_lamp_k": _sql(LAMPS, f"SELECT lamp, k, round(count(CASE WHEN k_crit <= k THEN 1 END) * 0.06::DOUBLE, 6) AS visible_km FROM kc, (VALUES {_K}) v(k) GROUP BY lamp, k"),
     "limiting_sample": _sql((0.66,), ", r AS (SELECT target_id, g, round(2 * radius * y / (s * (d - s)), 4) AS k FROM x) SELECT target_id, round(arg_max(g, struct_pack(k := k, nearest := -g)), 1) AS limit_m FROM r GROUP BY target_id"),
@@ -291,6 +344,7 @@ ORACLES = {
     "run_compare": _sql((0.66, 1.12), ", p AS (SELECT a.k_crit AS a, b.k_crit AS b FROM kc a JOIN kc b USING (target_id) WHERE a.lamp < 1 AND b.lamp > 1) SELECT round(avg(CASE WHEN (a <= 0.13) = (b <= 0.13) THEN 1e0 ELSE 0e0 END), 6) AS agreement, count(CASE WHEN a <= 0.13 AND b > 0.13 THEN 1 END) AS only_a, count(CASE WHEN a > 0.13 AND b <= 0.13 THEN 1 END) AS only_b, round(quantile_cont(b - a, 0.5), 4) AS median_difference FROM p"),
     "length_by_k": _sql((0.66,), "SELECT coalesce(route, 'all') AS route, step::INT AS step, round(count(CASE WHEN k_crit <= step / 20e0 THEN 1 END) * 0.06::DOUBLE, 6) AS km FROM kc, range(21) r(step) GROUP BY GROUPING SETS ((route, step), (step))"),
     "trace_candidates": _sql((4.0,), f"SELECT target_id, k_crit, round(d / (2 * {geo.R_SPHERE}::DOUBLE) * 1000, 4) AS span FROM kc WHERE k_crit <= 2", "target_id % 2 = 0"),
+    "sight_over_mosaic": _sql((0.66,), ", u AS (SELECT target_id, count(*) FILTER (y IS NULL) AS missing, max(2 * radius * y / (s * (d - s))) AS k FROM x GROUP BY target_id) SELECT target_id, CASE WHEN missing = 0 THEN round(k, 4) END AS k_crit FROM u", sampling=COARSE, heights=_mosaic_sql()),
     "prefix_max_visibility": with_views("WITH a AS (SELECT user_id, seq, chain * 10 AS d, (v - chain * 10 * chain * 10 / 14642000 - 50) / (chain * 10) AS g, (v + 2 - chain * 10 * chain * 10 / 14642000 - 50) / (chain * 10) AS t FROM v_series), b AS (SELECT *, max(g) OVER (PARTITION BY user_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM a) SELECT user_id, seq, m IS NULL OR t >= m AS visible, round((t - m) * d, 5) AS clearance FROM b"),
     "sampling_distances": with_views("""WITH a AS (SELECT source_id, km * 100 AS total FROM v_sources), s AS (
 SELECT source_id, unnest(CASE WHEN total - 3 <= 5 THEN [total / 2] ELSE list_distinct(list_filter(list_concat(

@@ -157,3 +157,22 @@ def read_point_cloud(spark: SparkSession, path: str, chunk: int = 5_000_000) ->
                     first += chunk
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "file string, x double, y double, z double, cls int, withheld boolean")
+
+
+def mosaic(blocks: DataFrame, most_bytes: int = 256 << 20) -> raster.Mosaic:
+    """The blocks as one mosaic, rasters in the order of their names, for a surface that all tasks get: an error beyond ``most_bytes``.
+
+    Larger surfaces stay tables: their samples are joined with cells (``operators.joins.bilinear``).
+    """
+    size = blocks.agg(F.sum(F.length("z").cast("long"))).first()[0] or 0
+    if size > most_bytes:
+        raise ValueError(f"the rasters have {size} bytes, more than {most_bytes}: join them as a table of cells")
+    tiles = {}
+    for name, own in blocks.toPandas().groupby("name", sort=True):
+        first = own.iloc[0]
+        r0, c0 = int(own["row0"].min()), int(own["col0"].min())
+        z = np.full((int((own["row0"] + own["rows"]).max()) - r0, int((own["col0"] + own["cols"]).max()) - c0), np.nan)
+        for b in own.itertuples():
+            z[b.row0 - r0 : b.row0 - r0 + b.rows, b.col0 - c0 : b.col0 - c0 + b.cols] = np.frombuffer(b.z, "<f4").reshape(b.rows, b.cols)
+        tiles[name] = raster.Tile(name, first["west"] + c0 * first["dx"], first["north"] + r0 * first["dy"], first["dx"], first["dy"], z)
+    return raster.Mosaic(list(tiles.values()))

@@ -92,3 +92,22 @@ def report_text(columns: list[str]) -> Column:
     """Lines of name: value; empty fields are dropped."""
     lines = F.array(*[F.when(F.col(c).isNotNull() & (F.col(c).cast("string") != ""), F.concat(F.lit(f"{c}: "), F.col(c).cast("string"))) for c in columns])
     return F.array_join(F.filter(lines, lambda x: x.isNotNull()), "\n")
+
+
+def write_files(rows: DataFrame, name: str, content: str, path: str) -> None:
+    """One file for each row, in a folder that driver and executors mount."""
+    target = path.removeprefix("file://").removeprefix("file:")
+    if "://" in target:
+        raise ValueError("single files are written to a folder that all executors mount")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import os
+
+        for f in frames:
+            os.makedirs(target, exist_ok=True)
+            for n, data in zip(f[name], f[content], strict=True):
+                with open(os.path.join(target, n), "wb") as out:
+                    out.write(data)
+            yield pd.DataFrame({"n": [len(f)]})
+
+    rows.select(name, content).mapInPandas(run, "n long").agg(F.sum("n")).collect()
