@@ -41,7 +41,7 @@ from .textkernel import distinct_per_row, mix, sequence_keys, shingles, slices,
 
 SYMBOLS, CHUNKS = 48, 12
 DISTANCE = 2 * CHUNKS - 1
-STAR, HOT_SHARE = 256, 1000
+STAR, HOT_SHARE = 64, 1000
 _WIDTH, _BLOCK, _GROUP, _GROUP_SHINGLES = SYMBOLS // CHUNKS, 1024, 8192, 1 << 22
 _LAST = (1 << 63) - 1
 _rng = np.random.default_rng(48)
