@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 
@@ -85,24 +85,37 @@ class Ray:
     first: np.ndarray  # place of each target's first sample
     ray: np.ndarray  # target of each sample
     ground: np.ndarray  # distance along the ground
-    s: list[np.ndarray]
-    y: list[np.ndarray]
+    s: np.ndarray
+    y: np.ndarray
     d: list[np.ndarray]
     up: list[np.ndarray]
     radius: np.ndarray
+    curves: dict[int, np.ndarray] = field(default_factory=dict)
+
+    def each(self, values: np.ndarray) -> np.ndarray:
+        """A target's value at each of its samples."""
+        return np.repeat(values, np.diff(self.first, append=len(self.ray)))
 
     def highest(self, values: np.ndarray) -> np.ndarray:
         """Largest value of each target; not a number where a sample has none."""
         return np.maximum.reduceat(values, self.first)
 
-    def critical(self, i: int, raised: np.ndarray | float = 0.0) -> np.ndarray:
-        """The refraction coefficient at which each sample touches the line to lamp i."""
-        d = self.d[i][self.ray]
-        return 2 * self.radius[self.ray] * (self.y[i] + raised) / (self.s[i] * (d - self.s[i]))
+    def _curve(self, i: int) -> np.ndarray:
+        """How much a ray to lamp i sinks at each sample for a refraction coefficient of one."""
+        if i not in self.curves:
+            out = self.each(self.d[i])
+            out -= self.s[i]
+            out *= self.s[i]
+            out /= self.each(2 * self.radius)
+            self.curves[i] = out
+        return self.curves[i]
+
+    def critical(self, i: int, raised: np.ndarray | None = None) -> np.ndarray:
+        """The refraction coefficient at which each sample touches the line to lamp i; ``raised``: metres added to the ground."""
+        return (self.y[i] if raised is None else self.y[i] + raised) / self._curve(i)
 
     def excess(self, i: int, k: float) -> np.ndarray:
-        d = self.d[i][self.ray]
-        return self.y[i] - k * self.s[i] * (d - self.s[i]) / (2 * self.radius[self.ray])
+        return self.y[i] - k * self._curve(i)
 
 
 def rays(lon: np.ndarray, lat: np.ndarray, viewer: Viewer, lamps, surface: Callable, sampling: Sampling = Sampling(), strict: bool = False) -> Iterator[tuple[slice, Ray]]:  # noqa: B008
@@ -139,19 +152,24 @@ def rays(lon: np.ndarray, lat: np.ndarray, viewer: Viewer, lamps, surface: Calla
         first = np.searchsorted(ray, np.arange(b - a))
         angle = s / R_SPHERE
         c, q = np.cos(angle), np.sin(angle)
-        x, y, z = (c * eye_up[j] + q * ahead[j, a:b][ray] for j in range(3))
+        per = np.diff(first, append=len(s))
+        x, y, z = (c * eye_up[j] + q * np.repeat(ahead[j, a:b], per) for j in range(3))
         h = surface(np.degrees(np.arctan2(y, x)), np.degrees(np.arcsin(z)))
         if strict and not np.isfinite(h).all():
             raise MissingTerrain(f"{int((~np.isfinite(h)).sum())} samples have no ground height")
         big = A / np.sqrt(1 - E2 * z * z)
-        point = ((big + h) * x - eye[0], (big + h) * y - eye[1], (big * (1 - E2) + h) * z - eye[2])
-        dots = [[sum(point[j] * f[w][j, a:b][ray] for j in range(3)) for f in frames] for w in (1, 2)]
-        yield slice(a, b), Ray(first, ray, s, dots[0], dots[1], [f[0][a:b] for f in frames], [f[3][a:b] for f in frames], radius[a:b])
+        point = np.stack([(big + h) * x - eye[0], (big + h) * y - eye[1], (big * (1 - E2) + h) * z - eye[2]])
+        axes = np.concatenate([np.stack([f[w][:, a:b] for f in frames]) for w in (1, 2)])  # along and above for each lamp, by target
+        axes = np.ascontiguousarray(axes.transpose(2, 0, 1))
+        dots = np.empty((2 * len(frames), len(s)))
+        for t, (begin, end) in enumerate(zip(first, np.append(first[1:], len(s)), strict=True)):
+            np.matmul(axes[t], point[:, begin:end], out=dots[:, begin:end])
+        yield slice(a, b), Ray(first, ray, s, dots[: len(frames)], dots[len(frames) :], [f[0][a:b] for f in frames], [f[3][a:b] for f in frames], radius[a:b])
 
 
 def probability(ray: Ray, k: float, sigma: float, length: float, eye_sd: float, draws: int, seeds: np.ndarray) -> np.ndarray:
     """Chance that each target is seen under ground and eye errors: six standard deviations decide most, the others are drawn (without ``draws``: not a number)."""
-    excess, d = ray.excess(0, k), ray.d[0][ray.ray]
+    excess, d = ray.excess(0, k), ray.each(ray.d[0])
     fraction = (d - ray.s[0]) / d
     sd = np.sqrt(sigma**2 + (eye_sd * fraction) ** 2)
     high, low = ray.highest(excess + 6 * sd), ray.highest(excess - 6 * sd)

@@ -152,7 +152,7 @@ def critical_of(i: int, raised: float | None = None):
     def value(rays: sightline.Ray, _) -> np.ndarray:
         if raised is None:
             return np.round(rays.highest(rays.critical(i)), 4)
-        inner = (rays.s[i] > 10) & (rays.d[i][rays.ray] - rays.s[i] > 10)
+        inner = (rays.s[i] > 10) & (rays.each(rays.d[i]) - rays.s[i] > 10)
         return rays.highest(rays.critical(i, np.where(inner, raised, 0.0)))
 
     return value
@@ -161,14 +161,14 @@ def critical_of(i: int, raised: float | None = None):
 def _limit(rays: sightline.Ray, _) -> np.ndarray:
     """Ground distance of the limiting sample, the nearest on ties."""
     k = np.round(rays.critical(0), 4)
-    best = k == rays.highest(k)[rays.ray]
+    best = k == rays.each(rays.highest(k))
     return np.minimum.reduceat(np.where(best, rays.ground, np.inf), rays.first)
 
 
 def _share_of_chord(far: bool):
     def value(rays: sightline.Ray, _) -> np.ndarray:
-        d, s = rays.d[0][rays.ray], rays.s[0]
-        return rays.highest(rays.excess(0, 0.13) * d / (s if far else d - s) / (rays.up[0][rays.ray] if far else 1.0))
+        d, s = rays.each(rays.d[0]), rays.s[0]
+        return rays.highest(rays.excess(0, 0.13) * d / (s if far else d - s) / (rays.each(rays.up[0]) if far else 1.0))
 
     return value
 
