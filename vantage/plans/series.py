@@ -148,6 +148,20 @@ def poisson_binomial(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.withColumn("f", fold).select("user_id", "day", (F.round(1 - F.col("f.p0") - F.col("f.p1"), 9) + 0.0).alias("tail"))
 
 
+def poisson_binomial_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chance that more than half of a user's trials of a day succeed: the whole distribution by folding (1 - q, q) into an array, one trial after the other."""
+    s = view(spark, sf_dir, "series").select("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), "seq", (F.least(F.col("v"), F.lit(200.0)) / 250).alias("q"))
+    g = s.groupBy("user_id", "day").agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", "q"))), lambda x: x["q"]).alias("q"))
+
+    def trial(d: Column, q: Column) -> Column:
+        at = lambda i: F.coalesce(F.get(d, i), F.lit(0.0))
+        return F.transform(F.sequence(F.lit(0), F.size(d)), lambda i: at(i) * (1 - q) + F.when(i > 0, at(i - 1)).otherwise(0.0) * q)
+
+    whole = F.aggregate("q", F.array(F.lit(1.0)), trial)
+    more = F.floor(F.size("q") / 2).cast("int") + 1
+    return g.withColumn("d", whole).select("user_id", "day", (F.round(F.aggregate(F.slice("d", more + 1, F.size("d")), F.lit(0.0), lambda a, x: a + x), 9) + 0.0).alias("tail"))
+
+
 def occupancy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected number of vehicles, chance of any, and appearances an hour by event type, from its hourly rate."""
     per = view(spark, sf_dir, "series").groupBy("event_type").agg((F.count("*") / 720.0).alias("rate"), F.avg("v").alias("length"))
@@ -198,7 +212,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         islands_in_view, islands_shared_vertex, islands_class_or_gap, heading_from_neighbours, nonuniform_gradient, resample_fixed_spacing, densify_segments, fill_adjacent, zero_crossings, moving_sum_full_frames,
-        rolling_median_reject, local_minima, variogram, grid_search_fit, autocorrelation, linear_fit, poisson_binomial, occupancy, road_at_t, simulated_statistics, night_bucket, local_to_utc, state_segments,
+        rolling_median_reject, local_minima, variogram, grid_search_fit, autocorrelation, linear_fit, poisson_binomial, poisson_binomial_tail, occupancy, road_at_t, simulated_statistics, night_bucket, local_to_utc, state_segments,
     )
 }
 _VARIOGRAM = "g AS (SELECT k AS lag, round(avg(pow(b.v - a.v, 2)) / 2, 4) AS gamma, count(*) AS pairs FROM v_series a, range(1, 9) r(k), v_series b WHERE b.user_id = a.user_id AND b.seq = a.seq + k GROUP BY k)"
@@ -220,6 +234,7 @@ ORACLES = {
     "grid_search_fit": f"WITH {_VARIOGRAM}, c AS (SELECT i * 0.5::DOUBLE + 1 AS length FROM range(119) r(i)), s AS (SELECT length, round(sum(pow(gamma - (SELECT max(gamma) FROM g) * (1 - exp(-lag / length)), 2)), 3) AS cost FROM g, c GROUP BY length) SELECT length, cost FROM s ORDER BY cost, length LIMIT 1",
     "autocorrelation": "WITH a AS (SELECT user_id, seq, v - avg(v) OVER (PARTITION BY user_id) AS x FROM v_series), p AS (SELECT a.user_id, k, round(sum(a.x * b.x), 3) AS p FROM a, range(1, 13) r(k), a b WHERE b.user_id = a.user_id AND b.seq = a.seq + k GROUP BY a.user_id, k), m AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY p DESC, k) AS o FROM p), d AS (SELECT user_id, round(avg(CASE WHEN x > 0 THEN 1e0 ELSE 0e0 END), 6) AS duty FROM a GROUP BY user_id) SELECT d.user_id, duty, m.k::INT AS lag FROM d LEFT JOIN m ON m.user_id = d.user_id AND o = 1",
     "linear_fit": "SELECT user_id, round(regr_slope(v, chain), 6) AS slope, round(regr_intercept(v, chain), 4) AS intercept FROM v_series GROUP BY user_id",
+    "poisson_binomial_tail": "WITH RECURSIVE q AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, least(v, 200) / 250 AS q, row_number() OVER (PARTITION BY user_id, strftime(ts, '%Y-%m-%d') ORDER BY seq) AS i, count(*) OVER (PARTITION BY user_id, strftime(ts, '%Y-%m-%d')) AS n FROM v_series), r AS (SELECT user_id, day, 0::BIGINT AS i, n, [1e0] AS d FROM q WHERE i = 1 UNION ALL SELECT r.user_id, r.day, q.i, q.n, list_transform(range(len(d) + 1), lambda j: coalesce(d[j + 1], 0) * (1 - q.q) + CASE WHEN j > 0 THEN d[j] ELSE 0 END * q.q) FROM r JOIN q ON q.user_id = r.user_id AND q.day = r.day AND q.i = r.i + 1) SELECT user_id, day, round(list_sum(d[n // 2 + 2:]), 9) + 0e0 AS tail FROM r WHERE i = n",
     "poisson_binomial": "WITH q AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, least(v, 200) / 250 AS q FROM v_series) SELECT user_id, day, round(1 - exp(sum(ln(1 - q))) * (1 + sum(q / (1 - q))), 9) + 0e0 AS tail FROM q GROUP BY user_id, day",
     "occupancy": "WITH a AS (SELECT event_type, count(*) / 72e1 AS rate, avg(v) AS len FROM v_series GROUP BY event_type), b AS (SELECT *, rate / 36e2 * len * 100 / 30 AS n FROM a) SELECT event_type, round(n, 9) AS expected, round(1 - exp(-n), 9) AS \"any\", round(rate * 3, 6) AS appearances FROM b",
     "road_at_t": f"WITH {_UNDER_WAY} SELECT hour, under_way FROM n",
