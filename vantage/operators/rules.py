@@ -15,6 +15,11 @@ def visibility_class(p: Column, kc_grass: Column, k: Column) -> Column:
     return F.when(p.isNull(), "x").when(p <= 0.05, "h").otherwise(base)
 
 
+def class_at(k: Column, kc: Column, stored: Column, standard: float = 0.13) -> Column:
+    """Class at any refraction: the stored one at the standard coefficient, else visible if k is enough, hidden if not."""
+    return F.when(F.abs(k - standard) < 1e-9, stored).when(kc <= k, "v").otherwise("h")
+
+
 def refraction_bin(k: Column) -> Column:
     out = F.lit("k6")
     for bound, name in reversed(REFRACTION_BOUNDS):

@@ -312,6 +312,14 @@ def class_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groupBy(rules.old_class(cls).alias("cls")).agg(F.count("*").alias("n"), F.max(rules.kml_colour(F.when(cls == "v", "#12ab9f").otherwise("#c0ffee"))).alias("colour"))
 
 
+def classes_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources by class at several refraction coefficients, the stored class at the standard one."""
+    s = view(spark, sf_dir, "sources")
+    stored = rules.visibility_class(F.col("source_id") % 41 / 40, F.col("kc"), F.lit(0.13))
+    both = s.select("kc", stored.alias("stored"), F.explode(F.array(*[F.lit(k) for k in (0.0, 0.13, 0.25, 0.5, 1.0)])).alias("k"))
+    return both.groupBy("k", rules.class_at(F.col("k"), F.col("kc"), F.col("stored")).alias("cls")).agg(F.count("*").alias("n"))
+
+
 def flux_magnitudes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Magnitudes without a floor: no flux has none."""
     s = view(spark, sf_dir, "sources")
@@ -341,7 +349,7 @@ QUERIES = {
     for f in (
         bbox_then_radius, attribute_in_lists, band_below_skyline, stride_sample, footprint_reject, error_by_source, returns_filtered, privacy_rule, global_nearest, nearest_lamp, route_labels, line_fan_stats, fan_text, merged_lines,
         catalogue_counters, identified, catalogue_facets, brightest_sample, top_lights, calibration_targets, alternative_minima, verdict_ranking, first_night_period, log_newest_first, moon_and_brightness, forecast_classes, search_widths, sky_states, facing_direction,
-        observer_height, tile_catalogue, tile_footprints, road_points, vetted_lights, named_route, fan_edges, class_colours, flux_magnitudes, scenario_runs,
+        observer_height, tile_catalogue, tile_footprints, road_points, vetted_lights, named_route, fan_edges, class_colours, classes_at_k, flux_magnitudes, scenario_runs,
     )
 }
 _PLACES = f"p AS (SELECT *, (c_custkey % 401 - 200) * 1e-2 + {LON0}::DOUBLE AS lon, (c_custkey % 307 - 150) * 1e-2 + {LAT0}::DOUBLE AS lat FROM customer)"
@@ -383,6 +391,7 @@ ORACLES = {
     "named_route": "SELECT count(*) AS points, min(chain) AS first, max(chain) AS last FROM v_targets WHERE route = 'US-67'",
     "fan_edges": f"WITH d AS (SELECT i, az, radians(az) AS a, i * 10000e0 / {geo.R_SPHERE}::DOUBLE AS d, radians({_V[1]}) AS p, radians({_V[0]}) AS l FROM range(9) r(i), (VALUES (157276e-3), (277276e-3)) e(az)), q AS (SELECT *, asin(sin(p) * cos(d) + cos(p) * sin(d) * cos(a)) AS q FROM d) SELECT az, i * 10 AS km, round(degrees(l + atan2(sin(a) * sin(d) * cos(p), cos(d) - sin(p) * sin(q))), 7) AS lon, round(degrees(q), 7) AS lat FROM q",
     "class_colours": "WITH c AS (SELECT CASE WHEN source_id % 41 / 40e0 <= 5e-2 THEN 'h' WHEN source_id % 41 / 40e0 >= 95e-2 AND kc <= 13e-2 THEN 'v' ELSE 'm' END AS c FROM v_sources) SELECT CASE c WHEN 'v' THEN 'vis' WHEN 'm' THEN 'marg' ELSE 'hid' END AS cls, count(*) AS n, CASE c WHEN 'v' THEN 'ff9fab12' ELSE 'ffeeffc0' END AS colour FROM c GROUP BY c",
+    "classes_at_k": "WITH c AS (SELECT kc, CASE WHEN source_id % 41 / 40e0 <= 5e-2 THEN 'h' WHEN source_id % 41 / 40e0 >= 95e-2 AND kc <= 13e-2 THEN 'v' ELSE 'm' END AS stored FROM v_sources) SELECT k, CASE WHEN k = 13e-2 THEN stored WHEN kc <= k THEN 'v' ELSE 'h' END AS cls, count(*) AS n FROM c, (VALUES (0e0), (13e-2), (25e-2), (5e-1), (1e0)) t(k) GROUP BY 1, 2",
     "flux_magnitudes": "WITH f AS (SELECT source_id, CASE WHEN source_id % 6 = 0 THEN 0e0 ELSE kc / pow(km * 1000, 2e0) END AS f FROM v_sources) SELECT source_id, CASE WHEN f > 0 THEN round(-1399e-2 - 25e-1 * log10(CASE WHEN f > 0 THEN f END), 6) END AS m FROM f",
     "scenario_runs": "WITH r(name, k, ea, ee) AS (VALUES ('standard', 13e-2, 3e-1, 1e-1), ('strong', 5e-1, 3e-1, 1e-1), ('loose', 13e-2, 12e-1, 3e-1)), s AS (SELECT name, az, ea, ee, kc, round(el + degrees((k - 13e-2) * km * 1000 / (2 * 6371000e0)), 6) AS el FROM v_sources, r), b AS (SELECT name, kc, greatest(ceil(round((az - ea - 150) / 5e-1, 6)), 0)::INT AS a0, least(floor(round((az + ea - 150) / 5e-1, 6)), 299)::INT AS a1, greatest(ceil(round((el - ee + 2) / 25e-2, 6)), 0)::INT AS e0, least(floor(round((el + ee + 2) / 25e-2, 6)), 23)::INT AS e1 FROM s), c AS (SELECT name, kc, ia, ie FROM b, range(300) x(ia), range(24) y(ie) WHERE ia BETWEEN a0 AND a1 AND ie BETWEEN e0 AND e1), m AS (SELECT name, ia, ie, max(kc) AS top FROM c GROUP BY 1, 2, 3) SELECT name, count(*) AS cells, round(sum(top), 4) AS total FROM m GROUP BY name",
 }
