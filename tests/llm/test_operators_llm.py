@@ -13,7 +13,7 @@ import pytest
 from compare import SF
 from pyspark.sql import functions as F
 
-from vantage.llm import decontaminate, fingerprint, html_text, language_id, licenses, lm_score, mixing, near_dup, quality, toxicity
+from vantage.llm import decontaminate, fingerprint, html_text, language_id, licenses, lm_score, mixing, near_dup, quality, shared, toxicity
 
 LONG = " ".join(f"w{i % 977}" for i in range(30_000))
 ODD = [None, "", " \n ", "one", "one", LONG, "A b c d e", "a B c d e f", "née élan Ñandú 😀 x y", "."]
@@ -354,6 +354,34 @@ def test_blocks_of_a_large_bucket(spark, docs_of, monkeypatch):
     assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == brute_components(texts, 3, 80)
 
 
+def test_each_query_of_near_duplicates_writes_a_table(spark, docs_of, monkeypatch):
+    """What decides on the next step is measured as tables are written: queries that only count fill the driver's memory."""
+
+    def queries():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        return spark._jsparkSession.sharedState().statusStore().executionsList().last().executionId()
+
+    tables, plain = [], near_dup.written
+    monkeypatch.setattr(near_dup, "written", lambda *a, **b: tables.append(plain(*a, **b)) or tables[-1])
+    base = [f"q{i}" for i in range(60)]
+    texts = [" ".join(base[: 60 - i % 9] + [f"z{i}"] * (i % 9)) for i in range(40)] + [None, "", "x y"]
+    docs = docs_of(texts)
+    for some in (docs, docs.limit(0)):
+        some.collect()
+        before = queries()
+        tables.clear()
+        found = near_dup.near_duplicates(some, k=3)
+        assert 0 < queries() - before == len(tables)
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == (brute_components(texts, 3, 80) if some is docs else {})
+
+
+def test_measures_of_written_tables(spark):
+    table = shared.written(spark.range(10).withColumn("n", F.col("id") % 4), rows=F.count("*"), most=F.max("n"), high=F.count(F.when(F.col("n") > 2, 1)))
+    assert [shared.measured(table, x) for x in ("rows", "most", "high")] == [10, 3, 2] and table.count() == 10
+    none = shared.written(table.where("n > 9").join(table.select("n"), "n"), rows=F.count("*"), most=F.max("n"))
+    assert [shared.measured(none, x) for x in ("rows", "most")] == [0, 0] and none.isEmpty()
+
+
 # classifiers
 
 

@@ -16,9 +16,10 @@ takes part, so groups of exact copies cost one row each.  Links are found on the
    components; documents that are near but below the limit give no row at all.  Buckets of the same members count once, of the
    buckets that two documents share only the first compares them, and a large bucket is dealt into blocks by rows and by set size.
 
-Components come from minimum labels with pointer jumping on tables in the shared folder; nothing is gathered on the driver.  Where a
-table with one row for each key meets rows of which a key may hold a large part, the keys of more than a ``HOT_SHARE``-th of all rows
-(so fewer than ``HOT_SHARE`` keys) are broadcast and the others shuffled.
+Components come from minimum labels with pointer jumping on tables in the shared folder; nothing is gathered on the driver.  Each query
+adds to the driver's memory, so what decides on the next step (numbers of rows, largest keys, whether a label changed) is measured as a
+table is written, and what holds for all rounds once.  Where a table with one row for each key meets rows of which a key may hold a large
+part, the keys of more than a ``HOT_SHARE``-th of all rows (so fewer than ``HOT_SHARE`` keys) are broadcast and the others shuffled.
 
 Defined results: a null or empty text, or one without words, has an empty set and stays alone; a text of fewer than ``k`` words has
 one shingle, its whole sequence; very long texts are taken whole; rows that repeat an id are rows of their own, those that repeat a
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import clear_written, drop_written, written, written_so_far
+from .shared import clear_written, drop_written, measured, written, written_so_far
 from .textkernel import distinct_per_row, mix, sequence_keys, shingles, slices, words
 
 SYMBOLS, CHUNKS = 48, 12
@@ -129,11 +130,11 @@ def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def spread_join(left: DataFrame, right: DataFrame, on: list[str], size: str, total: int) -> DataFrame:
-    """``left`` joined with ``right``, which has one row for each key and in ``size`` the number of ``left``'s rows with it, of ``total``."""
-    hot = right.where(F.col(size) * HOT_SHARE > total)
-    if hot.isEmpty():
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], size: str, total: int, most: int) -> DataFrame:
+    """``left`` joined with ``right``, which has one row for each key and in ``size`` the number of ``left``'s rows with it: ``most`` at most, of ``total``."""
+    if most * HOT_SHARE <= total:
         return left.join(right.drop(size), on)
+    hot = right.where(F.col(size) * HOT_SHARE > total)
     frequent = left.join(F.broadcast(hot.drop(size)), on)
     others = left.join(F.broadcast(hot.select(*on)), on, "left_anti").join(right.where(F.col(size) * HOT_SHARE <= total).drop(size), on)
     return frequent.unionByName(others)
@@ -144,24 +145,23 @@ def components(edges: DataFrame, first: DataFrame | None = None) -> DataFrame:
 
     A node's own label is {its rank in ``first`` (node, rank), or itself; itself}.  Nodes must not be null.
     """
-    both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    nodes = written(both.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("degree")))
-    total = both.count()
+    both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), rows=F.count("*"))
+    nodes = both.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("degree"))
     ranked = nodes.join(first, "node") if first is not None else nodes.withColumn("rank", F.col("node"))
-    labels = written(ranked.select("node", "degree", F.struct("rank", "node").alias("label")))
+    labels = written(ranked.select("node", "degree", F.struct("rank", "node").alias("label")), rows=F.count("*"), most=F.max("degree"))
+    total, count, most = measured(both, "rows"), measured(labels, "rows"), measured(labels, "most")
     while True:
-        near = spread_join(both, labels.select(F.col("node").alias("b"), "label", "degree"), ["b"], "degree", total).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("other"))
+        near = spread_join(both, labels.select(F.col("node").alias("b"), "label", "degree"), ["b"], "degree", total, most).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("other"))
         less = written(labels.join(near, "node").select("node", "degree", F.col("label").alias("old"), F.least("label", "other").alias("label")))
         heads = less.groupBy(F.col("label.node").alias("head")).agg(F.count("*").alias("n"))
-        jump = written(heads.join(labels.select(F.col("node").alias("head"), F.col("label").alias("next")), "head"))
-        now = written(spread_join(less.withColumn("head", F.col("label.node")), jump, ["head"], "n", less.count()).select("node", "degree", F.least("label", "next").alias("label"), "old"))
-        changed = not now.where("label < old").isEmpty()
+        jump = written(heads.join(labels.select(F.col("node").alias("head"), F.col("label").alias("next")), "head"), most=F.max("n"))
+        jumped = spread_join(less.withColumn("head", F.col("label.node")), jump, ["head"], "n", count, measured(jump, "most"))
+        now = written(jumped.select("node", "degree", F.least("label", "next").alias("label"), "old"), changed=F.count(F.when(F.expr("label < old"), 1)))
         for table in (labels, less, jump):
             drop_written(table)
         labels = now
-        if not changed:
+        if not measured(now, "changed"):
             drop_written(both)
-            drop_written(nodes)
             return now.select("node", "label")
 
 
@@ -175,10 +175,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     row_key = F.monotonically_increasing_id() if row_col is None else F.col(row_col).cast("long")
     texts = docs.select(row_key.alias("row_key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     texts = texts if row_col else written(texts)
-    described = written(texts.mapInArrow(_described(k), "row_key long, doc_id long, n_shingles long, k1 long, k2 long, sig binary"))
+    described = written(texts.mapInArrow(_described(k), "row_key long, doc_id long, n_shingles long, k1 long, k2 long, sig binary"), rows=F.count("*"))
     head = F.min(F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("rank"), F.col("row_key").alias("rep")))
     reps = described.where("n_shingles > 0").groupBy("k1", "k2").agg(head.alias("head"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n"), F.count("*").alias("rows"))
-    reps = written(reps.select("k1", "k2", "head.rank", "head.rep", "sig", "n", "rows"))
+    reps = written(reps.select("k1", "k2", "head.rank", "head.rep", "sig", "n", "rows"), rows=F.count("*"))
     keys = written(_shared_buckets(reps))
     wanted = keys.select(F.col("rep").alias("row_key")).distinct()
     sets = written(texts.select("row_key", "text").join(wanted.hint("shuffle_hash"), "row_key", "left_semi").mapInArrow(_sets(k), "rep long, set binary"))
@@ -187,15 +187,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     ranks = reps.select(F.col("rep").alias("node"), "rank")
     edges = written(_star_links(_within(_stars(keys), reps), sets, percent))
     labels = components(edges, ranks)
-    mixed = written(_mixed(keys, reps, labels))
-    if not mixed.isEmpty():
-        more = written(_crossed(mixed, reps, sets, percent))
-        if not more.isEmpty():
+    mixed = written(_mixed(keys, reps, labels), rows=F.count("*"))
+    if measured(mixed, "rows"):
+        more = written(_crossed(mixed, reps, sets, percent), rows=F.count("*"))
+        if measured(more, "rows"):
             labels = components(edges.unionByName(more), ranks)
-    classes = written(reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", "rows", F.coalesce("label", F.struct("rank", F.col("rep").alias("node"))).alias("label")))
+    classes = written(reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", "rows", F.coalesce("label", F.struct("rank", F.col("rep").alias("node"))).alias("label")), most=F.max("rows"))
     clear_written(docs.sparkSession, before, described, classes)
     rows = described.select("row_key", "doc_id", "n_shingles", "k1", "k2")
-    joined = spread_join(rows.where("n_shingles > 0"), classes, ["k1", "k2"], "rows", described.count()).drop("k1", "k2")
+    joined = spread_join(rows.where("n_shingles > 0"), classes, ["k1", "k2"], "rows", measured(described, "rows"), measured(classes, "most")).drop("k1", "k2")
     alone = rows.where("n_shingles = 0").drop("k1", "k2").withColumn("label", F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("rank"), F.col("row_key").alias("node")))
     out = joined.unionByName(alone)
     component, first = F.when(F.col("label.rank") < _LAST, F.col("label.rank")), F.col("row_key") == F.col("label.node")
@@ -206,8 +206,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 def _shared_buckets(reps: DataFrame) -> DataFrame:
     """(bucket, rep, centre) of buckets that hold two classes or more."""
     keys = reps.select("rep", "sig").mapInArrow(_buckets, "bucket long, rep long")
-    shared = written(keys.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("centre")).where("n > 1"))
-    return spread_join(keys, shared, ["bucket"], "n", SYMBOLS * reps.count())
+    shared = written(keys.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("centre")).where("n > 1"), most=F.max("n"))
+    return spread_join(keys, shared, ["bucket"], "n", SYMBOLS * measured(reps, "rows"), measured(shared, "most"))
 
 
 def _stars(keys: DataFrame) -> DataFrame:
@@ -217,11 +217,11 @@ def _stars(keys: DataFrame) -> DataFrame:
 
 def _within(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     """The pairs (a, b) of a signature distance up to the limit, with the number of pairs of ``a``."""
-    pairs = written(pairs)
+    pairs = written(pairs, rows=F.count("*"))
     degree = pairs.groupBy("a").agg(F.count("*").alias("n"))
     sig = reps.select("rep", "sig")
-    centres = written(degree.join(sig.toDF("a", "sa"), "a").withColumn("stars", F.col("n")))
-    both = spread_join(pairs, centres, ["a"], "stars", pairs.count()).join(sig.toDF("b", "sb"), "b").withColumn("apart", _distance("sa", "sb"))
+    centres = written(degree.join(sig.toDF("a", "sa"), "a").withColumn("stars", F.col("n")), most=F.max("n"))
+    both = spread_join(pairs, centres, ["a"], "stars", measured(pairs, "rows"), measured(centres, "most")).join(sig.toDF("b", "sb"), "b").withColumn("apart", _distance("sa", "sb"))
     return written(both.where(F.col("apart") <= DISTANCE).select("a", "b", "n"))
 
 
@@ -250,12 +250,12 @@ def _star_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _mixed(keys: DataFrame, reps: DataFrame, labels: DataFrame) -> DataFrame:
     """(bucket, rep, comp, blocks) of buckets that hold more than one component, of those with the same members the first; blocks: how many it is dealt into."""
     state = reps.select("rep", "n").join(labels.select(F.col("node").alias("rep"), F.col("label.node").alias("comp")), "rep", "left").select("rep", "n", F.coalesce("comp", "rep").alias("comp"))
-    own = written(keys.select("bucket", "rep").join(state, "rep"))
+    own = written(keys.select("bucket", "rep").join(state, "rep"), rows=F.count("*"))
     blocks = F.greatest(F.ceil(F.count("*") / _GROUP), F.ceil(F.sum("n") / _GROUP_SHINGLES))
     members = [F.bit_xor(F.xxhash64("rep")).alias("m1"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("m2"), F.count("*").alias("size")]
     found = own.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), blocks.alias("blocks"), *members).where("low < high")
-    once = written(found.groupBy("m1", "m2", "size").agg(F.min("bucket").alias("bucket"), F.first("blocks").alias("blocks")).select("bucket", "blocks", "size"))
-    return spread_join(own, once, ["bucket"], "size", own.count()).select("bucket", "rep", "comp", "blocks")
+    once = written(found.groupBy("m1", "m2", "size").agg(F.min("bucket").alias("bucket"), F.first("blocks").alias("blocks")).select("bucket", "blocks", "size"), most=F.max("size"))
+    return spread_join(own, once, ["bucket"], "size", measured(own, "rows"), measured(once, "most")).select("bucket", "rep", "comp", "blocks")
 
 
 def _crossed(mixed: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -29,17 +29,26 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the shared folder, read again: lineage ends here and a lost executor costs nothing that was done."""
+def written(df: DataFrame, **measures: Column) -> DataFrame:
+    """``df`` as a table in the shared folder, read again: lineage ends here and a lost executor costs nothing that was done.
+
+    ``measures``: aggregates of its rows, taken as they are written, so that no query of its own counts them; see ``measured``.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/vantage/{uuid.uuid4().hex}"
     _kept.append(path)
-    df.write.parquet(path)
+    seen = Observation() if measures else None
+    (df.observe(seen, *(c.alias(name) for name, c in measures.items())) if seen else df).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    out._vantage_path = path
+    out._vantage_path, out._vantage_measures = path, seen.get if seen else {}
     return out
 
 
+def measured(df: DataFrame, name: str) -> int:
+    """A measure that ``written`` took of its table; 0 where it had no rows."""
+    return df._vantage_measures[name] or 0
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
