@@ -3,14 +3,17 @@
 import dataclasses
 import hashlib
 import math
+import os
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from compare import SF
+from pyspark import SparkContext
 from pyspark.sql import functions as F
 
 from vantage.llm import decontaminate, fingerprint, html_text, language_id, licenses, lm_score, mixing, near_dup, quality, shared, toxicity
@@ -679,6 +682,51 @@ def test_contexts_help_on_unseen_words(spark, docs_of):
     assert deep > 0.6 * flat
 
 
+def test_tasks_read_the_tree_once(spark, docs_of, monkeypatch):
+    """A tree within the function goes as bytes, which a worker keeps beside the tree it reads from them."""
+    docs = spark.read.parquet(SF.replace("sf0.001", "sf0.01") + "/documents.parquet")
+    counted = lm_score.counts(docs)
+    model = lm_score.fit(counted)
+    assert sum(len(x) for x in model.tree.pairs) > 300_000
+    sent, plain = [], SparkContext.broadcast
+    monkeypatch.setattr(SparkContext, "broadcast", lambda self, value: sent.append((value, plain(self, value))) or sent[-1][1])
+    assert lm_score.score(docs, counted, model).agg(F.sum("score")).first()[0] < 0
+    assert sent and not any(isinstance(value, bytes) for value, _ in sent)
+    assert not any(os.path.exists(b._path) for _, b in sent)
+
+
+def test_memory_of_a_worker_grows_in_place():
+    """Remembering more grams takes little beside what is remembered, and every gram keeps its own probability."""
+    rng = np.random.default_rng(3)
+    root = rng.random(256)
+    none = [np.zeros(0, np.int64)] * (lm_score.DEPTH + 1)
+    tree = lm_score.SuffixTree(root / root.sum(), none, none, none, none, none, None)
+    grams = np.unique(rng.integers(256, 1 << 50, 1_500_000))
+    parts = np.array_split(rng.permutation(grams), 15)
+    tracemalloc.start()
+    for part in parts[:-1]:
+        tree.memory.probabilities(tree, np.sort(part))
+    tracemalloc.reset_peak()
+    held = tracemalloc.get_traced_memory()[0]
+    for again in (parts[-1], np.concatenate([parts[0], parts[7]]), parts[-1]):
+        gram = np.sort(again)
+        log_p, more = tree.memory.probabilities(tree, gram)
+        assert np.array_equal(log_p, np.log10(tree.root[gram & 255])) and not more.any()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(x.nbytes for x in tree.memory.known) > 1_300_000 * 17
+    assert peak < 2.5 * held
+
+
+def test_memory_belongs_to_its_tree(docs_of):
+    model = lm_score.fit(lm_score.counts(docs_of(["the cat sat on the mat"] * 40)))
+    bare = dataclasses.replace(model.tree, contexts=[np.zeros(0, np.int64)] * (lm_score.DEPTH + 1))
+    text = np.random.default_rng(4).choice(np.frombuffer(b"acehmnost ", np.uint8), 200_000)
+    _, stream, bounds = lm_score._stream(text, np.array([0, len(text)]))
+    deep, flat = ([lm_score._tree_scores(t, stream, bounds)[0][0] for _ in range(2)] for t in (model.tree, bare))
+    assert deep == pytest.approx([deep[0]] * 2) and flat == pytest.approx([np.log10(model.tree.root[stream]).sum()] * 2) and abs(deep[0] - flat[0]) > 1
+
+
 def test_language_model_odd(spark, docs_of):
     got = lm_score.model_scores(docs_of(ODD)).collect()
     assert len(got) == len(ODD) and all(math.isfinite(r.score) and math.isfinite(r.base_score) for r in got)

@@ -25,9 +25,8 @@ their names, are ignored.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +58,7 @@ def _stream(data: np.ndarray, off: np.ndarray):
     value = LOWER[data][w.index]
     out[place] = np.where(value == 0, 1, value)
     out[bounds[1:] - 1] = END
+    w.index = w.within = w.begin = w.start[:0]  # a number for each byte, which nothing below reads
     return w, out, bounds
 
 
@@ -164,7 +164,7 @@ def counts(texts: DataFrame) -> DataFrame:
 
 @dataclass
 class SuffixTree:
-    """The frequent kept contexts by depth, sorted: with totals and weights, and pairs (context, next byte) with counts; ``maybe``: bits of the rarer."""
+    """The frequent kept contexts by depth, sorted: with totals and weights, and pairs (place of the context, next byte) with counts; ``maybe``: bits of the rarer."""
 
     root: np.ndarray
     contexts: list[np.ndarray]
@@ -173,7 +173,8 @@ class SuffixTree:
     pairs: list[np.ndarray]
     counts: list[np.ndarray]
     maybe: np.ndarray | None
-    name: str
+    #: what a worker remembers of this tree; goes when the tree goes
+    memory: _Memory = field(default_factory=lambda: _Memory(), init=False)
 
 
 @dataclass
@@ -236,14 +237,15 @@ def fit(counted: DataFrame, hot_pairs: int = HOT_PAIRS) -> FittedModel:
         least, room = r["level"], room - r["pairs"]
     hot = kept.where(level >= least).select(F.col("depth").cast("byte").alias("depth"), (F.col("context") * 256 + F.col("symbol")).alias("pair"), "n").toArrow()
     depth, pair, n = (hot[c].to_numpy() for c in ("depth", "pair", "n"))
-    contexts, totals, weights, pairs, counts = ([np.zeros(0, t)] for t in (np.int64, np.float32, np.float32, np.int64, np.float32))
+    del hot
+    contexts, totals, weights, pairs, counts = ([np.zeros(0, t)] for t in (np.int64, np.float32, np.float32, np.int32, np.float32))
     for d in range(1, DEPTH + 1):
         own = np.flatnonzero(depth == d)
         own = own[np.argsort(pair[own])]
-        pairs.append(pair[own])
         counts.append(n[own].astype(np.float32))
         context, first, kinds = np.unique(pair[own] >> 8, return_index=True, return_counts=True)
         contexts.append(context)
+        pairs.append((np.repeat(np.arange(len(context)), kinds) << 8 | pair[own] & 255).astype(np.int32 if len(context) < 1 << 23 else np.int64))
         totals.append(np.add.reduceat(n[own], first).astype(np.float32) if len(first) else np.zeros(0, np.float32))
         weights.append((WEIGHT * kinds).astype(np.float32))
     of_byte = np.full(256, 0.5)
@@ -255,7 +257,7 @@ def fit(counted: DataFrame, hot_pairs: int = HOT_PAIRS) -> FittedModel:
         words = rare.select("depth", "context").distinct().mapInArrow(_bit_words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
         maybe = np.zeros(BITS >> 5, np.uint32)
         maybe[words["word"].to_numpy()] = words["bits"].to_numpy().astype(np.uint32)
-    return FittedModel(SuffixTree(of_byte / of_byte.sum(), contexts, totals, weights, pairs, counts, maybe, uuid.uuid4().hex), rare, sum(r["pairs"] for r in steps))
+    return FittedModel(SuffixTree(of_byte / of_byte.sum(), contexts, totals, weights, pairs, counts, maybe), rare, sum(r["pairs"] for r in steps))
 
 
 def _probabilities(tree: SuffixTree, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -272,7 +274,8 @@ def _probabilities(tree: SuffixTree, gram: np.ndarray) -> tuple[np.ndarray, np.n
             continue
         at = np.minimum(np.searchsorted(known, context), len(known) - 1)
         hit = np.flatnonzero(known[at] == context)
-        at, pair = at[hit], context[hit] << 8 | symbol[hit]
+        at = at[hit]
+        pair = (at << 8 | symbol[hit]).astype(tree.pairs[d].dtype)
         place = np.minimum(np.searchsorted(tree.pairs[d], pair), len(tree.pairs[d]) - 1)
         n = np.where(tree.pairs[d][place] == pair, tree.counts[d][place], 0).astype(np.float64)
         w = tree.weights[d][at].astype(np.float64)
@@ -283,38 +286,43 @@ def _probabilities(tree: SuffixTree, gram: np.ndarray) -> tuple[np.ndarray, np.n
 class _Memory:
     """What a worker found out about grams of earlier slices; at most ``_REMEMBERED`` of them, then it starts anew."""
 
-    def __init__(self, name: str):
-        self.name = name
-        self.known = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, bool))
+    def __init__(self):
+        self.known = [np.zeros(0, np.int64), np.zeros(0), np.zeros(0, bool)]
         self.fresh: list[tuple] = []
         self.size = 0
 
     def probabilities(self, tree: SuffixTree, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """log10 p of sorted grams, and whether a rarer context may carry them on."""
-        known, log_p, more = self.known
+        known = self.known[0]
         at = np.minimum(np.searchsorted(known, gram), max(0, len(known) - 1))
         missed = np.flatnonzero(known[at] != gram) if len(known) else np.arange(len(gram))
         p, open_ = _probabilities(tree, gram[missed])
         p = np.log10(p)
-        out, rare = (x[at] if len(known) else np.zeros(len(gram), x.dtype) for x in (log_p, more))
+        out, rare = (x[at] if len(known) else np.zeros(len(gram), x.dtype) for x in self.known[1:])
         out[missed], rare[missed] = p, open_
         self.fresh.append((gram[missed], p, open_))
         self.size += len(missed)
         if self.size > 100_000:
-            old = [self.known] if len(known) + self.size <= _REMEMBERED else []
-            all_of_it = [np.concatenate(x) for x in zip(*old, *self.fresh, strict=True)]
-            key, first = np.unique(all_of_it[0], return_index=True)
-            self.known, self.fresh, self.size = (key, all_of_it[1][first], all_of_it[2][first]), [], 0
+            del known
+            self.remember()
         return out, rare
 
-
-_memory: list[_Memory] = []
-
-
-def _remembered(tree: SuffixTree) -> _Memory:
-    if not _memory or _memory[0].name != tree.name:
-        _memory[:] = [_Memory(tree.name)]
-    return _memory[0]
+    def remember(self):
+        """Puts the fresh grams, none of which is known, among the known ones: a column at a time, so that no second copy of all is held."""
+        fresh = [np.concatenate(x) for x in zip(*self.fresh, strict=True)]
+        key, first = np.unique(fresh[0], return_index=True)
+        fresh = [key, *(x[first] for x in fresh[1:])]
+        if len(self.known[0]) + self.size > _REMEMBERED:
+            self.known = fresh
+        else:
+            at = np.searchsorted(self.known[0], key) + np.arange(len(key))
+            old = np.ones(len(self.known[0]) + len(key), bool)
+            old[at] = False
+            for i, x in enumerate(fresh):
+                both = np.empty(len(old), x.dtype)
+                both[old], both[at] = self.known[i], x
+                self.known[i] = both
+        self.fresh, self.size = [], 0
 
 
 def _tree_scores(tree: SuffixTree, stream: np.ndarray, bounds: np.ndarray):
@@ -327,7 +335,7 @@ def _tree_scores(tree: SuffixTree, stream: np.ndarray, bounds: np.ndarray):
     first = np.flatnonzero(np.diff(gram, prepend=-1))
     size = np.diff(first, append=len(gram))
     gram = gram[first]
-    log_p, more = _remembered(tree).probabilities(tree, gram)
+    log_p, more = tree.memory.probabilities(tree, gram)
     total = np.bincount(row, np.repeat(np.where(more, 0.0, log_p), size), rows)
     which = np.flatnonzero(more)
     far = np.flatnonzero(np.repeat(more, size)) if len(which) else which
@@ -368,9 +376,12 @@ def score(docs: DataFrame, counted: DataFrame, model: FittedModel, hot_words: in
     hot = vocabulary.where(level >= least).toArrow().sort_by("key")
     hot_key, hot_n = hot["key"].to_numpy(), hot["n"].to_numpy()
     below = all_tokens + 0.1 * (kinds + 1)
-    tree = model.tree
+    # a worker reads a broadcast once for all its tasks and straight into place; what a function itself holds it would keep twice, as bytes and read
+    sent = docs.sparkSession.sparkContext.broadcast((model.tree, hot_key, hot_n))
+    del hot, hot_key, hot_n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, hot_key, hot_n = sent.value
         task, number = TaskContext.get().partitionId(), 0
         hot_log = np.log10((hot_n + 0.1) / below)
         end = int(np.searchsorted(hot_key, 0))
@@ -404,6 +415,7 @@ def score(docs: DataFrame, counted: DataFrame, model: FittedModel, hot_words: in
                 )
 
     scored = written(docs.select(F.col("doc_id").cast("long"), text_col).mapInArrow(run, "doc_id long, row_key long, n_tokens long, hot_known long, hot_base double, score double, cold array<long>, gram array<long>, times array<long>, p array<double>"))
+    sent.destroy()
     rare = scored.select("row_key", F.explode("cold").alias("key")).groupBy("row_key", "key").agg(F.count("*").alias("times"))
     rare = rare.join(vocabulary.where(level < least), "key", "left").withColumn("c", F.coalesce("n", F.lit(0)))
     rest = rare.groupBy("row_key").agg(
