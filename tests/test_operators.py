@@ -157,3 +157,12 @@ def test_weighted_quantiles_and_nearest_equal_plain_ones(spark):
     for i, k, x in left[:-1]:
         options = sorted((abs(x - y), p) for p, q, y in right if q == k)
         assert got[i] == ((options[0][1], options[0][0]) if options else (None, None))
+
+
+def test_nearest_by_key_has_no_shrinking_window(spark):
+    from vantage.operators import joins
+
+    a, b = spark.createDataFrame([(1, 0, 2.0)], "i long, k int, x double"), spark.createDataFrame([(7, 0, 3.0), (8, 0, 0.0)], "p long, k int, y double")
+    out = joins.nearest_by_key(a, b, "k", F.col("x"), F.col("y"), "p", "near", ["i"], 6)
+    assert out.collect() == [(1, 7, 1.0)]
+    assert "UnboundedFollowing" not in out._jdf.queryExecution().optimizedPlan().toString().replace("unboundedfollowing$()", "UnboundedFollowing")

@@ -45,14 +45,14 @@ def pairs_within(left: DataFrame, lx: Column, ly: Column, right: DataFrame, rx:
 def nearest_by_key(left: DataFrame, right: DataFrame, key: str, at: Column, place: Column, pick: str, out: str, ident: list[str], digits: int) -> DataFrame:
     """``ident`` of each left row with ``pick`` of the right row of its key whose ``place`` is nearest to ``at`` (as <out>_distance, rounded), nulls if there is none.
 
-    Both sides are one list sorted by place within a key: a row's nearest neighbours are the last right row before and the first
-    after it, so no pairs are made.  Of equal places the smallest ``pick`` counts; of equal distances too.
+    Both sides are one list sorted by place within a key, forwards and backwards: a row's nearest neighbours are the last right row
+    before it in either order, so no pairs are made and both windows only grow (one that shrinks is gone through anew for each row).  Of equal places the smallest ``pick`` counts; of equal distances too.
     """
     firsts = right.select(key, place.alias("_x"), F.col(pick).alias("_p")).groupBy(key, "_x").agg(F.min("_p").alias("_p"))
     points = left.select(key, at.alias("_x"), *ident).withColumns({"_r": F.lit(None).cast(T.StructType([T.StructField("x", firsts.schema["_x"].dataType), T.StructField("p", firsts.schema["_p"].dataType)])), "_own": F.lit(True)})
     places = firsts.select(key, "_x", *[F.lit(None).cast(left.schema[c].dataType).alias(c) for c in ident], F.struct(F.col("_x").alias("x"), F.col("_p").alias("p")).alias("_r"), F.lit(False).alias("_own"))
-    w = Window.partitionBy(key).orderBy("_x", "_own")
-    met = points.unionByName(places).withColumns({"_b": F.last("_r", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_a": F.first("_r", True).over(w.rowsBetween(0, Window.unboundedFollowing))}).where("_own")
+    w = Window.partitionBy(key).rowsBetween(Window.unboundedPreceding, 0)
+    met = points.unionByName(places).withColumns({"_b": F.last("_r", True).over(w.orderBy("_x", "_own")), "_a": F.last("_r", True).over(w.orderBy(F.desc("_x"), "_own"))}).where("_own")
     option = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.round(F.abs(F.col(f"{c}.x") - F.col("_x")), digits).alias("d"), F.col(f"{c}.p").alias("p")))
     best = F.least(option("_b"), option("_a"))
     return met.select(*ident, best["p"].alias(out), best["d"].alias(f"{out}_distance"))
