@@ -166,3 +166,18 @@ def test_nearest_by_key_has_no_shrinking_window(spark):
     out = joins.nearest_by_key(a, b, "k", F.col("x"), F.col("y"), "p", "near", ["i"], 6)
     assert out.collect() == [(1, 7, 1.0)]
     assert "UnboundedFollowing" not in out._jdf.queryExecution().optimizedPlan().toString().replace("unboundedfollowing$()", "UnboundedFollowing")
+
+
+def test_nearest_of_places_equals_brute_force(spark):
+    import numpy as np
+
+    from vantage.operators import joins
+
+    rng = np.random.default_rng(8)
+    left = [(i, float(rng.integers(0, 90)) / 10, float(rng.integers(0, 60)) / 10) for i in range(400)]
+    right = [(i, float(rng.integers(0, 30)) / 10, float(rng.integers(0, 60)) / 10) for i in range(150)] + [(150, 6.5, 3.1)]
+    a, b = spark.createDataFrame(left, "i long, x double, y double"), spark.createDataFrame(right, "p long, u double, v double")
+    d = F.round(F.sqrt(F.pow(F.col("x") - F.col("u"), F.lit(2.0)) + F.pow(F.col("y") - F.col("v"), F.lit(2.0))), 6)
+    rows = joins.nearest_of_places(a, ["x", "y"], b, ["u", "v"], "p", d, 1.0).collect()
+    best = {(x, y): min((round(math.hypot(x - u, y - v), 6), p) for p, u, v in right) for _, x, y in left}
+    assert {(r.x, r.y): (r.d, r.p) for r in rows} == {k: v for k, v in best.items() if v[0] <= 1} and len(rows) == len({(r.x, r.y) for r in rows})

@@ -42,6 +42,24 @@ def pairs_within(left: DataFrame, lx: Column, ly: Column, right: DataFrame, rx:
     return a.join(b, "_c").drop("_c")
 
 
+def nearest_of_places(left: DataFrame, at: list[str], right: DataFrame, places: list[str], pick: str, distance: Column, limit: float) -> DataFrame:
+    """Each place of left rows (columns ``at``) that has a right row within ``limit``, with ``pick`` and ``d`` of the nearest; of equal distances the smallest ``pick``.
+
+    Rows of one place are searched for once.  Cells begin at a sixteenth of the limit and grow only for places that have found nothing
+    yet, so where right rows are dense a place meets few of them.  ``distance`` may be shorter than the larger coordinate difference
+    by 1 % at most.
+    """
+    targets = right.groupBy(*places).agg(F.min(pick).alias(pick))
+    found = left.select(*at).distinct().withColumn("_f", F.lit(None).cast(T.StructType([T.StructField("d", T.DoubleType()), T.StructField(pick, right.schema[pick].dataType)])))
+    for reach in (limit / 16, limit / 4, limit):
+        width = reach * 1.02
+        aside = -(1 << 40) - F.pmod(F.xxhash64(*at), F.lit(1 << 30))  # a cell of no right row, for places that are done
+        cell = F.struct(F.when(F.col("_f").isNull(), F.floor(F.col(at[0]) / width)).otherwise(aside).alias("cx"), F.floor(F.col(at[1]) / width).alias("cy"))
+        met = found.withColumn("_c", cell).join(targets.withColumn("_c", cells_around(F.col(places[0]), F.col(places[1]), width)), "_c", "left").withColumn("d", distance)
+        found = met.groupBy(*at).agg(F.coalesce(F.first("_f"), F.min(F.when(F.col("d") <= reach, F.struct("d", pick)))).alias("_f"))
+    return found.where("_f IS NOT NULL").select(*at, F.col(f"_f.{pick}").alias(pick), F.col("_f.d").alias("d"))
+
+
 def nearest_by_key(left: DataFrame, right: DataFrame, key: str, at: Column, place: Column, pick: str, out: str, ident: list[str], digits: int) -> DataFrame:
     """``ident`` of each left row with ``pick`` of the right row of its key whose ``place`` is nearest to ``at`` (as <out>_distance, rounded), nulls if there is none.
 

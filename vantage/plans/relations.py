@@ -72,9 +72,9 @@ def nearest_within_tol(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each customer's nearest source in azimuth and elevation within 1 degree."""
     c = view(spark, sf_dir, "lines").select("line_id", "seq", "az", "el")
     s = view(spark, sf_dir, "sources").select("source_id", F.col("az").alias("saz"), F.col("el").alias("sel"))
-    met = joins.pairs_within(c, F.col("az"), F.col("el"), s, F.col("saz"), F.col("sel"), 1.0)
     d = F.round(F.sqrt(F.pow((F.col("az") - F.col("saz")) * F.cos(F.radians("el")), F.lit(2.0)) + F.pow(F.col("el") - F.col("sel"), F.lit(2.0))), 6)
-    return met.withColumn("d", d).where("d <= 1").groupBy("line_id", "seq").agg(F.min(F.struct("d", "source_id")).alias("b")).select("line_id", "seq", F.col("b.source_id").alias("source_id"), F.col("b.d").alias("d"))
+    found = joins.nearest_of_places(c, ["az", "el"], s, ["saz", "sel"], "source_id", d, 1.0)
+    return c.join(found, ["az", "el"]).select("line_id", "seq", "source_id", "d")
 
 
 def angular_window_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
