@@ -65,3 +65,10 @@ def test_tracker_stream_equals_batch_and_truth(spark, tmp_path):
     stream = {(r.video, r.frame): r for r in drained(state.track_stream(stream_of(spark, d, f"{tmp_path}/t", 1)), "tracks").collect()}
     assert stream.keys() == batch.keys() and all(abs(stream[k].az0 - batch[k].az0) < 1e-9 for k in batch)
     assert batch[0, 0].reseeded and not batch[0, 1].reseeded
+
+
+def test_calibration_age_in_seconds_of_the_clock(spark):
+    at = lambda rows, kind: spark.createDataFrame(rows, kind).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    found = at([(1, "2024-01-01 00:30:01.000", 10), (1, "2024-01-01 00:30:00.999", 11), (2, "2024-01-01 00:30:00.900", 12)], "device long, ts string, event_id long")
+    known = at([(1, "2024-01-01 00:00:00.900", True, 5.0), (2, "2024-01-01 00:00:00.100", True, 6.0)], "device long, ts string, absolute boolean, offset double")
+    assert {r.event_id: r.offset for r in state.latest_calibration(found, known).collect()} == {10: None, 11: 5.0, 12: 6.0}

@@ -146,7 +146,10 @@ def track_stream(detections: DataFrame) -> DataFrame:
 
 
 def latest_calibration(observations: DataFrame, calibrations: DataFrame, ttl_minutes: int = 30) -> DataFrame:
-    """Each observation (device, ts) with the latest absolute calibration offset of its device not older than the TTL, else null: one union and one window."""
+    """Each observation (device, ts) with the latest absolute calibration offset of its device not older than the TTL, else null: one union and one window.
+
+    Age is counted in whole seconds of the clock, as SQL's date_diff does: from 0.9 to 2.1 are 2 seconds.
+    """
     from pyspark.sql import Window
 
     both = observations.withColumns({"_o": F.lit(1), "_cts": F.lit(None).cast("timestamp_ntz"), "_off": F.lit(None).cast("double")}).unionByName(
@@ -154,7 +157,9 @@ def latest_calibration(observations: DataFrame, calibrations: DataFrame, ttl_min
     )
     w = Window.partitionBy("device").orderBy("ts", "_o").rowsBetween(Window.unboundedPreceding, 0)
     joined = both.withColumns({"_c": F.last("_cts", ignorenulls=True).over(w), "_v": F.last("_off", ignorenulls=True).over(w)}).where("_o = 1")
-    fresh = F.expr(f"timestampdiff(SECOND, _c, ts) <= {ttl_minutes * 60}")
+    second = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {0})"
+    clock = lambda c: F.expr(f"{second.format(c)} - pmod({second.format(c)}, 1000000)")
+    fresh = clock("ts") - clock("_c") <= ttl_minutes * 60_000_000
     return joined.withColumn("offset", F.when(fresh, F.col("_v"))).drop("_o", "_cts", "_off", "_c", "_v")
 
 
