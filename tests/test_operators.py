@@ -181,3 +181,12 @@ def test_nearest_of_places_equals_brute_force(spark):
     rows = joins.nearest_of_places(a, ["x", "y"], b, ["u", "v"], "p", d, 1.0).collect()
     best = {(x, y): min((round(math.hypot(x - u, y - v), 6), p) for p, u, v in right) for _, x, y in left}
     assert {(r.x, r.y): (r.d, r.p) for r in rows} == {k: v for k, v in best.items() if v[0] <= 1} and len(rows) == len({(r.x, r.y) for r in rows})
+
+
+def test_a_value_that_is_the_mean_is_not_above_it(spark, tmp_path):
+    from vantage.plans import series
+
+    rows = [(i, 1, "view", v) for i, v in enumerate([0.3, 0.2, 0.1])]  # in doubles their mean is below 0.2
+    d = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double")
+    d.withColumn("ts", F.expr("TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, event_id)")).write.parquet(f"{tmp_path}/events.parquet")
+    assert series.autocorrelation(spark, str(tmp_path)).first().duty == pytest.approx(1 / 3, abs=1e-6)

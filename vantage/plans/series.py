@@ -124,12 +124,15 @@ def grid_search_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def autocorrelation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each user's lag from 1 to 12 of the largest autocovariance, and the share of time above the mean."""
+    """Each user's lag from 1 to 12 of the largest autocovariance, and the share of time above the mean.
+
+    A value that is the mean is not above it, though its difference from the mean added up in doubles may be some 1e-14.
+    """
     w = Window.partitionBy("user_id")
     o = w.orderBy("seq")
     s = view(spark, sf_dir, "series").withColumn("x", F.col("v") - F.avg("v").over(w))
     s = s.select("user_id", "x", *[(F.col("x") * F.lead("x", k).over(o)).alias(f"p{k}") for k in range(1, 13)])
-    g = s.groupBy("user_id").agg(F.round(F.avg(F.when(F.col("x") > 0, 1.0).otherwise(0.0)), 6).alias("duty"), *[F.round(F.sum(f"p{k}"), 3).alias(f"p{k}") for k in range(1, 13)])
+    g = s.groupBy("user_id").agg(F.round(F.avg(F.when(F.col("x") > 1e-9, 1.0).otherwise(0.0)), 6).alias("duty"), *[F.round(F.sum(f"p{k}"), 3).alias(f"p{k}") for k in range(1, 13)])
     best = F.array_max(F.filter(F.array(*[F.struct(F.col(f"p{k}").alias("p"), F.lit(-k).alias("k")) for k in range(1, 13)]), lambda x: x["p"].isNotNull()))
     return g.select("user_id", "duty", (-best["k"]).alias("lag"))
 
