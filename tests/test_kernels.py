@@ -119,3 +119,16 @@ def test_rings_components_and_simplification():
     assert (x, y, n) == (8.5, 5.5, 4)
     flow = fit.flow_accumulation(np.arange(9, dtype=float).reshape(3, 3))
     assert flow[0, 0] == 9
+
+
+def test_draws_side_by_side_equal_single_ones():
+    rng = np.random.default_rng(5)
+    for n, height in ((1, -0.5), (32, -1.5), (90, -1.5), (90, 2.0)):
+        s, excess, fraction = np.sort(rng.uniform(0, 900, n)), height + rng.normal(size=n) * 0.4, np.linspace(1, 0, n)
+        plain = []
+        for seed in range(7):
+            one = np.random.default_rng(seed)
+            eye = one.standard_normal(200) * 0.15
+            ground = noise.correlated(s, 70.0, 200, one) * 0.56
+            plain.append(float(np.mean((excess + ground - eye[:, None] * fraction <= 0).all(axis=1))))
+        assert noise.seen_shares(excess, fraction, s, 0.56, 70.0, 0.15, 200, np.arange(7)).tolist() == plain

@@ -167,20 +167,26 @@ def rays(lon: np.ndarray, lat: np.ndarray, viewer: Viewer, lamps, surface: Calla
         yield slice(a, b), Ray(first, ray, s, dots[: len(frames)], dots[len(frames) :], [f[0][a:b] for f in frames], [f[3][a:b] for f in frames], radius[a:b])
 
 
-def probability(ray: Ray, k: float, sigma: float, length: float, eye_sd: float, draws: int, seeds: np.ndarray) -> np.ndarray:
-    """Chance that each target is seen under ground and eye errors: six standard deviations decide most, the others are drawn (without ``draws``: not a number)."""
+def probability(ray: Ray, k: float, sigma: float, length: float, eye_sd: float, draws: int, seeds: np.ndarray | None = None, place: np.ndarray | None = None) -> np.ndarray:
+    """Chance that each target is seen under ground and eye errors: six standard deviations decide most, the others are drawn.
+
+    Without ``draws`` those are not a number, and the result has a value for each ray; else one for each target, with its own seed:
+    ``place`` says which ray it has, in ascending order.
+    """
     excess, d = ray.excess(0, k), ray.each(ray.d[0])
     fraction = (d - ray.s[0]) / d
     sd = np.sqrt(sigma**2 + (eye_sd * fraction) ** 2)
     high, low = ray.highest(excess + 6 * sd), ray.highest(excess - 6 * sd)
-    out = np.where(low > 0, 0.0, 1.0)
+    unsure = (high > 0) & (low <= 0)
+    out = np.where(np.isnan(high) | unsure, np.nan, np.where(low > 0, 0.0, 1.0))
+    if not draws:
+        return out
+    out = out[place]
     ends = np.append(ray.first[1:], len(excess))
-    for t in np.flatnonzero((high > 0) & (low <= 0)):
-        if not draws:
-            out[t] = np.nan
-            continue
+    for t in np.flatnonzero(unsure):
         own = np.arange(ray.first[t], ends[t])
         own = own[excess[own] + 6 * sd[own] > 0]
         own = own[np.argsort(ray.ground[own], kind="stable")]
-        out[t] = noise.seen_share(excess[own], fraction[own], ray.ground[own], sigma, length, eye_sd, draws, int(seeds[t]))
-    return np.where(np.isnan(high), np.nan, out)
+        a, b = np.searchsorted(place, [t, t + 1])
+        out[a:b] = noise.seen_shares(excess[own], fraction[own], ray.ground[own], sigma, length, eye_sd, draws, seeds[a:b])
+    return out

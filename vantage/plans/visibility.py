@@ -122,34 +122,42 @@ def ground(lon: np.ndarray, lat: np.ndarray) -> np.ndarray:
 VIEWER = sightline.Viewer(LON0, LAT0, GROUND + EYE)
 
 
-def reduced(targets: DataFrame, lamps, values: dict, keep: list[str] = ["target_id"], surface=ground, sampling: sightline.Sampling = sightline.Sampling(), strict: bool = False) -> DataFrame:  # noqa: B006, B008
-    """``keep`` and a double column for each of ``values``: name -> function (rays, other columns of the targets) of a value for each target.
+def reduced(targets: DataFrame, lamps, values: dict, keep: list[str] = ["target_id"], surface=ground, sampling: sightline.Sampling = sightline.Sampling(), strict: bool = False, drawn: tuple = ()) -> DataFrame:  # noqa: B006, B008
+    """``keep`` and a double column for each of ``values``: name -> function (rays, ids of the targets, ray of each) of a value for each ray, or for each target if its name is among ``drawn``.
 
     A value is null where a sample has no ground height; with ``strict`` that fails.  A target is a few numbers and thousands of
-    samples, so targets are dealt evenly over all cores first, however few files they come from.
+    samples, so targets are dealt evenly over all cores first, however few files they come from; those of one place go to the same
+    task, next to each other, and share its ray.
     """
-    columns = [*dict.fromkeys([*keep, "target_id", "lon", "lat"])]
+    columns = [*dict.fromkeys([*keep, *(["target_id"] if drawn else []), "lon", "lat"])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            lon, lat, ident = (batch.column(c).to_numpy() for c in ("lon", "lat", "target_id"))
+            lon, lat = (batch.column(c).to_numpy() for c in ("lon", "lat"))
+            ident = batch.column("target_id").to_numpy() if drawn else None
+            first = np.flatnonzero(np.concatenate([[True], (np.diff(lon) != 0) | (np.diff(lat) != 0)]))
+            ends = np.append(first, batch.num_rows)
             out = {name: np.empty(batch.num_rows) for name in values}
-            for rows, rays in sightline.rays(lon, lat, VIEWER, lamps, surface, sampling, strict):
+            for places, rays in sightline.rays(lon[first], lat[first], VIEWER, lamps, surface, sampling, strict):
+                rows = slice(ends[places.start], ends[places.stop])
+                ray = np.repeat(np.arange(places.stop - places.start), np.diff(ends[places.start : places.stop + 1]))
                 for name, value in values.items():
-                    out[name][rows] = value(rays, ident[rows])
+                    found = value(rays, ident[rows] if drawn else None, ray)
+                    out[name][rows] = found if name in drawn else found[ray]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(v, from_pandas=True) for v in out.values())], [*keep, *values])
 
     fields = [*(targets.schema[c] for c in keep), *(T.StructField(n, T.DoubleType()) for n in values)]
     parts = 4 * targets.sparkSession.sparkContext.defaultParallelism
-    return targets.select(*columns).repartition(parts, "target_id").mapInArrow(run, T.StructType(fields))
+    place = F.xxhash64("lon", "lat")  # not the columns: after a grouping by them no exchange would be made, and few partitions be left
+    return targets.select(*columns).repartition(parts, place).sortWithinPartitions("lon", "lat").mapInArrow(run, T.StructType(fields))
 
 
 def critical_of(i: int, raised: float | None = None):
     """k_crit of lamp i; ``raised``: clutter on samples farther than 10 m from both ends."""
 
-    def value(rays: sightline.Ray, _) -> np.ndarray:
+    def value(rays: sightline.Ray, *_) -> np.ndarray:
         if raised is None:
             return np.round(rays.highest(rays.critical(i)), 4)
         inner = (rays.s[i] > 10) & (rays.each(rays.d[i]) - rays.s[i] > 10)
@@ -158,7 +166,7 @@ def critical_of(i: int, raised: float | None = None):
     return value
 
 
-def _limit(rays: sightline.Ray, _) -> np.ndarray:
+def _limit(rays: sightline.Ray, *_) -> np.ndarray:
     """Ground distance of the limiting sample, the nearest on ties."""
     k = np.round(rays.critical(0), 4)
     best = k == rays.each(rays.highest(k))
@@ -166,7 +174,7 @@ def _limit(rays: sightline.Ray, _) -> np.ndarray:
 
 
 def _share_of_chord(far: bool):
-    def value(rays: sightline.Ray, _) -> np.ndarray:
+    def value(rays: sightline.Ray, *_) -> np.ndarray:
         d, s = rays.each(rays.d[0]), rays.s[0]
         return rays.highest(rays.excess(0, 0.13) * d / (s if far else d - s) / (rays.each(rays.up[0]) if far else 1.0))
 
@@ -188,7 +196,7 @@ def limiting_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clearance_and_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clearance and the heights that lamp or eye would need, at k = 0.13."""
-    values = {"clearance": lambda rays, _: -rays.highest(rays.excess(0, 0.13)), "lamp_margin": _share_of_chord(True), "eye_margin": _share_of_chord(False)}
+    values = {"clearance": lambda rays, *_: -rays.highest(rays.excess(0, 0.13)), "lamp_margin": _share_of_chord(True), "eye_margin": _share_of_chord(False)}
     return reduced(view(spark, sf_dir, "targets"), (0.66,), values).select("target_id", F.round("clearance", 3).alias("clearance"), *((F.round(c, 2) + 0.0).alias(c) for c in ("lamp_margin", "eye_margin")))
 
 
@@ -219,7 +227,7 @@ def length_by_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def trace_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points worth tracing: of every second point of a route those that are not hidden for certain, k_crit being at most 2, with the span of launch angles (mrad)."""
     t = view(spark, sf_dir, "targets").where("target_id % 2 = 0")
-    found = reduced(t, (4.0,), {"k_crit": critical_of(0), "d": lambda rays, _: rays.d[0]})
+    found = reduced(t, (4.0,), {"k_crit": critical_of(0), "d": lambda rays, *_: rays.d[0]})
     return found.where("k_crit <= 2").select("target_id", "k_crit", F.round(F.col("d") / (2 * geo.R_SPHERE) * 1000, 4).alias("span"))
 
 
