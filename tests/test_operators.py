@@ -190,3 +190,21 @@ def test_a_value_that_is_the_mean_is_not_above_it(spark, tmp_path):
     d = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double")
     d.withColumn("ts", F.expr("TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, event_id)")).write.parquet(f"{tmp_path}/events.parquet")
     assert series.autocorrelation(spark, str(tmp_path)).first().duty == pytest.approx(1 / 3, abs=1e-6)
+
+
+def test_targets_of_one_place_share_its_ray(spark):
+    import numpy as np
+
+    from vantage.plans import visibility
+
+    t = spark.createDataFrame([(i, -103.99, 30.20 - i % 2 * 0.01, i * 60.0, "r") for i in range(300)], "target_id long, lon double, lat double, chain double, route string")
+
+    def few(lon, lat):
+        if np.size(lon) > 20_000:  # two rays have some 8,000 samples, 300 have over a million
+            raise ValueError("a ray for each target")
+        return visibility.ground(lon, lat)
+
+    got = {r.target_id: r.a for r in visibility.reduced(t, (0.66,), {"a": visibility.critical_of(0)}, surface=few).collect()}
+    assert len(got) == 300 and len({got[i] for i in range(0, 300, 2)}) == 1 and len({got[i] for i in range(1, 300, 2)}) == 1
+    alone = {r.target_id: r.a for r in visibility.reduced(t.where("target_id < 2"), (0.66,), {"a": visibility.critical_of(0)}).collect()}
+    assert (got[298], got[299]) == (alone[0], alone[1])

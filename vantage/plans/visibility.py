@@ -181,10 +181,16 @@ def _share_of_chord(far: bool):
     return value
 
 
+def _times(condition: Column) -> Column:
+    """How many targets a condition holds for, of rows that stand for ``n`` targets each."""
+    return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0))
+
+
 def visible_km_by_lamp_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Visible length by lamp height and refraction coefficient, 60 m for each target point."""
-    found = reduced(view(spark, sf_dir, "targets"), LAMPS, {f"k{i}": critical_of(i) for i in range(len(LAMPS))})
-    counts = found.agg(*[F.count(F.when(F.col(f"k{i}") <= k, 1)).alias(f"n{i}_{j}") for i in range(len(LAMPS)) for j, k in enumerate(KS)])
+    places = view(spark, sf_dir, "targets").groupBy("lon", "lat").agg(F.count("*").alias("n"))
+    found = reduced(places, LAMPS, {f"k{i}": critical_of(i) for i in range(len(LAMPS))}, ["n"])
+    counts = found.agg(*[_times(F.col(f"k{i}") <= k).alias(f"n{i}_{j}") for i in range(len(LAMPS)) for j, k in enumerate(KS)])
     cells = [F.struct(F.lit(lamp).alias("lamp"), F.lit(k).alias("k"), F.round(F.col(f"n{i}_{j}") * 0.06, 6).alias("visible_km")) for i, lamp in enumerate(LAMPS) for j, k in enumerate(KS)]
     return counts.select(F.explode(F.array(*cells)).alias("p")).select("p.*")
 
@@ -208,18 +214,20 @@ def clutter_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def run_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two runs over the same points: agreement at k = 0.13, both kinds of disagreement, median difference; rays are made once for both."""
-    both = reduced(view(spark, sf_dir, "targets"), (0.66, 1.12), {"a": critical_of(0), "b": critical_of(1)})
+    places = view(spark, sf_dir, "targets").groupBy("lon", "lat").agg(F.count("*").alias("n"))
+    both = reduced(places, (0.66, 1.12), {"a": critical_of(0), "b": critical_of(1)}, ["n"])
     va, vb = F.col("a") <= 0.13, F.col("b") <= 0.13
     return both.agg(
-        F.round(F.avg(F.when(va == vb, 1.0).otherwise(0.0)), 6).alias("agreement"), F.count(F.when(va & ~vb, 1)).alias("only_a"), F.count(F.when(~va & vb, 1)).alias("only_b"),
-        F.round(F.expr("percentile(b - a, 0.5)"), 4).alias("median_difference"),
+        F.round(_times(va == vb) / F.sum("n"), 6).alias("agreement"), _times(va & ~vb).alias("only_a"), _times(~va & vb).alias("only_b"),
+        F.round(F.expr("percentile(b - a, 0.5, n)"), 4).alias("median_difference"),
     )
 
 
 def length_by_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Length with k_crit at most k, for k = 0, 0.05, ... 1, by route and over all."""
-    kc = reduced(view(spark, sf_dir, "targets"), (0.66,), {"k_crit": critical_of(0)}, ["target_id", "route"])
-    wide = kc.rollup("route").agg(*[F.count(F.when(F.col("k_crit") <= i / 20, 1)).alias(f"n{i}") for i in range(21)])
+    places = view(spark, sf_dir, "targets").groupBy("lon", "lat", "route").agg(F.count("*").alias("n"))
+    kc = reduced(places, (0.66,), {"k_crit": critical_of(0)}, ["route", "n"])
+    wide = kc.rollup("route").agg(*[_times(F.col("k_crit") <= i / 20).alias(f"n{i}") for i in range(21)])
     pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("step"), F.round(F.col(f"n{i}") * 0.06, 6).alias("km")) for i in range(21)]))
     return wide.select(F.coalesce("route", F.lit("all")).alias("route"), pairs.alias("p")).select("route", "p.step", "p.km")
 
